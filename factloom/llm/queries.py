@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, language, neighbours, packing, quality, sharding, simhash, toxicity, warc
+from factloom.llm import bpe, language, neighbours, packing, quality, sharding, simhash, stupid_backoff, toxicity, warc
 from factloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # noqa: F401  the pipeline is part of this subpackage
 
-    each = [op1_language, op2_simhash, op3_sharding, op4_quality, op6_warc, op7_packing, op8_neighbours, op9_toxicity, op10_bpe, pipeline]
+    each = [op1_language, op2_simhash, op3_sharding, op4_quality, op5_stupid_backoff, op6_warc, op7_packing, op8_neighbours, op9_toxicity, op10_bpe, pipeline]
     return {f.__name__: f for f in each}
 
 
