@@ -72,12 +72,16 @@ def _ratio(above: str, below: str, scale: int = 10_000) -> Column:
     return F.when(F.col(below) > 0, F.floor(F.col(above) * scale / F.col(below))).otherwise(0).cast("long")
 
 
-RATIOS = {
-    "symbols": _ratio("n_symbols", "word_chars"),
-    "lines": _ratio("n_dup_lines", "n_lines"),
-    "repeats": _ratio("n_repeat_words", "n_words"),
-    "length": _ratio("word_chars", "n_words", 100),
-}
+RATIOS = list(LEAST)
+
+
+def ratios() -> dict[str, Column]:
+    return {
+        "symbols": _ratio("n_symbols", "word_chars"),
+        "lines": _ratio("n_dup_lines", "n_lines"),
+        "repeats": _ratio("n_repeat_words", "n_words"),
+        "length": _ratio("word_chars", "n_words", 100),
+    }
 
 
 def bucket(value: Column) -> Column:
@@ -95,7 +99,7 @@ def value_of(b: Column) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): counts in the buckets, over the rows that pass the base rules."""
-    each = F.array(*[F.struct(F.lit(k).alias("ratio"), bucket(v).alias("bucket")) for k, v in RATIOS.items()])
+    each = F.array(*[F.struct(F.lit(k).alias("ratio"), bucket(v).alias("bucket")) for k, v in ratios().items()])
     long = rows.filter(~F.col("base_failed")).select("lang", "source", F.explode(each).alias("r"))
     return long.groupBy("lang", "source", F.col("r.ratio").alias("ratio"), F.col("r.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -129,9 +133,9 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     limits = checkpointed(limits).withColumnsRenamed({"lang": "lang__f", "source": "source__f"})
     on = F.col("lang").eqNullSafe(F.col("lang__f")) & F.col("source").eqNullSafe(F.col("source__f"))
     within = F.lit(True)
-    for k, v in RATIOS.items():
+    for k, v in ratios().items():
         within = within & (v <= F.col(f"{k}_high"))
-    within = within & (RATIOS["length"] >= F.col("length_low"))
+    within = within & (ratios()["length"] >= F.col("length_low"))
     joined = rows.join(limits, on, "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop(*limits.columns)
 
