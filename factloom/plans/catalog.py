@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import timeseries
+from factloom.plans import search, timeseries
 
-PARTS = [timeseries]
+PARTS = [timeseries, search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
