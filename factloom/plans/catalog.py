@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import search, timeseries
+from factloom.plans import normalize, search, timeseries
 
-PARTS = [timeseries, search]
+PARTS = [timeseries, search, normalize]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
