@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import normalize, search, timeseries
+from factloom.plans import normalize, point_in_time, search, timeseries
 
-PARTS = [timeseries, search, normalize]
+PARTS = [timeseries, search, normalize, point_in_time]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
