@@ -87,6 +87,7 @@ def accepted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The documents that aren't rejected, with the given columns, of which text is one."""
     dictionaries = learn(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     rows = docs.select(*columns)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    marked = rows.mapInArrow(_predicted(dictionaries, columns), f"{types}, {RESULT}")
-    return marked.filter(~F.col("rejected")).select(*columns)
+    # numbered inside, as any column may have any name
+    inner = rows.toDF(*[f"c{k}" for k in range(len(columns))]).withColumnRenamed(f"c{columns.index('text')}", "text")
+    marked = inner.mapInArrow(_predicted(dictionaries, inner.columns), ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner.columns, rows.schema.fields)) + f", {RESULT}")
+    return marked.filter(~F.col("rejected")).select(*inner.columns).toDF(*columns)
