@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import normalize, point_in_time, reconcile, search, timeseries
+from factloom.plans import normalize, point_in_time, reconcile, research, search, timeseries
 
-PARTS = [timeseries, search, normalize, point_in_time, reconcile]
+PARTS = [timeseries, search, normalize, point_in_time, reconcile, research]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
