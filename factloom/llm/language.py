@@ -36,7 +36,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, chars: int = EXCERPT) -> di
     rows = rows.select("doc_id", "lang", excerpt("text", "doc_id", chars).alias("part"))
     number = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     found: dict[str, list[str]] = {}
-    for r in sampled(rows, "lang", "doc_id", sample).orderBy("lang", "sample__rank").select("lang", "part").collect():
+    for r in sampled(rows, "lang", "doc_id", sample, number).orderBy("lang", "sample__rank").select("lang", "part").collect():
         found.setdefault(r["lang"], []).append(r["part"])
     return {lang: "\n".join(parts).lower().encode()[-DICTIONARY:] for lang, parts in sorted(found.items(), key=lambda x: (-number[x[0]], x[0]))}
 

@@ -154,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tup
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(share.values())
-    chosen = sampled(known, "toxic", "doc_id", sample).select("doc_id", "toxic", F.pmod("sample__rank", F.lit(2)).alias("half"))
+    chosen = sampled(known, "toxic", "doc_id", sample, share).select("doc_id", "toxic", F.pmod("sample__rank", F.lit(2)).alias("half"))
     # at most `sample` ids of each class
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", excerpt("text", "doc_id", EXCERPT).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).persist()
