@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from factloom.llm.common import slices, utf8
 
 #: Bytes of text that are pre-tokenised in one go.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Slices whose ids each worker keeps.
-CACHE = 300_000
+CACHE = 200_000
 #: Slices over this many bytes are merged with a heap instead of by rounds.
 LONG = 200
 #: The rank of a pair that doesn't merge.
@@ -329,6 +329,7 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
         decimal = {i: str(i).encode() for i in vocabulary.bytes}
         back = vocabulary.bytes
         for batch in slices(batches, "text", SLICE):
+            pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
             n, ids_sha, text_sha = [0] * batch.num_rows, [hashlib.sha256() for _ in range(batch.num_rows)], [hashlib.sha256() for _ in range(batch.num_rows)]
             for row, found in encoded(batch, "text", vocabulary):
                 ids = found.tolist()

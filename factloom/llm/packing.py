@@ -33,6 +33,7 @@ def pieces(docs: DataFrame, path: str, width: int = 2048, end: int = 1, id_colum
         vocabulary = bpe.merge_file(path)
         stop = np.array([end], "<u4")
         for batch in slices(batches, "text", bpe.SLICE):
+            pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
             key = batch.column("doc_id").to_pylist()
             out: list[list] = [[], [], [], [], []]
             tokens: dict[int, int] = defaultdict(int)

@@ -147,7 +147,11 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def passed(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents that are kept, with the given columns; their text doesn't move between tasks."""
+    """The documents that are kept, with the given columns.
+
+    Counts and documents are kept in the shared folder together, so they are counted once and the final filter, which
+    would otherwise be pushed below the counts and repeat them, stays above; no text is shuffled.
+    """
     rows = docs.select(*columns)
-    limits = fences(checkpointed(counted(rows.select("lang", "source", "text"))))
-    return judged(counted(rows.withColumn("q__text", F.col("text")), "q__text"), limits).filter("kept").select(*columns)
+    marked = checkpointed(counted(rows.withColumn("q__text", F.col("text")), "q__text"))
+    return judged(marked, fences(marked)).filter("kept").select(*columns)
