@@ -1,20 +1,24 @@
 """Stupid-backoff language-model scores from n-gram counts of the whole corpus.
 
 A position's score is the relative frequency of its longest n-gram, of up to three words, that the corpus has LEAST
-times or more; each step to a shorter one costs a factor of 0.4. All documents are counted and all are scored; a
-document's score is the mean logarithm over its words.
+times or more; each step to a shorter one costs a factor of 0.4. All documents are counted and all are scored with
+all of their words; a document's score is the mean logarithm over its words.
 
-Log scores add up over n-grams, not only over positions: an n-gram of the table adds its change against the next
-shorter one, and one that isn't in it adds nothing. So the n-grams of two and three words are exploded, named by
-bucket of their hash, counted there, and the table of changes, which carries the same buckets, is joined to the same
-exploded n-grams once more; what is found is summed per document.
+Every word stands in the middle of one window: the word before it, itself and the word after it, with a mark where the
+text begins or ends. Windows with one middle word give all counts that this word is part of: its own, those of the pairs
+to its left and right, and that of the triple. Log scores add up over n-grams, as one of the table adds its change
+against the next shorter one, and each part of these changes belongs to some window that knows its counts. So windows
+move once, by bucket of their middle word's hash, are counted and scored there, and their sums meet per document.
 
-The vocabulary is the most frequent words of the whole corpus, VOCABULARY at most (longer words than LONGEST bytes count as
-unknown, like all others): a table of bounded size, so it is broadcast and n-grams are exact numbers of 16 bits a
-word. Exploded n-grams move as columns of numbers, one row for each block of documents and bucket, sorted and packed,
-which takes about a fifth of the room of a row each. The number of buckets grows with the corpus, so a bucket stays
-about BUCKET n-grams. An n-gram that a document repeats is one entry with its count, so a frequent n-gram is at most
-an entry a document.
+Windows of a frequent middle word would be too many for one bucket. They move twice: by middle and first word, which
+gives the counts of the left pair and of the triple, and by middle and last word, which gives those of the right pair
+and again of the triple; how often the middle word itself occurs is counted beforehand for those words.
+
+Windows move as columns of numbers, one row for each block of documents and bucket, sorted and packed. The VOCABULARY
+most frequent words of a sample have short numbers everywhere; each row lists the bytes of its other words (the SHA-512
+of words over LONGEST bytes). Which words the sample has changes the room that rows take, not the result. The number
+of buckets grows with the corpus, so a bucket stays about BUCKET windows. A window that a document repeats is one entry
+with its count.
 
 Words are what is between white space, in lower case (A-Z). Null and empty texts have no words, log score 0 and a null
 score. Repeated rows and ids are scored row by row. An empty table gives no rows.
@@ -22,12 +26,14 @@ score. Repeated rows and ids are scored row by row. An empty table gives no rows
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,12 +46,14 @@ LEAST = 2
 BACKOFF = 0.4
 VOCABULARY = 65_000
 LONGEST = 64
-#: N-grams in a bucket, about, and bytes of text in a block.
+#: Windows in a bucket, about, and bytes of text in a block.
 BUCKET = 2_000_000
 BLOCK = 8 << 20
+#: One document in so many is read for the words with short numbers.
+SAMPLE = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
-ENTRIES = "bucket int, block string, n int, grams binary, documents binary, times binary"
+ENTRIES = "bucket int, block string, n int, names binary, middle binary, before binary, after binary, documents binary, times binary"
 RESULTS = "block string, doc_ids binary, n_words binary, documents binary, sums binary"
 
 
@@ -83,100 +91,200 @@ def words(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _bucket(gram: np.ndarray, order: int, buckets: int) -> np.ndarray:
+def totals(docs: DataFrame, frequent: list[str]) -> tuple[dict[str, int], int]:
+    """How often each of a few words occurs in all documents, and the number of all words."""
+
+    def run(batches):
+        known = [(w, w.encode()) for w in frequent]
+        for batch in slices(batches, "text", BLOCK):
+            count: Counter = Counter()
+            total = 0
+            for text in batch.column("text"):
+                each = _split(text)
+                total += len(each)
+                if known:
+                    count.update(each)
+            yield pa.record_batch([pa.array([w for w, _ in known] + [None], pa.string()), pa.array([count[b] for _, b in known] + [total], pa.int64())], names=["word", "n"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    n = {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    total = n.pop(None, 0)
+    return n, total
+
+
+def _bucket(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = (gram + np.uint64(order)) * MIX
+        h = (a ^ (b * MIX)) * MIX
         return ((h ^ (h >> np.uint64(29))) >> np.uint64(16)) % np.uint64(buckets)
 
 
-def entries(docs: DataFrame, ids: dict[str, int], base: list[float], buckets: int) -> DataFrame:
-    """For each block of documents: a row with their ids and what single words add, and a row for each order and bucket.
+def _name(word: bytes) -> bytes:
+    """The word, or what stands for a long one: longer than LONGEST itself, so it equals no short word."""
+    return word if len(word) <= LONGEST else hashlib.sha512(word).hexdigest().encode()
+
+
+def entries(docs: DataFrame, short: list[str], frequent: set[str], buckets: int) -> DataFrame:
+    """For each block of documents: a row with their ids and lengths, and a row for each bucket of its windows.
 
-    Bucket numbers from 0 hold pairs of words, from `buckets` on triples; below 0 are the rows of the documents.
+    Bucket numbers from 0 hold windows by middle word, from `buckets` on those of frequent middle words by the first
+    word too, from twice that on the same by the last word; below 0 are the rows of the documents. Word 0 is the mark.
     """
 
     def run(batches):
-        known = {w.encode(): i for w, i in ids.items()}
-        alone = np.array(base)
+        first = len(short) + 1
+        known = {w.encode(): k + 1 for k, w in enumerate(short)}
+        digest = np.array([0] + [xxhash.xxh64_intdigest(w) for w in known], np.uint64)
+        often = np.array([False] + [w in frequent for w in short])
         number = 0
         for batch in slices(batches, "text", BLOCK):
-            doc_ids = batch.column("doc_id")
-            texts = [[known.get(w, 0) for w in _split(t)] for t in batch.column("text")]
+            local = dict(known)
+            texts = [[local.setdefault(w, len(local) + 1) for w in _split(t)] for t in batch.column("text")]
             length = np.array([len(t) for t in texts], np.int64)
-            word = np.array([w for t in texts for w in t], np.uint64)
-            owner = np.repeat(np.arange(len(texts), dtype=np.uint32), length)
+            word = np.fromiter((w for t in texts for w in t), np.int64, int(length.sum()))
+            del texts
+            names = [_name(w) for w in list(local)[first - 1 :]]
+            order = sorted(range(len(names)), key=names.__getitem__)  # neighbours in order pack well
+            place = np.arange(first + len(names))
+            place[first + np.array(order, np.int64)] = first + np.arange(len(names))
+            names = [names[k] for k in order]
+            word = place[word]
+            hashed = np.concatenate([digest, np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)])
+            owner = np.repeat(np.arange(batch.num_rows, dtype=np.uint32), length)
             # a recomputed task names its blocks as before
-            name = f"{TaskContext.get().partitionId()}:{number}"
+            block = f"{TaskContext.get().partitionId()}:{number}"
             number += 1
-            sums = np.bincount(owner, alone[word.astype(np.int64)], len(texts)) if len(word) else np.zeros(len(texts))
-            out = [[-1 - zlib.crc32(name.encode()) % buckets], [name], [len(texts)], [pa.record_batch([doc_ids], ["d"]).serialize().to_pybytes()], [_packed(length.astype(np.int32))], [_packed(sums)]]
-            for order in (2, 3):
-                if len(word) < order:
-                    continue
-                gram = word[: len(word) - order + 1].copy()
-                for k in range(1, order):
-                    gram = gram << np.uint64(16) | word[k : len(word) - order + 1 + k]
-                inside = owner[: len(gram)] == owner[order - 1 :]
-                gram, of = gram[inside], owner[: len(inside)][inside]
-                where = np.argsort(gram, kind="stable")  # documents are in order already
-                gram, of = gram[where], of[where]
-                new = np.ones(len(gram), bool)
-                new[1:] = (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(gram))).astype(np.uint32)
-                gram, of = gram[at], of[at]
-                bucket = _bucket(gram, order, buckets)
-                where = np.argsort(bucket, kind="stable")
-                gram, of, times, bucket = gram[where], of[where], times[where], bucket[where]
-                first = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                for b in np.flatnonzero(np.diff(first)).tolist():
-                    part = slice(first[b], first[b + 1])
-                    row = (b + (order - 2) * buckets, name, first[b + 1] - first[b], _packed(gram[part], True), _packed(of[part]), _packed(times[part]))
-                    for column, value in zip(out, row):
-                        column.append(value)
-            kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "block", "n", "grams", "documents", "times"])
+            ids = pa.record_batch([batch.column("doc_id")], ["d"]).serialize().to_pybytes()
+            rows = [(-1 - zlib.crc32(block.encode()) % buckets, block, batch.num_rows, ids, None, None, None, _packed(length.astype(np.int32)), None)]
+            if len(word):
+                rows += windows(word, owner, names, hashed, often, first, block)
+            kinds = [pa.int32(), pa.string(), pa.int32()] + [pa.binary()] * 6
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in ENTRIES.split(", ")])
+
+    def windows(word, owner, names, hashed, often, first, block):
+        same = owner[1:] == owner[:-1]
+        before, after = np.zeros_like(word), np.zeros_like(word)
+        before[1:][same], after[:-1][same] = word[:-1][same], word[1:][same]
+        bits = len(hashed).bit_length()
+        if 3 * bits < 64:
+            where = np.argsort(word << 2 * bits | before << bits | after, kind="stable")  # documents are in order already
+        else:
+            where = np.lexsort((after, before, word))
+        m, a, c, of = word[where], before[where], after[where], owner[where]
+        new = np.ones(len(m), bool)
+        new[1:] = (m[1:] != m[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (of[1:] != of[:-1])
+        at = np.flatnonzero(new)
+        times = np.diff(np.append(at, len(m))).astype(np.uint32)
+        m, a, c, of = m[at], a[at], c[at], of[at]
+        hot = np.append(often, np.zeros(len(names), bool))[m]
+        used, into = np.zeros(len(hashed), bool), np.arange(len(hashed), dtype=np.uint32)
+        for role, other in enumerate((None, a, c)):
+            mine = np.flatnonzero(hot == (role > 0))
+            bucket = _bucket(hashed[m[mine]], np.uint64(0) if other is None else hashed[other[mine]], buckets)
+            where = np.argsort(bucket, kind="stable")
+            mine, bucket = mine[where], bucket[where]
+            edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                part = mine[edge[b] : edge[b + 1]]
+                mac = m[part], a[part], c[part]
+                for x in mac:
+                    used[x] = True
+                rare = first + np.flatnonzero(used[first:])
+                into[rare] = first + np.arange(len(rare))
+                used[:] = False
+                listed = zstandard.compress(b" ".join([names[k] for k in (rare - first).tolist()]), 1)
+                yield (b + role * buckets, block, len(part), listed, _packed(into[mac[0]], True), _packed(into[mac[1]]), _packed(into[mac[2]]), _packed(of[part]), _packed(times[part]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, ENTRIES)
 
 
-def _counted(key, table):
-    """One bucket's n-grams that are frequent enough."""
-    if key[0].as_py() < 0:
-        table = table.slice(0, 0)
-    if not table.num_rows:
-        return pa.table({"bucket": pa.array([], pa.int32()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    grams = np.concatenate([_unpacked(g, "<u8", True) for g in table["grams"].to_pylist()])
-    times = np.concatenate([_unpacked(t, "<u4") for t in table["times"].to_pylist()])
-    each, which = np.unique(grams, return_inverse=True)
-    n = np.bincount(which, times, len(each)).astype(np.int64)
-    keep = n >= LEAST
-    return pa.table({"bucket": pa.array(np.full(int(keep.sum()), key[0].as_py(), np.int32)), "gram": each[keep].astype(np.int64), "n": n[keep]})
-
-
-def _summed(key, left, right):
-    """What one bucket's n-grams add to each document of each block; rows of documents pass as they are."""
-    if key[0].as_py() < 0:
-        none = pa.nulls(left.num_rows, pa.binary())
-        return pa.table({"block": left["block"], "doc_ids": left["grams"], "n_words": left["documents"], "documents": none, "sums": left["times"]})
-    blocks, documents, sums = [], [], []
-    if right.num_rows:
-        gram, which = np.unique(right["gram"].to_numpy(), return_inverse=True)
-        # two parts at most, so their order doesn't matter to the sum
-        gram, change = gram.astype(np.uint64), np.bincount(which, right["change"].to_numpy(), len(gram))
-        for block, g, d, t in zip(*(left[k].to_pylist() for k in ("block", "grams", "documents", "times"))):
-            own = _unpacked(g, "<u8", True)
-            at = np.minimum(np.searchsorted(gram, own), len(gram) - 1)
-            hit = gram[at] == own
-            if hit.any():
-                of, value = _unpacked(d, "<u4")[hit], change[at[hit]] * _unpacked(t, "<u4")[hit]
-                each, which = np.unique(of, return_inverse=True)
-                blocks.append(block)
-                documents.append(_packed(each))
-                sums.append(_packed(np.bincount(which, value, len(each)).astype("<f8")))
-    empty = pa.nulls(len(blocks), pa.binary())
-    return pa.table({"block": pa.array(blocks, pa.string()), "doc_ids": empty, "n_words": empty, "documents": pa.array(documents, pa.binary()), "sums": pa.array(sums, pa.binary())})
+class _Counts:
+    """Sums of times by key, gathered in parts, so that no more than the different keys and a part are held."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, times: np.ndarray) -> None:
+        each, which = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        self.keys, self.n = each, np.bincount(which, np.concatenate([self.n, times]), len(each)).astype(np.int64)
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, keys)
+
+
+def _scorer(short: list[str], frequent: dict[str, int], buckets: int, total: int):
+    lower, all_words, first = math.log(BACKOFF), math.log(max(1, total)), len(short) + 1
+
+    def run(key, table):
+        """What one bucket's windows add to each document of each block; rows of documents pass as they are."""
+        if key[0].as_py() < 0:
+            none = pa.nulls(table.num_rows, pa.binary())
+            return pa.table({"block": table["block"], "doc_ids": table["names"], "n_words": table["documents"], "documents": none, "sums": none})
+        role = key[0].as_py() // buckets
+        names: dict[bytes, int] = {}
+        numbers = []
+        for listed in table["names"]:
+            rare = zstandard.decompress(listed.as_py()).split(b" ")
+            numbers.append(np.array([names.setdefault(w, len(names)) for w in rare], np.int64) + first if rare != [b""] else np.zeros(0, np.int64))
+        width = first + len(names)
+        size = np.array(table["n"].to_pylist())
+        # whole rows, together about a bucket at most
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // BUCKET, prepend=0)).tolist()
+        spans = [(s, e) for s, e in zip([0, *cut], [*cut, len(size)]) if e > s]
+
+        def column(name, s, e, kind, deltas=False):
+            return [_unpacked(x.as_py(), kind, deltas).astype(np.int64) for x in table[name].slice(s, e - s)]
+
+        def read(s, e):
+            out = []
+            for name in ("middle", "before", "after"):
+                out.append(np.concatenate([np.concatenate([np.arange(first), numbers[s + k]])[x] for k, x in enumerate(column(name, s, e, "<u4", name == "middle"))]))
+            return *out, np.concatenate(column("times", s, e, "<u4"))
+
+        held = read(*spans[0]) if len(spans) == 1 else None
+        chunks = lambda: ([held] if held else (read(*x) for x in spans))
+        alone, left, right, triple = np.zeros(width), _Counts(), _Counts(), _Counts()
+        for m, a, c, t in chunks():
+            alone += np.bincount(m, t, width)
+            if role != 2:
+                left.add(m * width + a, t)
+            if role != 1:
+                right.add(m * width + c, t)
+        if role:
+            alone = np.array([1.0, *(frequent.get(w, 1) for w in short)] + [1.0] * len(names))
+        # a pair's place, not its key, keeps triples within 63 bits
+        named = lambda m, a, c: (right.at(m * width + c) * width + a) if role == 2 else (left.at(m * width + a) * width + c)
+        for m, a, c, t in chunks():
+            triple.add(named(m, a, c), t)
+        blocks, documents, sums = [], [], []
+        for (s, e), (m, a, c, t) in zip(spans, chunks()):
+            log_m = np.log(alone[m])
+            n_triple = np.where((a > 0) & (c > 0), triple.n[triple.at(named(m, a, c))], 0)
+            in_triple = n_triple >= LEAST
+            value = np.zeros(len(m))
+            if role != 2:
+                n_left = left.n[left.at(m * width + a)]
+                log_left = np.log(n_left)
+                value += log_m + 2 * lower - all_words
+                value += np.where((a > 0) & (n_left >= LEAST), log_left - log_m - lower + all_words, 0)
+                value += np.where(in_triple, np.log(np.maximum(n_triple, 1)) - log_left - lower + log_m, 0)
+            if role != 1:
+                n_right = right.n[right.at(m * width + c)]
+                value -= np.where((c > 0) & (n_right >= LEAST), log_m, 0)
+                value -= np.where(in_triple, np.log(n_right), 0)
+            value *= t
+            begin = 0
+            for k, of in enumerate(column("documents", s, e, "<u4")):
+                part = np.bincount(of, value[begin : begin + len(of)])
+                each = np.flatnonzero(np.bincount(of))
+                begin += len(of)
+                blocks.append(table["block"][s + k].as_py())
+                documents.append(_packed(each.astype("<u4"), True))
+                sums.append(_packed(part[each].astype("<f8")))
+        empty = pa.nulls(len(blocks), pa.binary())
+        return pa.table({"block": pa.array(blocks, pa.string()), "doc_ids": empty, "n_words": empty, "documents": pa.array(documents, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    return run
 
 
 def _finished(table):
@@ -184,39 +292,13 @@ def _finished(table):
     rows = table.to_pylist()
     head = next(r for r in rows if r["doc_ids"] is not None)
     names = pa.ipc.read_record_batch(pa.py_buffer(head["doc_ids"]), pa.schema([("d", pa.int64())])).column(0)
-    n, total = _unpacked(head["n_words"], "<i4").astype(np.int64), _unpacked(head["sums"], "<f8").copy()
+    n = _unpacked(head["n_words"], "<i4").astype(np.int64)
+    total = np.zeros(len(n))
     for r in sorted((r for r in rows if r["doc_ids"] is None), key=lambda r: (r["documents"], r["sums"])):
-        total[_unpacked(r["documents"], "<u4")] += _unpacked(r["sums"], "<f8")
+        total[_unpacked(r["documents"], "<u4", True)] += _unpacked(r["sums"], "<f8")
     return pa.table({"doc_id": names, "n_words": n, "log_score": total})
 
 
-def _changes(table: DataFrame, single: DataFrame, buckets: int, total: int) -> DataFrame:
-    """(bucket, gram, change) of the n-grams in the table: the logarithm of its score less that of 0.4 times its suffix's.
-
-    A pair is a row of its own, a triple one row at its context and one at its suffix; what the pair knows reaches
-    them in a window over the pair, which the vocabulary keeps to twice its size. A triple's two parts are rows of their own.
-    """
-    lower = math.log(BACKOFF)
-    gram, pair = F.col("gram"), F.col("bucket") < buckets
-    roles = F.when(pair, F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))
-    # what moves to the pair is kept narrow: the pair itself follows from the n-gram and its role
-    rows = table.select("gram", "n", F.col("bucket"), F.explode(roles).alias("role")).select("gram", "n", (F.col("bucket") * 3 + F.col("role")).alias("place"))
-    role = F.col("place") % 3
-    key = F.when(role == 0, gram).when(role == 1, F.shiftright(gram, 16)).otherwise(gram.bitwiseAND(F.lit(0xFFFFFFFF)))
-    at_pair = rows.repartition(key).withColumn("key", key)
-    n_pair = F.max(F.when(role == 0, F.col("n"))).over(Window.partitionBy("key"))
-    known = at_pair.withColumn("n_pair", n_pair).withColumns({"first": F.shiftright("key", 16), "last": F.col("key").bitwiseAND(F.lit(0xFFFF))})
-    for name in ("first", "last"):  # the vocabulary is bounded
-        known = known.join(F.broadcast(single.select(F.col("word").alias(name), F.col("log_n").alias(f"log_{name}"))), name)
-    log_pair = F.log(F.col("n_pair").cast("double"))
-    part = (
-        F.when(role == 0, log_pair - F.col("log_first") - (F.col("log_last") - math.log(max(1, total))) - lower)
-        .when(role == 1, F.log(F.col("n").cast("double")) - log_pair)
-        .otherwise(F.col("log_first") - log_pair - lower)
-    )
-    return known.select(F.floor(F.col("place") / 3).cast("int").alias("bucket"), "gram", part.alias("change"))
-
-
 def vocabulary(count: DataFrame) -> tuple[list, int]:
     """The rows of the most frequent words, VOCABULARY at most, and the number of all words.
 
@@ -235,18 +317,12 @@ def vocabulary(count: DataFrame) -> tuple[list, int]:
 
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, log_score, score) of every row. Before a text's third word fewer steps are possible; they cost as if taken."""
-    spark = docs.sparkSession
-    top, total = vocabulary(words(docs))
-    ids = {r["word"]: k + 1 for k, r in enumerate(top)}
-    n = [max(1, total - sum(r["n"] for r in top)), *(r["n"] for r in top)]
-    floor = math.log(max(1, total)) - 2 * math.log(BACKOFF)
-    base = [math.log(x) - floor for x in n]
+    sample = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(SAMPLE)) == 0)
+    top, _ = vocabulary(words(sample))
+    short = [r["word"] for r in top]
+    frequent, total = totals(docs, [r["word"] for r in top if r["n"] * SAMPLE > BUCKET // 2])
     buckets = max(1, -(-total // BUCKET))
-    found = entries(docs, ids, base, buckets)
-    # read for counting and again for the sums, in one plan: Spark shuffles the entries once and reuses the files
-    dealt = found.repartition(F.col("bucket"))
-    table = dealt.groupBy("bucket").applyInArrow(_counted, "bucket int, gram long, n long")
-    changes = _changes(table, spark.createDataFrame([(k, math.log(x)) for k, x in enumerate(n)], "word long, log_n double"), buckets, total)
-    sums = dealt.groupBy("bucket").cogroup(changes.groupBy("bucket")).applyInArrow(_summed, RESULTS)
+    found = entries(docs, short, set(frequent), buckets)
+    sums = found.groupBy("bucket").applyInArrow(_scorer(short, frequent, buckets, total), RESULTS)
     rows = sums.groupBy("block").applyInArrow(_finished, "doc_id long, n_words long, log_score double")
     return rows.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

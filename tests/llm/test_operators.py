@@ -226,6 +226,25 @@ def test_stupid_backoff(docs, nothing, monkeypatch):
     assert stupid_backoff.scored(nothing).count() == 0
 
 
+@pytest.mark.parametrize("sample, bucket", [(1, 300), (10**9, 10**6)])
+def test_stupid_backoff_knows_every_word(spark, monkeypatch, sample, bucket):
+    for name, value in (("VOCABULARY", 20), ("SAMPLE", sample), ("BUCKET", bucket)):
+        monkeypatch.setattr(stupid_backoff, name, value, raising=False)
+    r = random.Random(8)
+    rare = [f"w{k}" for k in range(200)] + ["l" * 70, "m" * 70, "é" * 40]
+    known = {k: [r.choice(["the", "of", "and"]) if r.random() < 0.5 else r.choice(rare) for _ in range(r.randint(1, 60))] for k in range(60)}
+    known |= {60: ["the"] * 50, 61: known[0]}
+    found = {x.doc_id: x.log_score for x in stupid_backoff.scored(spark.createDataFrame([(k, " ".join(t)) for k, t in known.items()], "doc_id long, text string").repartition(3)).collect()}
+    n = collections.Counter(g for x in known.values() for order in (1, 2, 3) for g in zip(*[x[j:] for j in range(order)]))
+    total = sum(map(len, known.values()))
+    for k, x in known.items():
+        score = 0.0
+        for j, w in enumerate(x):
+            three, two = tuple(x[j - 2 : j + 1]) if j > 1 else None, tuple(x[j - 1 : j + 1]) if j else None
+            score += math.log(n[three] / n[three[:2]] if three and n[three] > 1 else 0.4 * n[two] / n[two[:1]] if two and n[two] > 1 else 0.16 * n[(w,)] / total)
+        assert found[k] == pytest.approx(score, abs=1e-6)
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 9000
     html = {0: "<p>a</p>", 1: None, 2: "", 3: big, 4: big, 5: "z" * 999, 6: "z" * 999, 7: "y" * 1000, 8: "y" * 1000, 9: "y" * 1000, 10: "\r\n" * 700}
