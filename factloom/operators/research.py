@@ -57,7 +57,8 @@ def entity_matches(mentions: DataFrame, profiles: DataFrame) -> DataFrame:
     """Which profile (security_code, legal_name, former_names, domain, short_name) a mention (id, text, domain, code) means.
 
     Rules in order: code, legal name, former name, domain, short name within the text. Each is an equi-join but the
-    last, which meets only mentions that no other rule decided and profiles by the first two characters of the short name.
+    last, which joins whole short names with the substrings, of the lengths that short names have, of those texts that no
+    other rule decided.
     """
     p = profiles
     keyed = lambda col, rank, rule: p.select(F.col(col).alias("k"), F.col("security_code").alias("found"), F.lit(rank).alias("rank"), F.lit(rule).alias("rule")).filter("k is not null and k != ''")
@@ -68,9 +69,11 @@ def entity_matches(mentions: DataFrame, profiles: DataFrame) -> DataFrame:
         .unionByName(mentions.join(by_name, F.col("text") == F.col("k"))).unionByName(mentions.join(keyed("domain", 3, "DOMAIN"), F.col("domain") == F.col("k")))
     ).select("id", "found", "rank", "rule")
     rest = mentions.join(hits.select("id").distinct(), "id", "left_anti")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(2))))
-    short = keyed("short_name", 4, "SHORT_NAME").filter(F.length("k") >= 2).withColumn("g", F.substring("k", 1, 2))
-    within = rest.filter("text is not null").select("id", "text", F.explode(grams).alias("g")).join(short, "g").filter(F.contains("text", "k"))
+    short = keyed("short_name", 4, "SHORT_NAME").filter(F.length("k") >= 2)
+    lengths = short.select(F.length("k").alias("size")).distinct()  # few, whatever the number of names
+    texts = rest.filter("text is not null").select("id", "text").join(F.broadcast(lengths), F.length("text") >= F.col("size"))
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1), lambda i: F.substring("text", i, F.col("size"))))
+    within = texts.select("id", F.explode(parts).alias("k")).join(short, "k")
     every = hits.unionByName(within.select("id", "found", "rank", "rule"))
     return every.groupBy("id").agg(F.min(F.struct("rank", "found", "rule")).alias("b")).select("id", F.col("b.found").alias("security_code"), "b.rule")
 

@@ -182,6 +182,12 @@ def nrm23(spark, d):
     return docs.select(n.language_tag(text).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("nrm23_all_language_tags", """SELECT doc_id, CASE WHEN zh AND en THEN 'mixed' WHEN zh THEN 'zh' WHEN en THEN 'en' ELSE 'unknown' END AS language
+FROM (SELECT doc_id, coalesce(regexp_matches(text, '[一-鿿]'), false) AS zh, coalesce(regexp_matches(text, '[A-Za-z]'), false) AS en FROM documents)""")
+def nrm23_all(spark, d):
+    return src.table(spark, d, "documents").select("doc_id", n.language_tag(F.col("text")).alias("language"))
+
+
 @query("nrm24_listing_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS listed FROM orders")
 def nrm24(spark, d):
     f = lambda p: F.date_format("o_orderdate", p)

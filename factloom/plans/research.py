@@ -57,7 +57,7 @@ def map9(spark, d):
 @query("jon12_entity_matches", """SELECT c_custkey AS id, lpad(CAST(c_custkey % 50 AS VARCHAR), 6, '0') AS security_code, CASE c_custkey % 5 WHEN 0 THEN 'CODE' WHEN 1 THEN 'LEGAL_NAME' WHEN 2 THEN 'FORMER_NAME' WHEN 3 THEN 'DOMAIN' ELSE 'SHORT_NAME' END AS rule
 FROM customer WHERE c_custkey % 50 IN (SELECT s_suppkey FROM supplier)""")
 def jon12(spark, d):
-    s = src.table(spark, d, "supplier").filter("s_suppkey < 50")
+    s = src.table(spark, d, "supplier")
     n = F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
     profiles = s.select(n.alias("security_code"), F.concat(F.lit("legal"), n).alias("legal_name"), F.array(F.concat(F.lit("former"), n)).alias("former_names"), F.concat(n, F.lit(".example.org")).alias("domain"), F.concat(F.lit("s"), n, F.lit("s")).alias("short_name"))
     m, k = F.lpad((F.col("c_custkey") % 50).cast("string"), 6, "0"), F.col("c_custkey") % 5
@@ -82,12 +82,24 @@ SELECT c AS security_code, t AS report_date, CAST(o_orderkey AS VARCHAR) AS docu
   CASE k WHEN 'REPORT_DATE' THEN CAST(t AS VARCHAR) WHEN 'NOTICE_DATE' THEN CAST(CAST(t + 30 AS DATE) AS VARCHAR) WHEN 'SECURITY_CODE' THEN c ELSE p END AS value_text
 FROM j, (SELECT unnest(['REPORT_DATE', 'NOTICE_DATE', 'SECURITY_CODE', 'REPORT_TYPE']) AS k)""")
 def rec22(spark, d):
-    o = src.table(spark, d, "orders").filter("o_orderkey % 7 = 0")
+    return metadata(spark, src.table(spark, d, "orders").filter("o_orderkey % 7 = 0"))
+
+
+def metadata(spark, o):
     date = F.col("o_orderdate").cast("date")
     docs = o.select(F.col("o_custkey").cast("string").alias("security_code"), date.alias("report_date"), F.date_add(date, 30).alias("available_at"), F.col("o_orderkey").cast("string").alias("document_id"), F.when(F.col("o_orderkey") % 2 == 0, "annual").otherwise("q1").alias("kind"))
     return r.metadata_facts(docs, spark.createDataFrame([("annual", "FY"), ("annual", "Q4"), ("q1", "Q1")], "kind string, period_type string"))
 
 
+@query("rec22_all_metadata_facts", """WITH d AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderdate AS DATE) AS t, CASE o_orderkey % 2 WHEN 0 THEN 'annual' ELSE 'q1' END AS kind FROM orders),
+v AS (SELECT 'annual' AS kind, 'FY' AS p UNION ALL SELECT 'annual', 'Q4' UNION ALL SELECT 'q1', 'Q1'), j AS (SELECT * FROM d JOIN v USING (kind))
+SELECT c AS security_code, t AS report_date, CAST(o_orderkey AS VARCHAR) AS document_id, p AS period_type, k AS field_key,
+  CASE k WHEN 'REPORT_DATE' THEN CAST(t AS VARCHAR) WHEN 'NOTICE_DATE' THEN CAST(CAST(t + 30 AS DATE) AS VARCHAR) WHEN 'SECURITY_CODE' THEN c ELSE p END AS value_text
+FROM j, (SELECT unnest(['REPORT_DATE', 'NOTICE_DATE', 'SECURITY_CODE', 'REPORT_TYPE']) AS k)""")
+def rec22_all(spark, d):
+    return metadata(spark, src.table(spark, d, "orders"))
+
+
 @query("doc4_document_status", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'UNRESOLVED' WHEN 2 THEN 'NO_MATCH' WHEN 3 THEN 'SUCCESS' ELSE 'UNRESOLVED' END AS status,
   CASE page_id % 5 WHEN 0 THEN 'MANUAL_CAPTCHA' WHEN 1 THEN 'RETRY' WHEN 4 THEN 'RETRY' END AS action FROM pages""")
 def doc4(spark, d):
