@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.priority import COMPARE_PRIORITY, STATEMENTS, canonical_unit, looked_up, scaled
+from factloom.operators.normalize import date_of, plain_text, report_label
 
 # Classes of statuses.
 CONFLICTS = ["MISMATCH", "VERSION_CONFLICT", "SCOPE_CONFLICT", "PERIOD_CONFLICT", "UNIT_CONFLICT"]
@@ -114,6 +115,28 @@ def primary(facts: DataFrame) -> DataFrame:
 GRAIN = ["security_code", "report_date", "field_key"]
 
 
+def _text_of(rows: DataFrame) -> Column:
+    return F.col("value_text") if "value_text" in rows.columns else F.lit(None).cast("string")
+
+
+def comparable_text(text: Column, key: Column) -> Column:
+    """Plain text; fields of dates, report labels and security codes by what they mean."""
+    t = plain_text(text)
+    digits = F.regexp_replace(t, r"\D", "")
+    return (
+        F.when(key.isin("REPORT_DATE", "NOTICE_DATE", "PUBLISH_DATE", "UPDATE_DATE"), F.coalesce(date_of(F.lower(text)), t))
+        .when(key.isin("REPORT_TYPE", "REPORT_DATE_NAME"), report_label(t))
+        .when((key == "SECURITY_CODE") & (F.length(digits) >= 6), F.right(digits, F.lit(6)))
+        .otherwise(t)
+    )
+
+
+def comparable_set(text: Column, key: Column) -> Column:
+    """Different comparable texts of a list, sorted."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[,，;；、|\n]+"), lambda x: comparable_text(x, key))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+
+
 def matched(facts: DataFrame, official: DataFrame) -> DataFrame:
     """facts (with mode and statement_type) and the official row that each is compared with, or a diagnosis.
 
@@ -121,7 +144,7 @@ def matched(facts: DataFrame, official: DataFrame) -> DataFrame:
     without the statement. A consolidated value isn't compared with a parent company's: SCOPE_CONFLICT. If the field
     exists on the date for another period only: PERIOD_CONFLICT, but not for derived values and metadata.
     """
-    best = F.struct((F.col("scope") == "parent").alias("parent"), F.col("statement_type").alias("st"), F.col("document_id").alias("doc"), F.col("value_num").alias("v"), F.col("unit").alias("u"), F.col("precision_tolerance").alias("tol"))
+    best = F.struct((F.col("scope") == "parent").alias("parent"), F.col("statement_type").alias("st"), F.col("document_id").alias("doc"), F.col("value_num").alias("v"), F.col("unit").alias("u"), F.col("precision_tolerance").alias("tol"), _text_of(official).alias("t"))
     one = official.groupBy(*GRAIN, "period_type", "statement_type").agg(F.min(best).alias("o1"))
     two = official.groupBy(*GRAIN, "period_type").agg(F.min(best).alias("o2"))
     three = official.groupBy(*GRAIN).agg(F.lit(True).alias("other_period"))
@@ -137,7 +160,11 @@ def matched(facts: DataFrame, official: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, official: DataFrame) -> DataFrame:
-    """A status for each row of matched()."""
+    """A status for each row of matched().
+
+    By the method of the field's policy: numbers within their tolerance, dates, sets or texts. Numbers of which one is
+    null are compared as texts. A text that only one side has is MISSING_EASTMONEY or MISSING_OFFICIAL, not a mismatch.
+    """
     loaded = official.select(F.col("security_code").alias("l__c"), F.col("report_date").alias("l__d")).distinct()
     out = pairs.join(loaded, (F.col("security_code") == F.col("l__c")) & (F.col("report_date") == F.col("l__d")), "left")
     a, b = scaled("value_num", "unit"), scaled(F.col("o.v"), F.col("o.u"))
@@ -147,10 +174,24 @@ def compared(pairs: DataFrame, official: DataFrame) -> DataFrame:
     absolute = F.coalesce(F.greatest("absolute", F.col("o.tol")), F.lit(0.0))
     allowed = F.greatest(absolute, F.greatest(F.abs(a), F.abs(b)) * F.coalesce("relative", F.lit(0.0)))
     derived = F.col("mode") == "OFFICIAL_DERIVED"
-    verdict = (
+    method, key = F.col("method"), F.col("field_key")
+    own, other = _text_of(pairs), F.col("o.t")
+    text_a, text_b = comparable_text(own, key), comparable_text(other, key)
+    date_a, date_b = F.coalesce(date_of(own), F.lit("")), F.coalesce(date_of(other), F.lit(""))
+    set_a, set_b = comparable_set(own, key), comparable_set(other, key)
+    same = lambda hit, status: F.when(hit, status).otherwise("MISMATCH")
+    texts = (
+        F.when(method == "date", same((date_a != "") & (date_a == date_b), "TEXT_MATCH_NORMALIZED"))
+        .when(method == "set", same((F.size(set_a) > 0) & (set_a == set_b), "SET_MATCH"))
+        .when((text_a == "") & (b.isNotNull() | (text_b != "")), "MISSING_EASTMONEY").when((text_a != "") & (text_b == "") & b.isNull(), "MISSING_OFFICIAL")
+        .otherwise(same((text_a != "") & (text_a == text_b), "TEXT_MATCH_NORMALIZED"))
+    )
+    by_number = a.isNotNull() & b.isNotNull() & (~method.isin("date", "text", "set") | (derived & (method == "text")))
+    numbers = (
         F.when(units, "UNIT_CONFLICT").when(a == b, F.when(derived, "DERIVED_MATCH").otherwise("EXACT_MATCH"))
         .when(F.abs(a - b) <= allowed, F.when(derived, "DERIVED_MATCH").otherwise("WITHIN_ROUNDING")).otherwise("MISMATCH")
     )
+    verdict = F.when(by_number, numbers).otherwise(texts)
     status = (
         F.when(F.col("mode") == "NOT_IN_PERIODIC_REPORT_SCOPE", "NOT_IN_OFFICIAL_SCOPE")
         .when(F.col("mode") == "EASTMONEY_SOURCE_SPECIFIC", "SOURCE_SPECIFIC")

@@ -62,6 +62,22 @@ def rec11(spark, d):
     return compared(spark, d).select("security_code", "report_date", "field_key", "family", "status")
 
 
+@query("rec10_text_verdicts", """SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS security_code, CASE p_partkey % 9 WHEN 0 THEN 'TEXT_MATCH_NORMALIZED' WHEN 1 THEN 'MISMATCH' WHEN 2 THEN 'MISSING_EASTMONEY' WHEN 3 THEN 'MISSING_OFFICIAL'
+  WHEN 4 THEN 'TEXT_MATCH_NORMALIZED' WHEN 5 THEN 'MISMATCH' WHEN 6 THEN 'SET_MATCH' WHEN 7 THEN 'MISMATCH' ELSE 'MISSING_EASTMONEY' END AS status FROM part""")
+def rec10(spark, d):
+    k, null = F.col("p_partkey") % 9, F.lit(None).cast("string")
+    at = lambda *values: F.element_at(F.array(*values), (k + 1).cast("int"))
+    name, date, both = F.col("p_name"), F.lit("2001-03-31"), F.concat("p_name", F.lit("、"), "p_type")
+    own = at(F.concat(F.upper("p_name"), F.lit("　（A）")), name, F.lit(" "), name, F.lit("2001/3/31"), date, both, both, null)
+    other = at(F.concat("p_name", F.lit("(a)")), F.concat("p_name", F.lit("x")), name, null, date, F.lit("2001-06-30"), F.concat("p_type", F.lit("; "), F.upper("p_name")), name, null)
+    method = F.when(k < 4, "text").when(k < 6, "date").when(k < 8, "set").otherwise("numeric")
+    shared = [F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("security_code"), F.lit("2001-03-31").cast("date").alias("report_date"), F.lit("FIELD").alias("field_key"), F.lit("Q1").alias("period_type"), F.lit("").alias("statement_type"), F.lit("").alias("unit")]
+    part = src.table(spark, d, "part")
+    facts = part.select(*shared, F.lit("BASICINFO").alias("family"), F.lit("OFFICIAL_METADATA").alias("mode"), method.alias("method"), F.lit(0.0).alias("absolute"), F.lit(0.0).alias("relative"), own.alias("value_text"), F.lit(None).cast("double").alias("value_num"))
+    offi = part.select(*shared, F.lit("consolidated").alias("scope"), F.lit("d").alias("document_id"), other.alias("value_text"), F.when(k == 8, 1.5).alias("value_num"), F.lit(0.0).alias("precision_tolerance"))
+    return r.compared(r.matched(facts, offi), offi).select("security_code", "status")
+
+
 @query("agg7_summary", src.sql(OFFICIAL + """SELECT security_code, count(*) AS compared, count(*) FILTER (status <> 'OFFICIAL_PERIOD_NOT_LOADED') AS comparable,
   count(*) FILTER (status IN ('EXACT_MATCH', 'WITHIN_ROUNDING', 'DERIVED_MATCH', 'MISMATCH', 'SCOPE_CONFLICT')) AS attempted, count(*) FILTER (status IN ('EXACT_MATCH', 'WITHIN_ROUNDING', 'DERIVED_MATCH')) AS matched,
   count(*) FILTER (status IN ('MISMATCH', 'SCOPE_CONFLICT')) AS conflicts, count(*) FILTER (status = 'MISSING_OFFICIAL') AS unresolved,

@@ -1,6 +1,6 @@
 """Operators and queries on what their first versions left out."""
 
-from factloom.operators import research
+from factloom.operators import reconcile, research
 from factloom.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,3 +27,17 @@ def test_metadata_and_tags_take_whole_tables(spark):
     assert found.select("document_id").distinct().count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
     texts = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert catalog.queries()["nrm23_all_language_tags"](spark, SMALL).count() == texts.count()
+
+
+def test_texts_dates_and_sets_have_verdicts(spark):
+    rows = [
+        ("NAME", "text", "A  Ｂ（x）", "aＢ(X)", "TEXT_MATCH_NORMALIZED"), ("N2", "text", "a", "b", "MISMATCH"), ("N3", "text", None, "b", "MISSING_EASTMONEY"), ("N4", "text", "a", "  ", "MISSING_OFFICIAL"),
+        ("SECURITY_CODE", "text", "688521.SH", "SH688521", "TEXT_MATCH_NORMALIZED"), ("REPORT_TYPE", "text", "2024年 年报", "2024年度报告", "TEXT_MATCH_NORMALIZED"), ("LIST_DATE", "date", "2024/1/5", "2024-01-05", "TEXT_MATCH_NORMALIZED"),
+        ("MEMBERS", "set", "a、B", "b;A", "SET_MATCH"), ("M2", "set", "a", "a,b", "MISMATCH"),
+    ]
+    facts = spark.createDataFrame([("1", "d", f, "Q1", "", "x", "OFFICIAL_METADATA", m, 0.0, 0.0, None, a, "") for f, m, a, *_ in rows], "security_code string, report_date string, field_key string, period_type string, statement_type string, family string, mode string, method string, absolute double, relative double, value_num double, value_text string, unit string")
+    official = spark.createDataFrame([("1", "d", f, "Q1", "", "consolidated", "doc", None, b, "", 0.0) for f, _, _, b, _ in rows], "security_code string, report_date string, field_key string, period_type string, statement_type string, scope string, document_id string, value_num double, value_text string, unit string, precision_tolerance double")
+    out = reconcile.compared(reconcile.matched(facts, official), official)
+    assert {r.field_key: r.status for r in out.collect()} == {f: s for f, *_, s in rows}
+    whole = reconcile.summary(out).filter("security_code is null").first()
+    assert (whole.matched, whole.conflicts, whole.unresolved) == (5, 2, 2)
