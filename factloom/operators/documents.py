@@ -76,29 +76,69 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
+NUMBER = r"(-?\(\s*\d[\d,]*(?:\.\d+)?\s*\)|-?\d[\d,]*(?:\.\d+)?)"
+# What a unit multiplies by.
+UNITS = {"元": 1.0, "千元": 1e3, "万元": 1e4, "亿元": 1e8, "元/股": 1.0}
+
+
+def _tokens(line: Column) -> Column:
+    """(raw, value) of the amounts of a line, without numbers of notes: one or two digits in brackets."""
+    found = F.regexp_extract_all(F.translate(line, "，（）−", ",()-"), F.lit(NUMBER), F.lit(1))
+    amount = F.filter(found, lambda x: ~x.rlike(r"^\(\s*\d{1,2}\s*\)$"))
+    number = lambda x: F.translate(x, "(), ", "").try_cast("double")
+    value = lambda x: F.when(F.startswith(x, F.lit("(")), -F.abs(number(x))).otherwise(number(x))
+    return F.transform(amount, lambda x: F.struct(x.alias("raw"), value(x).alias("value")))
+
+
 def amounts(line: Column) -> Column:
-    """Amounts of a line as numbers: full-width marks read as half-width, brackets make them negative."""
-    t = F.translate(line, "，（）−", ",()-")
-    found = F.regexp_extract_all(t, F.lit(r"(\(?-?\d[\d,]*(?:\.\d+)?\)?)"), F.lit(1))
-    number = lambda x: F.replace(F.translate(x, "(),", ""), F.lit(","), F.lit("")).try_cast("double")
-    return F.transform(found, lambda x: F.when(F.startswith(x, F.lit("(")) & F.endswith(x, F.lit(")")), -number(x)).otherwise(number(x)))
+    """Amounts of a line as numbers: full-width marks read as half-width, brackets make them negative, notes are left out."""
+    return F.transform(_tokens(line), lambda x: x["value"])
+
+
+def chosen(line: Column) -> Column:
+    """(raw, value) of the first amount of a line that looks like one (100 or more, a mark or a bracket), else of its first."""
+    tokens = _tokens(line)
+    likely = F.filter(tokens, lambda x: (F.abs(x["value"]) >= 100) | x["raw"].rlike("[,.(]"))
+    return F.coalesce(F.get(likely, 0), F.get(tokens, 0))
+
+
+def page_unit(text: Column) -> Column:
+    """The unit that a page states for its amounts; null if none."""
+    found = F.regexp_extract(F.regexp_replace(text, r"[\s\u00a0\u3000]+", ""), r"(?:单位[：:]?|金额单位(?:为|[：:]))(?:人民币)?(亿元|万元|千元|元)", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def row_unit(row: Column) -> Column:
+    """The unit that a row states, 元/股 first; null if none."""
+    t = F.regexp_replace(row, r"[\s\u00a0\u3000]+", "")
+    own = F.nullif(F.regexp_extract(t, r"[（(](?:人民币)?(亿元|万元|千元|元)[）)]", 1), F.lit(""))
+    return F.when(t.rlike(r"[（(](?:人民币)?元[/／]股[）)]"), "元/股").otherwise(F.coalesce(page_unit(row), own))
 
 
-def extracted(texts: DataFrame, targets: DataFrame, width: int = 2) -> DataFrame:
-    """Values of labelled lines: (document_id, field_key, value), the best line for each.
+def extracted(texts: DataFrame, targets: DataFrame, width: int = 3, summary_width: int = 6) -> DataFrame:
+    """Values of labelled lines: (document_id, field_key, value, unit, tolerance), the best line for each.
 
-    Windows of one to `width` lines start at each line; one that begins with a target's label and holds an amount
-    counts. Shorter windows and earlier lines win.
+    Windows of one to `width` lines that aren't blank start at each line, of up to `summary_width` for targets that a
+    column `summary` marks; one that begins with a target's label and holds an amount counts. Shorter windows and
+    earlier lines win. The value is scaled by the unit of the row, else of the page; the tolerance is half its last digit.
     """
-    lines = texts.select("document_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    if "summary" not in targets.columns:
+        targets = targets.withColumn("summary", F.lit(False))
+    most = max(width, summary_width)
+    trimmed = F.trim(F.regexp_replace(F.col("line"), r"[\s\u00a0\u3000]+", " "))
+    lines = texts.select("document_id", page_unit(F.col("text")).alias("page_unit"), F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line")).withColumn("line", trimmed).filter("line != ''")
     order = Window.partitionBy("document_id").orderBy("line_no")
-    ahead = lines.withColumns({f"d__{k}": F.lead("line", k).over(order) for k in range(1, width)})
+    ahead = lines.withColumns({f"d__{k}": F.lead("line", k).over(order) for k in range(1, most)})
     upto = lambda k: F.concat_ws(" ", "line", *[f"d__{j}" for j in range(1, k + 1)])
-    windows = [F.struct(F.lit(k + 1).alias("size"), upto(k).alias("text")) for k in range(width)]
-    rows = ahead.select("document_id", "line_no", F.explode(F.array(*windows)).alias("w")).select("document_id", "line_no", "w.*")
-    hit = F.startswith(F.lower("text"), F.lower("label"))
+    windows = [F.struct(F.lit(k + 1).alias("size"), upto(k).alias("text")) for k in range(most)]
+    rows = ahead.select("document_id", "page_unit", "line_no", F.explode(F.array(*windows)).alias("w")).select("document_id", "page_unit", "line_no", "w.*")
+    hit = F.startswith(F.lower("text"), F.lower("label")) & (F.col("size") <= F.when(F.col("summary"), summary_width).otherwise(width))
     matched = rows.join(F.broadcast(targets), hit)  # a fixed list of labels
-    value = F.get(amounts(F.substr("text", F.length("label") + 1)), 0)
-    scored = matched.withColumn("value", value).filter("value is not null")
-    best = F.struct(F.col("size"), F.col("line_no"), F.col("value"))
-    return scored.groupBy("document_id", "field_key").agg(F.min(best).alias("b")).select("document_id", "field_key", "b.value")
+    found = matched.withColumn("a", chosen(F.substr("text", F.length("label") + 1))).filter("a.value is not null")
+    unit = F.coalesce(row_unit(F.col("text")), F.col("page_unit"), F.lit("元"))
+    best = F.struct(F.col("size"), F.col("line_no"), F.col("a.value").alias("value"), F.col("a.raw").alias("raw"), unit.alias("unit"))
+    out = found.groupBy("document_id", "field_key").agg(F.min(best).alias("b")).select("document_id", "field_key", "b.*")
+    scale = F.element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), F.col("unit"))
+    half = F.lit(0.5) * F.pow(F.lit(10.0), -F.length(F.regexp_extract("raw", r"\.(\d+)", 1)))
+    tolerance = F.when(F.col("unit") == "元/股", F.greatest(F.lit(1e-9), half)).otherwise(F.greatest(F.lit(1.0), scale * half))
+    return out.select("document_id", "field_key", (F.col("value") * scale).alias("value"), "unit", tolerance.alias("tolerance"))

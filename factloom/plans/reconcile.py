@@ -261,5 +261,8 @@ def doc10(spark, d):
 @query("doc9_extracted", """SELECT CAST(o_custkey AS VARCHAR) AS document_id, 'TOTAL' AS field_key, CAST(CAST(arg_min(o_totalprice, o_orderkey) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM orders GROUP BY 1""")
 def doc9(spark, d):
     rows = src.table(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_totalprice", "o_orderkey").alias("v"))
-    text = F.concat_ws("\n", F.lit("Report 2001"), F.lit("Grand total"), F.concat(F.format_number("v", 2), F.lit("  7")), F.lit("Other 5"))
-    return doc.extracted(rows.select(F.col("o_custkey").cast("string").alias("document_id"), text.alias("text")), spark.createDataFrame([("grand total", "TOTAL")], "label string, field_key string"))
+    k, v = F.col("o_custkey") % 3, F.format_number("v", 2)
+    label = F.when(k == 0, "Grand total").when(k == 1, "Grand total (7)\n").otherwise("Grand total\nof all orders（12）\n \n")
+    text = F.concat_ws("\n", F.lit("Report 2001"), label, F.concat(v, F.lit("  7")), F.lit("Other 5"))
+    found = doc.extracted(rows.select(F.col("o_custkey").cast("string").alias("document_id"), text.alias("text")), spark.createDataFrame([("grand total", "TOTAL")], "label string, field_key string"))
+    return found.select("document_id", "field_key", "value")
