@@ -238,9 +238,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def kept_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, the one with the smallest id; rows without id stay."""
-    marked = deduplicated(docs)
-    first = marked.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    once = docs.join(first, "doc_id", "left_semi").withColumn("kept__rank", F.row_number().over(order))
-    return once.filter("kept__rank = 1").drop("kept__rank").unionByName(docs.filter(F.col("doc_id").isNull()))
+    """docs with one row of each component: the one with the smallest id, a null id last.
+
+    Nodes are fingerprints and rows are known by id and text, so that rows with one id and unrelated texts are told apart.
+    """
+    key = {"kept__id": F.col("doc_id").cast("long"), "kept__text": F.xxhash64(F.col("text").cast("string"))}
+    rows = docs.select(key["kept__id"].alias("kept__id"), key["kept__text"].alias("kept__text"), F.col("text").cast("string").alias("text"))
+    marked = checkpointed(rows.mapInArrow(_fingerprints(["kept__id", "kept__text"]), "kept__id long, kept__text long, fingerprint long"))
+    nodes = checkpointed(marked.select(F.col("fingerprint").alias("node"), "fingerprint").distinct())
+    found = components(links(nodes)).withColumnRenamed("node", "fingerprint")
+    in_component = marked.join(found, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    first = in_component.groupBy("component").agg(F.min(F.struct(F.col("kept__id").isNull().alias("none"), "kept__id", "kept__text")).alias("k"))
+    first = first.select(F.col("k.kept__id").alias("first__id"), F.col("k.kept__text").alias("first__text"))
+    keyed = docs.withColumns(key)
+    once = keyed.join(first, F.col("kept__id").eqNullSafe(F.col("first__id")) & (F.col("kept__text") == F.col("first__text")), "left_semi")
+    order = Window.partitionBy("kept__id", "kept__text").orderBy(F.col("text").asc_nulls_last())
+    return once.withColumn("kept__rank", F.row_number().over(order)).filter("kept__rank = 1").drop("kept__rank", *key)

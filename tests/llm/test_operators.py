@@ -102,6 +102,13 @@ def test_simhash(docs, nothing):
     assert sorted(kept) == sorted({r.component_id for r in found if r.doc_id is not None})
 
 
+def test_kept_one_tells_rows_of_one_id_apart(spark):
+    a, b, c, d = (prose(EN, 90, 500 + k) for k in range(4))
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, c), (None, c), (None, a), (4, d), (4, d), (5, None), (None, "")]
+    kept = simhash.kept_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, a), (1, b), (None, c), (4, d), (5, None)], key=repr)
+
+
 @pytest.mark.parametrize("chunk", [4096, 5])
 def test_simhash_links_of_dense_groups(spark, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
