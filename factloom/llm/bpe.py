@@ -7,8 +7,12 @@ composed side by side, chained, and then replayed side by side from their now kn
 boundaries are looked up in a bounded cache, and those that miss are merged together with
 numpy, one merge per slice and round.
 
-Nulls encode as empty texts. Empty texts have no ids. Long texts are cut at single spaces between other
-characters, where a token always begins, so memory is bounded by the slice and not by the text.
+Nulls encode as empty texts. Empty texts have no ids. Long texts are cut where a token begins whatever stands before: at
+white space after anything else, and after the last of a run of letters or of digits. So memory is bounded by the slice,
+or by the longest such run if that is longer, as a run is one token of the tokeniser and can't be merged in parts.
+
+A vocabulary file's added tokens (`<|endoftext|>`) are found in the text first, as its library does; what stands between
+them is encoded as texts of their own.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -101,10 +106,8 @@ def _states_before(symbols: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def boundaries(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Offsets in data, UTF-8 of several texts, where a token begins; at: where the texts begin."""
-    if not len(data):
-        return np.zeros(0, np.int64)
+def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the code points of UTF-8 begin, and their numbers."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     code = data[lead].astype(np.int32)
     if len(lead) < len(data):
@@ -116,6 +119,14 @@ def boundaries(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             for k in range(1, more + 1):
                 value = value << 6 | room[lead[some] + k] & 0x3F
             code[some] = value
+    return lead, code
+
+
+def boundaries(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Offsets in data, UTF-8 of several texts, where a token begins; at: where the texts begin."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    lead, code = _code_points(data)
     symbol = _classes()[code]
     begins = np.zeros(len(lead) + 1, bool)
     begins[np.searchsorted(lead, at)] = True
@@ -142,9 +153,10 @@ def boundaries(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Ids of byte strings, and for pairs of ids the order in which they merge and the id that they make."""
 
-    def __init__(self, ids: dict[bytes, int], pairs: dict[tuple[int, int], tuple[int, int]], whole: bool):
-        self.ids, self.whole = ids, whole
-        self.bytes = {i: b for b, i in ids.items()}
+    def __init__(self, ids: dict[bytes, int], pairs: dict[tuple[int, int], tuple[int, int]], whole: bool, added: dict[bytes, int] | None = None):
+        self.ids, self.whole, self.added = ids, whole, added or {}
+        self.pattern = re.compile(b"|".join(re.escape(w) for w in sorted(self.added, key=len, reverse=True))) if self.added else None
+        self.bytes = {i: b for b, i in (ids | self.added).items()}
         self.byte = np.array([ids[bytes([b])] for b in range(256)], np.int64)
         self.pairs = pairs
         keys = np.array([a << 20 | b for a, b in pairs], np.int64)
@@ -179,7 +191,9 @@ class Vocabulary:
         out: list[bytes] = [b""] * len(pieces)
         short = []
         for k, p in enumerate(pieces):
-            if self.whole and p in self.ids:
+            if p in self.added:
+                out[k] = self.added[p].to_bytes(4, "little")
+            elif self.whole and p in self.ids:
                 out[k] = self.ids[p].to_bytes(4, "little")
             elif len(p) > LONG:
                 out[k] = np.array(self.merged_long(p), "<u4").tobytes()
@@ -259,7 +273,10 @@ def rank_file(path: str) -> Vocabulary:
 def merge_file(path: str) -> Vocabulary:
     """A JSON file with a vocabulary and a list of merges, bytes written as printable characters."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        content = json.load(f)
+    model, added = content["model"], content.get("added_tokens") or []
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"added tokens that take in white space or need word ends aren't supported: {path}")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
     known = {w: bytes(byte[c] for c in w) for w in model["vocab"] if all(c in byte for c in w)}
@@ -268,33 +285,55 @@ def merge_file(path: str) -> Vocabulary:
     for rank, merge in enumerate(model["merges"]):
         a, b = merge.split(" ") if isinstance(merge, str) else merge
         pairs[model["vocab"][a], model["vocab"][b]] = rank, model["vocab"][a + b]
-    return Vocabulary(ids, pairs, False)
-
-
-def cuts(data: np.ndarray, start: int, stop: int) -> list[int]:
-    """Offsets that cut one text into parts of about SLICE bytes, each before a single space where a token begins."""
+    return Vocabulary(ids, pairs, False, {t["content"].encode(): t["id"] for t in added})
+
+
+def _next_cut(data: np.ndarray, low: int, stop: int) -> int:
+    """The first offset from low on where a token begins whatever stands before it, or stop."""
+    size = 4096
+    while low < stop:
+        a, b = low - 1, min(low + size, stop)
+        while data[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < stop and data[b] & 0xC0 == 0x80:
+            b += 1
+        lead, code = _code_points(data[a:b])
+        kind = _classes()[code]
+        run_ends = (kind[1:] != kind[:-1]) & ((kind[:-1] == LETTER) | (kind[:-1] == NUMBER) | (kind[1:] == RUN))
+        ok = np.flatnonzero(run_ends)
+        if len(ok):
+            return a + int(lead[ok[0] + 1])
+        low, size = b, min(2 * size, SLICE)
+    return stop
+
+
+def cuts(data: np.ndarray, start: int, stop: int, marks: np.ndarray | None = None) -> list[int]:
+    """Offsets that cut one text into parts of about SLICE bytes, none of them inside marks, rows of begin and end."""
     at = [start]
     while stop - at[-1] > SLICE:
-        low, found = at[-1] + SLICE, None
-        while found is None and low < stop - 1:
-            part = data[low - 1 : min(low + SLICE, stop)]
-            # only printable ASCII counts as a neighbour: other bytes may be white space of several bytes
-            solid = (part > 32) & (part < 127)
-            ok = np.flatnonzero((part[1:-1] == 32) & solid[:-2] & solid[2:])
-            if len(ok):
-                found = low + int(ok[0])
-            low += SLICE
-        if found is None:
+        found = _next_cut(data, at[-1] + SLICE, stop)
+        if marks is not None and len(marks) and (k := int(np.searchsorted(marks[:, 0], found)) - 1) >= 0:
+            found = max(found, int(marks[k, 1]))
+        if found >= stop:
             break
         at.append(found)
     return [*at, stop]
 
 
+def _marks(data: np.ndarray, at: np.ndarray, pattern: re.Pattern | None) -> np.ndarray:
+    """Begin and end of each added token in the texts between the offsets at."""
+    if pattern is None or not pattern.search(memoryview(data)[int(at[0]) : int(at[-1])]):
+        return np.zeros((0, 2), np.int64)
+    found = [(int(a) + m.start(), int(a) + m.end()) for a, b in zip(at, at[1:]) for m in pattern.finditer(memoryview(data)[int(a) : int(b)])]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
 def encoded(batch: pa.RecordBatch, column: str, vocabulary: Vocabulary) -> Iterator[tuple[int, np.ndarray]]:
     """Row and ids of parts of the texts of a batch, in order; a long text has several parts, an empty one has one."""
     data, at = utf8(batch.column(column))
+    marks = _marks(data, at, vocabulary.pattern)
     if batch.num_rows == 1:
-        parts = cuts(data, int(at[0]), int(at[1]))
+        parts = cuts(data, int(at[0]), int(at[1]), marks)
         spans = [(np.array([0]), np.array([a, b])) for a, b in zip(parts, parts[1:])]
     else:
         spans = [(np.arange(batch.num_rows), at)]
@@ -302,7 +341,14 @@ def encoded(batch: pa.RecordBatch, column: str, vocabulary: Vocabulary) -> Itera
         low, high = int(edges[0]), int(edges[-1])
         part = data[low:high]
         full = edges[:-1][edges[1:] > edges[:-1]] - low
+        own = marks[(marks[:, 0] >= low) & (marks[:, 1] <= high)] - low
+        if len(own):
+            full = np.unique(np.concatenate([full, own.ravel()]))
+            full = full[full < high - low]
         begin = boundaries(part, full)
+        if len(own):
+            before = np.searchsorted(own[:, 0], begin) - 1
+            begin = begin[(before < 0) | (begin >= own[before, 1])]
         # slices as an Arrow column over the same bytes: equal ones are found by Arrow's hash table
         ends = np.append(begin, high - low).astype(np.int32)
         slices_ = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(part))])

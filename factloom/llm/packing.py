@@ -1,6 +1,6 @@
 """Sequence packing: shortest-pack-first over the histogram of lengths.
 
-Documents become ids (plus one that ends each), are cut into whole sequences and one shorter rest, and only the
+Documents become ids (plus one that ends each; added tokens of the vocabulary are recognised as its library does), are cut into whole sequences and one shorter rest, and only the
 histogram of rests, at most `width` lengths, comes to the driver. There the lengths are placed longest first: as
 many as fit into packs that are still open, the shortest packs first, the others open new packs. A pack stands for
 any number of equal sequences, so the plan is small for any number of documents. It is joined back by length and
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe
-from factloom.llm.common import checkpointed, numbered, slices
+from factloom.llm.common import checkpointed, numbered, slices, small
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -91,8 +91,8 @@ def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[tup
     return [(pack, count) for filled in sorted(open_) for pack, count in sorted(open_[filled].items()) if count]
 
 
-def plan(spark: SparkSession, histogram: dict[int, int], width: int, first: int = 0) -> DataFrame:
-    """Which ranks of a length go to which sequences: (length, low, high, first_sequence, offset), sequences from `first`."""
+def plan(spark: SparkSession, histogram: dict[int, int], width: int, first: int = 0) -> tuple[DataFrame, int]:
+    """Which ranks of a length go to which sequences: (length, low, high, first_sequence, offset), sequences from `first`; and how many rows."""
     rows, used = [], defaultdict(int)
     for pack, count in shortest_pack_first(histogram, width):
         offset = 0
@@ -101,7 +101,7 @@ def plan(spark: SparkSession, histogram: dict[int, int], width: int, first: int
             used[length] += count
             offset += length
         first += count
-    return spark.createDataFrame(rows, "plan_length long, low long, high long, first_sequence long, offset long")
+    return spark.createDataFrame(rows, "plan_length long, low long, high long, first_sequence long, offset long"), len(rows)
 
 
 def packed(cut: DataFrame, width: int = 2048) -> DataFrame:
@@ -113,11 +113,11 @@ def packed(cut: DataFrame, width: int = 2048) -> DataFrame:
     full = numbered(cut.filter(F.col("length") == width), [], ["doc_id", "start"], "sequence_id").withColumn("offset", F.lit(0).cast("long"))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = histogram.pop(width, 0)
-    places = plan(spark, histogram, width, whole)
     # the plan has a few rows for each of fewer than `width` lengths, whatever the number of documents
+    places, rows = plan(spark, histogram, width, whole)
     ranked = numbered(cut.filter(F.col("length") < width), ["length"], ["doc_id", "start"], "rank")
     rest = ranked.join(
-        F.broadcast(places),
+        small(places, rows),
         (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")),
     ).withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("low"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
