@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +14,9 @@ from pyspark.sql.window import Window
 
 #: White space that separates words in every contract here.
 SPACE = r"\x20\x09-\x0D"
+#: Rows of a few short columns that are broadcast at most; rows in a bucket of numbered(), about.
+SMALL = 100_000
+BUCKET = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests on one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own, on a single machine only."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoint-"))
-        there = spark.sparkContext.getCheckpointDir()
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(there)
-    return there
+    if not there and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(there or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+    return there or spark.sparkContext.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -41,13 +44,19 @@ def fold(column: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(parts))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], into: str, buckets: int = 64) -> DataFrame:
-    """df with a gapless number from 0 within keys, in column `into`.
+def small(df: DataFrame, rows: int, most: int = SMALL) -> DataFrame:
+    """df, marked for a broadcast if its known number of rows is at most `most`; else Spark picks the join."""
+    return F.broadcast(df) if rows <= most else df
 
-    Rows of a key are spread over `buckets` by a hash of `order`, numbered within their bucket, and moved on by
-    what the buckets before hold. So a key with a third of all rows is shared by many tasks; only the counts,
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], into: str) -> DataFrame:
+    """df with a gapless number from 0 within keys, in column `into`; df is read three times, so keep it first.
+
+    Rows of a key are spread over buckets of about `BUCKET` rows by a hash of `order`, numbered within their bucket, and
+    moved on by what the buckets before hold. So a key with a third of all rows is shared by many tasks; only the counts,
     one a key and bucket, meet. Rows that are equal in `order` get their numbers in any order.
     """
+    buckets = max(1, -(-df.count() // BUCKET))
     b, n, base = f"{into}__bucket", f"{into}__n", f"{into}__base"
     dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(n))

@@ -1,13 +1,13 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
 Groups are rows of equal texts (all null texts are one group). They are taken by size, largest first; each enters the
-shard with the least remaining capacity that still holds it, found in a balanced tree. Only what the plan needs comes
-to the driver: the groups over a set share of a shard, whose number that share bounds, and for all smaller ones a
-count and a sum for each of a bounded number of size classes, 64 to a doubling. A class is placed in bulk, which is
-what best fit does with equal sizes: the tightest shard stays the tightest until it is full. Groups find their shard
-by class and rank.
+shard with the least remaining capacity that still holds it, found in a balanced tree. What comes to the driver is the
+histogram of exact group sizes: different sizes of a total of T bytes are fewer than the square root of 2 T, for a
+hundred terabytes 14 million at the very most. Groups of one size are placed in bulk, which is what best fit does with
+them: the tightest shard stays the tightest until it is full. Groups find their shard by size and rank.
 
-A group larger than an even share can't be divided and gets a shard of its own; the rest is spread evenly over the
+With a capacity, no shard holds more than it, but for one that holds a single group larger than the capacity. Without
+one, a group larger than an even share can't be divided and gets a shard of its own; the rest is spread evenly over the
 other shards. A size is the UTF-8 bytes of the text, none for null, plus 16. Repeated rows are rows of their own; ties
 among groups go by digest. Empty tables give no rows. Only the id and the text are read.
 """
@@ -15,16 +15,15 @@ among groups go by digest. Empty tables give no rows. Only the id and the text a
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, numbered
+from factloom.llm.common import checkpointed, numbered, small
 
 OVERHEAD = 16
-#: Groups of at least this share of an even shard are placed one by one: at most FINE * shards of them.
-FINE = 256
+#: Groups with more than one in so many rows are joined to them apart from the others; fewer than so many can be.
+HOT = 1000
 
 
 class Tree:
@@ -142,28 +141,24 @@ def sharded(docs: DataFrame, shards: int = 40, capacity: int | None = None) -> D
     """Rows with shard and a slot in it; with a capacity, as few shards as best fit needs, else `shards` even ones."""
     spark = docs.sparkSession
     rows = checkpointed(sized(docs))
-    groups = checkpointed(rows.groupBy("digest").agg(F.sum("size").alias("bytes")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    floor = max(1, (capacity or -(-total // shards)) // FINE)
-    step = F.floor(F.log2(F.col("bytes").cast("double")) * 64).cast("int")
-    # groups from `floor` on are classes of their own; there are at most FINE of them for each shard
-    classed = groups.withColumn("class", F.when(F.col("bytes") < floor, step))
-    large = [(r["bytes"], 1, r["digest"], None) for r in classed.filter(F.col("class").isNull()).orderBy("digest").toLocalIterator()]
-    small = classed.filter(F.col("class").isNotNull()).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).collect()
-    items = sorted([*large, *((r["b"] / r["n"], r["n"], None, r["class"]) for r in small)], key=lambda x: (-x[0], x[2] or b"", x[3] or 0))
-    places, _ = best_fit([(s, n) for s, n, _, _ in items], shards, capacity)
-    own = [(bytes(d), p[0][0]) for (_, _, d, _), p in zip(items, places) if d is not None]
-    ranges, low = [], defaultdict(int)
-    for (_, _, d, c), place in zip(items, places):
-        for shard, n in place if d is None else []:
-            ranges.append((c, low[c], low[c] + n, shard))
-            low[c] += n
-    ranks = numbered(classed.filter(F.col("class").isNotNull()).select("digest", "class"), ["class"], ["digest"], "rank")
-    spans = spark.createDataFrame(ranges, "of int, low long, high long, shard int")
-    # as many spans as classes and shards at most, about
-    by_class = ranks.join(F.broadcast(spans), (F.col("class") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    placed = by_class.select("digest", "shard").unionByName(spark.createDataFrame(own, "digest binary, shard int"))
-    return numbered(rows.join(placed, "digest").drop("digest"), ["shard"], ["doc_id"], "slot")
+    groups = checkpointed(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    items = sorted(((r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    places, _ = best_fit(items, shards, capacity)
+    ranges = []
+    for (size, _), place in zip(items, places):
+        low = 0
+        for shard, n in place:
+            ranges.append((size, low, low + n, shard))
+            low += n
+    ranks = numbered(groups, ["bytes"], ["digest"], "rank")
+    spans = small(spark.createDataFrame(ranges, "of long, low long, high long, shard int"), len(ranges))
+    on = (F.col("bytes") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    placed = checkpointed(ranks.join(spans, on).select("digest", "n", "shard"))
+    # each of the other groups is less than one in HOT of the rows of a shuffled join
+    hot = placed.filter(F.col("n") * HOT > F.lit(rows.count())).drop("n")
+    cold = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(placed.drop("n"), "digest")
+    found = rows.join(F.broadcast(hot), "digest").unionByName(cold)
+    return numbered(checkpointed(found.drop("digest")), ["shard"], ["doc_id"], "slot")
 
 
 def by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
