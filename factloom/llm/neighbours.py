@@ -1,20 +1,22 @@
 """Nearest neighbours with a vantage-point tree per shard.
 
-Vectors are dealt into shards of at most about `SHARD` rows, each with a tree of vantage points; queries come in
-blocks, and every block searches every shard, a bounded piece of work that any task can do. A branch is passed over
-when the triangle inequality's bound on its distances, times `factor`, is above the k-th distance found so far:
-factor 1 is exact, larger ones prune more. Distances are double precision, on the original vectors. The best k of
-each shard meet in one row number per query.
-
-Vectors that are null, zero or hold null or non-finite components take no part, nor do repeated rows of one id beyond
-the first. Vectors of another length than a query's are not its candidates. Ties go to the smaller id. With fewer
-candidates than k, all are returned; empty tables give no rows.
+Vectors are dealt into shards of about `SHARD` rows, and each goes once to its shard's task, which builds one tree of
+vantage points. The queries, sorted behind the shard's vectors, stream through the tree in blocks, so a task holds one
+shard and one block, however many queries there are. A branch is passed over when the triangle inequality's bound on its
+distances, times `factor`, is above the k-th distance found so far: factor 1 is exact, larger ones prune more. Distances
+are double precision, on the original vectors. The best k of each shard meet in one row number per query. That every
+query visits every shard is what exactness asks for; the tree keeps most of a shard's rows from being looked at only
+where the vectors have fewer dimensions than these, so a search costs queries times vectors in the worst case.
+
+Vectors that are null, zero or hold null or non-finite components take no part. Of rows with one id the one with the
+least vector counts. Vectors of another length than a query's are not its candidates. Ties go to the smaller id. With
+fewer candidates than k, all are returned; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,6 +73,9 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k:
     def look(which: np.ndarray, rows: np.ndarray) -> None:
         d = distances(queries[which], tree.x[rows])
         d[own[which, None] == ids[rows][None, :]] = np.inf
+        # only queries that find something as near as their k-th best so far are sorted
+        some = np.flatnonzero((d <= best[which, -1:]).any(axis=1))
+        which, d = which[some], d[some]
         d = np.concatenate([best[which], d], axis=1)
         i = np.concatenate([name[which], np.broadcast_to(ids[rows], (len(which), len(rows)))], axis=1)
         i = np.where(np.isinf(d), np.iinfo(np.int64).max, i)
@@ -123,32 +128,49 @@ def usable(column: str) -> Column:
     return x.isNotNull() & finite & F.exists(x, lambda v: v != 0)
 
 
+def _planted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[Tree, np.ndarray] | None:
+    """The tree over a shard's vectors, sorted by id, and their ids; of rows with one id the first."""
+    if not held:
+        return None
+    ids = np.concatenate([i for i, _ in held])
+    once = np.append(True, ids[1:] != ids[:-1])
+    return Tree(np.concatenate([x for _, x in held])[once]), ids[once]
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, factor: float = 1.0, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest of each row that `queries`, a predicate on vec_id, picks."""
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = checkpointed(rows.filter(usable("v") & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"]))
-    asked = rows.filter(queries)
+    rows = rows.filter(usable("v") & F.col("vec_id").isNotNull())
+    asked = checkpointed(rows.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")))
     shards = max(1, -(-rows.count() // SHARD))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    dealt = rows.select(
-        F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v",
-    )
-    sent = asked.select(
-        F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v",
-    )
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        left, right = left.sort_values("vec_id"), right.sort_values("vec_id")
-        own = right["vec_id"].to_numpy()
-        best, name = search(Tree(np.stack(left["v"].to_numpy())), left["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), own, k, factor)
-        found = np.isfinite(best)
-        return pd.DataFrame({"query_id": np.repeat(own, found.sum(1)), "vec_id": name[found], "score": best[found]})
-
-    keys = ["dim", "shard", "block"]
-    found = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kept = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("part"), "vec_id", "v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("part"), "vec_id", "v")
+    dealt = kept.unionByName(sent).select(F.size("v").alias("dim"), "shard", "part", "vec_id", "v")
+    order = ["dim", "shard", "part", "vec_id", "v"]
+
+    def run(batches):
+        key, trees = None, None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("dim", "shard", "part")]
+            ids, v = batch.column("vec_id").to_numpy(), batch.column("v")
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), len(ids)]):
+                dim, shard, part = (int(c[a]) for c in columns)
+                if (dim, shard) != key:
+                    key, held, trees = (dim, shard), [], None
+                x = v.slice(a, b - a).flatten().to_numpy().reshape(b - a, dim)
+                if not part:
+                    held.append((ids[a:b], x))
+                    continue
+                if trees is None:
+                    trees, held = _planted(held), []
+                for q in range(0, b - a if trees else 0, BLOCK):
+                    own = ids[a:b][q : q + BLOCK]
+                    best, name = search(*trees, x[q : q + BLOCK], own, k, factor)
+                    found = np.isfinite(best)
+                    yield pa.record_batch([np.repeat(own, found.sum(1)), name[found], best[found]], names=["query_id", "vec_id", "score"])
+
+    found = dealt.repartition(*order[:2]).sortWithinPartitions(*order).mapInArrow(run, "query_id long, vec_id long, score double")
+    ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
