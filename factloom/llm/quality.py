@@ -4,8 +4,11 @@ Each document gets counts (words, symbols, repeated lines and windows) and four
 The ratios' distribution in each language and source is kept as a mergeable quantile sketch: a histogram whose
 buckets are exact up to 63 and 1/32 wide relative to the value above. Sketches merge by adding counts, in any order
 and with the same result, so a lost task changes nothing, and a source with few documents takes the merged sketch of
-its language, a rare language that of all. Fences from the sketch's quartiles replace fixed cutoffs, and documents
-are filtered by a join with them.
+its language, a rare language that of all. Fences replace fixed cutoffs: a ratio may lie above the sketch's 90th
+percentile by WIDE times what lies between that and the median; where these are equal, as with counts that most
+documents have none of, the fence is a percentile itself: the 90th of symbols, the 99th of the others, so at most that
+share of a group's documents is above it.
+Mean word length has such a fence below as well. Documents are filtered by a join with the fences.
 
 A null text has no words. Null languages and sources are groups of their own. Texts under three words have no
 window. Ratios without a denominator are 0. Repeated rows are judged each for itself. Extra columns stay unread.
@@ -17,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.common import SPACE, checkpointed
+from factloom.llm.common import SPACE, checkpointed, small
 
 #: Documents below which a sketch is merged into the next wider one.
 FEW = 200
-#: By how many spreads a ratio may be above the third quartile, and the least spread of each.
-SPREADS = 3
-LEAST = {"symbols": 200, "lines": 1000, "repeats": 1000, "length": 150}
+#: How many times the distance from the median to the 90th (10th) percentile a ratio may lie beyond it.
+WIDE = 6
+RATIOS = ["symbols", "lines", "repeats", "length"]
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -72,9 +75,6 @@ def _ratio(above: str, below: str, scale: int = 10_000) -> Column:
     return F.when(F.col(below) > 0, F.floor(F.col(above) * scale / F.col(below))).otherwise(0).cast("long")
 
 
-RATIOS = list(LEAST)
-
-
 def ratios() -> dict[str, Column]:
     return {
         "symbols": _ratio("n_symbols", "word_chars"),
@@ -109,11 +109,10 @@ def _fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
     group = Window.partitionBy(*keys, "ratio")
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.select(*keys, "ratio", "bucket", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("all"))
-    quartile = lambda q: value_of(F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("bucket"))))
-    q = ranked.groupBy(*keys, "ratio").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("all").alias("seen"))
-    least = F.element_at(F.create_map(*[x for k, v in LEAST.items() for x in (F.lit(k), F.lit(v))]), F.col("ratio"))
-    spread = SPREADS * F.greatest(F.col("q3") - F.col("q1"), least)
-    wide = q.select(*keys, "ratio", "seen", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
+    percentile = lambda p: value_of(F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bucket"))))
+    q = ranked.groupBy(*keys, "ratio").agg(*[percentile(p).alias(f"p{p}") for p in (10, 50, 90, 99)], F.max("all").alias("seen"))
+    high = F.when(F.col("p90") > F.col("p50"), F.col("p90") + WIDE * (F.col("p90") - F.col("p50"))).when(F.col("ratio") == "symbols", F.col("p90")).otherwise(F.col("p99"))
+    wide = q.select(*keys, "ratio", "seen", (F.col("p10") - WIDE * (F.col("p50") - F.col("p10"))).alias("low"), high.alias("high"))
     pick = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{name}_{k}_{c}")
     return wide.groupBy(*keys).agg(F.max("seen").alias(f"{name}_seen"), *[pick(k, c) for k in RATIOS for c in ("low", "high")])
 
@@ -123,7 +122,7 @@ def fences(rows: DataFrame) -> DataFrame:
     sketch = checkpointed(sketches(rows))
     by_source, by_lang, every = _fences(sketch, ["lang", "source"], "s"), _fences(sketch, ["lang"], "l"), _fences(sketch, [], "a")
     langs = by_lang.withColumnRenamed("lang", "lang__l")
-    joined = by_source.join(langs, F.col("lang").eqNullSafe(F.col("lang__l"))).crossJoin(F.broadcast(every))  # one row
+    joined = by_source.join(langs, F.col("lang").eqNullSafe(F.col("lang__l"))).crossJoin(F.broadcast(every))  # every is one row
     pick = lambda k, c: F.when(F.col("s_seen") >= FEW, F.col(f"s_{k}_{c}")).when(F.col("l_seen") >= FEW, F.col(f"l_{k}_{c}")).otherwise(F.col(f"a_{k}_{c}"))
     return joined.select("lang", "source", *[pick(k, c).alias(f"{k}_{c}") for k in RATIOS for c in ("low", "high")])
 
@@ -131,6 +130,8 @@ def fences(rows: DataFrame) -> DataFrame:
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """rows (counted, with lang and source) and kept: they pass the base rules and every ratio lies within its fences."""
     limits = checkpointed(limits).withColumnsRenamed({"lang": "lang__f", "source": "source__f"})
+    # a row for each language and source: where these are few, the documents stay where they are
+    limits = small(limits, limits.count())
     on = F.col("lang").eqNullSafe(F.col("lang__f")) & F.col("source").eqNullSafe(F.col("source__f"))
     within = F.lit(True)
     for k, v in ratios().items():
@@ -150,7 +151,8 @@ def passed(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The documents that are kept, with the given columns.
 
     Counts and documents are kept in the shared folder together, so they are counted once and the final filter, which
-    would otherwise be pushed below the counts and repeat them, stays above; no text is shuffled.
+    would otherwise be pushed below the counts and repeat them, stays above. Texts are shuffled only where there are more
+    languages and sources than common.SMALL.
     """
     rows = docs.select(*columns)
     marked = checkpointed(counted(rows.withColumn("q__text", F.col("text")), "q__text"))

@@ -96,14 +96,14 @@ def _fences_sql(name: str, keys: str) -> str:
     return f"""
 m_{name} AS (SELECT {keys} ratio, bucket, sum(n) AS n FROM sketch GROUP BY {keys} ratio, bucket),
 u_{name} AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} ratio) AS seen FROM m_{name}),
-b_{name} AS (SELECT {keys} ratio, min(bucket) FILTER (4 * upto >= seen) AS b1, min(bucket) FILTER (4 * upto >= 3 * seen) AS b3, max(seen) AS seen FROM u_{name} GROUP BY {keys} ratio),
-v_{name} AS (SELECT {keys} ratio, seen, {VALUE.format("b1")} AS q1, {VALUE.format("b3")} AS q3 FROM b_{name}),
-f_{name} AS (SELECT {keys} ratio, seen, q1 - 3 * greatest(q3 - q1, least) AS low, q3 + 3 * greatest(q3 - q1, least) AS high FROM v_{name} JOIN spreads USING (ratio))"""
+b_{name} AS (SELECT {keys} ratio, min(bucket) FILTER (100 * upto >= 10 * seen) AS b10, min(bucket) FILTER (100 * upto >= 50 * seen) AS b50,
+  min(bucket) FILTER (100 * upto >= 90 * seen) AS b90, min(bucket) FILTER (100 * upto >= 99 * seen) AS b99, max(seen) AS seen FROM u_{name} GROUP BY {keys} ratio),
+v_{name} AS (SELECT {keys} ratio, seen, {VALUE.format("b10")} AS p10, {VALUE.format("b50")} AS p50, {VALUE.format("b90")} AS p90, {VALUE.format("b99")} AS p99 FROM b_{name}),
+f_{name} AS (SELECT {keys} ratio, seen, p10 - 6 * (p50 - p10) AS low, CASE WHEN p90 > p50 THEN p90 + 6 * (p90 - p50) WHEN ratio = 'symbols' THEN p90 ELSE p99 END AS high FROM v_{name})"""
 
 
 QUALITY_SQL = rf"""
-WITH spreads AS (SELECT * FROM (VALUES ('symbols', 200), ('lines', 1000), ('repeats', 1000), ('length', 150)) AS t(ratio, least)),
-d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, lang, source, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols FROM d),
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
