@@ -1,11 +1,12 @@
 """WARC archives written and read as a chunked record table.
 
 A payload is a run of chunks, each a row (record, chunk number, bytes) and each a WARC record of its own: the first a
-`response`, the others `continuation` segments of it. Every chunk carries the digest of its bytes, and the digest of
-the payload is carried on from chunk to chunk, both when written and when read back, so no task allocates a whole
-record for an oversized payload. Spark's text writer and reader move the archives, so they may lie in any store that
-Spark reaches; gzip files aren't split, so a file's lines arrive in order and the records' lengths, not the lines,
-say where a record ends.
+`response`, the others `continuation` segments of it. Every chunk carries the digest of its bytes and the digest of the
+payload so far, carried on from chunk to chunk both when written and when read back; the last segment's header has the
+whole payload's. Chunks leave in batches of about BATCH bytes, so beyond the one copy of a payload that Spark's own cell
+is, a task holds a batch of chunks and no second copy of a record. Spark's text writer and reader move the archives, so
+they may lie in any store that Spark reaches; gzip files, one member each, aren't split, so a file's lines arrive in
+order and the records' lengths, not the lines, say where a record ends.
 
 Records with equal payloads of `LEAST` bytes or more are written once, by the page with the largest id; the others
 become `revisit` records that refer to it. Smaller payloads, empty and null ones included, are all written in full.
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import shared_folder, slices
+from factloom.llm.common import shared_folder
 
 CHUNK = 64 << 10
+BATCH = 4 << 20
 LEAST = 1000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 NAME = "urn:factloom:page:"
@@ -61,33 +63,72 @@ def _head(fields: list[tuple[str, object]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None) + "\r\n").encode()
 
 
-def _written(size: int, date: str):
+WRITTEN = (
+    "page_id long, url string, refers_to long, chunk_no int, chunk binary, payload_sha1 string, bytes_so_far long, last boolean"
+)
+
+
+def chunks(pages: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The chunk table of pages (page_id, url, html, refers_to), to be written: a row for each chunk of each payload.
+
+    payload_sha1 is the digest of the payload up to the chunk's end. Payloads of revisits have one row without bytes.
+    """
+
+    def run(batches):
+        names = [c.split()[0] for c in WRITTEN.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.bool_()]
+        rows, held = [], 0
+
+        def taken():
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+        for batch in batches:
+            for page, url, html, refers in zip(*(batch.column(k) for k in ("page_id", "url", "html", "refers_to"))):
+                page, url, refers = page.as_py(), url.as_py(), refers.as_py()
+                data = memoryview(html.as_buffer()) if html.is_valid else memoryview(b"")
+                sha, total = hashlib.sha1(), 0
+                for k, chunk in enumerate(_cut(data, size)):
+                    sha.update(chunk)
+                    total += len(chunk)
+                    if refers is None:
+                        rows.append((page, url, None, k, bytes(chunk), sha.hexdigest(), total, total == len(data)))
+                        held += len(chunk) + 200
+                    if held >= BATCH:
+                        yield taken()
+                        rows, held = [], 0
+                if refers is not None:
+                    rows.append((page, url, refers, 0, b"", sha.hexdigest(), total, True))
+                    held += 200
+        if rows:
+            yield taken()
+
+    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, WRITTEN)
+
+
+def _record(date: str):
     """A row of text for each chunk: the WARC record but for its last line feed, which the text writer adds."""
 
     def run(batches):
-        for batch in slices(batches, "html", 4 << 20):
+        for batch in batches:
             rows = []
-            for page, url, html, digest, refers in zip(*(batch.column(k) for k in ("page_id", "url", "html", "digest", "refers_to"))):
-                page, url, refers, digest = page.as_py(), url.as_py(), refers.as_py(), digest.as_py()
+            for page, url, refers, k, chunk, sha1, total, last in zip(*batch.to_pydict().values()):
                 name = f"<{NAME}{'null' if page is None else page}>"
                 url = None if url is None else "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
-                data = memoryview(html.as_buffer()) if html.is_valid else memoryview(b"")
-                common = [("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}")]
+                digest = [("WARC-Payload-Digest", f"sha1:{sha1}" if last else None)]
+                common = [("WARC-Target-URI", url), ("WARC-Date", date), *digest]
                 if refers is not None:
                     fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Refers-To", f"<{NAME}{refers}>")]
                     fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-                    rows.append(_head([*fields, ("X-Payload-Length", len(data)), ("Content-Length", 0)]) + b"\r\n\r")
+                    rows.append(_head([*fields, ("X-Payload-Length", total), ("Content-Length", 0)]) + b"\r\n\r")
                     continue
-                chunks = list(_cut(data, size))
-                for k, chunk in enumerate(chunks):
-                    block = (HTTP if k == 0 else b"") + bytes(chunk)
-                    fields = [("WARC-Type", "continuation" if k else "response"), ("WARC-Record-ID", name if not k else f"{name[:-1]}:{k + 1}>"), *common]
-                    if len(chunks) > 1:
-                        fields += [("WARC-Segment-Number", k + 1), ("WARC-Segment-Origin-ID", name if k else None)]
-                        fields += [("WARC-Segment-Total-Length", len(HTTP) + len(data) if k == len(chunks) - 1 else None)]
-                    fields += [("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}")]
-                    fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]
-                    rows.append(_head(fields) + block + b"\r\n\r")
+                block = (HTTP if k == 0 else b"") + chunk
+                fields = [("WARC-Type", "continuation" if k else "response"), ("WARC-Record-ID", name if not k else f"{name[:-1]}:{k + 1}>"), *common]
+                if k or not last:
+                    fields += [("WARC-Segment-Number", k + 1), ("WARC-Segment-Origin-ID", name if k else None)]
+                    fields += [("WARC-Segment-Total-Length", len(HTTP) + total if last else None)]
+                fields += [("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}")]
+                fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]
+                rows.append(_head(fields) + block + b"\r\n\r")
             yield pa.record_batch([pa.array(rows, pa.binary()).cast(pa.string())], names=["value"])
 
     return run
@@ -97,9 +138,9 @@ def write(pages: DataFrame, folder: str, chunk: int = CHUNK, date: str = "2024-0
     """Archives of pages (page_id, url, html) as gzip files in a folder."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     refers = decided(rows).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
-    named = rows.withColumn("digest", F.sha1(F.coalesce("html", F.lit(""))))
-    joined = named.join(refers, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
-    joined.mapInArrow(_written(chunk, date), "value string").write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+    on = (F.col("page_id") == F.col("p")) & (F.sha1(F.coalesce("html", F.lit(""))) == F.col("d"))
+    marked = rows.join(refers, on, "left").drop("p", "d")
+    chunks(marked, chunk).mapInArrow(_record(date), "value string").write.option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
 class _Reader:
@@ -142,7 +183,7 @@ class _Reader:
         self.rows.append((
             page(f["warc-record-id"]), "revisit" if kind == "revisit" else "response", self.number, block if self.payload else None,
             hashlib.sha1(block).hexdigest() if self.payload else None, self.sha.hexdigest(), self.total, last,
-            f["warc-payload-digest"].removeprefix("sha1:"), int(f["x-payload-length"]) if kind == "revisit" else None, page(f.get("warc-refers-to")),
+            f.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(f["x-payload-length"]) if kind == "revisit" else None, page(f.get("warc-refers-to")),
         ))
         self.number += 1
 
