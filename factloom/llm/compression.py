@@ -5,7 +5,6 @@ from __future__ import annotations
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -24,15 +23,14 @@ def excerpt(text: str, of: str, most: int) -> Column:
     return F.substring(F.col(text), (F.pmod(F.xxhash64(F.col(of), F.lit("excerpt")), room.cast("long")) + 1).cast("int"), F.lit(most))
 
 
-def sampled(rows: DataFrame, label: str, id_column: str, most: int, number: dict) -> DataFrame:
-    """At most `most` rows of each label, by a hash of the id; number: how many rows each label has.
+def sampled(rows: DataFrame, label: str, keys: list[str], most: int, number: dict) -> DataFrame:
+    """About `most` rows of each label (a binomial draw, so a few per cent more or less) by a hash of keys, in sample__spot.
 
-    Of a frequent label only ids whose hash is below a share of about twice that many rows go on, so the rows that
-    meet in one task are as many for any input.
+    number: how many rows each label has. Rows that are equal in label and keys count once, whatever their number, and
+    no label's rows meet in one task.
     """
-    spot = F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1 << 30))
+    spot = F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 40))
     keep = F.lit(False)
     for value, n in number.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (spot < F.lit(int(min(1.0, 2 * most / max(1, n)) * (1 << 30)))))
-    order = Window.partitionBy(label).orderBy(spot, F.col(id_column))
-    return rows.filter(keep).withColumn("sample__rank", F.row_number().over(order)).filter(F.col("sample__rank") <= most)
+        keep = keep | ((F.col(label) == F.lit(value)) & (F.col("sample__spot") < F.lit(int(min(1.0, most / max(1, n)) * (1 << 40)))))
+    return rows.withColumn("sample__spot", spot).filter(keep).dropDuplicates([label, "sample__spot"])

@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose dictionary makes the text shortest.
 
-Each language has a raw-content zstandard dictionary, cut from at most `sample` documents with at most `excerpt_chars`
-characters each; that bound is all that the driver gathers. Every whole text, in lower case, is compressed, block by block, with
+Each language has a raw-content zstandard dictionary of excerpts from about SAMPLE documents, EXCERPT characters each,
+of which the last DICTIONARY bytes are kept; that bound is all that the driver gathers. Every whole text, in lower case, is compressed, block by block, with
 each dictionary, so memory doesn't grow with the text. A decision is rejected when the runner-up is nearly as short.
 
 A null text and one without a letter have no language: `und`, score 0, rejected. Ties go to the language
@@ -19,7 +19,7 @@ from factloom.llm.common import fold
 from factloom.llm.compression import compressor, excerpt, sampled
 
 SAMPLE = 400
-EXCERPT = 600
+EXCERPT = 280
 DICTIONARY = 112 << 10
 BLOCK = 2048
 LEVEL = 6
@@ -33,10 +33,11 @@ RESULT = "lang_pred string, score double, margin double, rejected boolean"
 def learn(labelled: DataFrame, sample: int = SAMPLE, chars: int = EXCERPT) -> dict[str, bytes]:
     """Dictionary content by language, the most frequent first, from (doc_id, text, lang) with non-null lang."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("doc_id", "lang", excerpt("text", "doc_id", chars).alias("part"))
     number = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    chosen = sampled(rows.select("doc_id", "lang", "text"), "lang", ["doc_id", "text"], sample, number)
+    parts = chosen.select("lang", "sample__spot", excerpt("text", "doc_id", chars).alias("part")).collect()
     found: dict[str, list[str]] = {}
-    for r in sampled(rows, "lang", "doc_id", sample, number).orderBy("lang", "sample__rank").select("lang", "part").collect():
+    for r in sorted(parts, key=lambda r: (r["lang"], r["sample__spot"])):
         found.setdefault(r["lang"], []).append(r["part"])
     return {lang: "\n".join(parts).lower().encode()[-DICTIONARY:] for lang, parts in sorted(found.items(), key=lambda x: (-number[x[0]], x[0]))}
 

@@ -1,11 +1,13 @@
 """Toxicity by compression distance: windows of text under a toxic and an ordinary zstandard dictionary.
 
-Both dictionaries end in the same words of ordinary text; the toxic one begins with the words that toxic texts have
-and ordinary ones lack (likelihood ratio, copies of one text counting once), so a window that the toxic dictionary makes shorter holds toxic wording.
+Both dictionaries end in the same words of ordinary text; the toxic one begins with what is left of toxic texts without
+the words that ordinary ones have as well (likelihood ratio, copies of one text counting once), so a window that the toxic
+dictionary makes shorter holds toxic wording. Dictionaries of whole windows of toxic and ordinary text, raw or trained,
+don't tell the classes apart where toxic wording is a few words of a document: README has the figures.
 A text is cut at words into windows of about `WINDOW` bytes; its features are how the two lengths differ over all
 windows, and a logistic regression over them calibrates the score.
 
-Words and calibration come from at most `SAMPLE` labelled documents of each class with at most `EXCERPT` characters
+Words and calibration come from about `SAMPLE` labelled documents of each class with at most `EXCERPT` characters
 each, one half for the words and one for the calibration; classes are weighed by their share of all labelled rows.
 
 Null and empty texts have no window and get the score of no evidence. Repeated rows get equal scores. A document with
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold
+from factloom.llm.common import checkpointed, fold, small
 from factloom.llm.compression import compressor, excerpt, sampled
 
 SAMPLE = 4000
@@ -154,14 +156,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tup
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(share.values())
-    chosen = sampled(known, "toxic", "doc_id", sample, share).select("doc_id", "toxic", F.pmod("sample__rank", F.lit(2)).alias("half"))
-    # at most `sample` ids of each class
+    chosen = sampled(known, "toxic", ["doc_id"], sample, share).select("doc_id", "toxic", F.pmod("sample__spot", F.lit(2)).alias("half"))
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", excerpt("text", "doc_id", EXCERPT).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).persist()
-    gathered = rows.filter("half = 0").select("toxic", "text").collect()
+    rows = checkpointed(texts.join(small(chosen, 2 * sample), "doc_id").dropDuplicates(["doc_id"]))
+    gathered = rows.filter("half = 0").orderBy("doc_id").select("toxic", "text").collect()
     content = dictionaries(*([r["text"] for r in gathered if (r["toxic"] > 0) == t] for t in (True, False)))
     seen = features(rows.filter("half = 1").select("toxic", "text"), content).collect()
-    rows.unpersist()
     y = np.array([float(r["toxic"] > 0) for r in seen])
     if not 0 < y.sum() < len(y):
         p = (share.get(1, 0) + 0.5) / (total + 1)
