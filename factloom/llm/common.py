@@ -17,6 +17,8 @@ SPACE = r"\x20\x09-\x0D"
 #: Rows of a few short columns that are broadcast at most; rows in a bucket of numbered(), about.
 SMALL = 100_000
 BUCKET = 20_000
+#: A key is frequent if more than one in so many rows has it.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,18 @@ def small(df: DataFrame, rows: int, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def joined(rows: DataFrame, other: DataFrame, key: str, total: int) -> DataFrame:
+    """rows, of which there are `total`, joined to other, which has a row for each key and in `n` how many rows have it.
+
+    Keys with more than one in HOT of the rows, fewer than HOT of them, are broadcast; so no task of the shuffled rest
+    gets a frequent key. Both are read twice, so keep them first.
+    """
+    frequent = F.col("n") * HOT > F.lit(total)
+    hot = other.filter(frequent).drop("n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(other.filter(~frequent).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], into: str) -> DataFrame:
     """df with a gapless number from 0 within keys, in column `into`; df is read three times, so keep it first.
 

@@ -19,11 +19,9 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, numbered, small
+from factloom.llm.common import checkpointed, joined, numbered, small
 
 OVERHEAD = 16
-#: Groups with more than one in so many rows are joined to them apart from the others; fewer than so many can be.
-HOT = 1000
 
 
 class Tree:
@@ -154,10 +152,7 @@ def sharded(docs: DataFrame, shards: int = 40, capacity: int | None = None) -> D
     spans = small(spark.createDataFrame(ranges, "of long, low long, high long, shard int"), len(ranges))
     on = (F.col("bytes") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     placed = checkpointed(ranks.join(spans, on).select("digest", "n", "shard"))
-    # each of the other groups is less than one in HOT of the rows of a shuffled join
-    hot = placed.filter(F.col("n") * HOT > F.lit(rows.count())).drop("n")
-    cold = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(placed.drop("n"), "digest")
-    found = rows.join(F.broadcast(hot), "digest").unionByName(cold)
+    found = joined(rows, placed, "digest", rows.count())
     return numbered(checkpointed(found.drop("digest")), ["shard"], ["doc_id"], "slot")
 
 

@@ -12,7 +12,8 @@ any share of all fingerprints is neither one task's work nor held whole. Exact c
 counted before. Components come from links by large-star and small-star rounds.
 
 Null and empty texts have fingerprint zero and are linked like any other. Texts under three words are one shingle.
-Repeated rows and ids keep their rows; rows with a null id get a component from the others of their fingerprint.
+Nodes are fingerprints, so rows that share an id and have unlike texts stay apart. Repeated rows and ids keep their rows;
+rows with a null id link like others, and get the smallest id of their component, null if it has none.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from factloom.llm.common import checkpointed
+from factloom.llm.common import checkpointed, joined, small
 
 SHINGLE = 3
 DISTANCE = 3
@@ -181,9 +181,9 @@ def links(nodes: DataFrame) -> DataFrame:
     ]
     rows = nodes.select("node", "fingerprint", F.explode(F.array(*keys)).alias("k")).select("k.band", "k.key", "node", "fingerprint")
     large = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CHUNK)
-    large = large.select("band", "key", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    # few buckets are large, as each has over CHUNK members; Spark picks the join by their measured size
-    marked = rows.join(large, ["band", "key"], "left")
+    large = checkpointed(large.select("band", "key", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")))
+    # few buckets are large, as each has over CHUNK members
+    marked = rows.join(small(large, large.count()), ["band", "key"], "left")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     low, high = F.least(F.col("c"), F.col("other")), F.greatest(F.col("c"), F.col("other"))
     dealt = (
@@ -202,55 +202,60 @@ def links(nodes: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the least node that each node of edges (a, b) reaches, by large-star and small-star rounds."""
 
-    def starred(e: DataFrame, larger: bool) -> DataFrame:
+    def starred(e: DataFrame, larger: bool, total: int) -> DataFrame:
         both = e if not larger else e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        joined = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+        of_each = joined(both, least, "a", total)  # the centre of a large component is a frequent key
         if larger:
-            out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+            out = of_each.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+            out = of_each.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.filter(F.col("a") != F.col("b")).distinct()
 
     now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct())
     sign = None
     for _ in range(rounds):
-        now = checkpointed(starred(starred(now, True), False))
         total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == total:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         sign = total
+        large = checkpointed(starred(now, True, 2 * total[0]))
+        now = checkpointed(starred(large, False, total[0]))
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def linked(marked: DataFrame) -> DataFrame:
-    """(fingerprint, component_id) for rows (doc_id, fingerprint): the smallest doc_id that a fingerprint reaches."""
-    nodes = checkpointed(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
-    found = components(links(nodes.filter(F.col("node").isNotNull())))
-    return nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+def grouped(marked: DataFrame) -> DataFrame:
+    """(fingerprint, n, least, component) for rows (doc_id, fingerprint): how many rows have it, their smallest id, and
+    the least fingerprint that it reaches."""
+    nodes = checkpointed(marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")))
+    found = components(links(nodes.select(F.col("fingerprint").alias("node"), "fingerprint"))).withColumnRenamed("node", "fingerprint")
+    return checkpointed(nodes.join(found, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id) for every row."""
     marked = checkpointed(fingerprints(docs))
+    each = grouped(marked)
+    first = each.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = checkpointed(each.join(first, "component").select("fingerprint", "n", "component_id"))
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
-    return marked.join(linked(marked), "fingerprint").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return joined(marked, named, "fingerprint", marked.count()).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def kept_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id, a null id last.
+    """docs with one row of each component: the one with the smallest id, a null id last. Any other columns stay.
 
-    Nodes are fingerprints and rows are known by id and text, so that rows with one id and unrelated texts are told apart.
+    Rows are known by id and text, so rows with one id and unlike texts are told apart; of rows equal in both, one is
+    left before anything is shuffled. Fingerprints, links and components carry keys only; texts move once, to the keys of
+    the rows that stay. Null and empty texts are one group. An empty table gives no rows.
     """
     key = {"kept__id": F.col("doc_id").cast("long"), "kept__text": F.xxhash64(F.col("text").cast("string"))}
     rows = docs.select(key["kept__id"].alias("kept__id"), key["kept__text"].alias("kept__text"), F.col("text").cast("string").alias("text"))
     marked = checkpointed(rows.mapInArrow(_fingerprints(["kept__id", "kept__text"]), "kept__id long, kept__text long, fingerprint long"))
-    nodes = checkpointed(marked.select(F.col("fingerprint").alias("node"), "fingerprint").distinct())
-    found = components(links(nodes)).withColumnRenamed("node", "fingerprint")
-    in_component = marked.join(found, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    first = in_component.groupBy("component").agg(F.min(F.struct(F.col("kept__id").isNull().alias("none"), "kept__id", "kept__text")).alias("k"))
-    first = first.select(F.col("k.kept__id").alias("first__id"), F.col("k.kept__text").alias("first__text"))
-    keyed = docs.withColumns(key)
-    once = keyed.join(first, F.col("kept__id").eqNullSafe(F.col("first__id")) & (F.col("kept__text") == F.col("first__text")), "left_semi")
-    order = Window.partitionBy("kept__id", "kept__text").orderBy(F.col("text").asc_nulls_last())
-    return once.withColumn("kept__rank", F.row_number().over(order)).filter("kept__rank = 1").drop("kept__rank", *key)
+    each = grouped(marked.withColumnRenamed("kept__id", "doc_id"))
+    ids = F.struct(F.col("kept__id").isNull().alias("none"), "kept__id", "kept__text")
+    best = marked.groupBy("fingerprint").agg(F.min(ids).alias("k")).join(each.select("fingerprint", "component"), "fingerprint")
+    first = best.groupBy("component").agg(F.min("k").alias("k")).select(F.col("k.kept__id").alias("first__id"), F.col("k.kept__text").alias("first__text"))
+    once = docs.withColumns(key).dropDuplicates(list(key))
+    kept = once.join(first, F.col("kept__id").eqNullSafe(F.col("first__id")) & (F.col("kept__text") == F.col("first__text")), "left_semi")
+    return kept.drop(*key)
