@@ -89,6 +89,24 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+BACKOFF_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT rid, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+n1 AS (SELECT c, count(*) AS n FROM g GROUP BY c), n2 AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
+n3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
+t AS (SELECT round(ln(greatest(count(*), 1)) * 4294967296)::BIGINT AS of_all, round(ln(0.4::DOUBLE) * 4294967296)::BIGINT AS lower FROM g),
+s AS (SELECT g.rid, CASE
+    WHEN n3.n > 1 THEN round(ln(n3.n) * 4294967296)::BIGINT - round(ln(ab.n) * 4294967296)::BIGINT
+    WHEN bc.n > 1 THEN lower + round(ln(bc.n) * 4294967296)::BIGINT - round(ln(nb.n) * 4294967296)::BIGINT
+    ELSE 2 * lower + round(ln(nc.n) * 4294967296)::BIGINT - of_all END AS v
+  FROM g CROSS JOIN t JOIN n1 nc ON nc.c = g.c LEFT JOIN n1 nb ON nb.c = g.b LEFT JOIN n2 bc ON bc.b = g.b AND bc.c = g.c
+  LEFT JOIN n2 ab ON ab.b = g.a AND ab.c = g.b LEFT JOIN n3 ON n3.a = g.a AND n3.b = g.b AND n3.c = g.c),
+x AS (SELECT rid, sum(v)::DOUBLE / 4294967296 AS total FROM s GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(total, 0.0::DOUBLE) AS log_score, CASE WHEN len(w) > 0 THEN total / len(w) END AS score FROM d LEFT JOIN x USING (rid)
+"""
+
+
 VALUE = "CASE WHEN {0} < 64 THEN {0} ELSE (({0} - 64) % 32 + 32) * CAST(pow(2, ({0} - 64) // 32 + 1) AS BIGINT) END"
 
 
@@ -127,5 +145,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    known = {"op4_quality": QUALITY_SQL, "op6_warc": WARC_SQL, "op8_neighbours": NEIGHBOURS_SQL}
+    known = {"op4_quality": QUALITY_SQL, "op5_stupid_backoff": BACKOFF_SQL, "op6_warc": WARC_SQL, "op8_neighbours": NEIGHBOURS_SQL}
     return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -2,23 +2,25 @@
 
 A position's score is the relative frequency of its longest n-gram, of up to three words, that the corpus has LEAST
 times or more; each step to a shorter one costs a factor of 0.4. All documents are counted and all are scored with
-all of their words; a document's score is the mean logarithm over its words.
+all of their words; a document's score is the mean logarithm over its words. Logarithms are whole multiples of 1 / UNIT,
+so that sums are exact and come out alike in any order, on any engine.
 
-Every word stands in the middle of one window: the word before it, itself and the word after it, with a mark where the
-text begins or ends. Windows with one middle word give all counts that this word is part of: its own, those of the pairs
-to its left and right, and that of the triple. Log scores add up over n-grams, as one of the table adds its change
-against the next shorter one, and each part of these changes belongs to some window that knows its counts. So windows
-move once, by bucket of their middle word's hash, are counted and scored there, and their sums meet per document.
+n-grams are exploded as windows: every word stands in the middle of one, with the word before and after it, and a mark
+where the text begins or ends. Windows are partitioned by the hash of their middle word. All rows of a word, of the pairs
+to its left and right and of its triples are in its bucket, so the count tables of the three orders are built there from
+its windows and joined to the same windows, without a second shuffle of either. Log scores add up over n-grams, as one of
+the table adds its change against the next shorter one, and each part of these changes belongs to some window whose
+bucket has its counts. Buckets give a sum for each document, and these meet per block of documents.
 
 Windows of a frequent middle word would be too many for one bucket. They move twice: by middle and first word, which
 gives the counts of the left pair and of the triple, and by middle and last word, which gives those of the right pair
 and again of the triple; how often the middle word itself occurs is counted beforehand for those words.
 
-Windows move as columns of numbers, one row for each block of documents and bucket, sorted and packed. The VOCABULARY
-most frequent words of a sample have short numbers everywhere; each row lists the bytes of its other words (the SHA-512
-of words over LONGEST bytes). Which words the sample has changes the room that rows take, not the result. The number
-of buckets grows with the corpus, so a bucket stays about BUCKET windows. A window that a document repeats is one entry
-with its count.
+Windows move as columns of numbers, one row for each block of documents and bucket, sorted and packed, equal windows of a
+document as one with its count. The VOCABULARY most frequent words of a sample have short numbers everywhere; each row
+lists the bytes of its other words (the SHA-512 of words over LONGEST bytes). Which words the sample has changes the room
+that rows take, not the result. The number of buckets grows with the corpus, so a bucket stays about BUCKET windows. A
+row of a block and bucket has fewer windows as there are more buckets, so rows pack less well on larger corpora.
 
 Words are what is between white space, in lower case (A-Z). Null and empty texts have no words, log score 0 and a null
 score. Repeated rows and ids are scored row by row. An empty table gives no rows.
@@ -38,17 +40,18 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from factloom.llm.common import slices
+from factloom.llm.common import checkpointed, slices
 
 LEAST = 2
 BACKOFF = 0.4
 VOCABULARY = 65_000
 LONGEST = 64
 #: Windows in a bucket, about, and bytes of text in a block.
-BUCKET = 2_000_000
-BLOCK = 8 << 20
+BUCKET = 1_600_000
+BLOCK = 16 << 20
+#: Parts of a natural logarithm's unit.
+UNIT = 1 << 32
 #: One document in so many is read for the words with short numbers.
 SAMPLE = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -71,6 +74,17 @@ def _unpacked(data: bytes, kind: str, deltas: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=a.dtype) if deltas else a
 
 
+def _log(n) -> np.ndarray:
+    """Logarithms as whole multiples of 1 / UNIT."""
+    return np.rint(np.log(np.maximum(n, 1)) * UNIT).astype(np.int64)
+
+
+def _sums(index: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Sums of whole numbers by index, in two halves, as bincount adds floating-point numbers."""
+    high = np.bincount(index, value >> 24)
+    return (high.astype(np.int64) << 24) + np.bincount(index, value & 0xFFFFFF).astype(np.int64)
+
+
 def _split(text) -> list[bytes]:
     return (text.as_py() or "").encode().lower().split()
 
@@ -140,11 +154,11 @@ def entries(docs: DataFrame, short: list[str], frequent: set[str], buckets: int)
             local = dict(known)
             texts = [[local.setdefault(w, len(local) + 1) for w in _split(t)] for t in batch.column("text")]
             length = np.array([len(t) for t in texts], np.int64)
-            word = np.fromiter((w for t in texts for w in t), np.int64, int(length.sum()))
+            word = np.fromiter((w for t in texts for w in t), np.int32, int(length.sum()))
             del texts
             names = [_name(w) for w in list(local)[first - 1 :]]
             order = sorted(range(len(names)), key=names.__getitem__)  # neighbours in order pack well
-            place = np.arange(first + len(names))
+            place = np.arange(first + len(names), dtype=np.int32)
             place[first + np.array(order, np.int64)] = first + np.arange(len(names))
             names = [names[k] for k in order]
             word = place[word]
@@ -166,7 +180,12 @@ def entries(docs: DataFrame, short: list[str], frequent: set[str], buckets: int)
         before[1:][same], after[:-1][same] = word[:-1][same], word[1:][same]
         bits = len(hashed).bit_length()
         if 3 * bits < 64:
-            where = np.argsort(word << 2 * bits | before << bits | after, kind="stable")  # documents are in order already
+            code = word.astype(np.int64) << bits
+            code |= before
+            code <<= bits
+            code |= after
+            where = np.argsort(code, kind="stable")  # documents are in order already
+            del code
         else:
             where = np.lexsort((after, before, word))
         m, a, c, of = word[where], before[where], after[where], owner[where]
@@ -213,7 +232,7 @@ class _Counts:
 
 
 def _scorer(short: list[str], frequent: dict[str, int], buckets: int, total: int):
-    lower, all_words, first = math.log(BACKOFF), math.log(max(1, total)), len(short) + 1
+    lower, all_words, first = round(math.log(BACKOFF) * UNIT), int(_log(total)), len(short) + 1
 
     def run(key, table):
         """What one bucket's windows add to each document of each block; rows of documents pass as they are."""
@@ -258,29 +277,29 @@ def _scorer(short: list[str], frequent: dict[str, int], buckets: int, total: int
             triple.add(named(m, a, c), t)
         blocks, documents, sums = [], [], []
         for (s, e), (m, a, c, t) in zip(spans, chunks()):
-            log_m = np.log(alone[m])
+            log_m = _log(alone)[m]
             n_triple = np.where((a > 0) & (c > 0), triple.n[triple.at(named(m, a, c))], 0)
             in_triple = n_triple >= LEAST
-            value = np.zeros(len(m))
+            value = np.zeros(len(m), np.int64)
             if role != 2:
-                n_left = left.n[left.at(m * width + a)]
-                log_left = np.log(n_left)
-                value += log_m + 2 * lower - all_words
-                value += np.where((a > 0) & (n_left >= LEAST), log_left - log_m - lower + all_words, 0)
-                value += np.where(in_triple, np.log(np.maximum(n_triple, 1)) - log_left - lower + log_m, 0)
+                place = left.at(m * width + a)
+                log_left = _log(left.n)[place]
+                value += log_m + (2 * lower - all_words)
+                value += np.where((a > 0) & (left.n[place] >= LEAST), log_left - log_m + (all_words - lower), 0)
+                value += np.where(in_triple, _log(n_triple) - log_left - lower + log_m, 0)
             if role != 1:
-                n_right = right.n[right.at(m * width + c)]
-                value -= np.where((c > 0) & (n_right >= LEAST), log_m, 0)
-                value -= np.where(in_triple, np.log(n_right), 0)
+                place = right.at(m * width + c)
+                value -= np.where((c > 0) & (right.n[place] >= LEAST), log_m, 0)
+                value -= np.where(in_triple, _log(right.n)[place], 0)
             value *= t
             begin = 0
             for k, of in enumerate(column("documents", s, e, "<u4")):
-                part = np.bincount(of, value[begin : begin + len(of)])
+                part = _sums(of, value[begin : begin + len(of)])
                 each = np.flatnonzero(np.bincount(of))
                 begin += len(of)
                 blocks.append(table["block"][s + k].as_py())
                 documents.append(_packed(each.astype("<u4"), True))
-                sums.append(_packed(part[each].astype("<f8")))
+                sums.append(_packed(part[each].astype("<i8")))
         empty = pa.nulls(len(blocks), pa.binary())
         return pa.table({"block": pa.array(blocks, pa.string()), "doc_ids": empty, "n_words": empty, "documents": pa.array(documents, pa.binary()), "sums": pa.array(sums, pa.binary())})
 
@@ -288,15 +307,16 @@ def _scorer(short: list[str], frequent: dict[str, int], buckets: int, total: int
 
 
 def _finished(table):
-    """The documents of one block with the sums from all buckets, added in a fixed order."""
+    """The documents of one block with the sums from all buckets."""
     rows = table.to_pylist()
     head = next(r for r in rows if r["doc_ids"] is not None)
     names = pa.ipc.read_record_batch(pa.py_buffer(head["doc_ids"]), pa.schema([("d", pa.int64())])).column(0)
     n = _unpacked(head["n_words"], "<i4").astype(np.int64)
-    total = np.zeros(len(n))
-    for r in sorted((r for r in rows if r["doc_ids"] is None), key=lambda r: (r["documents"], r["sums"])):
-        total[_unpacked(r["documents"], "<u4", True)] += _unpacked(r["sums"], "<f8")
-    return pa.table({"doc_id": names, "n_words": n, "log_score": total})
+    total = np.zeros(len(n), np.int64)
+    for r in rows:
+        if r["doc_ids"] is None:
+            total[_unpacked(r["documents"], "<u4", True)] += _unpacked(r["sums"], "<i8")
+    return pa.table({"doc_id": names, "n_words": n, "log_score": total / UNIT})
 
 
 def vocabulary(count: DataFrame) -> tuple[list, int]:
@@ -305,22 +325,24 @@ def vocabulary(count: DataFrame) -> tuple[list, int]:
     The least count that a word must exceed comes from the histogram of counts, so that only the chosen words come to
     the driver, not every task's best; of words with that count none is taken.
     """
-    histogram = count.groupBy("n", F.col("word").isNull().alias("long")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum(F.when(F.col("long"), 0).otherwise(F.col("c"))).over(Window.orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, 0))
-    marked = histogram.withColumn("upto", upto)  # a row for each different count: the square root of the words, at most
-    least = marked.agg(F.coalesce(F.max(F.when(F.col("upto") > VOCABULARY, F.col("n"))), F.lit(0)).alias("least"), F.coalesce(F.sum(F.col("n") * F.col("c")), F.lit(0)).alias("total"))
-    # one row, broadcast to all; the shuffled counts are used twice in one plan
-    rows = count.filter("word is not null").join(F.broadcast(least), F.col("n") > F.col("least")).select("word", "n", "total").collect()
-    total = rows[0]["total"] if rows else count.agg(F.sum("n")).first()[0] or 0
+    histogram = count.groupBy("n", F.col("word").isNull().alias("long")).agg(F.count(F.lit(1)).alias("c")).collect()
+    # a row for each different count: the square root of the words, at most
+    total, upto, least = sum(r["n"] * r["c"] for r in histogram), 0, 0
+    for r in sorted((r for r in histogram if not r["long"]), key=lambda r: -r["n"]):
+        upto += r["c"]
+        if upto > VOCABULARY:
+            least = r["n"]
+            break
+    rows = count.filter(F.col("word").isNotNull() & (F.col("n") > least)).select("word", "n").collect()
     return sorted(rows, key=lambda r: (-r["n"], r["word"])), total
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, log_score, score) of every row. Before a text's third word fewer steps are possible; they cost as if taken."""
     sample = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(SAMPLE)) == 0)
-    top, _ = vocabulary(words(sample))
+    top, _ = vocabulary(checkpointed(words(sample)))
     short = [r["word"] for r in top]
-    frequent, total = totals(docs, [r["word"] for r in top if r["n"] * SAMPLE > BUCKET // 2])
+    frequent, total = totals(docs, [r["word"] for r in top if r["n"] * SAMPLE > BUCKET])
     buckets = max(1, -(-total // BUCKET))
     found = entries(docs, short, set(frequent), buckets)
     sums = found.groupBy("bucket").applyInArrow(_scorer(short, frequent, buckets, total), RESULTS)
