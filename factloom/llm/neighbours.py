@@ -70,17 +70,31 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k:
     n = len(queries)
     best, name = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
+    squares, asked = (tree.x**2).sum(1), (queries**2).sum(1)
+
     def look(which: np.ndarray, rows: np.ndarray) -> None:
-        d = distances(queries[which], tree.x[rows])
-        d[own[which, None] == ids[rows][None, :]] = np.inf
-        # only queries that find something as near as their k-th best so far are sorted
-        some = np.flatnonzero((d <= best[which, -1:]).any(axis=1))
-        which, d = which[some], d[some]
-        d = np.concatenate([best[which], d], axis=1)
-        i = np.concatenate([name[which], np.broadcast_to(ids[rows], (len(which), len(rows)))], axis=1)
-        i = np.where(np.isinf(d), np.iinfo(np.int64).max, i)
-        order = np.lexsort((i, d), axis=1)[:, :k]
-        best[which], name[which] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        # a product of matrices tells which pairs can't be among the k best; the others are measured as they are
+        near = asked[which, None] + squares[None, rows] - 2 * (queries[which] @ tree.x[rows].T)
+        itself = own[which, None] == ids[rows][None, :]
+        near[itself] = np.inf
+        slack = 1e-9 * (asked[which, None] + squares[None, rows]) + 1e-290
+        limit = best[which, -1] ** 2
+        if len(rows) > k:
+            limit = np.minimum(limit, np.partition(near + 2 * slack, k - 1, axis=1)[:, k - 1])
+        q, r = np.nonzero(~(near > limit[:, None] + slack) & ~itself)  # what overflows isn't ruled out
+        if not len(q):
+            return
+        total = np.zeros(len(q))
+        for x, y in zip(queries[which[q]].T, tree.x[rows[r]].T):
+            total += (x - y) ** 2
+        some, q = np.unique(q, return_inverse=True)
+        d = np.concatenate([best[which[some]].ravel(), np.sqrt(total)])
+        i = np.concatenate([name[which[some]].ravel(), ids[rows[r]]])
+        of = np.concatenate([np.repeat(np.arange(len(some)), k), q])
+        order = np.lexsort((i, d, of))
+        first = np.searchsorted(of[order], np.arange(len(some)))
+        take = order[first[:, None] + np.arange(k)]
+        best[which[some]], name[which[some]] = d[take], i[take]
 
     def descend(at: int, which: np.ndarray) -> dict[int, np.ndarray]:
         """First the leaf where each query lies, for a bound to prune with."""

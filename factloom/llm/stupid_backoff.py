@@ -45,11 +45,13 @@ from factloom.llm.common import checkpointed, slices
 
 LEAST = 2
 BACKOFF = 0.4
-VOCABULARY = 65_000
+VOCABULARY = 200_000
 LONGEST = 64
 #: Windows in a bucket, about, and bytes of text in a block.
 BUCKET = 1_600_000
 BLOCK = 16 << 20
+#: How hard numbers and words are packed.
+LEVELS = 1, 3
 #: Parts of a natural logarithm's unit.
 UNIT = 1 << 32
 #: One document in so many is read for the words with short numbers.
@@ -64,7 +66,7 @@ def _packed(a: np.ndarray, deltas: bool = False) -> bytes:
     """Numbers as zstandard bytes, the bytes of one place together; deltas: of ascending numbers."""
     if deltas and len(a):
         a = np.concatenate([a[:1], np.diff(a)])
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), LEVELS[0])
 
 
 def _unpacked(data: bytes, kind: str, deltas: bool = False) -> np.ndarray:
@@ -210,7 +212,7 @@ def entries(docs: DataFrame, short: list[str], frequent: set[str], buckets: int)
                 rare = first + np.flatnonzero(used[first:])
                 into[rare] = first + np.arange(len(rare))
                 used[:] = False
-                listed = zstandard.compress(b" ".join([names[k] for k in (rare - first).tolist()]), 1)
+                listed = zstandard.compress(b" ".join([names[k] for k in (rare - first).tolist()]), LEVELS[1])
                 yield (b + role * buckets, block, len(part), listed, _packed(into[mac[0]], True), _packed(into[mac[1]]), _packed(into[mac[2]]), _packed(of[part]), _packed(times[part]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -257,7 +259,11 @@ def _scorer(short: list[str], frequent: dict[str, int], buckets: int, total: int
         def read(s, e):
             out = []
             for name in ("middle", "before", "after"):
-                out.append(np.concatenate([np.concatenate([np.arange(first), numbers[s + k]])[x] for k, x in enumerate(column(name, s, e, "<u4", name == "middle"))]))
+                parts = column(name, s, e, "<u4", name == "middle")
+                for k, x in enumerate(parts):
+                    rare = np.flatnonzero(x >= first)
+                    x[rare] = numbers[s + k][x[rare] - first]
+                out.append(np.concatenate(parts))
             return *out, np.concatenate(column("times", s, e, "<u4"))
 
         held = read(*spans[0]) if len(spans) == 1 else None
