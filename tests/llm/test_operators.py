@@ -53,6 +53,21 @@ def lowered(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
+TABLES = "/root/testdata/sf0.01"
+
+
+def test_language_of_held_out_documents(spark):
+    known = spark.read.parquet(f"{TABLES}/documents.parquet")
+    rows = language.identified(known).join(known.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    right = rows.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert rows.count() > 150 and right >= 0.98
+
+
+def test_language_ties_go_to_the_more_frequent(spark):
+    rows = [(k, "aaa bbb ccc", "xx" if k % 3 else "yy", "s", 0, "", "") for k in range(60)]
+    assert {r.lang_pred for r in language.identified(spark.createDataFrame(rows, SCHEMA)).collect()} == {"xx"}
+
+
 def test_language(docs, nothing):
     rows = {(r.doc_id, r.lang_pred, r.rejected) for r in language.identified(docs).collect()}
     by = {k: (p, j) for k, p, j in rows}
@@ -109,6 +124,21 @@ def test_kept_one_tells_rows_of_one_id_apart(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, a), (1, b), (None, c), (4, d), (5, None)], key=repr)
 
 
+def test_simhash_of_long_texts_and_of_one_id_with_two_texts(spark):
+    long = prose(EN, 40_000, 7)
+    rows = [(9, long), (3, long + " x"), (5, "one two three four"), (5, "five six seven eight"), (4, "five six seven eight"), (None, "one two three four"), (None, "nine ten eleven")]
+    found = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = collections.defaultdict(set)
+    for r in found:
+        by[r.fingerprint].add((r.doc_id, r.component_id))
+    want = {f"{plain_fingerprint(t):016x}" for _, t in rows}
+    assert set(by) == want and len(found) == len(rows)
+    assert by[f"{plain_fingerprint(long):016x}"] >= {(9, 3)}
+    assert by[f"{plain_fingerprint('one two three four'):016x}"] == {(5, 5), (None, 5)}
+    assert by[f"{plain_fingerprint('five six seven eight'):016x}"] == {(5, 4), (4, 4)}
+    assert by[f"{plain_fingerprint('nine ten eleven'):016x}"] == {(None, None)}
+
+
 @pytest.mark.parametrize("chunk", [4096, 5])
 def test_simhash_links_of_dense_groups(spark, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
@@ -149,6 +179,28 @@ def test_sharding(docs, nothing):
     assert sharding.by_bytes(nothing, 4).count() == 0
 
 
+def test_sharding_keeps_to_its_capacity_and_to_best_fit(spark):
+    r = random.Random(11)
+    sizes = [r.choice([*range(1, 3000), 1500, 1500, 1500]) for _ in range(1500)]
+    rows = [(k, f"{k:07d}" + "x" * n) for k, n in enumerate(sizes)] + [(9000 + k, "y" * 2000) for k in range(3)] + [(9100, "z" * 40_000), (9101, None), (9102, None)]
+    found = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), capacity=30_000).collect()
+    groups = collections.Counter()
+    for _, t in rows:
+        groups[t] += 16 + len(t or "")
+    room = []  # what is left in each shard, by plain best fit
+    for size in sorted(groups.values(), reverse=True):
+        fits = [k for k, left in enumerate(room) if left >= size]
+        if fits:
+            room[min(fits, key=lambda k: (room[k], k))] -= size
+        else:
+            room.append(max(30_000, size) - size)
+    held = collections.Counter()
+    for x in found:
+        held[x.shard] += x.size
+    assert len(held) == len(room) and sum(held.values()) == sum(groups.values())
+    assert sorted(held.values())[:-1] == sorted(n for n in held.values() if n <= 30_000) and max(held.values()) == 40_016
+
+
 def test_best_fit_takes_the_tightest_shard():
     places, used = sharding.best_fit([(6, 2), (4, 1), (3, 2), (1, 1)], 0, capacity=10)
     assert used == 3 and places[1] == [(0, 1)] and places[2] == [(1, 1), (2, 1)] and places[3] == [(1, 1)]
@@ -198,6 +250,54 @@ def test_quality(spark, docs, nothing):
     assert {r.doc_id for r in quality.passed(rows, ["doc_id", "text", "lang", "source"]).collect()} == kept
 
 
+def test_quality_fences_of_sources_and_languages(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(900):
+        source, lang = ("a", "en") if k < 400 else ("b", "en") if k < 800 else ("c", "de") if k < 850 else ("d", None)
+        words = [("w" * r.randint(2, 9 if source == "b" else 6)) + str(r.randint(0, 300)) for _ in range(80)]
+        if r.random() < 0.05:
+            words += ["| #"] * r.randint(1, 9)
+        lines = [" ".join(words[j : j + 10]) for j in range(0, 80, 10)]
+        lines += lines[: r.choice([0, 0, 0, 1, 2])]
+        rows.append((k, "\n".join(lines), lang, source, 0, "", ""))
+    rows += [(1000, rows[0][1] + " $$$$$" * 60, "en", "a", 0, "", ""), (1001, "x" * 40 + " " + " ".join(str(k) * 30 for k in range(80)), "en", "b", 0, "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = {x.doc_id: x for x in quality.rules(docs).collect()}
+    groups = {x.doc_id: (x.lang, x.source) for x in docs.collect()}
+
+    def ratios(x, n_lines):
+        return {
+            "symbols": x.n_symbols * 10000 // x.word_chars, "lines": x.n_dup_lines * 10000 // n_lines,
+            "repeats": x.n_repeat_words * 10000 // x.n_words, "length": x.word_chars * 100 // x.n_words,
+        }
+
+    def low_end(v):  # the least value in the sketch's bucket of v
+        step = 1 << max(0, v.bit_length() - 6)
+        return v if v < 64 else v // step * step
+
+    value = {k: ratios(x, len([y for y in t.split("\n") if words_of(y)])) for k, t in ((r_[0], r_[1]) for r_ in rows) if (x := found[k]) and not x.base_failed}
+    members = collections.defaultdict(list)
+    for k, v in value.items():
+        for g in (groups[k], groups[k][0], "all"):
+            members[g].append(v)
+
+    def fence(g, ratio):
+        x = sorted(low_end(v[ratio]) for v in members[g])
+        p = {q: x[max(0, -(-q * len(x) // 100) - 1)] for q in (10, 50, 90, 99)}
+        high = p[90] + 6 * (p[90] - p[50]) if p[90] > p[50] else p[90 if ratio == "symbols" else 99]
+        return p[10] - 6 * (p[50] - p[10]), high
+
+    rejected = 0
+    for k, x in found.items():
+        lang, source = groups[k]
+        g = next(g for g in ((lang, source), lang, "all") if len(members[g]) >= quality.FEW or g == "all")
+        fine = not x.base_failed and all(v <= fence(g, n)[1] for n, v in value[k].items()) and value[k]["length"] >= fence(g, "length")[0]
+        assert x.kept == fine, (k, value.get(k))
+        rejected += not x.kept
+    assert not found[1000].kept and not found[1001].kept and 0 < rejected < 120
+
+
 def test_quality_sketch_buckets_are_ordered_and_tight(spark):
     rows = spark.range(0, 5000).select(F.col("id").alias("v"), quality.bucket(F.col("id")).alias("b"))
     for r in rows.withColumn("low", quality.value_of(F.col("b"))).collect():
@@ -267,12 +367,31 @@ def test_warc(spark, tmp_path):
     assert len(chunks) > 2 and b"".join(bytes(c.chunk) for c in chunks) == big.encode() and chunks[-1].last
     assert all(c.sha1_so_far == hashlib.sha1(big.encode()[: c.bytes_so_far]).hexdigest() for c in chunks)
     assert warc.round_trip(pages.limit(0), f"{tmp_path}/b").count() == 0
+    again = spark.createDataFrame([(1, "u", "r" * 1500), (1, "u", "r" * 1500), (1, "v", "q" * 1200), (2, "w", "q" * 1200), (None, None, None), (None, None, None)], "page_id long, url string, html string")
+    twice = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(again, f"{tmp_path}/c").collect()]
+    assert sorted(twice, key=repr) == sorted([(1, 1500, "response", None)] * 2 + [(1, 1200, "revisit", 2), (2, 1200, "response", None)] + [(None, 0, "response", None)] * 2, key=repr)
+
+
+def test_warc_chunk_table(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BATCH", 1000)
+    html = {1: "é" * 5000, 2: "", 3: None, 4: "x" * 400, 5: "y" * 401}
+    pages = spark.createDataFrame([(k, None, h, 4 if k == 5 else None) for k, h in html.items()], "page_id long, url string, html string, refers_to long")
+    rows = collections.defaultdict(list)
+    for r in warc.chunks(pages, 400).orderBy("page_id", "chunk_no").collect():
+        rows[r.page_id].append(r)
+    for k, h in html.items():
+        data = (h or "").encode()
+        assert [r.last for r in rows[k]] == [False] * (len(rows[k]) - 1) + [True] and [r.chunk_no for r in rows[k]] == list(range(len(rows[k])))
+        assert b"".join(bytes(r.chunk) for r in rows[k]) == (b"" if k == 5 else data) and rows[k][-1].bytes_so_far == len(data)
+        assert all(r.payload_sha1 == hashlib.sha1(data[: r.bytes_so_far]).hexdigest() for r in rows[k])
+    assert len(rows[1]) > 20 and len(rows[4]) == 1 and len(rows[5]) == 1
 
 
 def test_packing(docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    special = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "b  <|endoftext|>", "<|endoftext", "c<|endoftext|>'s |>  ", "<|endof", "text|>", "don't\n\n<|endoftext|>\n x"]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame([(800 + k, t, None, None, 0, "", "") for k, t in enumerate(special)], SCHEMA)).coalesce(2)
     once = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     found = packing.pack(once, path, 256).collect()
     ids = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in once.collect()}
@@ -294,6 +413,30 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+LONG = ["Слово " * 200_000, "слово" * 1000 + "," + "Долгоеслово" * 60_000 + "1" + "б" * 700_000, "漢字かな。" * 150_000, ("word  \n\n\t " + "don't 12.5% <|endoftext|>") * 60_000]
+
+
+def test_packing_of_texts_over_a_slice(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    found = packing.pieces(spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string"), path).orderBy("doc_id", "start").collect()
+    ids = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for t in LONG]
+    seen = collections.Counter()
+    for r in found:
+        assert r.start == seen[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        seen[r.doc_id] += r.length
+    assert [seen[k] for k in range(len(LONG))] == [len(x) for x in ids]
+
+
+def test_long_texts_are_cut_where_tokens_begin():
+    for text in LONG:
+        data = np.frombuffer(text.encode(), np.uint8)
+        parts = bpe.cuts(data, 0, len(data))
+        assert len(parts) > 2 and max(np.diff(parts)) < 3 * bpe.SLICE
+        assert set(parts[1:-1]) <= set(bpe.boundaries(data, np.array([0])).tolist())
+
+
 def test_shortest_pack_first_places_all():
     r = random.Random(3)
     histogram = {r.randint(1, 100): r.randint(1, 50) for _ in range(40)}
@@ -333,6 +476,8 @@ def test_neighbours(spark, monkeypatch, factor):
             assert sorted(by[q]) == want
         hits += len({w[1] for w in want} & {w[1] for w in by[q]})
     assert hits >= 0.9 * 900
+    huge = spark.createDataFrame([(k, [1e200 * (k + 1), 1.0]) for k in range(30)], "vec_id long, embedding array<double>")
+    assert neighbours.nearest(huge, F.col("vec_id") % 10 == 0, 3, factor).count() == 9
     assert neighbours.nearest(vectors.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
@@ -358,6 +503,34 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.classified(docs, known.limit(0)).count() == docs.count()
 
 
+def test_toxicity_of_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    known = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").filter("toxic is not null")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(known.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.classified(docs, known).filter("held_out").join(known, "doc_id").collect()
+    hit, named, toxic = (sum(f(r) for r in rows) for f in (lambda r: r.predicted == 1 == r.toxic, lambda r: r.predicted == 1, lambda r: r.toxic == 1))
+    assert toxic > 80 and hit / toxic >= 0.65 and hit / named >= 0.85
+
+
+def test_toxicity_labels_that_disagree_count_as_toxic(spark):
+    labels = spark.createDataFrame([(k, t) for k in range(50) for t in ((0, 1) if k % 2 else (0,))], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, "blarg zork words here " * 5 if k % 2 else "plain words are here " * 5) for k in range(50)], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in toxicity.classified(docs, labels).collect()}
+    assert min(v for k, v in found.items() if k % 2) >= max(v for k, v in found.items() if k % 2 == 0)
+
+
+def test_bpe_of_texts_over_a_slice(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts_ = [LONG[0], LONG[2], LONG[3]]
+    for r in bpe.digests(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), path).collect():
+        ids = plain.encode_ordinary(texts_[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts_[r.doc_id].encode()).hexdigest()
+
+
 def test_bpe(docs, nothing):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:
