@@ -142,3 +142,103 @@ def extracted(texts: DataFrame, targets: DataFrame, width: int = 3, summary_widt
     half = F.lit(0.5) * F.pow(F.lit(10.0), -F.length(F.regexp_extract("raw", r"\.(\d+)", 1)))
     tolerance = F.when(F.col("unit") == "元/股", F.greatest(F.lit(1e-9), half)).otherwise(F.greatest(F.lit(1.0), scale * half))
     return out.select("document_id", "field_key", (F.col("value") * scale).alias("value"), "unit", tolerance.alias("tolerance"))
+
+
+# Headings of statements, and of tables that end one.
+HEADINGS = {"资产负债表": "balance_sheet", "利润表": "income_statement", "现金流量表": "cash_flow"}
+OTHER_TABLES = ["股东权益变动表", "所有者权益变动表", "财务报表附注"]
+# Expenses that are shown without a sign.
+UNSIGNED = [
+    "TREASURY_SHARES", "OPERATE_COST", "TOTAL_OPERATE_COST", "OPERATE_TAX_ADD", "SALE_EXPENSE", "MANAGE_EXPENSE", "RESEARCH_EXPENSE", "FINANCE_EXPENSE",
+    "FE_INTEREST_EXPENSE", "INTEREST_EXPENSE", "INCOME_TAX", "NONBUSINESS_EXPENSE", "BUY_SERVICES", "CONSTRUCT_LONG_ASSET", "INVEST_PAY_CASH",
+    "REPAY_DEBT_CASH", "ASSIGN_DIVIDEND_PORFIT", "DISTRIBUTE_DIVIDEND_CASH", "SUBSIDIARY_PAY_DIVIDEND",
+]
+#: Pages for which a heading holds after its own.
+HOLDS = 5
+
+
+def compact(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\s\u00a0\u3000]+", "")
+
+
+def heading(line: Column) -> Column:
+    """(statement, scope) of a line that is a statement's heading, null for others."""
+    t = F.regexp_replace(F.translate(compact(line), "()", "（）"), r"^\d+[、.．]", "")
+    pattern = r"(合并及公司|合并|母公司|公司)?(资产负债表|利润表|现金流量表)(?:（续）)?$"
+    name, owner = F.regexp_extract(t, pattern, 2), F.regexp_extract(t, pattern, 1)
+    statement = F.try_element_at(F.create_map(*[F.lit(x) for kv in HEADINGS.items() for x in kv]), name)
+    scope = F.when(owner.isin("母公司", "公司"), "parent").otherwise("consolidated")
+    return F.when(statement.isNotNull(), F.struct(statement.alias("statement"), scope.alias("scope")))
+
+
+def in_statements(lines: DataFrame) -> DataFrame:
+    """Lines (document_id, page, line_no, line) with the statement and scope that they stand in, by the last heading before.
+
+    A heading holds to the end of the HOLDS pages after its own, or until a table of another kind begins.
+    """
+    order = Window.partitionBy("document_id").orderBy("page", "line_no")
+    ends = F.lit(False)
+    for name in OTHER_TABLES:
+        ends = ends | F.contains(compact(F.col("line")), F.lit(name))
+    mark = F.when(heading(F.col("line")).isNotNull(), F.struct(F.col("page").alias("page"), heading(F.col("line")).alias("h"))).when(ends, F.struct(F.col("page").alias("page"), F.lit(None).cast("struct<statement:string,scope:string>").alias("h")))
+    last = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    out = lines.withColumn("d__m", last)
+    holds = F.col("page") <= F.col("d__m.page") + HOLDS
+    return out.select(*lines.columns, F.when(holds, F.col("d__m.h.statement")).alias("statement"), F.when(holds, F.col("d__m.h.scope")).alias("scope"))
+
+
+def document_scope(lines: DataFrame) -> DataFrame:
+    """(document_id, scope): FULL_STATEMENTS where a statement's heading occurs, SUMMARY_ONLY where only key figures do, else UNRESOLVED."""
+    rank = F.when(heading(F.col("line")).isNotNull(), 2).when(F.contains(compact(F.col("line")), F.lit("主要财务数据")), 1).otherwise(0)
+    best = lines.groupBy("document_id").agg(F.max(rank).alias("r"))
+    return best.select("document_id", F.when(F.col("r") == 2, "FULL_STATEMENTS").when(F.col("r") == 1, "SUMMARY_ONLY").otherwise("UNRESOLVED").alias("scope"))
+
+
+def signed(key: Column, value: Column, source: Column) -> Column:
+    """A value with the sign that its field is shown with: expenses and payments have none, but for finance expenses of SSE reports."""
+    unsigned = key.isin(*UNSIGNED) | F.startswith(key, F.lit("PAY_")) | F.endswith(key, F.lit("_OUTFLOW"))
+    as_it_is = (key == "FINANCE_EXPENSE") & (F.upper(F.coalesce(source, F.lit(""))) == "SSE")
+    return F.when(unsigned & ~as_it_is, F.abs(value)).otherwise(value)
+
+
+def summary_amount(line: Column, kind: Column, semantics: Column) -> Column:
+    """(raw, value) of the amount of a summary row that a fact is compared with.
+
+    The first one, but in reports of third quarters, of flows: of four amounts (quarter, change, year to date, change) the
+    third, and of three with a `不适用` between the first two the second.
+    """
+    tokens = _tokens(line)
+    packed = F.translate(compact(line), "，（）−", ",()-")
+    raw = lambda k: F.regexp_replace(F.get(tokens, k)["raw"], r"\s+", "")
+    first_at = F.call_function("locate", raw(0), packed)
+    between = F.call_function("locate", F.lit("不适用"), packed, first_at + 1)
+    second_at = F.call_function("locate", raw(1), packed, first_at + 1)
+    plain = (kind != "q3") | (semantics == "point_in_time")
+    missing = (F.size(tokens) == 3) & (first_at > 0) & (between > first_at) & (second_at > between)
+    return F.when(plain, F.get(tokens, 0)).when(F.size(tokens) >= 4, F.get(tokens, 2)).when(missing, F.get(tokens, 1)).otherwise(F.get(tokens, 0))
+
+
+# Keys of a profile's parts, in order of preference.
+PROFILE_KEYS = {
+    "name_abbr": ["SECURITY_NAME_ABBR", "SECURITY_NAME", "ORG_NAME_ABBR"], "company_name": ["ORG_NAME", "ORG_NAME_CN", "COMPANY_NAME"],
+    "company_name_en": ["ORG_NAME_EN", "ORG_NAME_ENG", "ENGLISH_NAME"], "former": ["FORMERNAME", "FORMER_NAME"],
+    "website": ["ORG_WEB", "ORG_WEB_SITE", "OFFICIAL_WEBSITE", "WEB_SITE", "WEBSITE"], "industry": ["CSRC_INDUSTRY_NAME"], "board_1": ["BOARD_NAME_1LEVEL"],
+    "board_2": ["BOARD_NAME_2LEVEL"], "board_3": ["BOARD_NAME_3LEVEL"], "brand_1": ["EXPAND_NAME_ABBR"], "brand_2": ["EXPAND_NAME_ABBRN"],
+}
+
+
+def profiles(facts: DataFrame) -> DataFrame:
+    """A row for each security from its facts (security_code, ordinal of the record, field_key, value_text): the first value by
+    order of keys, then of records, that isn't empty."""
+    wanted = [F.struct(F.lit(part).alias("part"), F.lit(k).alias("k"), F.lit(r).alias("r")) for part, keys in PROFILE_KEYS.items() for r, k in enumerate(keys)]
+    rows = facts.filter(~F.coalesce("value_text", F.lit("")).isin("", "[]", "{}"))
+    named = rows.withColumn("d__p", F.explode(F.filter(F.array(*wanted), lambda x: x["k"] == F.col("field_key"))))
+    first = lambda part: F.min_by(F.when(F.col("d__p.part") == part, F.col("value_text")), F.when(F.col("d__p.part") == part, F.struct("d__p.r", "ordinal", "value_text"))).alias(part)
+    g = named.groupBy("security_code").agg(*[first(p) for p in PROFILE_KEYS])
+    site = F.when(~F.col("website").rlike("^https?://"), F.concat(F.lit("https://"), "website")).otherwise(F.col("website"))
+    names = F.filter(F.transform(F.split(F.coalesce("former", F.lit("")), "[,，;；]"), lambda x: F.trim(x)), lambda x: x != "")
+    words = lambda *parts: F.array_distinct(F.array_compact(F.array(*[F.nullif(F.col(p), F.lit("")) for p in parts])))
+    return g.select(
+        "security_code", "name_abbr", F.coalesce("company_name", "name_abbr").alias("company_name"), "company_name_en", names.alias("former_names"), site.alias("website"),
+        words("industry", "board_1", "board_2", "board_3").alias("industry_keywords"), words("name_abbr", "brand_1", "brand_2").alias("brand_keywords"),
+    )

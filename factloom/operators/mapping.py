@@ -6,12 +6,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.functions.ontology import MODULES, metric_of
 from factloom.functions.priority import canonical_unit, scaled, source_priority
 from factloom.operators.normalize import plain_text, stable_id
 
 KEY = ["security_code", "metric_id", "report_date", "period_type", "data_semantics", "scope"]
 
 
+def resolved(facts: DataFrame) -> DataFrame:
+    """Facts with their metric, module, unit, kind and scope by the ontology, and whether it knows their key."""
+    m = metric_of(*[F.col(c) for c in ("field_key", "family", "field_name_cn", "unit", "data_semantics", "scope")])
+    kept = [c for c in facts.columns if c not in ("unit", "data_semantics", "scope")]
+    return facts.select(*kept, m.alias("m__m")).select(*kept, "m__m.*")
+
+
+def module_views(rows: DataFrame) -> dict[str, DataFrame]:
+    """Observations (with research_module) by module, each a filter of one table, in the order of a view."""
+    order = [F.asc_nulls_last(c) for c in ("metric_id", "report_date", "period_type")]
+    return {m: rows.filter(F.col("research_module") == m).orderBy(*order) for m in MODULES}
+
+
+def module_ranks(rows: DataFrame) -> DataFrame:
+    """All modules' views at once: module_rank is a row's place in the view of its module within its security."""
+    order = Window.partitionBy("security_code", "research_module").orderBy(*[F.asc_nulls_last(c) for c in ("metric_id", "report_date", "period_type")])
+    return rows.filter(F.col("research_module").isin(*MODULES)).withColumn("module_rank", F.row_number().over(order))
+
+
+# Metrics that are profit quality as they are.
+DIRECT_PROFIT_QUALITY = [
+    "profit_quality.adjusted_parent_net_profit", "profit_quality.non_recurring_profit", "cashflow.operating_cash_flow", "cashflow.capital_expenditure",
+    "balance.accounts_receivable", "balance.inventory", "balance.contract_assets", "balance.goodwill", "research.rd_expense", "research.capitalized_rd",
+    "profitability.gross_margin", "profitability.roe",
+]
+
+
+def direct_topic_rows(rows: DataFrame, topic: str = "profit_quality", metrics: list[str] | None = None) -> DataFrame:
+    """Observations of the metrics that a topic shows as they are."""
+    return rows.filter(F.col("metric_id").isin(*(metrics or DIRECT_PROFIT_QUALITY))).withColumn("topic", F.lit(topic))
+
+
+def section_summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """(section, status, n) of research sections, each with a column status: rows of every status, calculated and unresolved ones too."""
+    out = None
+    for name, df in tables.items():
+        part = df.select(F.lit(name).alias("section"), "status")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("section", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lineage_view(lineage_rows: DataFrame, source_rows: DataFrame, observation_rows: DataFrame) -> DataFrame:
+    """Observations with their lineage and source facts, those without any too; rank 1 is the source of the highest priority."""
+    of_source = source_rows.select("source_fact_id", *[c for c in source_rows.columns if c not in (*observation_rows.columns, *lineage_rows.columns)])
+    both = observation_rows.join(lineage_rows, "observation_id", "left").join(of_source, "source_fact_id", "left")
+    order = Window.partitionBy("observation_id").orderBy(F.desc_nulls_last("source_priority"), "source_fact_id")
+    return both.withColumn("lineage_rank", F.row_number().over(order))
+
+
 def source_facts(facts: DataFrame, cutoff: Column, metrics: DataFrame) -> DataFrame:
     """Facts known at the cutoff (those of unknown availability pass) with metric, 元 values, priority and id."""
     known = facts.filter(F.col("available_at").isNull() | (F.col("available_at") <= cutoff))
@@ -85,14 +135,17 @@ def coverage_gaps(rows: DataFrame, required: DataFrame) -> DataFrame:
 def traced(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
     """(start, node, depth): what each start reaches over directed edges (from_id, to_id) in at most `depth` steps.
 
-    A round is one join of the frontier with the edges; nodes that were reached before aren't walked again.
+    A round is one join of the frontier with the edges; nodes that were reached before aren't walked again. Where the session
+    has a folder for checkpoints, each round is kept there, so the plan doesn't grow with the depth.
     """
+    there = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    kept = lambda df: df.checkpoint() if there else df
     seen = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("node"), F.lit(0).alias("depth"))
     front = seen
     step = edges.select(F.col("from_id").alias("node"), "to_id").distinct()
     for k in range(1, depth + 1):
         new = front.join(step, "node").select("start", F.col("to_id").alias("node")).distinct()
-        front = new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(k))
+        front = kept(new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(front)
     return seen
 

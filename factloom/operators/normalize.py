@@ -13,6 +13,13 @@ DATE_KEYS = [
 AVAILABILITY_KEYS = [
     "NOTICE_DATE", "PUBLISH_DATE", "UPDATE_DATE", "ANNOUNCEMENT_DATE", "DISCLOSURE_DATE", "notice_date", "publish_date", "publish_time", "display_time",
 ]
+# Keys that tell records of one date apart, keys of codes and of names, names that say nothing, and the
+# order of families that name a security.
+DISCRIMINATORS = ["art_code", "INFO_CODE", "MXID", "HOLDER_RANK", "RANK", "PERSON_CODE"]
+CODE_KEYS = ["SECURITY_CODE", "SECUCODE", "SECURITYCODE", "SECURITY_CODE_A", "f57", "code", "secucode", "security_code"]
+NAME_KEYS = ["SECURITY_NAME_ABBR", "f58", "SECURITY_NAME", "SECURITY_NAME_A", "short_name", "ORG_NAME_ABBR", "name"]
+INVALID_NAMES = ["", "名称获取中", "证券名称", "股票名称", "None", "null", "--", "-"]
+NAME_FAMILIES = {"/api/qt/stock/get": 0, "RPT_F10_ORG_BASICINFO": 1, "RPT_HSF9_BASIC_ORGINFO": 2, "PageAjax": 3}
 # Families of flows and of balances.
 FLOW_FAMILIES = [
     "RPT_F10_FINANCE_GINCOME", "RPT_F10_FINANCE_GINCOMEQC", "RPT_F10_FINANCE_GCASHFLOW", "RPT_F10_FINANCE_GCASHFLOWQC",
@@ -176,6 +183,22 @@ def standard_code(text: Column) -> Column:
     return parsed_code(bare)["secucode"]
 
 
+def security_digits(text: Column) -> Column:
+    """The six digits of a code: a part of six between dots, the last six after an exchange, else the last six of all digits."""
+    t = F.upper(F.trim(text))
+    dotted = F.get(F.reverse(F.filter(F.split(t, r"\."), lambda x: x.rlike(r"^\d{6}$"))), 0)
+    prefixed = F.nullif(F.regexp_extract(t, r"^(?:SH|SZ|BJ).*?(\d{6})$", 1), F.lit(""))
+    digits = F.regexp_replace(t, r"\D", "")
+    return F.coalesce(dotted, prefixed, F.when(F.length(digits) >= 6, F.right(digits, F.lit(6))))
+
+
+def valid_name(text: Column, code: Column) -> Column:
+    """A name, unless it is empty, a placeholder, a code or over 80 characters."""
+    t = F.trim(text)
+    bad = t.isin(*INVALID_NAMES) | (t == code) | t.rlike(r"\.(SH|SZ|BJ)$") | t.rlike(r"^\d+$") | (F.length(t) > 80)
+    return F.when(~bad, t)
+
+
 def plain_text(text: Column) -> Column:
     """Lower case, no white space, half-width brackets and commas."""
     t = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[\s　]+", "")

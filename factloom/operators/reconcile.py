@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.priority import COMPARE_PRIORITY, STATEMENTS, canonical_unit, looked_up, scaled
-from factloom.operators.normalize import date_of, plain_text, report_label
+from factloom.functions.priority import COMPARE_PRIORITY, INDEPENDENT, STATEMENTS, canonical_unit, looked_up, scaled
+from factloom.operators.normalize import canonical_period, date_of, plain_text, report_label
 
 # Classes of statuses.
 CONFLICTS = ["MISMATCH", "VERSION_CONFLICT", "SCOPE_CONFLICT", "PERIOD_CONFLICT", "UNIT_CONFLICT"]
@@ -104,6 +104,166 @@ def registry_coverage(entries: DataFrame) -> DataFrame:
     return entries.groupBy("mode", "method").agg(F.count(F.lit(1)).alias("contexts"))
 
 
+def overridden(entries: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Registry entries with the policies of single fields (field_key, method, absolute, relative) put over the inferred ones.
+
+    A null part of an override leaves what was inferred. Overrides are a row a field key; Spark picks the join by their size.
+    """
+    parts = ["method", "absolute", "relative"]
+    named = overrides.select("field_key", *[F.col(c).alias(f"r__{c}") for c in parts])
+    out = entries.join(named, "field_key", "left")
+    return out.withColumns({c: F.coalesce(f"r__{c}", c) for c in parts}).drop(*[f"r__{c}" for c in parts])
+
+
+# Themes of official statements, and whether their values are flows or balances.
+OFFICIAL_THEMES = {"balance_sheet": "官方披露/资产负债表", "income_statement": "官方披露/利润表", "cash_flow": "官方披露/现金流量表", "summary": "官方披露/摘要"}
+OFFICIAL_SEMANTICS = {"balance_sheet": "point_in_time", "income_statement": "flow", "cash_flow": "flow"}
+
+
+def prepared_primary(facts: DataFrame) -> DataFrame:
+    """Facts ready to be compared: canonical period, statement, scope and unit; treasury shares of balances are money."""
+    date = F.date_format("report_date", "yyyy-MM-dd") if dict(facts.dtypes)["report_date"] == "date" else F.col("report_date")
+    statement = looked_up("family", STATEMENTS, F.lit(""))
+    money = (F.col("family") == "RPT_F10_FINANCE_GBALANCE") & (F.col("field_key") == "TREASURY_SHARES")
+    unit = F.when(money, "元").otherwise(F.col("unit"))
+    return facts.withColumns({
+        "period_type": canonical_period(date, F.col("family"), F.col("period_type"), INDEPENDENT), "statement_type": statement,
+        "scope": F.when(statement != "", "consolidated").otherwise("entity"), "unit": unit, "normalized_unit": F.coalesce(unit, F.lit("")),
+        "source": F.lit("EASTMONEY"), "source_document": F.col("family"), "source_row": F.coalesce("record_key", F.lit("")), "confidence": F.lit("high"),
+    })
+
+
+def prepared_official(rows: DataFrame, include_suspect: bool = False) -> DataFrame:
+    """Official rows as facts: suspect ones go unless asked for; theme, dataset, key, period and kind come from the statement."""
+    known = rows.withColumn("source_status", F.coalesce("source_status", F.lit("FACT_DIRECT")))
+    if not include_suspect:
+        known = known.filter(~F.col("source_status").isin("PARSE_SUSPECT", "UNRESOLVED"))
+    date = F.date_format("report_date", "yyyy-MM-dd") if dict(rows.dtypes)["report_date"] == "date" else F.col("report_date")
+    return known.withColumns({
+        "source": F.lit("OFFICIAL_DISCLOSURE"), "family": F.lit("OFFICIAL_DISCLOSURE"), "theme": looked_up("statement_type", OFFICIAL_THEMES, F.lit("官方披露")),
+        "dataset": F.col("source_document"), "record_key": F.concat_ws("|", "security_code", date, "statement_type", "field_key"),
+        "period_type": canonical_period(date, F.lit(""), F.lit(None).cast("string"), INDEPENDENT), "data_semantics": looked_up("statement_type", OFFICIAL_SEMANTICS, F.lit("event")),
+        "field_name_cn": F.col("field_name_report"), "field_category": F.lit("PAGE_DISPLAY_FIELD"), "value_num": F.col("value"), "value_text": F.col("value").cast("string"),
+        "source_url": F.coalesce("source_url", F.lit("")),
+    })
+
+
+def comparison_key(event_date: str | None = "event_date") -> Column:
+    """What a compared row is known by: eight parts, empty where null."""
+    parts = ["security_code", "report_date", event_date, "period_type", "family", "dataset", "record_key", "field_key"]
+    return F.concat_ws("|", *[F.lit("") if p is None else F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
+
+
+def source_unavailable(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Missing official values of securities (security_code, message) whose official source couldn't be reached, as what they are."""
+    gone = sources.select("security_code", F.col("message").alias("r__m"), F.lit(True).alias("r__gone"))
+    out = rows.join(gone, "security_code", "left")
+    hit = F.coalesce("r__gone", F.lit(False)) & (F.col("status") == "MISSING_OFFICIAL")
+    notes = F.coalesce(F.nullif("r__m", F.lit("")), F.lit("官方披露来源不可用"))
+    old = F.col("notes") if "notes" in rows.columns else F.lit(None).cast("string")
+    return out.withColumns({"status": F.when(hit, "OFFICIAL_SOURCE_UNAVAILABLE").otherwise(F.col("status")), "notes": F.when(hit, notes).otherwise(old)}).drop("r__m", "r__gone")
+
+
+def date_sets(requested: DataFrame, documents: DataFrame) -> DataFrame:
+    """(security_code, report_date, state) of requested and loaded report dates.
+
+    documents: security_code, report_date, scope, extracted (how many facts a report gave). LOADED, SUMMARY_ONLY and
+    ZERO_EXTRACTION have a report; without one a date is PENDING after the security's latest report, else MISSING.
+    """
+    key = ["security_code", "report_date"]
+    d = documents.groupBy(*key).agg(F.max(F.col("scope") == "SUMMARY_ONLY").alias("summary"), F.sum("extracted").alias("extracted"))
+    both = requested.select(*key).distinct().withColumn("asked", F.lit(True)).join(d.withColumn("there", F.lit(True)), key, "full_outer")
+    latest = F.max(F.when(F.col("there"), F.col("report_date"))).over(Window.partitionBy("security_code"))
+    state = (
+        F.when(F.col("there") & F.col("summary"), "SUMMARY_ONLY").when(F.col("there") & (F.col("extracted") == 0), "ZERO_EXTRACTION").when(F.col("there"), "LOADED")
+        .when(F.col("report_date") > latest, "PENDING").otherwise("MISSING")
+    )
+    return both.select(*key, state.alias("state"))
+
+
+def acceptance(summaries: DataFrame) -> DataFrame:
+    """A verdict for each security from its counts: conflicts, contexts without a class, an unreachable source, gaps, else PASS.
+
+    summaries: security_code, conflicts, unresolved, classification_coverage, source_unavailable, parse_suspect_count.
+    """
+    c = F.col
+    verdict = (
+        F.when(c("conflicts") > 0, "FAIL_SOURCE_CONFLICT").when(c("classification_coverage") < 1.0, "FAIL_CLASSIFICATION_COVERAGE")
+        .when(c("source_unavailable"), "PARTIAL_OFFICIAL_SOURCE_UNAVAILABLE").when((c("unresolved") > 0) | (c("parse_suspect_count") > 0), "PASS_WITH_COVERAGE_GAPS").otherwise("PASS")
+    )
+    return summaries.withColumns({"acceptance_status": verdict, "manual_review_required": c("conflicts") > 0})
+
+
+# Keys that aren't targets of an extraction.
+NOT_TARGETS = [
+    "SECUCODE", "SECURITY_CODE", "SECURITY_NAME_ABBR", "ORG_CODE", "ORG_TYPE", "REPORT_DATE", "REPORT_TYPE", "REPORT_DATE_NAME", "SECURITY_TYPE_CODE",
+    "NOTICE_DATE", "UPDATE_DATE", "CURRENCY", "OPINION_TYPE", "OSOPINION_TYPE", "LISTING_STATE",
+]
+
+
+def dynamic_targets(facts: DataFrame, defaults: DataFrame) -> DataFrame:
+    """(family, field_key, label, aliases, statement_type, semantics): what to look for in reports.
+
+    Every numeric field of a primary statement with a label of its own is one, known by all its labels, but for metadata
+    and growth. defaults, of the same columns, come first in labels and aliases.
+    """
+    label = F.trim(F.coalesce(F.nullif("field_name_cn", F.lit("")), F.col("field_key")))
+    key = F.col("field_key")
+    rows = facts.filter(F.col("family").isin(*DIRECT) & F.col("value_num").isNotNull() & ~F.startswith(key, F.lit("_")) & ~key.isin(*NOT_TARGETS) & ~key.rlike("_(YOY|QOQ)$"))
+    named = rows.select("family", "field_key", label.alias("label")).filter((F.col("label") != "") & (F.col("label") != F.col("field_key")) & (F.length("label") <= 60))
+    each = named.groupBy("family", "field_key").agg(F.array_sort(F.collect_set("label")).alias("found"))
+    d = defaults.select("family", "field_key", *[F.col(c).alias(f"r__{c}") for c in ("label", "aliases", "statement_type", "semantics")])
+    both = each.join(d, ["family", "field_key"], "full_outer")
+    shortest = F.array_min(F.transform("found", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    aliases = F.when(F.col("r__aliases").isNull(), F.col("found")).otherwise(F.array_distinct(F.concat("r__aliases", F.coalesce("found", F.array().cast("array<string>")))))
+    semantics = F.when(F.col("family") == DIRECT[0], "point_in_time").otherwise("flow")
+    return both.select(
+        "family", "field_key", F.coalesce("r__label", shortest).alias("label"), aliases.alias("aliases"),
+        F.coalesce("r__statement_type", looked_up("family", STATEMENTS, F.lit(""))).alias("statement_type"), F.coalesce("r__semantics", semantics).alias("semantics"),
+    )
+
+
+def thin_slice(facts: DataFrame, official: DataFrame, targets: DataFrame) -> DataFrame:
+    """Target fields of each report date against official rows: exact within 1, else within the official precision.
+
+    targets: target, family, family_rank, key, key_rank, one row for each family and key that may give it; the first by family,
+    then key, is compared. Rows of which neither side has a value aren't there.
+    """
+    usable = official.filter(~F.coalesce("source_status", F.lit("")).isin("PARSE_SUSPECT", "UNRESOLVED"))
+    dates = official.select("security_code", "report_date").distinct()
+    named = facts.filter("value_num is not null").withColumnRenamed("field_key", "key").join(targets, ["family", "key"])
+    own = named.groupBy("security_code", "report_date", "target").agg(F.min_by(F.struct("value_num", "family"), F.struct("family_rank", "key_rank")).alias("f"))
+    own = own.join(dates, ["security_code", "report_date"], "left_semi")
+    wanted = targets.select("target").distinct()
+    other = usable.withColumnRenamed("field_key", "target").join(wanted, "target", "left_semi").groupBy("security_code", "report_date", "target").agg(F.max(F.struct("value", "precision_tolerance")).alias("o"))
+    both = own.join(other, ["security_code", "report_date", "target"], "full_outer")
+    gap, allowed = F.col("f.value_num") - F.col("o.value"), F.coalesce("o.precision_tolerance", F.lit(1.0))
+    status = (
+        F.when(F.col("o").isNull(), "MISSING_OFFICIAL").when(F.col("f").isNull(), "MISSING_EASTMONEY")
+        .when(F.abs(gap) <= allowed, F.when(F.abs(gap) <= 1.0, "EXACT_MATCH").otherwise("WITHIN_ROUNDING")).otherwise("MISMATCH")
+    )
+    return both.select(
+        "security_code", "report_date", "target", F.col("f.value_num").alias("value_num"), F.col("o.value").alias("official_value"), gap.alias("difference"),
+        status.alias("status"), F.when(status.isin("EXACT_MATCH", "WITHIN_ROUNDING"), "A").otherwise("E").alias("grade"),
+    )
+
+
+def searched(rows: DataFrame, word: str = "", status: str | None = None, mode: str | None = None, start=None, end=None) -> DataFrame:
+    """Compared rows with a word in key, label, family or notes, and of a status, mode or date (of the report, else the event)."""
+    columns = [c for c in ("field_key", "field_name_cn", "family", "notes") if c in rows.columns]
+    out = rows
+    if word.strip():
+        hit = F.lit(False)
+        for c in columns:
+            hit = hit | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(word.strip().lower()))
+        out = out.filter(hit)
+    out = out.filter(F.col("status") == status) if status else out
+    out = out.filter(F.col("mode") == mode) if mode else out
+    date = F.coalesce("report_date", "event_date") if "event_date" in rows.columns else F.col("report_date")
+    out = out.filter(date >= F.lit(start)) if start else out
+    return out.filter(date <= F.lit(end)) if end else out
+
+
 def primary(facts: DataFrame) -> DataFrame:
     """One row for each security, record and field: family of the highest priority, then those with a number."""
     order = Window.partitionBy("security_code", "family", "dataset", "record_key", "field_key").orderBy(
@@ -141,22 +301,26 @@ def matched(facts: DataFrame, official: DataFrame) -> DataFrame:
     """facts (with mode and statement_type) and the official row that each is compared with, or a diagnosis.
 
     By security, date, period, statement and field; else, but for direct values of primary statements, by the same
-    without the statement. A consolidated value isn't compared with a parent company's: SCOPE_CONFLICT. If the field
+    without the statement, but not for research expenses of the research family; derived finance expenses take the
+    income statement's first. A consolidated value isn't compared with a parent company's: SCOPE_CONFLICT. If the field
     exists on the date for another period only: PERIOD_CONFLICT, but not for derived values and metadata.
     """
     best = F.struct((F.col("scope") == "parent").alias("parent"), F.col("statement_type").alias("st"), F.col("document_id").alias("doc"), F.col("value_num").alias("v"), F.col("unit").alias("u"), F.col("precision_tolerance").alias("tol"), _text_of(official).alias("t"))
     one = official.groupBy(*GRAIN, "period_type", "statement_type").agg(F.min(best).alias("o1"))
-    two = official.groupBy(*GRAIN, "period_type").agg(F.min(best).alias("o2"))
+    income = F.col("statement_type") == "income_statement"
+    two = official.groupBy(*GRAIN, "period_type").agg(F.min(best).alias("o2"), F.min(F.when(income, best)).alias("o2i"))
     three = official.groupBy(*GRAIN).agg(F.lit(True).alias("other_period"))
     out = facts.join(one, [*GRAIN, "period_type", "statement_type"], "left").join(two, [*GRAIN, "period_type"], "left").join(three, GRAIN, "left")
-    strict = F.col("family").isin(*DIRECT) & (F.col("mode") == "OFFICIAL_DIRECT")
-    found = F.when(F.col("o1").isNotNull(), F.col("o1")).when(~strict, F.col("o2"))
+    research = (F.col("family") == "RPT_F10_BUSINESS_RDEXPENSE") & (F.col("field_key") == "RESEARCH_EXPENSE")
+    strict = (F.col("family").isin(*DIRECT) & (F.col("mode") == "OFFICIAL_DIRECT")) | research
+    finance = (F.col("field_key") == "FINANCE_EXPENSE") & (F.col("mode") == "OFFICIAL_DERIVED")
+    found = F.when(F.col("o1").isNotNull(), F.col("o1")).when(strict, None).when(finance & F.col("o2i").isNotNull(), F.col("o2i")).otherwise(F.col("o2"))
     out = out.withColumn("o", found)
     diagnosis = F.when(F.col("o.parent"), "SCOPE_CONFLICT").when(
         F.col("o").isNull() & ~strict & F.col("other_period") & ~F.col("mode").isin("OFFICIAL_DERIVED", "OFFICIAL_METADATA"), "PERIOD_CONFLICT"
     )
     ok = ~F.coalesce(F.col("o.parent"), F.lit(False))
-    return out.withColumn("diagnosis", diagnosis).withColumn("o", F.when(ok, F.col("o"))).drop("o1", "o2", "other_period")
+    return out.withColumn("diagnosis", diagnosis).withColumn("o", F.when(ok, F.col("o"))).drop("o1", "o2", "o2i", "other_period")
 
 
 def compared(pairs: DataFrame, official: DataFrame) -> DataFrame:

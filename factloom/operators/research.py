@@ -30,18 +30,24 @@ def united(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 def profit_quality(observations: DataFrame) -> DataFrame:
-    """Derived rows of (security_code, report_date, metric_id, value_num): shares and free cash flow; what lacks an input is UNRESOLVED."""
-    metrics = ["net_profit", "adjusted_profit", "operating_cash_flow", "capex", "revenue"]
-    wide = observations.groupBy("security_code", "report_date").pivot("metric_id", metrics).agg(F.max("value_num"))
+    """Derived rows of (security_code, report_date, metric_id, value_num), for each scope too if there is such a column.
+
+    Non-recurring amount and share, cash flow over adjusted profit, simplified free cash flow and the capitalised part of
+    research. What lacks an input or divides by 0 is UNRESOLVED, never 0.
+    """
+    metrics = ["net_profit", "adjusted_profit", "operating_cash_flow", "capex", "revenue", "rd_investment", "capitalized_rd"]
+    key = ["security_code", "report_date", *(["scope"] if "scope" in observations.columns else [])]
+    wide = observations.groupBy(*key).pivot("metric_id", metrics).agg(F.max("value_num"))
     c = F.col
     formulas = {
         "non_recurring_amount": c("net_profit") - c("adjusted_profit"),
         "non_recurring_share": F.try_divide(c("net_profit") - c("adjusted_profit"), F.abs("net_profit")) * 100,
         "cash_to_adjusted_profit": F.try_divide("operating_cash_flow", "adjusted_profit"),
         "simplified_free_cash_flow": c("operating_cash_flow") - c("capex"),
+        "rd_capitalization_rate": F.try_divide("capitalized_rd", "rd_investment") * 100,
     }
     each = [F.struct(F.lit(k).alias("metric_id"), v.alias("value_num")) for k, v in formulas.items()]
-    rows = wide.select("security_code", "report_date", F.explode(F.array(*each)).alias("m")).select("security_code", "report_date", "m.*")
+    rows = wide.select(*key, F.explode(F.array(*each)).alias("m")).select(*key, "m.*")
     return rows.withColumn("status", F.when(F.col("value_num").isNull(), "UNRESOLVED").otherwise("FACT_CALCULATED"))
 
 
@@ -121,15 +127,18 @@ def document_status(attempts: DataFrame) -> DataFrame:
     return attempts.withColumns({"status": status, "action": action})
 
 
-def cash_flow_sections(records: DataFrame) -> DataFrame:
-    """Sections of statement keys (record, position, key) by their order: before NETPROFIT primary, up to CCE_ADDNOTE supplement; YOY and QOQ by name."""
-    first = records.groupBy("key").agg(F.min("position").alias("position"))
-    edge = lambda k: F.max(F.when(F.col("key") == k, F.col("position"))).over(Window.partitionBy(F.lit(0)))  # noqa: E731  one row a key
-    low, high = edge(CASH_FLOW_ENDS[0]), edge(CASH_FLOW_ENDS[1])
-    section = (
-        F.when(F.endswith("key", F.lit("_YOY")), "yoy").when(F.endswith("key", F.lit("_QOQ")), "qoq").when((F.col("position") >= F.col("low")) & (F.col("position") <= F.col("high")), "supplement").otherwise("primary")
-    )
-    return first.withColumns({"low": low, "high": high}).select("key", section.alias("section"))
+def cash_flow_sections(records: DataFrame, of: str = "family") -> DataFrame:
+    """Sections of the keys (record, position, key) of each statement by their order: from NETPROFIT to CCE_ADDNOTE
+    supplement, the rest primary; YOY and QOQ by name.
+
+    A key's position is its first one in any record; the two ends are those of the statement's own keys.
+    """
+    first = records.groupBy(of, "key").agg(F.min("position").alias("position"))
+    edge = lambda k: F.min(F.when(F.col("key") == k, F.col("position")))
+    ends = first.groupBy(of).agg(edge(CASH_FLOW_ENDS[0]).alias("low"), edge(CASH_FLOW_ENDS[1]).alias("high"))
+    within = F.coalesce((F.col("position") >= F.col("low")) & (F.col("position") <= F.col("high")), F.lit(False))
+    section = F.when(F.endswith("key", F.lit("_YOY")), "yoy").when(F.endswith("key", F.lit("_QOQ")), "qoq").when(within, "supplement").otherwise("primary")
+    return first.join(ends, of).select(of, "key", section.alias("section"))
 
 
 def conservation(batches: DataFrame) -> DataFrame:

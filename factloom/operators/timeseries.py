@@ -17,19 +17,31 @@ from factloom.functions.priority import INDEPENDENT, formula_priority
 KEY = ["security_code", "field_key"]
 
 
+def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in an ascending order of columns; tasks send one row a key, whatever they have of it."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]))
+    return rows.groupBy(*keys).agg(best.alias("t__b")).select(*[F.col(c) if c in keys else F.col(f"t__b.{c}") for c in rows.columns])
+
+
+def _newest(date: str) -> Column:
+    """Ascends as a date descends, nulls last."""
+    return F.coalesce(-F.unix_date(date), F.lit(1 << 30))
+
+
 def latest_numeric(facts: DataFrame) -> DataFrame:
     """The latest numeric fact of each security, family and field; ties by event date, record and dataset."""
-    order = Window.partitionBy("security_code", "family", "field_key").orderBy(
-        F.col("report_date").desc_nulls_last(), F.col("event_date").desc_nulls_last(), "record_key", "dataset"
-    )
-    return facts.filter(F.col("value_num").isNotNull()).withColumn("t__n", F.row_number().over(order)).filter("t__n = 1").drop("t__n")
+    order = [_newest("report_date"), _newest("event_date"), F.col("record_key"), F.col("dataset")]
+    return first_by(facts.filter(F.col("value_num").isNotNull()), ["security_code", "family", "field_key"], order)
 
 
 def one_per_period(facts: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row for each security, field and report date: the family of the highest priority, then family, then dataset."""
-    order = Window.partitionBy(*KEY, "report_date").orderBy(formula_priority(), "family", "dataset", F.col("available_at").desc_nulls_last())
+    keep = keep or facts.columns
     rows = facts.filter(F.col("value_num").isNotNull() & F.col("report_date").isNotNull())
-    return rows.withColumn("t__n", F.row_number().over(order)).filter("t__n = 1").select(*(keep or facts.columns))
+    used = dict.fromkeys([*keep, *KEY, "report_date", "family", "dataset", "available_at"])
+    order = [formula_priority(), F.col("family"), F.col("dataset"), _newest("available_at")]
+    return first_by(rows.select(*used), [*KEY, "report_date"], order).select(*keep)
 
 
 def last_periods(facts: DataFrame, k: int) -> DataFrame:
@@ -43,7 +55,8 @@ def _quarter_index(date: str) -> Column:
 
 
 def ttm_quarters(facts: DataFrame, strict: bool = True) -> DataFrame:
-    """The sum of four independent quarters up to each; strict: only where they follow one another without a gap."""
+    """The sum of four independent quarters up to each; strict: only where they follow one another without a gap (four
+    rows with a missing quarter between them aren't twelve months)."""
     rows = one_per_period(facts.filter(F.col("family").isin(*INDEPENDENT)), [*KEY, "report_date", "value_num"])
     four = Window.partitionBy(*KEY).orderBy("report_date").rowsBetween(-3, 0)
     wide = rows.withColumns(
@@ -93,10 +106,11 @@ def value_as_of(facts: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def yoy(facts: DataFrame) -> DataFrame:
-    """Growth against the same date a year before; null without it or where it is 0."""
+    """Growth of the latest value at each date against the latest value a year before; null without that or where it is 0."""
     rows = one_per_period(facts, [*KEY, "report_date", "value_num"])
-    year = Window.partitionBy(*KEY).orderBy(_quarter_index("report_date")).rangeBetween(-4, -4)
-    return rows.withColumn("prior", F.first("value_num").over(year)).select(
+    day = F.year("report_date") * 10_000 + F.month("report_date") * 100 + F.dayofmonth("report_date")
+    upto = Window.partitionBy(*KEY).orderBy(day).rangeBetween(Window.unboundedPreceding, -10_000)
+    return rows.withColumn("prior", F.last("value_num").over(upto)).select(
         *KEY, "report_date", "value_num", "prior", (F.try_divide("value_num", "prior") - 1).alias("yoy")
     )
 

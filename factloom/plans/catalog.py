@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import normalize, point_in_time, reconcile, research, search, timeseries
+from factloom.plans import documents, graph, normalize, packages, point_in_time, reconcile, research, search, sources, timeseries
 
-PARTS = [timeseries, search, normalize, point_in_time, reconcile, research]
+PARTS = [timeseries, search, normalize, point_in_time, reconcile, research, sources, packages, graph, documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -173,13 +173,10 @@ def nrm22(spark, d):
     return src.table(spark, d, "customer").select("c_custkey", n.stable_id("cus", F.col("c_custkey"), F.col("c_mktsegment"), F.lit(None)).alias("id"))
 
 
-@query("nrm23_language_tags", """SELECT language, count(*) AS n FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'mixed' WHEN 1 THEN 'zh' ELSE CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'unknown' END END AS language
-  FROM documents WHERE doc_id % 3 <> 0 OR regexp_matches(text, '[A-Za-z]')) GROUP BY 1""")
+@query("nrm23_language_tags", """SELECT language, count(*) AS n FROM (SELECT CASE WHEN zh AND en THEN 'mixed' WHEN zh THEN 'zh' WHEN en THEN 'en' ELSE 'unknown' END AS language
+FROM (SELECT coalesce(regexp_matches(text, '[一-鿿]'), false) AS zh, coalesce(regexp_matches(text, '[A-Za-z]'), false) AS en FROM documents)) GROUP BY 1""")
 def nrm23(spark, d):
-    t = F.col("text")
-    docs = src.table(spark, d, "documents").filter((F.col("doc_id") % 3 != 0) | t.rlike("[A-Za-z]"))
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("年报"), t)).when(F.col("doc_id") % 3 == 1, "年报").otherwise(t)
-    return docs.select(n.language_tag(text).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    return src.table(spark, d, "documents").select(n.language_tag(F.col("text")).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("nrm23_all_language_tags", """SELECT doc_id, CASE WHEN zh AND en THEN 'mixed' WHEN zh THEN 'zh' WHEN en THEN 'en' ELSE 'unknown' END AS language

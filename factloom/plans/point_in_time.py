@@ -118,11 +118,14 @@ def fin9(spark, d):
     return statuses(spark, d).withColumn("value", F.round("value", 4)).drop("text")
 
 
-@query("fin5_annual", src.sql(STATUSES + """SELECT security_code, report_date, round(max(value) FILTER (target = 'revenue'), 4) AS revenue, round(max(value) FILTER (target = 'operating_cost'), 4) AS operating_cost,
-  round(max(value) FILTER (target = 'gross_profit'), 4) AS gross_profit, round(max(value) FILTER (target = 'inventory'), 4) AS inventory, max(available_at) AS available_at FROM st WHERE month(report_date) = 12 GROUP BY 1, 2"""))
+NUMBERS = [t for t, (_, kind, _) in p.FIELDS.items() if kind != "text"]
+TEXTS = [t for t, (_, kind, _) in p.FIELDS.items() if kind == "text"]
+
+
+@query("fin5_annual", src.sql(STATUSES + "SELECT security_code, report_date, " + ", ".join(f"round(max(value) FILTER (target = '{t}'), 4) AS {t}" for t in NUMBERS)
+  + ", " + ", ".join(f"CAST(NULL AS VARCHAR) AS {t}" for t in TEXTS) + ", max(available_at) AS available_at FROM st WHERE month(report_date) = 12 GROUP BY 1, 2"))
 def fin5(spark, d):
-    out = p.annual(statuses(spark, d))
-    return out.select("security_code", "report_date", *[F.round(c, 4).alias(c) for c in ("revenue", "operating_cost", "gross_profit", "inventory")], "available_at")
+    return p.annual(statuses(spark, d)).withColumns({c: F.round(c, 4) for c in NUMBERS})
 
 
 @query("fin8_quarterly", src.sql(FINANCE + """, c AS (SELECT *, year(report_date) * 4 + quarter(report_date) AS k FROM sel WHERE basis = 'C'),

@@ -82,8 +82,8 @@ def win6(spark, d):
     return rounded(ts.value_as_of(rows, rows.select("security_code").distinct().select("security_code", years.alias("end"))), value=2)
 
 
-@query("win7_yoy", src.sql(PICK + """SELECT a.security_code, a.field_key, a.report_date, round(a.value_num / nullif(b.value_num, 0) - 1, 6) AS yoy
-FROM p a LEFT JOIN p b ON a.security_code = b.security_code AND a.field_key = b.field_key AND b.k = a.k - 4"""))
+@query("win7_yoy", src.sql(PICK + """, y AS (SELECT *, year(report_date) * 10000 + month(report_date) * 100 + day(report_date) AS t FROM p)
+SELECT security_code, field_key, report_date, round(value_num / nullif(last_value(value_num) OVER (PARTITION BY security_code, field_key ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 10000 PRECEDING), 0) - 1, 6) AS yoy FROM y"""))
 def win7(spark, d):
     return rounded(ts.yoy(flows(spark, d)), yoy=6).select("security_code", "field_key", "report_date", "yoy")
 

@@ -18,10 +18,63 @@ def write_pack(tables: dict[str, DataFrame], folder: str) -> None:
         df.sparkSession.read.parquet(f"{folder}/{name}").createOrReplaceTempView(name)
 
 
+# Columns of an exported search.
+EXPORTED = [
+    "security_code", "theme", "family", "dataset", "report_date", "event_date", "period_type", "field_key", "field_name_cn", "field_category", "value_text",
+    "value_num", "unit", "source_url", "source_status", "base_score", "secondary_score", "score",
+]
+
+
 def export_rows(found: DataFrame, folder: str, kind: str = "csv", most: int = 500_000) -> None:
-    """At most `most` rows of a search as CSV or JSON lines."""
+    """At most `most` rows of a search, as sorted, as CSV with fixed columns and a byte-order mark, or as JSON lines.
+
+    Columns that the rows lack are empty. The mark, for spreadsheets, is part of each file's header.
+    """
     rows = found.limit(min(most, 500_000))
-    (rows.write.mode("overwrite").option("header", True).csv(folder) if kind == "csv" else rows.write.mode("overwrite").json(folder))
+    if kind != "csv":
+        rows.write.mode("overwrite").json(folder)
+        return
+    columns = [F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in EXPORTED]
+    wide = rows.select(*columns).withColumnRenamed(EXPORTED[0], "\ufeff" + EXPORTED[0])
+    wide.write.mode("overwrite").option("header", True).csv(folder)
+
+
+def validation_pack(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """A cross-validation pack written and registered: facts, official_facts, reconciliation, registry, checks, documents, lifecycle.
+
+    Its views are coverage_summary, true_conflicts and not_in_official_scope over the written reconciliation.
+    """
+    write_pack(tables, folder)
+    views = reconciliation_views(tables["reconciliation"].sparkSession.table("reconciliation"))
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return views
+
+
+def reconciliation_views(rows: DataFrame) -> dict[str, DataFrame]:
+    """Views of compared rows: counts by mode and status, real conflicts, and what no official report holds."""
+    return {
+        "coverage_summary": rows.groupBy("mode", "status").agg(F.count(F.lit(1)).alias("fact_count")),
+        "true_conflicts": rows.filter(F.col("status").isin("MISMATCH", "VERSION_CONFLICT", "SCOPE_CONFLICT", "PERIOD_CONFLICT", "UNIT_CONFLICT")),
+        "not_in_official_scope": rows.filter(F.col("status").isin("NOT_IN_OFFICIAL_SCOPE", "SOURCE_SPECIFIC", "FUTURE_FREE_SOURCE_REQUIRED", "OFFICIAL_PERIOD_NOT_LOADED")),
+    }
+
+
+def observation_views(rows: DataFrame) -> dict[str, DataFrame]:
+    """Views of observations: those with one agreed value, and conflicts."""
+    return {
+        "resolved_canonical_facts": rows.filter(F.col("status").isin("VERIFIED_MULTI_SOURCE", "SINGLE_SOURCE")),
+        "canonical_conflicts": rows.filter(F.col("status") == "SOURCE_CONFLICT"),
+    }
+
+
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows, digest) of every table of a pack."""
+    out = None
+    for name, df in tables.items():
+        part = fingerprint(df).select(F.lit(name).alias("name"), "rows", "digest")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def period_matrix(facts: DataFrame, periods: list) -> DataFrame:
@@ -43,11 +96,9 @@ def ingest(spark: SparkSession, landed: str, schema: str, facts: str, checkpoint
     def add(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates(keys)
         session = batch.sparkSession
-        try:
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(facts)
+        if path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(path):  # the first batch has no table yet
             new = new.join(session.read.parquet(facts).select(*keys), keys, "left_anti")
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new.write.mode("append").parquet(facts)
 
     stream = spark.readStream.schema(schema).json(landed)
