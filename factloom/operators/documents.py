@@ -132,8 +132,12 @@ def extracted(texts: DataFrame, targets: DataFrame, width: int = 3, summary_widt
     upto = lambda k: F.concat_ws(" ", "line", *[f"d__{j}" for j in range(1, k + 1)])
     windows = [F.struct(F.lit(k + 1).alias("size"), upto(k).alias("text")) for k in range(most)]
     rows = ahead.select("document_id", "page_unit", "line_no", F.explode(F.array(*windows)).alias("w")).select("document_id", "page_unit", "line_no", "w.*")
-    hit = F.startswith(F.lower("text"), F.lower("label")) & (F.col("size") <= F.when(F.col("summary"), summary_width).otherwise(width))
-    matched = rows.join(F.broadcast(targets), hit)  # a fixed list of labels
+    # an equi-join on the beginnings of a text, of the lengths that labels have (as many as the longest label has characters)
+    sizes = sorted(r[0] for r in targets.select(F.length("label")).distinct().collect() if r[0])
+    begins = F.array(*[F.when(F.length("text") >= n, F.lower(F.substring("text", 1, n))) for n in sizes] or [F.lit(None).cast("string")])
+    starts = rows.withColumn("d__s", F.explode(F.array_distinct(F.array_compact(begins))))
+    on = (F.col("d__s") == F.lower("label")) & (F.col("size") <= F.when(F.col("summary"), summary_width).otherwise(width))
+    matched = starts.join(targets, on).drop("d__s")
     found = matched.withColumn("a", chosen(F.substr("text", F.length("label") + 1))).filter("a.value is not null")
     unit = F.coalesce(row_unit(F.col("text")), F.col("page_unit"), F.lit("元"))
     best = F.struct(F.col("size"), F.col("line_no"), F.col("a.value").alias("value"), F.col("a.raw").alias("raw"), unit.alias("unit"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.functions.lineage import kept
 from factloom.functions.ontology import MODULES, metric_of
 from factloom.functions.priority import canonical_unit, scaled, source_priority
 from factloom.operators.normalize import plain_text, stable_id
@@ -138,8 +139,6 @@ def traced(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
     A round is one join of the frontier with the edges; nodes that were reached before aren't walked again. Where the session
     has a folder for checkpoints, each round is kept there, so the plan doesn't grow with the depth.
     """
-    there = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    kept = lambda df: df.checkpoint() if there else df
     seen = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("node"), F.lit(0).alias("depth"))
     front = seen
     step = edges.select(F.col("from_id").alias("node"), "to_id").distinct()

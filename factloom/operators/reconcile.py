@@ -1,7 +1,7 @@
 """Two-source comparison: contexts classified by rules, a match at three grains, verdicts and a summary.
 
-The official side is reduced to its best row a key at each grain before it is joined, so a match is three equi-joins
-whatever the number of candidates.
+The official rows of a field and date are gathered before they are joined, so a match at all three grains is one
+equi-join.
 """
 
 from __future__ import annotations
@@ -306,11 +306,17 @@ def matched(facts: DataFrame, official: DataFrame) -> DataFrame:
     exists on the date for another period only: PERIOD_CONFLICT, but not for derived values and metadata.
     """
     best = F.struct((F.col("scope") == "parent").alias("parent"), F.col("statement_type").alias("st"), F.col("document_id").alias("doc"), F.col("value_num").alias("v"), F.col("unit").alias("u"), F.col("precision_tolerance").alias("tol"), _text_of(official).alias("t"))
-    one = official.groupBy(*GRAIN, "period_type", "statement_type").agg(F.min(best).alias("o1"))
-    income = F.col("statement_type") == "income_statement"
-    two = official.groupBy(*GRAIN, "period_type").agg(F.min(best).alias("o2"), F.min(F.when(income, best)).alias("o2i"))
-    three = official.groupBy(*GRAIN).agg(F.lit(True).alias("other_period"))
-    out = facts.join(one, [*GRAIN, "period_type", "statement_type"], "left").join(two, [*GRAIN, "period_type"], "left").join(three, GRAIN, "left")
+    candidate = F.struct(F.col("period_type").alias("p"), F.col("statement_type").alias("s"), "b")
+    # one official row a period and statement, the few of a field and date together, so that all three grains are one join
+    one = official.groupBy(*GRAIN, "period_type", "statement_type").agg(F.min(best).alias("b"))
+    of_each = one.groupBy(*GRAIN).agg(F.collect_list(candidate).alias("r__c"))
+    out = facts.join(of_each, GRAIN, "left")
+    least = lambda hit: F.array_min(F.transform(F.filter("r__c", hit), lambda x: x["b"]))
+    of_period = lambda x: x["p"] == F.col("period_type")
+    out = out.withColumns({
+        "o1": least(lambda x: of_period(x) & (x["s"] == F.col("statement_type"))), "o2": least(of_period),
+        "o2i": least(lambda x: of_period(x) & (x["s"] == "income_statement")), "other_period": F.col("r__c").isNotNull(),
+    }).drop("r__c")
     research = (F.col("family") == "RPT_F10_BUSINESS_RDEXPENSE") & (F.col("field_key") == "RESEARCH_EXPENSE")
     strict = (F.col("family").isin(*DIRECT) & (F.col("mode") == "OFFICIAL_DIRECT")) | research
     finance = (F.col("field_key") == "FINANCE_EXPENSE") & (F.col("mode") == "OFFICIAL_DERIVED")

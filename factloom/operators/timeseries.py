@@ -93,10 +93,12 @@ def ttm(quarter_facts: DataFrame, cumulative_facts: DataFrame, strict: bool = Tr
 
 
 def value_as_of(facts: DataFrame, ends: DataFrame) -> DataFrame:
-    """VALUE(field): the latest value up to each end (security_code, end); one union and a running last, no range join."""
+    """VALUE(field): the latest value up to each end (security_code, end); one union and a running last, no range join.
+
+    Every end asks for the fields that its own security has.
+    """
     rows = one_per_period(facts, [*KEY, "report_date", "value_num"])
-    fields = facts.select("field_key").distinct()
-    asked = ends.crossJoin(fields)  # a handful of fields for each end
+    asked = ends.join(facts.select(*KEY).distinct(), "security_code")
     marks = asked.select("security_code", "field_key", F.col("end").alias("report_date"), F.lit(None).cast("double").alias("value_num"), F.lit(1).alias("asked"))
     both = rows.withColumn("asked", F.lit(0)).unionByName(marks)
     upto = Window.partitionBy(*KEY).orderBy("report_date", "asked").rowsBetween(Window.unboundedPreceding, 0)

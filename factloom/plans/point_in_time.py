@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from factloom.functions.lineage import kept
 from factloom.operators import point_in_time as p
 from factloom.sources import facts as src
 
@@ -109,7 +110,7 @@ def template():
 
 
 def statuses(spark, d):
-    chosen = p.with_gross_profit(p.selected(finance_facts(spark, d), cutoff()))
+    chosen = kept(p.with_gross_profit(p.selected(finance_facts(spark, d), cutoff())))
     return p.field_statuses(chosen, chosen.select("security_code", "report_date").distinct(), template())
 
 

@@ -1,8 +1,8 @@
-"""Writing fact tables and packs, period matrices, fingerprints, and incremental ingestion."""
+"""Writing fact tables and packs, period matrices and fingerprints."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -85,21 +85,3 @@ def period_matrix(facts: DataFrame, periods: list) -> DataFrame:
 def fingerprint(df: DataFrame) -> DataFrame:
     """Rows and an order-free digest of a table."""
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("digest"))
-
-
-def ingest(spark: SparkSession, landed: str, schema: str, facts: str, checkpoint: str, keys: list[str]) -> None:
-    """Files that landed since the last call join the fact table once each; facts that are there already aren't added.
-
-    The checkpoint remembers the files. Within a batch and against the table, rows with the same keys count once.
-    """
-
-    def add(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(keys)
-        session = batch.sparkSession
-        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(facts)
-        if path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(path):  # the first batch has no table yet
-            new = new.join(session.read.parquet(facts).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(facts)
-
-    stream = spark.readStream.schema(schema).json(landed)
-    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

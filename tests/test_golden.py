@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators import documents, mapping, normalize, point_in_time, reconcile, search, timeseries
 from factloom.sources import facts as src
 from factloom.sources import sinks
+from factloom.streaming import ingestion
 
 D = datetime.date
 FACT = ", ".join(f"{c} {'date' if c in ('report_date', 'event_date', 'available_at') else 'double' if c == 'value_num' else 'string'}" for c in src.COLUMNS)
@@ -165,8 +166,8 @@ def test_incremental_ingestion_equals_the_batch(spark, tmp_path):
     second = [("1", "a", 1.0), ("2", "a", 3.0)]
     for k, rows in enumerate((first, second)):
         spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{landed}/{k}")
-        sinks.ingest(spark, f"{landed}/*", schema, table, f"{tmp_path}/checkpoint", keys)
-    sinks.ingest(spark, f"{landed}/*", schema, table, f"{tmp_path}/checkpoint", keys)
+        ingestion.ingest(spark, f"{landed}/*", schema, table, f"{tmp_path}/checkpoint", keys)
+    ingestion.ingest(spark, f"{landed}/*", schema, table, f"{tmp_path}/checkpoint", keys)
     found = sorted((r.code, r.field, r.value) for r in spark.read.parquet(table).collect())
     assert found == sorted({*first, *second})
 
