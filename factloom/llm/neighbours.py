@@ -120,15 +120,12 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k:
         d = distances(queries[which], tree.x[node[0] : node[0] + 1])[:, 0]
         low_in, high_in, low_out, high_out = node[1]
         to_in, to_out = np.maximum(d - high_in, low_in - d), np.maximum(d - high_out, low_out - d)
-        first_in = to_in <= to_out
-        # nearer branch first; the k-th distances are looked at again before the other
-        for inner_first in (True, False):
-            own_ = first_in == inner_first
-            for child, bound in ((node[2], to_in), (node[3], to_out)) if inner_first else ((node[3], to_out), (node[2], to_in)):
-                some = which[own_]
-                go = some[bound[own_] * factor <= best[some, -1] * (1 + 1e-12)]
-                if len(go):
-                    visit(child, go, seen)
+        # the branch that is nearer to most goes first; the k-th distances are looked at again before the other
+        both = [(node[2], to_in), (node[3], to_out)]
+        for child, bound in both if (to_in <= to_out).mean() >= 0.5 else both[::-1]:
+            go = which[bound * factor <= best[which, -1] * (1 + 1e-12)]
+            if len(go):
+                visit(child, go, seen)
 
     everyone = np.arange(n)
     if len(tree.x) and n:
