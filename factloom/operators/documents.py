@@ -52,9 +52,9 @@ def attachments(urls: Column) -> Column:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, title, text, digest, quality, links, attachments) of pages."""
+    """(page_id, title, canonical_url, text, digest, quality, links, attachments) of pages."""
     t = main_text(F.col("html"))
-    out = pages.select("page_id", title(F.col("html")).alias("title"), t.alias("text"), links(F.col("html"), F.col("url")).alias("links"))
+    out = pages.select("page_id", title(F.col("html")).alias("title"), canonical_url(F.col("html"), F.col("url")).alias("canonical_url"), t.alias("text"), links(F.col("html"), F.col("url")).alias("links"))
     quality = F.when(F.length("text") >= 40, "good").when(F.col("text") != "", "partial").otherwise("failed")
     return out.select("*", F.sha2("text", 256).alias("text_sha256"), quality.alias("quality"), attachments(F.col("links")).alias("attachments"))
 
@@ -76,6 +76,48 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
+# Suffixes of company names, the first that fits goes.
+COMPANY_SUFFIXES = ["股份有限公司", "有限责任公司", "有限公司", "集团股份有限公司", "集团有限公司", "公司", "coltd", "limited", "ltd"]
+
+
+def company_name(text: Column) -> Column:
+    """A company's name in lower case without marks, spaces and its legal form."""
+    t = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[\s\u3000·•,，。.;；:：'\"()（）\[\]【】_-]+", "")
+    out = F.when(F.lit(False), t)
+    for suffix in COMPANY_SUFFIXES:
+        out = out.when(F.endswith(t, F.lit(suffix)), F.substring(t, F.lit(1), F.length(t) - len(suffix)))
+    return out.otherwise(t)
+
+
+def canonical_url(html: Column, url: Column) -> Column:
+    """The address that a page gives as its own; a relative one takes the page's scheme and host, none is null."""
+    link = F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?is)<link\s(?=[^>]*rel\s*=\s*["']?[^"'>]*canonical)[^>]*?href\s*=\s*["']([^"'>]+)["']""", 1)
+    root = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    return F.when(link == "", None).when(F.startswith(link, F.lit("/")), F.concat(root, link)).otherwise(link)
+
+
+def plain_label(text: Column) -> Column:
+    """A row's label without spaces, numbering, words like 其中 and a colon at its end."""
+    t = F.replace(F.translate(compact(text), "，", ","), F.lit(":"), F.lit("："))
+    t = F.regexp_replace(F.regexp_replace(t, r"^[一二三四五六七八九十百]+、", ""), r"^\d+[.、]", "")
+    for prefix in ("其中：", "加：", "减："):
+        t = F.regexp_replace(t, f"^{prefix}", "")
+    return F.regexp_replace(t, "：+$", "")
+
+
+def label_matches(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows (label, ...) joined to targets (alias, ...) whose alias is the label, or what stands before a bracket in it.
+
+    An equi-join on the label and its beginnings before each bracket, of which there are a few.
+    """
+    label = plain_label(F.col("label"))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("d__l"), F.lit(1))), lambda i: F.substring(F.col("d__l"), i, F.lit(1)).isin("（", "("))
+    begins = F.transform(at, lambda i: F.substring(F.col("d__l"), F.lit(1), i - 1))
+    marked = rows.withColumn("d__l", label).withColumn("d__k", F.explode(F.array_distinct(F.concat(F.array("d__l"), begins))))
+    named = targets.withColumn("d__a", plain_label(F.col("alias"))).filter("d__a != ''")
+    return marked.join(named, F.col("d__k") == F.col("d__a")).drop("d__l", "d__k", "d__a")
+
+
 NUMBER = r"(-?\(\s*\d[\d,]*(?:\.\d+)?\s*\)|-?\d[\d,]*(?:\.\d+)?)"
 # What a unit multiplies by.
 UNITS = {"元": 1.0, "千元": 1e3, "万元": 1e4, "亿元": 1e8, "元/股": 1.0}

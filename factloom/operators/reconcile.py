@@ -409,6 +409,27 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
+# Statuses of values that no official report could give yet.
+UNAVAILABLE = [
+    "OFFICIAL_PERIOD_NOT_LOADED", "PRE_LISTING_OFFICIAL_SOURCE_NOT_LOADED", "OFFICIAL_DOCUMENT_EXTRACTION_FAILED", "POST_LISTING_OFFICIAL_REPORT_NOT_FOUND",
+    "OFFICIAL_REPORT_SUMMARY_SCOPE_GAP", "OFFICIAL_REPORT_NOT_YET_DISCLOSED",
+]
+OUT_OF_SCOPE = ["NOT_IN_PERIODIC_REPORT_SCOPE", "EASTMONEY_SOURCE_SPECIFIC", "FUTURE_FREE_SOURCE_REQUIRED"]
+
+
+def gap_groups(rows: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
+    """Five counts of a comparison, nulls kept as groups: what is missing, unavailable, by status, of events, and what is out of scope."""
+    s = F.col("status")
+    counted = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("fact_count"))
+    event = rows.filter(F.col("report_date").isNull() & s.isin("MISSING_OFFICIAL", "MISSING_EASTMONEY", "UNRESOLVED"))
+    return {
+        "missing_official": counted(rows.filter(s.isin("MISSING_OFFICIAL", "UNRESOLVED")), "report_date", "period_type", "family", "field_key", "field_name_cn", "mode", "status"),
+        "unavailable": counted(rows.filter(s.isin(*UNAVAILABLE)), "report_date", "period_type", "family", "mode", "status"),
+        "by_status": counted(rows, "mode", "status"), "event_gaps": counted(event, "theme", "family", "dataset", "mode", "status"),
+        "out_of_scope": entries.filter(F.col("mode").isin(*OUT_OF_SCOPE)),
+    }
+
+
 def status_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status", "mode", "family").agg(F.count(F.lit(1)).alias("n"))
 

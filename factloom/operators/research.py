@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.priority import formula_priority
+from factloom.operators.documents import company_name
 
 # Key order of the sections of a cash-flow statement.
 CASH_FLOW_ENDS = ("NETPROFIT", "CCE_ADDNOTE")
@@ -62,18 +63,22 @@ def segments(facts: DataFrame, name: str, revenue: str, cost: str) -> DataFrame:
 def entity_matches(mentions: DataFrame, profiles: DataFrame) -> DataFrame:
     """Which profile (security_code, legal_name, former_names, domain, short_name) a mention (id, text, domain, code) means.
 
-    Rules in order: code, legal name, former name, domain, short name within the text. Each is an equi-join but the
-    last, which joins whole short names with the substrings, of the lengths that short names have, of those texts that no
+    Rules in order: code, credit code (where both have a column credit_code), legal name, former name, domain, short name
+    within the text. Names are compared without company suffixes and marks. Each rule is an equi-join but the last, which joins whole short names with the substrings, of the lengths that short names have, of those texts that no
     other rule decided.
     """
     p = profiles
     keyed = lambda col, rank, rule: p.select(F.col(col).alias("k"), F.col("security_code").alias("found"), F.lit(rank).alias("rank"), F.lit(rule).alias("rule")).filter("k is not null and k != ''")
     former = p.select(F.explode("former_names").alias("k"), F.col("security_code").alias("found"), F.lit(2).alias("rank"), F.lit("FORMER_NAME").alias("rule"))
-    by_name = keyed("legal_name", 1, "LEGAL_NAME").unionByName(former)
+    by_name = keyed("legal_name", 1, "LEGAL_NAME").unionByName(former).withColumn("k", company_name(F.col("k"))).filter("k != ''")
     hits = (
         mentions.join(keyed("security_code", 0, "CODE"), F.col("code") == F.col("k"))
-        .unionByName(mentions.join(by_name, F.col("text") == F.col("k"))).unionByName(mentions.join(keyed("domain", 3, "DOMAIN"), F.col("domain") == F.col("k")))
+        .unionByName(mentions.join(by_name, company_name(F.col("text")) == F.col("k"))).unionByName(mentions.join(keyed("domain", 3, "DOMAIN"), F.col("domain") == F.col("k")))
     ).select("id", "found", "rank", "rule")
+    if "credit_code" in mentions.columns and "credit_code" in p.columns:
+        # between the security's code and its names
+        credit = keyed("credit_code", 0, "CREDIT_CODE").withColumn("rank", F.lit(0.5)).withColumnRenamed("k", "r__k")
+        hits = hits.unionByName(mentions.join(credit, F.col("credit_code") == F.col("r__k")).select("id", "found", "rank", "rule"))
     rest = mentions.join(hits.select("id").distinct(), "id", "left_anti")
     short = keyed("short_name", 4, "SHORT_NAME").filter(F.length("k") >= 2)
     lengths = short.select(F.length("k").alias("size")).distinct()  # few, whatever the number of names
@@ -156,3 +161,14 @@ def with_evidence(observations: DataFrame, lineage: DataFrame, sources: DataFram
     """Observations of which some source fact fulfils a condition."""
     hit = lineage.join(sources.filter(condition), "source_fact_id", "left_semi")
     return observations.join(hit, "observation_id", "left_semi")
+
+
+def with_issue(observations: DataFrame, lineage: DataFrame, sources: DataFrame, issue: str) -> DataFrame:
+    """Observations with an issue: parse_suspect (some source is suspect), source_conflict, or unresolved (none is usable)."""
+    if issue == "parse_suspect":
+        return with_evidence(observations, lineage, sources, (F.col("source_status") == "PARSE_SUSPECT") | F.coalesce("quarantined", F.lit(False)))
+    if issue == "source_conflict":
+        return observations.filter("status = 'SOURCE_CONFLICT'")
+    if issue == "unresolved":
+        return observations.filter("status = 'UNRESOLVED' or usable = 0")
+    raise ValueError(f"unknown issue: {issue}")

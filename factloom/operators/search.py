@@ -12,6 +12,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from factloom.operators.timeseries import latest_numeric
 
 TEXTS = ["field_name_cn", "field_key", "theme", "family", "dataset", "value_text", "unit", "source_url"]
 NUMBERS = ["value_num", "score", "base_score", "secondary_score"]
@@ -221,8 +224,6 @@ def facet(rows: DataFrame, request: Request, name: str, limit: int = 50) -> Data
 
 
 def Window_all():  # noqa: N802
-    from pyspark.sql.window import Window
-
     return Window.partitionBy(F.lit(0))
 
 
@@ -259,6 +260,16 @@ def periods(facts: DataFrame) -> DataFrame:
     return facts.select("report_date").filter("report_date is not null").distinct()
 
 
+# The fields that an overview shows.
+HEADLINES = ["TOTAL_OPERATE_INCOME", "PARENT_NETPROFIT", "TOTAL_ASSETS", "TOTAL_LIABILITIES", "MONETARYFUNDS", "ACCOUNTS_RECE", "INVENTORY", "NETCASH_OPERATE", "ROEJQ", "ZCFZL"]
+
+
+def headlines(facts: DataFrame) -> DataFrame:
+    """The latest value of each headline field of a security and family."""
+    rows = latest_numeric(facts.filter(F.col("field_key").isin(*HEADLINES)))
+    return rows.select("security_code", "field_key", "field_name_cn", "value_num", "value_text", "unit", "report_date", "family")
+
+
 def overview(facts: DataFrame) -> DataFrame:
     return facts.groupBy("security_code").agg(
         F.count(F.lit(1)).alias("facts"), F.countDistinct("field_key").alias("fields"), F.countDistinct("family").alias("families"),

@@ -92,6 +92,27 @@ def ttm(quarter_facts: DataFrame, cumulative_facts: DataFrame, strict: bool = Tr
     return both.select(*KEY, "report_date", F.coalesce("four", "cum").alias("ttm"), method.alias("method"), text.alias("formula"))
 
 
+def ttm_components(quarter_facts: DataFrame, cumulative_facts: DataFrame, strict: bool = True) -> DataFrame:
+    """What ttm() adds up: (key, report_date, ttm, method, formula, components), each component with date, value and role.
+
+    The formula's text has the dates and values that were used, values as they print.
+    """
+    part = lambda date, value, role: F.struct(date.alias("report_date"), value.alias("value"), F.lit(role).alias("role"))
+    quarters = one_per_period(quarter_facts.filter(F.col("family").isin(*INDEPENDENT)), [*KEY, "report_date", "value_num"])
+    four = Window.partitionBy(*KEY).orderBy("report_date").rowsBetween(-3, 0)
+    listed = quarters.select(*KEY, "report_date", F.collect_list(part(F.col("report_date"), F.col("value_num"), "add")).over(four).alias("q"))
+    last_year, same = F.make_date(F.year("report_date") - 1, F.lit(12), F.lit(31)), F.add_months("report_date", -12)
+    rolled = ttm_cumulative(cumulative_facts).select(
+        *KEY, "report_date", F.when(F.quarter("report_date") == 4, F.array(part(F.col("report_date"), F.col("value_num"), "current_fy"))).otherwise(F.array(
+            part(last_year, F.col("prior_year"), "add_previous_fy"), part(F.last_day(same), F.col("prior_same"), "subtract_previous_same"), part(F.col("report_date"), F.col("value_num"), "add_current_cumulative"),
+        )).alias("c"))
+    out = ttm(quarter_facts, cumulative_facts, strict).drop("formula").join(listed, [*KEY, "report_date"], "left").join(rolled, [*KEY, "report_date"], "left")
+    used = F.when(F.col("method") == "FOUR_INDEPENDENT_QUARTERS", F.col("q")).otherwise(F.col("c"))
+    text = F.transform("components", lambda x: F.concat(F.when(x["role"] == "subtract_previous_same", "- ").otherwise("+ "), x["report_date"].cast("string"), F.lit(":"), x["value"].cast("string")))
+    named = out.withColumn("components", used)
+    return named.withColumn("formula", F.substring(F.array_join(text, " "), 3, 1000)).select(*KEY, "report_date", "ttm", "method", "formula", "components")
+
+
 def value_as_of(facts: DataFrame, ends: DataFrame) -> DataFrame:
     """VALUE(field): the latest value up to each end (security_code, end); one union and a running last, no range join.
 
