@@ -14,7 +14,8 @@ METRICS = [
     ("financial.operating_profit", "营业利润", "financial_statements", ["OPERATE_PROFIT"], "元", "flow", "consolidated"),
     ("financial.net_profit", "净利润", "financial_statements", ["NETPROFIT"], "元", "flow", "consolidated"),
     ("financial.parent_net_profit", "归母净利润", "financial_statements", ["PARENT_NETPROFIT"], "元", "flow", "consolidated"),
-    ("profit_quality.adjusted_parent_net_profit", "扣非归母净利润", "profit_quality", ["DEDUCT_PARENT_NETPROFIT", "KCFJCXSYJLR", "DEDU_PARENT_PROFIT"], "元", "flow", "consolidated"),
+    ("profit_quality.adjusted_parent_net_profit", "扣非归母净利润", "profit_quality", ["DEDUCT_PARENT_NETPROFIT", "KCFJCXSYJLR", "DEDU_PARENT_PROFIT"], "元", "flow",
+        "consolidated"),
     ("profit_quality.non_recurring_profit", "非经常性损益", "profit_quality", ["NON_RECURRING_PROFIT", "NONRECURRING_PROFIT"], "元", "flow", "consolidated"),
     ("cashflow.operating_cash_flow", "经营活动现金流量净额", "profit_quality", ["NETCASH_OPERATE"], "元", "flow", "consolidated"),
     ("cashflow.investing_cash_flow", "投资活动现金流量净额", "financial_statements", ["NETCASH_INVEST"], "元", "flow", "consolidated"),
@@ -42,7 +43,8 @@ METRICS = [
     ("governance.pledge_ratio", "质押比例", "governance_and_events", ["PLEDGE_RATIO"], "%", "event", "entity"),
     ("market.close_price", "收盘价", "market_and_consensus", ["CLOSE_PRICE", "CLOSE"], "元/股", "event", "entity"),
     ("consensus.revenue_forecast", "一致预期营业收入", "market_and_consensus", ["PREDICT_OPERATE_INCOME", "FORECAST_REVENUE"], "元", "forecast", "entity"),
-    ("consensus.parent_profit_forecast", "一致预期归母净利润", "market_and_consensus", ["PREDICT_PARENT_NETPROFIT", "FORECAST_PARENT_NETPROFIT"], "元", "forecast", "entity"),
+    ("consensus.parent_profit_forecast", "一致预期归母净利润", "market_and_consensus", ["PREDICT_PARENT_NETPROFIT", "FORECAST_PARENT_NETPROFIT"], "元", "forecast",
+        "entity"),
 ]
 # Research modules in the order of their views.
 MODULES = [
@@ -62,11 +64,16 @@ def metric_of(key: Column, family: Column, name: Column, unit: Column, semantics
     By its key in the list of metrics; any other fact has a metric of its own, source.<family>.<key>, among the gaps.
     """
     text = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), other)
-    entry = lambda m, label, module, u, kind, where: F.struct(*[F.lit(x).alias(n) for n, x in zip(("metric_id", "metric_name_cn", "research_module", "unit", "data_semantics", "scope"), (m, label, module, u, kind, where))], F.lit(True).alias("known"))
-    table = F.create_map(*[x for m, label, module, keys, u, kind, where in METRICS for k in keys for x in (F.lit(k.upper()), entry(m, label, module, u, kind, where))])
+    entry = lambda m, label, module, u, kind, where: F.struct(*[F.lit(x).alias(n) for n,
+        x in zip(("metric_id", "metric_name_cn", "research_module", "unit", "data_semantics", "scope"), (m, label, module, u, kind, where))],
+        F.lit(True).alias("known"))
+    table = F.create_map(*[x for m, label, module, keys, u, kind, where in METRICS for k in keys for x in (F.lit(k.upper()),
+        entry(m, label, module, u, kind, where))])
     own = F.struct(
-        F.concat_ws(".", F.lit("source"), slug(text(family, F.lit("source"))), slug(key)).alias("metric_id"), text(name, text(key, F.lit("未命名字段"))).alias("metric_name_cn"),
-        F.lit("coverage_and_gaps").alias("research_module"), F.coalesce(unit, F.lit("")).alias("unit"), F.coalesce(semantics, F.lit("")).alias("data_semantics"),
+        F.concat_ws(".", F.lit("source"), slug(text(family, F.lit("source"))), slug(key)).alias("metric_id"),
+            text(name, text(key, F.lit("未命名字段"))).alias("metric_name_cn"),
+        F.lit("coverage_and_gaps").alias("research_module"), F.coalesce(unit, F.lit("")).alias("unit"),
+            F.coalesce(semantics, F.lit("")).alias("data_semantics"),
         text(scope, F.lit("entity")).alias("scope"), F.lit(False).alias("known"),
     )
     return F.coalesce(F.try_element_at(table, F.upper(F.coalesce(key, F.lit("")))), own)

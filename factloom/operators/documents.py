@@ -54,7 +54,8 @@ def attachments(urls: Column) -> Column:
 def parsed(pages: DataFrame) -> DataFrame:
     """(page_id, title, canonical_url, text, digest, quality, links, attachments) of pages."""
     t = main_text(F.col("html"))
-    out = pages.select("page_id", title(F.col("html")).alias("title"), canonical_url(F.col("html"), F.col("url")).alias("canonical_url"), t.alias("text"), links(F.col("html"), F.col("url")).alias("links"))
+    out = pages.select("page_id", title(F.col("html")).alias("title"), canonical_url(F.col("html"), F.col("url")).alias("canonical_url"), t.alias("text"),
+        links(F.col("html"), F.col("url")).alias("links"))
     quality = F.when(F.length("text") >= 40, "good").when(F.col("text") != "", "partial").otherwise("failed")
     return out.select("*", F.sha2("text", 256).alias("text_sha256"), quality.alias("quality"), attachments(F.col("links")).alias("attachments"))
 
@@ -157,6 +158,35 @@ def row_unit(row: Column) -> Column:
     return F.when(t.rlike(r"[（(](?:人民币)?元[/／]股[）)]"), "元/股").otherwise(F.coalesce(page_unit(row), own))
 
 
+def _windows(lines: DataFrame, keep: list[str], order: list[str], most: int) -> DataFrame:
+    """A row for each run of 1 to `most` lines that follow one another in a document: keep, size, text."""
+    following = Window.partitionBy("document_id").orderBy(*order)
+    ahead = lines.withColumns({f"d__{k}": F.lead("line", k).over(following) for k in range(1, most)})
+    upto = lambda k: F.concat_ws(" ", "line", *[f"d__{j}" for j in range(1, k + 1)])
+    windows = [F.struct(F.lit(k + 1).alias("size"), upto(k).alias("text")) for k in range(most)]
+    return ahead.select(*keep, F.explode(F.array(*windows)).alias("w")).select(*keep, "w.*")
+
+
+def _labelled(rows: DataFrame, targets: DataFrame, condition: Column) -> DataFrame:
+    """Rows (text) joined to the targets (label) that they begin with, and the amount `a` after the label where there is one.
+
+    An equi-join on the beginnings of a text, of the lengths that labels have: as many as the longest label has characters.
+    """
+    sizes = sorted(r[0] for r in targets.select(F.length("label")).distinct().collect() if r[0])
+    begins = F.array(*[F.when(F.length("text") >= n, F.lower(F.substring("text", 1, n))) for n in sizes] or [F.lit(None).cast("string")])
+    starts = rows.withColumn("d__s", F.explode(F.array_distinct(F.array_compact(begins))))
+    matched = starts.join(targets, (F.col("d__s") == F.lower("label")) & condition).drop("d__s")
+    return matched.withColumn("a", chosen(F.substr("text", F.length("label") + 1))).filter("a.value is not null")
+
+
+def _scaled(out: DataFrame, keep: list[str]) -> DataFrame:
+    """value, unit and tolerance from the columns value, raw and unit of a chosen amount."""
+    scale = F.element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), F.col("unit"))
+    half = F.lit(0.5) * F.pow(F.lit(10.0), -F.length(F.regexp_extract("raw", r"\.(\d+)", 1)))
+    tolerance = F.when(F.col("unit") == "元/股", F.greatest(F.lit(1e-9), half)).otherwise(F.greatest(F.lit(1.0), scale * half))
+    return out.select(*keep, (F.col("value") * scale).alias("value"), "unit", tolerance.alias("tolerance"))
+
+
 def extracted(texts: DataFrame, targets: DataFrame, width: int = 3, summary_width: int = 6) -> DataFrame:
     """Values of labelled lines: (document_id, field_key, value, unit, tolerance), the best line for each.
 
@@ -166,28 +196,37 @@ def extracted(texts: DataFrame, targets: DataFrame, width: int = 3, summary_widt
     """
     if "summary" not in targets.columns:
         targets = targets.withColumn("summary", F.lit(False))
-    most = max(width, summary_width)
-    trimmed = F.trim(F.regexp_replace(F.col("line"), r"[\s\u00a0\u3000]+", " "))
-    lines = texts.select("document_id", page_unit(F.col("text")).alias("page_unit"), F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line")).withColumn("line", trimmed).filter("line != ''")
-    order = Window.partitionBy("document_id").orderBy("line_no")
-    ahead = lines.withColumns({f"d__{k}": F.lead("line", k).over(order) for k in range(1, most)})
-    upto = lambda k: F.concat_ws(" ", "line", *[f"d__{j}" for j in range(1, k + 1)])
-    windows = [F.struct(F.lit(k + 1).alias("size"), upto(k).alias("text")) for k in range(most)]
-    rows = ahead.select("document_id", "page_unit", "line_no", F.explode(F.array(*windows)).alias("w")).select("document_id", "page_unit", "line_no", "w.*")
-    # an equi-join on the beginnings of a text, of the lengths that labels have (as many as the longest label has characters)
-    sizes = sorted(r[0] for r in targets.select(F.length("label")).distinct().collect() if r[0])
-    begins = F.array(*[F.when(F.length("text") >= n, F.lower(F.substring("text", 1, n))) for n in sizes] or [F.lit(None).cast("string")])
-    starts = rows.withColumn("d__s", F.explode(F.array_distinct(F.array_compact(begins))))
-    on = (F.col("d__s") == F.lower("label")) & (F.col("size") <= F.when(F.col("summary"), summary_width).otherwise(width))
-    matched = starts.join(targets, on).drop("d__s")
-    found = matched.withColumn("a", chosen(F.substr("text", F.length("label") + 1))).filter("a.value is not null")
+    split = F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line")
+    lines = texts.select("document_id", page_unit(F.col("text")).alias("page_unit"), split).withColumn("line", _spaced("line")).filter("line != ''")
+    rows = _windows(lines, ["document_id", "page_unit", "line_no"], ["line_no"], max(width, summary_width))
+    found = _labelled(rows, targets, F.col("size") <= F.when(F.col("summary"), summary_width).otherwise(width))
     unit = F.coalesce(row_unit(F.col("text")), F.col("page_unit"), F.lit("元"))
     best = F.struct(F.col("size"), F.col("line_no"), F.col("a.value").alias("value"), F.col("a.raw").alias("raw"), unit.alias("unit"))
     out = found.groupBy("document_id", "field_key").agg(F.min(best).alias("b")).select("document_id", "field_key", "b.*")
-    scale = F.element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), F.col("unit"))
-    half = F.lit(0.5) * F.pow(F.lit(10.0), -F.length(F.regexp_extract("raw", r"\.(\d+)", 1)))
-    tolerance = F.when(F.col("unit") == "元/股", F.greatest(F.lit(1e-9), half)).otherwise(F.greatest(F.lit(1.0), scale * half))
-    return out.select("document_id", "field_key", (F.col("value") * scale).alias("value"), "unit", tolerance.alias("tolerance"))
+    return _scaled(out, ["document_id", "field_key"])
+
+
+def _spaced(line: str) -> Column:
+    return F.trim(F.regexp_replace(F.col(line), r"[\s\u00a0\u3000]+", " "))
+
+
+def statement_values(lines: DataFrame, targets: DataFrame, width: int = 3) -> DataFrame:
+    """Values of labelled lines within the statement that a target belongs to, the best for each document, statement and field.
+
+    lines: document_id, page, line_no, line; targets: field_key, label, statement. Consolidated statements score above a
+    parent company's, then shorter windows and earlier lines win. Units are the row's, else the last that was stated.
+    """
+    stated = F.last(page_unit(F.col("line")), ignorenulls=True).over(
+        Window.partitionBy("document_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0))
+    within = in_statements(lines.withColumns({"line": _spaced("line"), "page_unit": stated}).filter("line != ''")).filter("statement is not null")
+    keep = ["document_id", "page", "line_no", "page_unit", "statement", "scope"]
+    rows = _windows(within, keep, ["page", "line_no"], width).withColumnRenamed("statement", "d__in")
+    found = _labelled(rows, targets, F.col("d__in") == F.col("statement"))
+    unit = F.coalesce(row_unit(F.col("text")), F.col("page_unit"), F.lit("元"))
+    score = F.when(F.col("scope") == "consolidated", 75).otherwise(60)
+    best = F.struct((-score).alias("s"), "size", "page", "line_no", F.col("a.value").alias("value"), F.col("a.raw").alias("raw"), unit.alias("unit"), "scope")
+    out = found.groupBy("document_id", "statement", "field_key").agg(F.min(best).alias("b")).select("document_id", "statement", "field_key", "b.*")
+    return _scaled(out, ["document_id", "statement", "field_key", "scope", "page"])
 
 
 # Headings of statements, and of tables that end one.
@@ -226,7 +265,8 @@ def in_statements(lines: DataFrame) -> DataFrame:
     ends = F.lit(False)
     for name in OTHER_TABLES:
         ends = ends | F.contains(compact(F.col("line")), F.lit(name))
-    mark = F.when(heading(F.col("line")).isNotNull(), F.struct(F.col("page").alias("page"), heading(F.col("line")).alias("h"))).when(ends, F.struct(F.col("page").alias("page"), F.lit(None).cast("struct<statement:string,scope:string>").alias("h")))
+    mark = F.when(heading(F.col("line")).isNotNull(), F.struct(F.col("page").alias("page"), heading(F.col("line")).alias("h"))).when(ends,
+        F.struct(F.col("page").alias("page"), F.lit(None).cast("struct<statement:string,scope:string>").alias("h")))
     last = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     out = lines.withColumn("d__m", last)
     holds = F.col("page") <= F.col("d__m.page") + HOLDS
@@ -279,12 +319,14 @@ def profiles(facts: DataFrame) -> DataFrame:
     wanted = [F.struct(F.lit(part).alias("part"), F.lit(k).alias("k"), F.lit(r).alias("r")) for part, keys in PROFILE_KEYS.items() for r, k in enumerate(keys)]
     rows = facts.filter(~F.coalesce("value_text", F.lit("")).isin("", "[]", "{}"))
     named = rows.withColumn("d__p", F.explode(F.filter(F.array(*wanted), lambda x: x["k"] == F.col("field_key"))))
-    first = lambda part: F.min_by(F.when(F.col("d__p.part") == part, F.col("value_text")), F.when(F.col("d__p.part") == part, F.struct("d__p.r", "ordinal", "value_text"))).alias(part)
+    first = lambda part: F.min_by(F.when(F.col("d__p.part") == part, F.col("value_text")),
+        F.when(F.col("d__p.part") == part, F.struct("d__p.r", "ordinal", "value_text"))).alias(part)
     g = named.groupBy("security_code").agg(*[first(p) for p in PROFILE_KEYS])
     site = F.when(~F.col("website").rlike("^https?://"), F.concat(F.lit("https://"), "website")).otherwise(F.col("website"))
     names = F.filter(F.transform(F.split(F.coalesce("former", F.lit("")), "[,，;；]"), lambda x: F.trim(x)), lambda x: x != "")
     words = lambda *parts: F.array_distinct(F.array_compact(F.array(*[F.nullif(F.col(p), F.lit("")) for p in parts])))
     return g.select(
-        "security_code", "name_abbr", F.coalesce("company_name", "name_abbr").alias("company_name"), "company_name_en", names.alias("former_names"), site.alias("website"),
+        "security_code", "name_abbr", F.coalesce("company_name", "name_abbr").alias("company_name"), "company_name_en", names.alias("former_names"),
+            site.alias("website"),
         words("industry", "board_1", "board_2", "board_3").alias("industry_keywords"), words("name_abbr", "brand_1", "brand_2").alias("brand_keywords"),
     )

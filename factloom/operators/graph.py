@@ -25,19 +25,22 @@ def document_node_id(id_: str = "document_id", url: str = "source_url", name: st
     """A document's id with its prefix, else a digest of its address and name; null where it has none of these."""
     own = _text(id_)
     made = stable_id("doc", _text(url), _text(name))
-    return F.when(own != "", F.when(F.startswith(own, F.lit("doc_")), own).otherwise(F.concat(F.lit("doc_"), own))).when((_text(url) != "") | (_text(name) != ""), made)
+    return F.when(own != "", F.when(F.startswith(own, F.lit("doc_")), own).otherwise(F.concat(F.lit("doc_"),
+        own))).when((_text(url) != "") | (_text(name) != ""), made)
 
 
 def _node(df: DataFrame, node_id: Column, kind: str, label: Column, attributes: Column, precedence: int) -> DataFrame:
     return df.select(
-        node_id.alias("node_id"), F.lit(kind).alias("node_type"), F.col("security_code"), label.alias("label"), attributes.alias("attributes"), F.lit(precedence).alias("precedence")
+        node_id.alias("node_id"), F.lit(kind).alias("node_type"), F.col("security_code"), label.alias("label"), attributes.alias("attributes"),
+            F.lit(precedence).alias("precedence")
     ).filter("node_id is not null")
 
 
 def _edge(df: DataFrame, start: Column, end: Column, kind: str | Column, attributes: Column | None = None) -> DataFrame:
     kind = F.lit(kind) if isinstance(kind, str) else kind
     attributes = F.lit("{}") if attributes is None else attributes
-    rows = df.select(start.alias("from_id"), end.alias("to_id"), kind.alias("edge_type"), attributes.alias("attributes")).filter("from_id is not null and to_id is not null")
+    rows = df.select(start.alias("from_id"), end.alias("to_id"), kind.alias("edge_type"),
+        attributes.alias("attributes")).filter("from_id is not null and to_id is not null")
     return rows.withColumn("edge_id", stable_id("edge", F.col("from_id"), F.col("to_id"), F.col("edge_type"), F.col("attributes")))
 
 
@@ -47,7 +50,8 @@ def _predecessor() -> Column:
 
 
 def _parsed_id() -> Column:
-    return F.when((_text("parsed_text_path") != "") | (_text("text_sha256") != ""), stable_id("parsed", document_node_id(), _text("parsed_text_path"), _text("text_sha256")))
+    return F.when((_text("parsed_text_path") != "") | (_text("text_sha256") != ""),
+        stable_id("parsed", document_node_id(), _text("parsed_text_path"), _text("text_sha256")))
 
 
 def _attachments(documents: DataFrame) -> DataFrame:
@@ -80,11 +84,13 @@ def nodes(documents: DataFrame, source_facts: DataFrame, observations: DataFrame
         _node(codes, F.concat(F.lit("security_"), code), "SECURITY", code, F.to_json(F.struct("security_code")), 0),
         _node(d, document_node_id(), "DOCUMENT", title, facts_of_document, 0),
         _node(d, _predecessor(), "DOCUMENT", _predecessor(), placeholder("version chain"), 1),
-        _node(d, _parsed_id(), "PARSED_TEXT", F.coalesce(F.nullif(_text("parsed_text_path"), F.lit("")), _text("text_sha256")), F.to_json(F.struct("parsed_text_path", "text_sha256")), 0),
+        _node(d, _parsed_id(), "PARSED_TEXT", F.coalesce(F.nullif(_text("parsed_text_path"), F.lit("")), _text("text_sha256")),
+            F.to_json(F.struct("parsed_text_path", "text_sha256")), 0),
         _node(_attachments(d), F.col("attachment"), "ATTACHMENT", _text("a.file_name"), F.to_json("a"), 0),
         _node(s, F.col("source_fact_id"), "SOURCE_FACT", _text("field_key"), F.to_json(F.struct("field_key", "source_url", "source_page")), 0),
         _node(s, document_node_id(), "DOCUMENT", known, placeholder("source fact lineage"), 2),
-        _node(s, _location_id(), "EVIDENCE_LOCATION", F.concat_ws(" p.", document_node_id(), F.coalesce(F.nullif(_text("source_page"), F.lit("")), F.lit("?"))), F.to_json(F.struct("source_page", "source_row")), 0),
+        _node(s, _location_id(), "EVIDENCE_LOCATION", F.concat_ws(" p.", document_node_id(), F.coalesce(F.nullif(_text("source_page"), F.lit("")), F.lit("?"))),
+            F.to_json(F.struct("source_page", "source_row")), 0),
         _node(o, F.col("observation_id"), "CANONICAL_OBSERVATION", _text("metric_id"), F.to_json(F.struct("metric_id")), 0),
     ]
     every = parts[0]
@@ -130,10 +136,12 @@ def quality(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """(measure, kind, n, share): nodes and edges by type, repeated ids, dangling edges, and the shares of observations with
     lineage and with evidence; verdict PASS or FAIL in the row `status`."""
     count = lambda df, measure, c: df.groupBy(F.col(c).alias("kind")).agg(F.count(F.lit(1)).alias("n")).withColumn("measure", F.lit(measure))
-    repeats = lambda df, measure, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n")).select(F.lit(None).cast("string").alias("kind"), "n", F.lit(measure).alias("measure"))
+    repeats = lambda df, measure, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1),
+        F.lit(0)).alias("n")).select(F.lit(None).cast("string").alias("kind"), "n", F.lit(measure).alias("measure"))
     ids = node_rows.select("node_id").distinct()
     ends = edge_rows.select("edge_id", F.explode(F.array("from_id", "to_id")).alias("node_id"))
-    dangling = ends.join(ids, "node_id", "left_anti").agg(F.countDistinct("edge_id").alias("n")).select(F.lit(None).cast("string").alias("kind"), "n", F.lit("dangling_edges").alias("measure"))
+    dangling = ends.join(ids, "node_id", "left_anti").agg(F.countDistinct("edge_id").alias("n")).select(F.lit(None).cast("string").alias("kind"), "n",
+        F.lit("dangling_edges").alias("measure"))
     lineage = edge_rows.filter(F.col("edge_type").isin(*ROLE_EDGES.values())).select(F.col("from_id").alias("node_id"), F.col("to_id").alias("fact"))
     evidenced = edge_rows.filter(F.col("edge_type").isin("LOCATED_AT", "DERIVED_FROM_DOCUMENT")).select(F.col("from_id").alias("fact")).distinct()
     observed = node_rows.filter("node_type = 'CANONICAL_OBSERVATION'").select("node_id")
@@ -141,11 +149,15 @@ def quality(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     with_evidence = lineage.join(evidenced, "fact", "left_semi").select("node_id").distinct().withColumn("evidence", F.lit(True))
     covered = observed.join(with_lineage, "node_id", "left").join(with_evidence, "node_id", "left")
     shares = covered.agg(F.count(F.lit(1)).alias("all"), F.count("lineage").alias("with_lineage"), F.count("evidence").alias("with_evidence"))
-    shares = shares.select(F.explode(F.array(*[F.struct(F.lit(None).cast("string").alias("kind"), F.col(c).alias("n"), F.lit(f"observations_{c}").alias("measure"), F.try_divide(F.col(c), F.col("all")).alias("share")) for c in ("with_lineage", "with_evidence")])).alias("s")).select("s.*")
+    shares = shares.select(F.explode(F.array(*[F.struct(F.lit(None).cast("string").alias("kind"), F.col(c).alias("n"),
+        F.lit(f"observations_{c}").alias("measure"), F.try_divide(F.col(c), F.col("all")).alias("share")) for c in ("with_lineage",
+        "with_evidence")])).alias("s")).select("s.*")
     plain = count(node_rows, "nodes", "node_type").unionByName(count(edge_rows, "edges", "edge_type")).unionByName(dangling)
     plain = plain.unionByName(repeats(node_rows, "duplicate_nodes", "node_id")).unionByName(repeats(edge_rows, "duplicate_edges", "edge_id"))
     measures = plain.withColumn("share", F.lit(None).cast("double")).unionByName(shares)
-    bad = (F.col("measure").isin("dangling_edges", "duplicate_nodes", "duplicate_edges") & (F.col("n") > 0)) | ((F.col("measure") == "observations_with_lineage") & (F.coalesce("share", F.lit(1.0)) < 1))
+    bad = (F.col("measure").isin("dangling_edges", "duplicate_nodes",
+        "duplicate_edges") & (F.col("n") > 0)) | ((F.col("measure") == "observations_with_lineage") & (F.coalesce("share", F.lit(1.0)) < 1))
     # a few rows of measures, whatever the size of the graph
-    status = measures.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("bad")).select(F.when(F.col("bad"), "FAIL").otherwise("PASS").alias("kind"), F.lit(None).cast("long").alias("n"), F.lit("status").alias("measure"), F.lit(None).cast("double").alias("share"))
+    status = measures.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("bad")).select(F.when(F.col("bad"), "FAIL").otherwise("PASS").alias("kind"),
+        F.lit(None).cast("long").alias("n"), F.lit("status").alias("measure"), F.lit(None).cast("double").alias("share"))
     return measures.unionByName(status).select("measure", "kind", "n", "share")

@@ -68,10 +68,13 @@ def source_facts(facts: DataFrame, cutoff: Column, metrics: DataFrame) -> DataFr
     known = facts.filter(F.col("available_at").isNull() | (F.col("available_at") <= cutoff))
     named = known.join(metrics, "field_key", "left")
     out = named.select(
-        "security_code", F.coalesce("metric_id", F.concat_ws(".", F.lit("source"), "family", "field_key")).alias("metric_id"), "report_date", "period_type", "data_semantics", "scope",
+        "security_code", F.coalesce("metric_id", F.concat_ws(".", F.lit("source"), "family", "field_key")).alias("metric_id"), "report_date", "period_type",
+            "data_semantics", "scope",
         "source", "source_status", "available_at", "value_text", scaled("value_num", "unit").alias("value_num"), canonical_unit("unit").alias("unit"),
-        source_priority(F.col("source"), F.col("source_status")).alias("priority"), F.col("source_status").isin("PARSE_SUSPECT", "UNRESOLVED").alias("quarantined"),
-        stable_id("src", *[F.col(c) for c in ("security_code", "source", "family", "dataset", "record_key", "field_key", "period_type", "value_text", "unit")]).alias("source_fact_id"),
+        source_priority(F.col("source"), F.col("source_status")).alias("priority"),
+            F.col("source_status").isin("PARSE_SUSPECT", "UNRESOLVED").alias("quarantined"),
+        stable_id("src", *[F.col(c) for c in ("security_code", "source", "family", "dataset", "record_key", "field_key", "period_type", "value_text",
+            "unit")]).alias("source_fact_id"),
     )
     return out.dropDuplicates(["source_fact_id"])
 
@@ -84,7 +87,8 @@ def lineage(sources: DataFrame) -> DataFrame:
     """
     group = Window.partitionBy(*KEY)
     order = group.orderBy("quarantined", F.desc("priority"), F.desc_nulls_last("available_at"), "source_fact_id")
-    first = F.first(F.struct("value_num", "value_text", "source_fact_id", "priority")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first(F.struct("value_num", "value_text", "source_fact_id", "priority")).over(order.rowsBetween(Window.unboundedPreceding,
+        Window.unboundedFollowing))
     out = sources.withColumn("m__f", first)
     a, b = F.col("value_num"), F.col("m__f.value_num")
     near = F.abs(a - b) <= F.greatest(F.lit(1e-9), F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) * 1e-10)
@@ -103,11 +107,14 @@ def observations(rows: DataFrame) -> DataFrame:
     chosen = F.col("role") == "SELECTED"
     pick = lambda c: F.max(F.when(chosen, F.col(c)))
     g = rows.groupBy("observation_id", *KEY).agg(
-        pick("value_num").alias("value_num"), pick("value_text").alias("value_text"), pick("unit").alias("unit"), pick("source_fact_id").alias("selected_id"), pick("priority").alias("m__p"),
+        pick("value_num").alias("value_num"), pick("value_text").alias("value_text"), pick("unit").alias("unit"), pick("source_fact_id").alias("selected_id"),
+            pick("priority").alias("m__p"),
         F.count(F.lit(1)).alias("sources"), F.max("usable").alias("usable"), F.max("conflicts").alias("conflicts"),
     )
-    status = F.when(F.col("usable") == 0, "UNRESOLVED").when(F.col("conflicts") > 0, "SOURCE_CONFLICT").when(F.col("usable") > 1, "VERIFIED_MULTI_SOURCE").otherwise("SINGLE_SOURCE")
-    confidence = F.when(F.col("status") == "VERIFIED_MULTI_SOURCE", "high").when(F.col("status") == "SINGLE_SOURCE", F.when(F.col("m__p") >= 85, "high").otherwise("medium")).otherwise("low")
+    status = F.when(F.col("usable") == 0, "UNRESOLVED").when(F.col("conflicts") > 0, "SOURCE_CONFLICT").when(F.col("usable") > 1,
+        "VERIFIED_MULTI_SOURCE").otherwise("SINGLE_SOURCE")
+    confidence = F.when(F.col("status") == "VERIFIED_MULTI_SOURCE", "high").when(F.col("status") == "SINGLE_SOURCE",
+        F.when(F.col("m__p") >= 85, "high").otherwise("medium")).otherwise("low")
     return g.withColumn("status", status).withColumn("confidence", confidence).drop("m__p")
 
 
@@ -151,8 +158,10 @@ def traced(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
 
 def graph_quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(problem, id): two types for one node, repeated edges, and edges whose ends don't exist."""
-    collision = nodes.groupBy("node_id").agg(F.countDistinct("node_type").alias("n")).filter("n > 1").select(F.lit("TYPE_COLLISION").alias("problem"), F.col("node_id").alias("id"))
-    repeated = edges.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("DUPLICATE_EDGE").alias("problem"), F.col("edge_id").alias("id"))
+    collision = nodes.groupBy("node_id").agg(F.countDistinct("node_type").alias("n")).filter("n > 1").select(F.lit("TYPE_COLLISION").alias("problem"),
+        F.col("node_id").alias("id"))
+    repeated = edges.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("DUPLICATE_EDGE").alias("problem"),
+        F.col("edge_id").alias("id"))
     ids = nodes.select("node_id").distinct()
     ends = edges.select("edge_id", F.explode(F.array("from_id", "to_id")).alias("node_id"))
     dangling = ends.join(ids, "node_id", "left_anti").select(F.lit("DANGLING_EDGE").alias("problem"), F.col("edge_id").alias("id")).distinct()

@@ -69,7 +69,8 @@ def duplicate_resolution(candidates: DataFrame, key: list[str]) -> DataFrame:
     each = F.struct("field_key", "value_num", "value_text", "available_at", "source_url")
     g = candidates.groupBy(*key).agg(
         low.alias("low"), high.alias("high"), F.count_if(top & F.col("value_num").isNotNull()).alias("numbers"), F.count_if(top).alias("best"),
-        F.countDistinct(F.when(top, F.trim("value_text"))).alias("texts"), F.count(F.lit(1)).alias("candidate_count"), F.sort_array(F.collect_list(each)).alias("all"),
+        F.countDistinct(F.when(top, F.trim("value_text"))).alias("texts"), F.count(F.lit(1)).alias("candidate_count"),
+            F.sort_array(F.collect_list(each)).alias("all"),
     )
     allowed = F.greatest(F.lit(1e-8), F.greatest(F.abs("low"), F.abs("high"), F.lit(1.0)) * 1e-10)
     differ = F.when(F.col("numbers") == F.col("best"), F.col("high") - F.col("low") > allowed).otherwise(F.col("texts") > 1)
@@ -85,15 +86,18 @@ def ledgers(stocks: DataFrame) -> DataFrame:
 def failure_gaps(stocks: DataFrame) -> DataFrame:
     """A gap of the whole security for each one that failed or was put off."""
     rows = ledgers(stocks).filter(F.col("ledger").isin("FAILED", "DEFERRED"))
-    return rows.select("batch_id", "security_id", "status", F.coalesce(F.nullif("message", F.lit("")), F.nullif("error_code", F.lit("")), F.lit("batch stock did not complete")).alias("reason"))
+    return rows.select("batch_id", "security_id", "status", F.coalesce(F.nullif("message", F.lit("")), F.nullif("error_code", F.lit("")),
+        F.lit("batch stock did not complete")).alias("reason"))
 
 
 def batch_reports(stocks: DataFrame, gaps: DataFrame) -> DataFrame:
     """A row for each batch: counts by ledger, whether they add up, gaps, and the batch's status. gaps: (batch_id, ...)."""
     n = lambda ledger: F.count_if(F.col("ledger") == ledger)
     g = ledgers(stocks).groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("input_count"), n("COMPLETED").alias("successful_count"), n("FAILED").alias("failed_count"), n("DEFERRED").alias("deferred_count"),
-        F.count_if(F.col("status").isin("FAILED_TERMINAL", "BLOCKED")).alias("terminal"), F.count_if(F.col("status") == "COMPLETED_WITH_GAPS").alias("with_gaps"),
+        F.count(F.lit(1)).alias("input_count"), n("COMPLETED").alias("successful_count"), n("FAILED").alias("failed_count"),
+            n("DEFERRED").alias("deferred_count"),
+        F.count_if(F.col("status").isin("FAILED_TERMINAL", "BLOCKED")).alias("terminal"),
+            F.count_if(F.col("status") == "COMPLETED_WITH_GAPS").alias("with_gaps"),
     )
     out = g.join(gaps.groupBy("batch_id").agg(F.count(F.lit(1)).alias("data_gap_rows")), "batch_id", "left").fillna({"data_gap_rows": 0})
     c = F.col
@@ -212,5 +216,6 @@ def evidence_stats(documents: DataFrame) -> DataFrame:
     """(kind, value, n): documents by status, tier and pack, saved files and parsed texts, and all; one pass, nulls kept."""
     kinds = [("status", F.col("status")), ("source_tier", F.col("source_tier")), ("pack", F.col("pack_id")), ("all", F.lit("documents"))]
     kinds += [("saved", F.when(F.col("raw_original_binary_saved"), F.lit("files"))), ("parsed", F.when(F.col("parsed_text_saved"), F.lit("texts")))]
-    each = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds]), lambda x: ~x["kind"].isin("saved", "parsed") | x["value"].isNotNull())
+    each = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds]),
+        lambda x: ~x["kind"].isin("saved", "parsed") | x["value"].isNotNull())
     return documents.select(F.explode(each).alias("k")).groupBy("k.kind", "k.value").agg(F.count(F.lit(1)).alias("n"))

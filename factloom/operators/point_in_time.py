@@ -81,9 +81,11 @@ def missing_periods(documents: DataFrame, requested: DataFrame, cutoff: Column)
 
 def with_disclosures(facts: DataFrame, disclosures: DataFrame) -> DataFrame:
     """available_at from disclosures where a fact has none: the latest of its record, else of its security and date."""
-    by_record = disclosures.groupBy(F.col("record_key").alias("d__k"), F.col("security_code").alias("d__c1"), F.col("report_date").alias("d__r1")).agg(F.max("available_at").alias("d__a"))
+    by_record = disclosures.groupBy(F.col("record_key").alias("d__k"), F.col("security_code").alias("d__c1"),
+        F.col("report_date").alias("d__r1")).agg(F.max("available_at").alias("d__a"))
     by_date = disclosures.groupBy(F.col("security_code").alias("d__c"), F.col("report_date").alias("d__r")).agg(F.max("available_at").alias("d__b"))
-    out = facts.join(by_record, (facts["record_key"] == F.col("d__k")) & (facts["security_code"] == F.col("d__c1")) & (facts["report_date"] == F.col("d__r1")), "left")
+    out = facts.join(by_record, (facts["record_key"] == F.col("d__k")) & (facts["security_code"] == F.col("d__c1")) & (facts["report_date"] == F.col("d__r1")),
+        "left")
     out = out.join(by_date, (facts["security_code"] == F.col("d__c")) & (facts["report_date"] == F.col("d__r")), "left")
     return out.select(*[c for c in facts.columns if c != "available_at"], F.coalesce(facts["available_at"], F.col("d__a"), F.col("d__b")).alias("available_at"))
 
@@ -130,7 +132,9 @@ def selected(facts: DataFrame, cutoff: Column, standalone: bool = False, fields:
         }
     )
     top = ordered.filter("p__t = 1").withColumns(
-        {k: f("value_num").over(group) for k, f in (("p__low", F.min), ("p__high", F.max))} | {"p__texts": F.size(F.collect_set(F.trim("value_text")).over(group)), "p__some": F.count("value_num").over(group), "p__all": F.count(F.lit(1)).over(group)}
+        {k: f("value_num").over(group) for k, f in (("p__low", F.min), ("p__high",
+            F.max))} | {"p__texts": F.size(F.collect_set(F.trim("value_text")).over(group)), "p__some": F.count("value_num").over(group),
+            "p__all": F.count(F.lit(1)).over(group)}
     )
     allowed = F.greatest(F.lit(1e-8), F.greatest(F.abs("p__low"), F.abs("p__high"), F.lit(1.0)) * 1e-10)
     same = F.when(F.col("p__some") == F.col("p__all"), F.col("p__high") - F.col("p__low") <= allowed).otherwise(F.col("p__texts") <= 1)
@@ -147,7 +151,8 @@ def with_gross_profit(chosen: DataFrame) -> DataFrame:
     """Rows of selected() with gross profit derived from revenue and cost where no source gives it."""
     group = Window.partitionBy("security_code", "report_date")
     pick = lambda t, c: F.max(F.when(F.col("target") == t, F.col(c))).over(group)
-    wide = chosen.withColumns({"p__v": pick("revenue", "value") - pick("operating_cost", "value"), "p__a": F.greatest(pick("revenue", "available_at"), pick("operating_cost", "available_at")),
+    wide = chosen.withColumns({"p__v": pick("revenue", "value") - pick("operating_cost", "value"),
+        "p__a": F.greatest(pick("revenue", "available_at"), pick("operating_cost", "available_at")),
                                "p__g": F.max((F.col("target") == "gross_profit").cast("int")).over(group)})
     derived = wide.filter("target = 'revenue' and p__g = 0 and p__v is not null").select(
         "security_code", "report_date", F.lit("gross_profit").alias("target"), "kind", F.lit("DERIVED").alias("status"),
@@ -193,9 +198,11 @@ def quarterly(cumulative: DataFrame, single: DataFrame) -> DataFrame:
     flow = F.col("kind") == "flow"
     value = F.when(~flow | (q == 1), F.col("value")).otherwise(F.col("value") - F.col("p__v"))
     known = F.when(~flow | (q == 1), F.col("available_at")).otherwise(F.greatest("available_at", "p__a"))
-    status = F.when(value.isNull(), F.when(F.col("status") == "SOURCE_DIRECT", "SOURCE_MISSING").otherwise(F.col("status"))).when(flow & (q > 1), "DERIVED").otherwise(F.col("status"))
+    status = F.when(value.isNull(), F.when(F.col("status") == "SOURCE_DIRECT", "SOURCE_MISSING").otherwise(F.col("status"))).when(flow & (q > 1),
+        "DERIVED").otherwise(F.col("status"))
     diff = rows.select("security_code", "report_date", "target", value.alias("d__v"), known.alias("d__a"), status.alias("d__s"))
-    direct = single.filter("kind = 'flow' and status = 'SOURCE_DIRECT'").select("security_code", "report_date", "target", F.col("value").alias("s__v"), F.col("available_at").alias("s__a"))
+    direct = single.filter("kind = 'flow' and status = 'SOURCE_DIRECT'").select("security_code", "report_date", "target", F.col("value").alias("s__v"),
+        F.col("available_at").alias("s__a"))
     both = diff.join(direct, ["security_code", "report_date", "target"], "full_outer")
     own = F.col("s__v").isNotNull()
     return both.select(
@@ -221,8 +228,10 @@ def industry_template(name: Column) -> Column:
 def gaps(facts: DataFrame, statuses: DataFrame, cutoff: Column) -> DataFrame:
     """Why data is missing: facts of unknown or later availability, and target fields that came out unusable."""
     c = candidates(facts, cutoff).filter("usability != 'USABLE'")
-    a = c.select("security_code", "report_date", F.col("field_key").alias("field"), F.when(F.col("usability") == "FUTURE_AVAILABLE_AT", "FUTURE_EXCLUDED").otherwise("AVAILABLE_AT_MISSING").alias("gap"))
-    b = statuses.filter(F.col("status").isin("SOURCE_MISSING", "PARSE_SUSPECT", "CONFLICTING")).select("security_code", "report_date", F.col("target").alias("field"), F.col("status").alias("gap"))
+    a = c.select("security_code", "report_date", F.col("field_key").alias("field"),
+        F.when(F.col("usability") == "FUTURE_AVAILABLE_AT", "FUTURE_EXCLUDED").otherwise("AVAILABLE_AT_MISSING").alias("gap"))
+    b = statuses.filter(F.col("status").isin("SOURCE_MISSING", "PARSE_SUSPECT", "CONFLICTING")).select("security_code", "report_date",
+        F.col("target").alias("field"), F.col("status").alias("gap"))
     return a.unionByName(b)
 
 

@@ -97,13 +97,23 @@ def registry(facts: DataFrame) -> DataFrame:
     )
     p = policy(F.col("field_key"), F.col("field_name_cn"), F.col("unit"), F.col("data_semantics"))
     mode = validation_mode(F.col("family"), F.col("field_key"), F.col("field_category"))
-    return contexts.select("theme", "family", "dataset", "field_key", mode.alias("mode"), looked_up("family", STATEMENTS, F.lit("")).alias("statement_type"), p.alias("p")).select("*", "p.*").drop("p")
+    return contexts.select("theme", "family", "dataset", "field_key", mode.alias("mode"), looked_up("family", STATEMENTS, F.lit("")).alias("statement_type"),
+        p.alias("p")).select("*", "p.*").drop("p")
 
 
 def registry_coverage(entries: DataFrame) -> DataFrame:
     return entries.groupBy("mode", "method").agg(F.count(F.lit(1)).alias("contexts"))
 
 
+def classified(facts: DataFrame, entries: DataFrame) -> DataFrame:
+    """Facts with the registry's entry of their context; contexts that it doesn't know have null fields."""
+    known = [c for c in entries.columns if c in facts.columns and c not in CONTEXT]
+    return facts.drop(*known).join(entries, CONTEXT, "left")
+
+
+CONTEXT = ["theme", "family", "dataset", "field_key"]
+
+
 def overridden(entries: DataFrame, overrides: DataFrame) -> DataFrame:
     """Registry entries with the policies of single fields (field_key, method, absolute, relative) put over the inferred ones.
 
@@ -142,8 +152,10 @@ def prepared_official(rows: DataFrame, include_suspect: bool = False) -> DataFra
     return known.withColumns({
         "source": F.lit("OFFICIAL_DISCLOSURE"), "family": F.lit("OFFICIAL_DISCLOSURE"), "theme": looked_up("statement_type", OFFICIAL_THEMES, F.lit("官方披露")),
         "dataset": F.col("source_document"), "record_key": F.concat_ws("|", "security_code", date, "statement_type", "field_key"),
-        "period_type": canonical_period(date, F.lit(""), F.lit(None).cast("string"), INDEPENDENT), "data_semantics": looked_up("statement_type", OFFICIAL_SEMANTICS, F.lit("event")),
-        "field_name_cn": F.col("field_name_report"), "field_category": F.lit("PAGE_DISPLAY_FIELD"), "value_num": F.col("value"), "value_text": F.col("value").cast("string"),
+        "period_type": canonical_period(date, F.lit(""), F.lit(None).cast("string"), INDEPENDENT),
+            "data_semantics": looked_up("statement_type", OFFICIAL_SEMANTICS, F.lit("event")),
+        "field_name_cn": F.col("field_name_report"), "field_category": F.lit("PAGE_DISPLAY_FIELD"), "value_num": F.col("value"),
+            "value_text": F.col("value").cast("string"),
         "source_url": F.coalesce("source_url", F.lit("")),
     })
 
@@ -161,7 +173,8 @@ def source_unavailable(rows: DataFrame, sources: DataFrame) -> DataFrame:
     hit = F.coalesce("r__gone", F.lit(False)) & (F.col("status") == "MISSING_OFFICIAL")
     notes = F.coalesce(F.nullif("r__m", F.lit("")), F.lit("官方披露来源不可用"))
     old = F.col("notes") if "notes" in rows.columns else F.lit(None).cast("string")
-    return out.withColumns({"status": F.when(hit, "OFFICIAL_SOURCE_UNAVAILABLE").otherwise(F.col("status")), "notes": F.when(hit, notes).otherwise(old)}).drop("r__m", "r__gone")
+    return out.withColumns({"status": F.when(hit, "OFFICIAL_SOURCE_UNAVAILABLE").otherwise(F.col("status")),
+        "notes": F.when(hit, notes).otherwise(old)}).drop("r__m", "r__gone")
 
 
 def date_sets(requested: DataFrame, documents: DataFrame) -> DataFrame:
@@ -175,7 +188,8 @@ def date_sets(requested: DataFrame, documents: DataFrame) -> DataFrame:
     both = requested.select(*key).distinct().withColumn("asked", F.lit(True)).join(d.withColumn("there", F.lit(True)), key, "full_outer")
     latest = F.max(F.when(F.col("there"), F.col("report_date"))).over(Window.partitionBy("security_code"))
     state = (
-        F.when(F.col("there") & F.col("summary"), "SUMMARY_ONLY").when(F.col("there") & (F.col("extracted") == 0), "ZERO_EXTRACTION").when(F.col("there"), "LOADED")
+        F.when(F.col("there") & F.col("summary"), "SUMMARY_ONLY").when(F.col("there") & (F.col("extracted") == 0), "ZERO_EXTRACTION").when(F.col("there"),
+            "LOADED")
         .when(F.col("report_date") > latest, "PENDING").otherwise("MISSING")
     )
     return both.select(*key, state.alias("state"))
@@ -189,7 +203,8 @@ def acceptance(summaries: DataFrame) -> DataFrame:
     c = F.col
     verdict = (
         F.when(c("conflicts") > 0, "FAIL_SOURCE_CONFLICT").when(c("classification_coverage") < 1.0, "FAIL_CLASSIFICATION_COVERAGE")
-        .when(c("source_unavailable"), "PARTIAL_OFFICIAL_SOURCE_UNAVAILABLE").when((c("unresolved") > 0) | (c("parse_suspect_count") > 0), "PASS_WITH_COVERAGE_GAPS").otherwise("PASS")
+        .when(c("source_unavailable"), "PARTIAL_OFFICIAL_SOURCE_UNAVAILABLE").when((c("unresolved") > 0) | (c("parse_suspect_count") > 0),
+            "PASS_WITH_COVERAGE_GAPS").otherwise("PASS")
     )
     return summaries.withColumns({"acceptance_status": verdict, "manual_review_required": c("conflicts") > 0})
 
@@ -209,17 +224,21 @@ def dynamic_targets(facts: DataFrame, defaults: DataFrame) -> DataFrame:
     """
     label = F.trim(F.coalesce(F.nullif("field_name_cn", F.lit("")), F.col("field_key")))
     key = F.col("field_key")
-    rows = facts.filter(F.col("family").isin(*DIRECT) & F.col("value_num").isNotNull() & ~F.startswith(key, F.lit("_")) & ~key.isin(*NOT_TARGETS) & ~key.rlike("_(YOY|QOQ)$"))
-    named = rows.select("family", "field_key", label.alias("label")).filter((F.col("label") != "") & (F.col("label") != F.col("field_key")) & (F.length("label") <= 60))
+    rows = facts.filter(F.col("family").isin(*DIRECT) & F.col("value_num").isNotNull() & ~F.startswith(key,
+        F.lit("_")) & ~key.isin(*NOT_TARGETS) & ~key.rlike("_(YOY|QOQ)$"))
+    named = rows.select("family", "field_key",
+        label.alias("label")).filter((F.col("label") != "") & (F.col("label") != F.col("field_key")) & (F.length("label") <= 60))
     each = named.groupBy("family", "field_key").agg(F.array_sort(F.collect_set("label")).alias("found"))
     d = defaults.select("family", "field_key", *[F.col(c).alias(f"r__{c}") for c in ("label", "aliases", "statement_type", "semantics")])
     both = each.join(d, ["family", "field_key"], "full_outer")
     shortest = F.array_min(F.transform("found", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    aliases = F.when(F.col("r__aliases").isNull(), F.col("found")).otherwise(F.array_distinct(F.concat("r__aliases", F.coalesce("found", F.array().cast("array<string>")))))
+    aliases = F.when(F.col("r__aliases").isNull(), F.col("found")).otherwise(F.array_distinct(F.concat("r__aliases",
+        F.coalesce("found", F.array().cast("array<string>")))))
     semantics = F.when(F.col("family") == DIRECT[0], "point_in_time").otherwise("flow")
     return both.select(
         "family", "field_key", F.coalesce("r__label", shortest).alias("label"), aliases.alias("aliases"),
-        F.coalesce("r__statement_type", looked_up("family", STATEMENTS, F.lit(""))).alias("statement_type"), F.coalesce("r__semantics", semantics).alias("semantics"),
+        F.coalesce("r__statement_type", looked_up("family", STATEMENTS, F.lit(""))).alias("statement_type"),
+            F.coalesce("r__semantics", semantics).alias("semantics"),
     )
 
 
@@ -235,7 +254,8 @@ def thin_slice(facts: DataFrame, official: DataFrame, targets: DataFrame) -> Dat
     own = named.groupBy("security_code", "report_date", "target").agg(F.min_by(F.struct("value_num", "family"), F.struct("family_rank", "key_rank")).alias("f"))
     own = own.join(dates, ["security_code", "report_date"], "left_semi")
     wanted = targets.select("target").distinct()
-    other = usable.withColumnRenamed("field_key", "target").join(wanted, "target", "left_semi").groupBy("security_code", "report_date", "target").agg(F.max(F.struct("value", "precision_tolerance")).alias("o"))
+    other = usable.withColumnRenamed("field_key", "target").join(wanted, "target", "left_semi").groupBy("security_code", "report_date",
+        "target").agg(F.max(F.struct("value", "precision_tolerance")).alias("o"))
     both = own.join(other, ["security_code", "report_date", "target"], "full_outer")
     gap, allowed = F.col("f.value_num") - F.col("o.value"), F.coalesce("o.precision_tolerance", F.lit(1.0))
     status = (
@@ -305,7 +325,8 @@ def matched(facts: DataFrame, official: DataFrame) -> DataFrame:
     income statement's first. A consolidated value isn't compared with a parent company's: SCOPE_CONFLICT. If the field
     exists on the date for another period only: PERIOD_CONFLICT, but not for derived values and metadata.
     """
-    best = F.struct((F.col("scope") == "parent").alias("parent"), F.col("statement_type").alias("st"), F.col("document_id").alias("doc"), F.col("value_num").alias("v"), F.col("unit").alias("u"), F.col("precision_tolerance").alias("tol"), _text_of(official).alias("t"))
+    best = F.struct((F.col("scope") == "parent").alias("parent"), F.col("statement_type").alias("st"), F.col("document_id").alias("doc"),
+        F.col("value_num").alias("v"), F.col("unit").alias("u"), F.col("precision_tolerance").alias("tol"), _text_of(official).alias("t"))
     candidate = F.struct(F.col("period_type").alias("p"), F.col("statement_type").alias("s"), "b")
     # one official row a period and statement, the few of a field and date together, so that all three grains are one join
     one = official.groupBy(*GRAIN, "period_type", "statement_type").agg(F.min(best).alias("b"))
@@ -405,7 +426,8 @@ def summary(rows: DataFrame) -> DataFrame:
     )
     rate = lambda a, b: F.try_divide(F.col(a), F.col(b))
     return g.withColumns(
-        {"coverage": rate("attempted", "comparable"), "accuracy": rate("matched", "attempted"), "extraction": rate("observed", "comparable"), "unresolved_rate": rate("unresolved", "comparable")}
+        {"coverage": rate("attempted", "comparable"), "accuracy": rate("matched", "attempted"), "extraction": rate("observed", "comparable"),
+            "unresolved_rate": rate("unresolved", "comparable")}
     )
 
 
@@ -423,7 +445,8 @@ def gap_groups(rows: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
     counted = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("fact_count"))
     event = rows.filter(F.col("report_date").isNull() & s.isin("MISSING_OFFICIAL", "MISSING_EASTMONEY", "UNRESOLVED"))
     return {
-        "missing_official": counted(rows.filter(s.isin("MISSING_OFFICIAL", "UNRESOLVED")), "report_date", "period_type", "family", "field_key", "field_name_cn", "mode", "status"),
+        "missing_official": counted(rows.filter(s.isin("MISSING_OFFICIAL", "UNRESOLVED")), "report_date", "period_type", "family", "field_key", "field_name_cn",
+            "mode", "status"),
         "unavailable": counted(rows.filter(s.isin(*UNAVAILABLE)), "report_date", "period_type", "family", "mode", "status"),
         "by_status": counted(rows, "mode", "status"), "event_gaps": counted(event, "theme", "family", "dataset", "mode", "status"),
         "out_of_scope": entries.filter(F.col("mode").isin(*OUT_OF_SCOPE)),

@@ -54,8 +54,10 @@ def profit_quality(observations: DataFrame) -> DataFrame:
 
 def segments(facts: DataFrame, name: str, revenue: str, cost: str) -> DataFrame:
     """One row for each record_key: the first name, revenue and cost by key patterns; profit and margin derived."""
-    first = lambda pattern, col: F.min_by(F.when(F.col("field_key").rlike(pattern), F.col(col)), F.when(F.col("field_key").rlike(pattern), F.col("field_key"))).alias
-    g = facts.groupBy("security_code", "record_key").agg(first(name, "value_text")("segment"), first(revenue, "value_num")("revenue"), first(cost, "value_num")("cost"))
+    first = lambda pattern, col: F.min_by(F.when(F.col("field_key").rlike(pattern), F.col(col)),
+        F.when(F.col("field_key").rlike(pattern), F.col("field_key"))).alias
+    g = facts.groupBy("security_code", "record_key").agg(first(name, "value_text")("segment"), first(revenue, "value_num")("revenue"),
+        first(cost, "value_num")("cost"))
     profit = F.col("revenue") - F.col("cost")
     return g.filter("segment is not null").withColumns({"profit": profit, "margin": F.try_divide(profit, F.col("revenue")) * 100})
 
@@ -68,12 +70,14 @@ def entity_matches(mentions: DataFrame, profiles: DataFrame) -> DataFrame:
     other rule decided.
     """
     p = profiles
-    keyed = lambda col, rank, rule: p.select(F.col(col).alias("k"), F.col("security_code").alias("found"), F.lit(rank).alias("rank"), F.lit(rule).alias("rule")).filter("k is not null and k != ''")
+    keyed = lambda col, rank, rule: p.select(F.col(col).alias("k"), F.col("security_code").alias("found"), F.lit(rank).alias("rank"),
+        F.lit(rule).alias("rule")).filter("k is not null and k != ''")
     former = p.select(F.explode("former_names").alias("k"), F.col("security_code").alias("found"), F.lit(2).alias("rank"), F.lit("FORMER_NAME").alias("rule"))
     by_name = keyed("legal_name", 1, "LEGAL_NAME").unionByName(former).withColumn("k", company_name(F.col("k"))).filter("k != ''")
     hits = (
         mentions.join(keyed("security_code", 0, "CODE"), F.col("code") == F.col("k"))
-        .unionByName(mentions.join(by_name, company_name(F.col("text")) == F.col("k"))).unionByName(mentions.join(keyed("domain", 3, "DOMAIN"), F.col("domain") == F.col("k")))
+        .unionByName(mentions.join(by_name, company_name(F.col("text")) == F.col("k"))).unionByName(mentions.join(keyed("domain", 3, "DOMAIN"),
+            F.col("domain") == F.col("k")))
     ).select("id", "found", "rank", "rule")
     if "credit_code" in mentions.columns and "credit_code" in p.columns:
         # between the security's code and its names
@@ -104,7 +108,8 @@ def lifecycle(periods: DataFrame, listed: DataFrame, loaded: DataFrame) -> DataF
     first = F.min(F.when(after, F.col("report_date"))).over(group)
     transition = (F.col("report_date") == first) & (F.year("report_date") == F.year("listed"))
     state = (
-        F.when(~after, "PRE_LISTING").when(F.col("loaded"), F.when(transition, "TRANSITION").otherwise("EXPECTED")).when(F.col("report_date") > latest, "PENDING").otherwise("POST_LISTING_MISSING")
+        F.when(~after, "PRE_LISTING").when(F.col("loaded"), F.when(transition, "TRANSITION").otherwise("EXPECTED")).when(F.col("report_date") > latest,
+            "PENDING").otherwise("POST_LISTING_MISSING")
     )
     return out.select("security_code", "report_date", state.alias("state"))
 
@@ -112,14 +117,17 @@ def lifecycle(periods: DataFrame, listed: DataFrame, loaded: DataFrame) -> DataF
 def metadata_facts(documents: DataFrame, variants: DataFrame) -> DataFrame:
     """A fact for each document, period variant of its kind and metadata key."""
     rows = documents.join(F.broadcast(variants), "kind")  # a fixed list of variants
-    keys = {"REPORT_DATE": F.col("report_date").cast("string"), "NOTICE_DATE": F.col("available_at").cast("string"), "SECURITY_CODE": F.col("security_code"), "REPORT_TYPE": F.col("period_type")}
+    keys = {"REPORT_DATE": F.col("report_date").cast("string"), "NOTICE_DATE": F.col("available_at").cast("string"), "SECURITY_CODE": F.col("security_code"),
+        "REPORT_TYPE": F.col("period_type")}
     each = [F.struct(F.lit(k).alias("field_key"), v.alias("value_text")) for k, v in keys.items()]
-    return rows.select("security_code", "report_date", "document_id", "period_type", F.explode(F.array(*each)).alias("m")).select("security_code", "report_date", "document_id", "period_type", "m.*")
+    return rows.select("security_code", "report_date", "document_id", "period_type", F.explode(F.array(*each)).alias("m")).select("security_code",
+        "report_date", "document_id", "period_type", "m.*")
 
 
 def acceptance(summary: DataFrame, least_coverage: float = 0.5) -> DataFrame:
     verdict = (
-        F.when(F.col("attempted") == 0, "NO_COMPARISON").when(F.col("conflicts") > 0, "REVIEW").when(F.col("coverage") < least_coverage, "LOW_COVERAGE").otherwise("ACCEPTED")
+        F.when(F.col("attempted") == 0, "NO_COMPARISON").when(F.col("conflicts") > 0, "REVIEW").when(F.col("coverage") < least_coverage,
+            "LOW_COVERAGE").otherwise("ACCEPTED")
     )
     return summary.withColumn("verdict", verdict)
 
@@ -127,7 +135,8 @@ def acceptance(summary: DataFrame, least_coverage: float = 0.5) -> DataFrame:
 def document_status(attempts: DataFrame) -> DataFrame:
     """Status and next action of a crawl attempt (gate, results, saved)."""
     blocked = F.col("gate").isin("JS_REQUIRED", "CAPTCHA", "LOGIN", "FORBIDDEN")
-    status = F.when(blocked, "BLOCKED").when(F.col("gate") == "NOT_FOUND", "UNRESOLVED").when(F.col("results") == 0, "NO_MATCH").when(F.col("saved"), "SUCCESS").otherwise("UNRESOLVED")
+    status = F.when(blocked, "BLOCKED").when(F.col("gate") == "NOT_FOUND", "UNRESOLVED").when(F.col("results") == 0, "NO_MATCH").when(F.col("saved"),
+        "SUCCESS").otherwise("UNRESOLVED")
     action = F.when(blocked, F.concat(F.lit("MANUAL_"), "gate")).when(status == "UNRESOLVED", "RETRY")
     return attempts.withColumns({"status": status, "action": action})
 
@@ -149,7 +158,8 @@ def cash_flow_sections(records: DataFrame, of: str = "family") -> DataFrame:
 def conservation(batches: DataFrame) -> DataFrame:
     """Batches whose requests don't equal their successes, failures and deferrals."""
     n = lambda s: F.count_if(F.col("status") == s)
-    g = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("requested"), n("SUCCESS").alias("success"), n("FAILED").alias("failed"), n("DEFERRED").alias("deferred"))
+    g = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("requested"), n("SUCCESS").alias("success"), n("FAILED").alias("failed"),
+        n("DEFERRED").alias("deferred"))
     return g.withColumn("conserved", F.col("requested") == F.col("success") + F.col("failed") + F.col("deferred"))
 
 

@@ -261,7 +261,8 @@ def periods(facts: DataFrame) -> DataFrame:
 
 
 # The fields that an overview shows.
-HEADLINES = ["TOTAL_OPERATE_INCOME", "PARENT_NETPROFIT", "TOTAL_ASSETS", "TOTAL_LIABILITIES", "MONETARYFUNDS", "ACCOUNTS_RECE", "INVENTORY", "NETCASH_OPERATE", "ROEJQ", "ZCFZL"]
+HEADLINES = ["TOTAL_OPERATE_INCOME", "PARENT_NETPROFIT", "TOTAL_ASSETS", "TOTAL_LIABILITIES", "MONETARYFUNDS", "ACCOUNTS_RECE", "INVENTORY", "NETCASH_OPERATE",
+    "ROEJQ", "ZCFZL"]
 
 
 def headlines(facts: DataFrame) -> DataFrame:

@@ -104,11 +104,13 @@ def ttm_components(quarter_facts: DataFrame, cumulative_facts: DataFrame, strict
     last_year, same = F.make_date(F.year("report_date") - 1, F.lit(12), F.lit(31)), F.add_months("report_date", -12)
     rolled = ttm_cumulative(cumulative_facts).select(
         *KEY, "report_date", F.when(F.quarter("report_date") == 4, F.array(part(F.col("report_date"), F.col("value_num"), "current_fy"))).otherwise(F.array(
-            part(last_year, F.col("prior_year"), "add_previous_fy"), part(F.last_day(same), F.col("prior_same"), "subtract_previous_same"), part(F.col("report_date"), F.col("value_num"), "add_current_cumulative"),
+            part(last_year, F.col("prior_year"), "add_previous_fy"), part(F.last_day(same), F.col("prior_same"), "subtract_previous_same"),
+                part(F.col("report_date"), F.col("value_num"), "add_current_cumulative"),
         )).alias("c"))
     out = ttm(quarter_facts, cumulative_facts, strict).drop("formula").join(listed, [*KEY, "report_date"], "left").join(rolled, [*KEY, "report_date"], "left")
     used = F.when(F.col("method") == "FOUR_INDEPENDENT_QUARTERS", F.col("q")).otherwise(F.col("c"))
-    text = F.transform("components", lambda x: F.concat(F.when(x["role"] == "subtract_previous_same", "- ").otherwise("+ "), x["report_date"].cast("string"), F.lit(":"), x["value"].cast("string")))
+    text = F.transform("components", lambda x: F.concat(F.when(x["role"] == "subtract_previous_same", "- ").otherwise("+ "), x["report_date"].cast("string"),
+        F.lit(":"), x["value"].cast("string")))
     named = out.withColumn("components", used)
     return named.withColumn("formula", F.substring(F.array_join(text, " "), 3, 1000)).select(*KEY, "report_date", "ttm", "method", "formula", "components")
 
@@ -120,7 +122,8 @@ def value_as_of(facts: DataFrame, ends: DataFrame) -> DataFrame:
     """
     rows = one_per_period(facts, [*KEY, "report_date", "value_num"])
     asked = ends.join(facts.select(*KEY).distinct(), "security_code")
-    marks = asked.select("security_code", "field_key", F.col("end").alias("report_date"), F.lit(None).cast("double").alias("value_num"), F.lit(1).alias("asked"))
+    marks = asked.select("security_code", "field_key", F.col("end").alias("report_date"), F.lit(None).cast("double").alias("value_num"),
+        F.lit(1).alias("asked"))
     both = rows.withColumn("asked", F.lit(0)).unionByName(marks)
     upto = Window.partitionBy(*KEY).orderBy("report_date", "asked").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("asked") == 0, F.struct("report_date", "value_num")), ignorenulls=True).over(upto)
@@ -160,7 +163,8 @@ def cagr(facts: DataFrame, years: int = 3) -> DataFrame:
     order = Window.partitionBy(*KEY).orderBy(F.col("report_date").desc())
     last = ends.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= years + 1)
     g = last.groupBy(*KEY).agg(
-        F.max_by("value_num", "report_date").alias("last_value"), F.min_by("value_num", "report_date").alias("first_value"), (F.count(F.lit(1)) - 1).alias("intervals")
+        F.max_by("value_num", "report_date").alias("last_value"), F.min_by("value_num", "report_date").alias("first_value"),
+            (F.count(F.lit(1)) - 1).alias("intervals")
     )
     fine = (F.col("intervals") > 0) & (F.col("first_value") > 0) & (F.col("last_value") > 0)
     rate = F.pow(F.col("last_value") / F.col("first_value"), 1 / F.col("intervals")) - 1
@@ -174,7 +178,8 @@ def independent_quarters(cumulative: DataFrame) -> DataFrame:
     wide = rows.withColumn("prior", F.first("value_num").over(before))
     q = F.quarter("report_date")
     value = F.when(q == 1, F.col("value_num")).otherwise(F.col("value_num") - F.col("prior"))
-    return wide.select(*KEY, "report_date", F.concat(F.lit("Q"), q.cast("string")).alias("period_type"), value.alias("value_num")).filter("value_num is not null")
+    return wide.select(*KEY, "report_date", F.concat(F.lit("Q"), q.cast("string")).alias("period_type"),
+        value.alias("value_num")).filter("value_num is not null")
 
 
 def ratio_facts(facts: DataFrame, formulas: dict[str, tuple[str, str, float]]) -> DataFrame:
@@ -183,7 +188,8 @@ def ratio_facts(facts: DataFrame, formulas: dict[str, tuple[str, str, float]]) -
     fields = sorted({f for a, b, _ in formulas.values() for f in (a, b)})
     wide = rows.groupBy("security_code", "report_date").pivot("field_key", fields).agg(F.first("value_num"))
     each = [F.struct(F.lit(k).alias("field_key"), (F.try_divide(a, b) * f).alias("value_num")) for k, (a, b, f) in formulas.items()]
-    return wide.select("security_code", "report_date", F.explode(F.array(*each)).alias("r")).select("security_code", "report_date", "r.*").filter("value_num is not null")
+    return wide.select("security_code", "report_date", F.explode(F.array(*each)).alias("r")).select("security_code", "report_date",
+        "r.*").filter("value_num is not null")
 
 
 def ttm_check(quarter_facts: DataFrame, cumulative_facts: DataFrame) -> DataFrame:

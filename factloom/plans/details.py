@@ -25,30 +25,39 @@ def query(name: str, sql: str):
     return register
 
 
-@query("flt13_issues", """SELECT 'parse_suspect' AS issue, c_custkey AS observation_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' OR o_totalprice < 5000)
-UNION ALL SELECT 'source_conflict', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'unresolved', c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' OR c_acctbal < 0""")
+@query("flt13_issues", """SELECT 'parse_suspect' AS issue, c_custkey AS observation_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders
+    WHERE o_orderstatus = 'P' OR o_totalprice < 5000)
+UNION ALL SELECT 'source_conflict', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'unresolved', c_custkey FROM customer
+    WHERE c_mktsegment = 'MACHINERY' OR c_acctbal < 0""")
 def flt13(spark, d):
     s = F.col("c_mktsegment")
     status = F.when(s == "BUILDING", "SOURCE_CONFLICT").when(s == "MACHINERY", "UNRESOLVED").otherwise("SINGLE_SOURCE")
-    observations = src.table(spark, d, "customer").select(F.col("c_custkey").alias("observation_id"), status.alias("status"), F.when(F.col("c_acctbal") < 0, 0).otherwise(1).alias("usable"))
+    observations = src.table(spark, d, "customer").select(F.col("c_custkey").alias("observation_id"), status.alias("status"),
+        F.when(F.col("c_acctbal") < 0, 0).otherwise(1).alias("usable"))
     orders = src.table(spark, d, "orders")
     lineage = orders.select(F.col("o_custkey").alias("observation_id"), F.col("o_orderkey").alias("source_fact_id"))
-    sources = orders.select(F.col("o_orderkey").alias("source_fact_id"), F.when(F.col("o_orderstatus") == "P", "PARSE_SUSPECT").alias("source_status"), (F.col("o_totalprice") < 5000).alias("quarantined"))
-    each = [research.with_issue(observations, lineage, sources, i).select(F.lit(i).alias("issue"), "observation_id") for i in ("parse_suspect", "source_conflict", "unresolved")]
+    sources = orders.select(F.col("o_orderkey").alias("source_fact_id"), F.when(F.col("o_orderstatus") == "P", "PARSE_SUSPECT").alias("source_status"),
+        (F.col("o_totalprice") < 5000).alias("quarantined"))
+    each = [research.with_issue(observations, lineage, sources, i).select(F.lit(i).alias("issue"), "observation_id") for i in ("parse_suspect",
+        "source_conflict", "unresolved")]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query("agg3_headlines", src.sql("""h AS (SELECT *, CASE field_key WHEN 'REVENUE' THEN 'TOTAL_OPERATE_INCOME' WHEN 'QTY' THEN 'TOTAL_ASSETS' END AS k FROM facts), l AS (SELECT *, row_number() OVER (PARTITION BY security_code, family, k ORDER BY report_date DESC) AS n FROM h WHERE k IS NOT NULL)
+@query("agg3_headlines", src.sql("""h AS (SELECT *, CASE field_key WHEN 'REVENUE' THEN 'TOTAL_OPERATE_INCOME' WHEN 'QTY' THEN 'TOTAL_ASSETS' END AS k
+    FROM facts), l AS (SELECT *, row_number() OVER (PARTITION BY security_code, family, k ORDER BY report_date DESC) AS n FROM h WHERE k IS NOT NULL)
 SELECT security_code, family, k AS field_key, report_date, value_num FROM l WHERE n = 1"""))
 def agg3_headlines(spark, d):
     key = F.when(F.col("field_key") == "REVENUE", "TOTAL_OPERATE_INCOME").when(F.col("field_key") == "QTY", "TOTAL_ASSETS").otherwise("OTHER")
     return search.headlines(src.facts(spark, d).withColumn("field_key", key)).select("security_code", "family", "field_key", "report_date", "value_num")
 
 
-@query("agg8_gap_groups", src.sql("""r AS (SELECT *, CASE WHEN quarter(report_date) = 1 THEN 'MISSING_OFFICIAL' WHEN quarter(report_date) = 2 THEN 'OFFICIAL_PERIOD_NOT_LOADED' ELSE 'EXACT_MATCH' END AS status,
+@query("agg8_gap_groups", src.sql("""r AS (SELECT *, CASE WHEN quarter(report_date) = 1 THEN 'MISSING_OFFICIAL'
+    WHEN quarter(report_date) = 2 THEN 'OFFICIAL_PERIOD_NOT_LOADED' ELSE 'EXACT_MATCH' END AS status,
   CASE family WHEN 'RPT_F10_FINANCE_GINCOME' THEN 'A' ELSE 'FUTURE_FREE_SOURCE_REQUIRED' END AS mode, CASE WHEN year(report_date) > 1996 THEN report_date END AS t FROM facts)
-SELECT 'missing_official' AS g, CAST(t AS VARCHAR) AS k, mode, status, count(*) AS n FROM r WHERE status = 'MISSING_OFFICIAL' GROUP BY 2, 3, 4 UNION ALL SELECT 'unavailable', CAST(t AS VARCHAR), mode, status, count(*) FROM r WHERE status = 'OFFICIAL_PERIOD_NOT_LOADED' GROUP BY 2, 3, 4
-UNION ALL SELECT 'by_status', NULL, mode, status, count(*) FROM r GROUP BY 3, 4 UNION ALL SELECT 'event_gaps', family, mode, status, count(*) FROM r WHERE t IS NULL AND status = 'MISSING_OFFICIAL' GROUP BY 2, 3, 4
+SELECT 'missing_official' AS g, CAST(t AS VARCHAR) AS k, mode, status, count(*) AS n FROM r WHERE status = 'MISSING_OFFICIAL' GROUP BY 2, 3, 4
+    UNION ALL SELECT 'unavailable', CAST(t AS VARCHAR), mode, status, count(*) FROM r WHERE status = 'OFFICIAL_PERIOD_NOT_LOADED' GROUP BY 2, 3, 4
+UNION ALL SELECT 'by_status', NULL, mode, status, count(*) FROM r GROUP BY 3, 4 UNION ALL SELECT 'event_gaps', family, mode, status, count(*) FROM r
+    WHERE t IS NULL AND status = 'MISSING_OFFICIAL' GROUP BY 2, 3, 4
 UNION ALL SELECT 'out_of_scope', NULL, mode, NULL, count(DISTINCT (family, field_key)) FROM r WHERE mode <> 'A' GROUP BY 3"""))
 def agg8_gaps(spark, d):
     q = F.quarter("report_date")
@@ -58,24 +67,31 @@ def agg8_gaps(spark, d):
     })
     rows = rows.withColumn("report_date", F.when(F.year("report_date") > 1996, F.col("report_date")))
     g = rec.gap_groups(rows, rows.select("theme", "family", "dataset", "field_key", "mode").distinct())
-    total = lambda name, key: g[name].groupBy(F.lit(name).alias("g"), key.cast("string").alias("k"), "mode", "status").agg(F.sum("fact_count").alias("n"))
-    out = total("missing_official", F.col("report_date")).unionByName(total("unavailable", F.col("report_date"))).unionByName(total("by_status", F.lit(None))).unionByName(total("event_gaps", F.col("family")))
-    return out.unionByName(g["out_of_scope"].groupBy(F.lit("out_of_scope").alias("g"), F.lit(None).cast("string").alias("k"), "mode", F.lit(None).cast("string").alias("status")).agg(F.count(F.lit(1)).alias("n")))
+    total = lambda name, key: g[name].groupBy(F.lit(name).alias("g"), key.cast("string").alias("k"), "mode",
+        "status").agg(F.sum("fact_count").alias("n"))
+    out = total("missing_official", F.col("report_date")).unionByName(total("unavailable", F.col("report_date"))).unionByName(total("by_status",
+        F.lit(None))).unionByName(total("event_gaps", F.col("family")))
+    return out.unionByName(g["out_of_scope"].groupBy(F.lit("out_of_scope").alias("g"), F.lit(None).cast("string").alias("k"), "mode",
+        F.lit(None).cast("string").alias("status")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("win5_components", src.sql("""k AS (SELECT *, year(report_date) * 4 + quarter(report_date) AS k FROM facts_cum), a AS (SELECT security_code, field_key, report_date, value_num, quarter(report_date) AS q, k FROM k)
+@query("win5_components", src.sql("""k AS (SELECT *, year(report_date) * 4 + quarter(report_date) AS k FROM facts_cum), a AS (SELECT security_code, field_key,
+    report_date, value_num, quarter(report_date) AS q, k FROM k)
 SELECT a.security_code, a.field_key, a.report_date, CASE WHEN a.q = 4 THEN 'current_fy' ELSE 'add_previous_fy,subtract_previous_same,add_current_cumulative' END AS roles,
   round(CASE WHEN a.q = 4 THEN a.value_num ELSE y.value_num - s.value_num + a.value_num END, 4) AS total, CASE WHEN a.q = 4 THEN a.report_date ELSE y.report_date END AS first_date
-FROM a LEFT JOIN a y ON y.security_code = a.security_code AND y.field_key = a.field_key AND a.q < 4 AND y.k = a.k - a.q LEFT JOIN a s ON s.security_code = a.security_code AND s.field_key = a.field_key AND s.k = a.k - 4
+FROM a LEFT JOIN a y ON y.security_code = a.security_code AND y.field_key = a.field_key AND a.q < 4 AND y.k = a.k - a.q LEFT
+    JOIN a s ON s.security_code = a.security_code AND s.field_key = a.field_key AND s.k = a.k - 4
 WHERE a.q = 4 OR y.value_num - s.value_num IS NOT NULL"""))
 def win5_components(spark, d):
     rows = src.facts_cum(spark, d)
     found = ts.ttm_components(rows, rows)
     total = F.aggregate("components", F.lit(0.0), lambda a, x: a + F.when(x["role"] == "subtract_previous_same", -x["value"]).otherwise(x["value"]))
-    return found.select("security_code", "field_key", "report_date", F.array_join(F.transform("components", lambda x: x["role"]), ",").alias("roles"), F.round(total, 4).alias("total"), F.get("components", 0)["report_date"].alias("first_date"))
+    return found.select("security_code", "field_key", "report_date", F.array_join(F.transform("components", lambda x: x["role"]), ",").alias("roles"),
+        F.round(total, 4).alias("total"), F.get("components", 0)["report_date"].alias("first_date"))
 
 
-@query("fin7_debt_proxy", src.sql("SELECT security_code, report_date, 'DERIVED_PROXY' AS status, round(sum(value_num), 4) AS value, max(available_at) AS available_at FROM facts_point WHERE field_key <> 'QTY' AND available_at <= DATE '2000-10-01' GROUP BY 1, 2"))
+@query("fin7_debt_proxy",
+    src.sql("SELECT security_code, report_date, 'DERIVED_PROXY' AS status, round(sum(value_num), 4) AS value, max(available_at) AS available_at FROM facts_point WHERE field_key <> 'QTY' AND available_at <= DATE '2000-10-01' GROUP BY 1, 2"))
 def fin7(spark, d):
     key = F.when(F.col("field_key") == "REVENUE", "SHORT_LOAN").when(F.col("field_key") == "COST", "BOND_PAYABLE").otherwise("INVENTORY")
     rows = src.facts_point(spark, d).withColumns({"field_key": key, "period_basis": F.lit("CUMULATIVE"), "source_priority": F.lit(None).cast("int")})
@@ -83,17 +99,20 @@ def fin7(spark, d):
     return out.select("security_code", "report_date", "status", F.round("value", 4).alias("value"), "available_at")
 
 
-@query("doc7_company_names", """SELECT c_custkey, CASE c_nationkey % 4 WHEN 3 THEN lower(c_mktsegment) || '集团' ELSE lower(c_mktsegment) END AS name FROM customer""")
+@query("doc7_company_names",
+    """SELECT c_custkey, CASE c_nationkey % 4 WHEN 3 THEN lower(c_mktsegment) || '集团' ELSE lower(c_mktsegment) END AS name FROM customer""")
 def doc7(spark, d):
     k = F.col("c_nationkey") % 4
     text = F.concat(F.lit(" "), "c_mktsegment", F.when(k == 0, "（股份有限公司）").when(k == 1, " Co., Ltd.").when(k == 2, " · 公司").otherwise("集团有限公司"))
     return src.table(spark, d, "customer").select("c_custkey", doc.company_name(text).alias("name"))
 
 
-@query("doc1_canonical_urls", r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/x' WHEN 1 THEN url END AS canonical_url FROM pages""")
+@query("doc1_canonical_urls",
+    r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/x' WHEN 1 THEN url END AS canonical_url FROM pages""")
 def doc1_canonical(spark, d):
     k = F.col("page_id") % 3
-    head = F.when(k == 0, F.lit("<LINK href='/x' rel=canonical>")).when(k == 1, F.concat(F.lit('<link data-a rel="canonical"\n href="'), "url", F.lit('"/>'))).otherwise(F.lit("<link rel='icon' href='/i'>"))
+    head = F.when(k == 0, F.lit("<LINK href='/x' rel=canonical>")).when(k == 1, F.concat(F.lit('<link data-a rel="canonical"\n href="'), "url",
+        F.lit('"/>'))).otherwise(F.lit("<link rel='icon' href='/i'>"))
     return src.table(spark, d, "pages").select("page_id", doc.canonical_url(F.concat(head, F.coalesce("html", F.lit(""))), F.col("url")).alias("canonical_url"))
 
 
@@ -101,7 +120,8 @@ def doc1_canonical(spark, d):
 def jon11(spark, d):
     words = {"1-URGENT": "营业收入", "2-HIGH": "营业成本", "3-MEDIUM": "净利润", "4-NOT SPECIFIED": "存货", "5-LOW": "总资产"}
     named = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])[F.col("o_orderpriority")]
-    label = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "一、其中: ").otherwise("3. "), named, F.when(F.col("o_totalprice") > 200000, "（元）(注)").when(F.col("o_totalprice") > 100000, "：").otherwise("合计"))
+    label = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "一、其中: ").otherwise("3. "), named,
+        F.when(F.col("o_totalprice") > 200000, "（元）(注)").when(F.col("o_totalprice") > 100000, "：").otherwise("合计"))
     targets = spark.createDataFrame([(v, k) for k, v in words.items()], "alias string, target string")
     return doc.label_matches(src.table(spark, d, "orders").select("o_orderkey", label.alias("label")), targets).select("o_orderkey", "target")
 
@@ -109,3 +129,32 @@ def jon11(spark, d):
 @query("snk9_manifest", "SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
 def snk9(spark, d):
     return sinks.manifest({n: src.table(spark, d, n) for n in ("orders", "lineitem")}).select("name", "rows")
+
+
+@query("jon2_classified", src.sql("""SELECT security_code, family, report_date, field_key, CASE family WHEN 'RPT_F10_FINANCE_GINCOME' THEN 'OFFICIAL_DIRECT'
+  WHEN 'RPT_F10_FINANCE_GBALANCE' THEN 'OFFICIAL_DIRECT' ELSE 'OFFICIAL_DERIVED' END AS mode, 'numeric' AS method FROM facts WHERE field_key <> 'QTY'
+UNION ALL SELECT security_code, family, report_date, field_key, NULL, NULL FROM facts WHERE field_key = 'QTY'"""))
+def jon2(spark, d):
+    rows = src.facts(spark, d)
+    entries = rec.registry(rows.filter("field_key <> 'QTY'"))
+    return rec.classified(rows, entries).select("security_code", "family", "report_date", "field_key", "mode", "method")
+
+
+@query("doc9_statement_values",
+    """WITH l AS (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN '营业收入' WHEN '2-HIGH' THEN '货币资金' END AS label, o_orderstatus AS s,
+  o_orderkey AS k, o_orderkey + 100 AS v FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+t AS (SELECT *, CASE label WHEN '营业收入' THEN 'income_statement' ELSE 'balance_sheet' END AS statement, row_number() OVER (PARTITION BY o_custkey, label ORDER BY s = 'F', k) AS n FROM l)
+SELECT o_custkey AS document_id, statement, CASE label WHEN '营业收入' THEN 'OPERATE_INCOME' ELSE 'MONETARYFUNDS' END AS field_key, CASE WHEN s = 'F' THEN 'parent'
+    ELSE 'consolidated' END AS scope,
+  v * 10000.0::DOUBLE AS value, '万元' AS unit, 5000.0::DOUBLE AS tolerance FROM t WHERE n = 1""")
+def doc9_statement_values(spark, d):
+    """Orders of two priorities as four lines each: a heading, the unit, a label, and its amount on the next line."""
+    o = src.table(spark, d, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    income = F.col("o_orderpriority") == "1-URGENT"
+    head = F.concat(F.when(F.col("o_orderstatus") == "F", "母公司").otherwise("合并"), F.when(income, "利润表").otherwise("资产负债表"))
+    each = F.array(head, F.lit("单位：人民币万元"), F.when(income, "营业收入").otherwise("货币资金"), F.concat_ws(" ", F.col("o_orderkey") + 100, F.lit("7")))
+    key = F.col("o_orderkey").cast("int")
+    lines = o.select(F.col("o_custkey").alias("document_id"), key.alias("page"), F.posexplode(each).alias("line_no", "line"))
+    targets = spark.createDataFrame([("OPERATE_INCOME", "营业收入", "income_statement"), ("MONETARYFUNDS", "货币资金", "balance_sheet")],
+        "field_key string, label string, statement string")
+    return doc.statement_values(lines, targets).select("document_id", "statement", "field_key", "scope", "value", "unit", "tolerance")

@@ -37,12 +37,15 @@ def documents(spark, d):
 
 
 DOCS = """years AS (SELECT security_code, report_date FROM facts_cum WHERE field_key = 'REVENUE' AND month(report_date) = 12),
-docs AS (SELECT security_code, report_date, security_code || '-' || year(report_date) || '-original' AS document_id, 'original' AS version_label, CAST(report_date + 60 AS DATE) AS available_at FROM years
-  UNION ALL SELECT security_code, report_date, security_code || '-' || year(report_date) || '-corrected', 'corrected', CAST(report_date + 150 AS DATE) FROM years WHERE CAST(security_code AS INT) % 5 = 0)
+docs AS (SELECT security_code, report_date, security_code || '-' || year(report_date) || '-original' AS document_id, 'original' AS version_label,
+    CAST(report_date + 60 AS DATE) AS available_at FROM years
+  UNION ALL SELECT security_code, report_date, security_code || '-' || year(report_date) || '-corrected', 'corrected', CAST(report_date + 150 AS DATE)
+    FROM years WHERE CAST(security_code AS INT) % 5 = 0)
 """
 
 
-@query("jon6_versions_as_of", src.sql(DOCS + """, m AS (SELECT *, available_at <= DATE '2000-04-15' AS known, row_number() OVER (PARTITION BY security_code, report_date
+@query("jon6_versions_as_of",
+    src.sql(DOCS + """, m AS (SELECT *, available_at <= DATE '2000-04-15' AS known, row_number() OVER (PARTITION BY security_code, report_date
     ORDER BY available_at <= DATE '2000-04-15' DESC, CASE version_label WHEN 'corrected' THEN 3 ELSE 2 END DESC, available_at DESC, document_id DESC) AS n FROM docs),
   l AS (SELECT security_code, report_date, arg_max(document_id, (available_at, document_id)) AS prior FROM m WHERE known AND n > 1 GROUP BY 1, 2)
 SELECT security_code, report_date, document_id, CASE WHEN known AND n = 1 THEN 'SELECTED' WHEN known THEN 'ELIGIBLE' ELSE 'BOUNDARY' END AS decision,
@@ -52,19 +55,22 @@ def jon6(spark, d):
     return out.select("security_code", "report_date", "document_id", "decision", "supersedes")
 
 
-@query("jon10_missing_periods", src.sql(DOCS + "SELECT security_code, report_date FROM docs GROUP BY 1, 2 HAVING count(*) FILTER (available_at <= DATE '2000-04-15') = 0"))
+@query("jon10_missing_periods",
+    src.sql(DOCS + "SELECT security_code, report_date FROM docs GROUP BY 1, 2 HAVING count(*) FILTER (available_at <= DATE '2000-04-15') = 0"))
 def jon10(spark, d):
     docs = documents(spark, d)
     return p.missing_periods(docs, docs.select("security_code", "report_date").distinct(), F.lit(datetime.date(2000, 4, 15)))
 
 
-@query("rec24_report_titles", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(year(o_orderdate) + 10 AS VARCHAR) || CASE o_orderkey % 4 WHEN 0 THEN '-12-31' WHEN 1 THEN '-09-30' ELSE '-06-30' END END AS report_date,
+@query("rec24_report_titles", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(year(o_orderdate) + 10 AS VARCHAR) || CASE o_orderkey % 4
+    WHEN 0 THEN '-12-31' WHEN 1 THEN '-09-30' ELSE '-06-30' END END AS report_date,
   CASE o_orderkey % 4 WHEN 0 THEN 'annual' WHEN 1 THEN 'q3' WHEN 2 THEN 'half' END AS kind, CASE o_orderkey % 4 WHEN 2 THEN 'corrected' ELSE 'original' END AS version FROM orders""")
 def rec24(spark, d):
     year = (F.year("o_orderdate") + 10).cast("string")
     tail = F.element_at(F.array(*map(F.lit, ["年年度报告", "年第三季度报告全文", "年半年度报告（修订版）", "年年度报告摘要"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
     title = F.concat(F.lit("某公司 "), year, tail)
-    return src.table(spark, d, "orders").select("o_orderkey", p.report_identity(title).alias("i"), p.version_label(title).alias("version")).select("o_orderkey", "i.*", "version")
+    return src.table(spark, d, "orders").select("o_orderkey", p.report_identity(title).alias("i"), p.version_label(title).alias("version")).select("o_orderkey",
+        "i.*", "version")
 
 
 def finance_facts(spark, d):
@@ -72,9 +78,11 @@ def finance_facts(spark, d):
     key = F.when(F.col("field_key") == "REVENUE", "OPERATE_INCOME").when(F.col("field_key") == "COST", "OPERATE_COST").otherwise("INVENTORY")
     flows = src.facts_cum(spark, d).unionByName(src.facts_restated(spark, d)).filter("field_key != 'QTY'").withColumn("period_basis", F.lit("CUMULATIVE"))
     stock = src.facts_point(spark, d).filter("field_key = 'QTY'").withColumn("period_basis", F.lit("CUMULATIVE"))
-    single = src.facts_quarter(spark, d).filter((F.col("field_key") == "COST") & (F.col("security_code").cast("int") % 2 == 0)).withColumn("period_basis", F.lit("STANDALONE"))
+    single = src.facts_quarter(spark, d).filter((F.col("field_key") == "COST") & (F.col("security_code").cast("int") % 2 == 0)).withColumn("period_basis",
+        F.lit("STANDALONE"))
     rows = flows.unionByName(stock).unionByName(single).withColumn("field_key", key).withColumn("source_priority", F.lit(None).cast("int"))
-    return rows.withColumn("source_status", F.when((F.col("security_code").cast("int") % 11 == 0) & (F.col("field_key") == "OPERATE_COST"), "PARSE_SUSPECT").otherwise("FACT_DIRECT"))
+    return rows.withColumn("source_status", F.when((F.col("security_code").cast("int") % 11 == 0) & (F.col("field_key") == "OPERATE_COST"),
+        "PARSE_SUSPECT").otherwise("FACT_DIRECT"))
 
 
 FINANCE = """fin AS (SELECT * REPLACE (CASE field_key WHEN 'REVENUE' THEN 'revenue' WHEN 'COST' THEN 'operating_cost' ELSE 'inventory' END AS field_key,
@@ -89,16 +97,19 @@ gp AS (SELECT * FROM sel WHERE basis = 'C' UNION ALL SELECT r.security_code, r.r
 """
 
 
-@query("fin4_selected", src.sql(FINANCE + "SELECT security_code, report_date, target, status, round(value, 4) AS value, available_at FROM sel WHERE basis = 'C'"))
+@query("fin4_selected",
+    src.sql(FINANCE + "SELECT security_code, report_date, target, status, round(value, 4) AS value, available_at FROM sel WHERE basis = 'C'"))
 def fin4(spark, d):
     out = p.selected(finance_facts(spark, d), cutoff()).withColumn("value", F.round("value", 4))
     return out.select("security_code", "report_date", "target", "status", "value", "available_at")
 
 
 TARGETS = ", ".join(f"'{t}'" for t in p.FIELDS)
-STATUSES = FINANCE + f""", every AS (SELECT DISTINCT security_code, report_date, CASE WHEN CAST(security_code AS INT) % 10 = 0 THEN 'BANK' ELSE 'INDUSTRIAL' END AS template FROM sel WHERE basis = 'C'),
+STATUSES = FINANCE + f""", every AS (SELECT DISTINCT security_code, report_date, CASE WHEN CAST(security_code AS INT) % 10 = 0 THEN 'BANK'
+    ELSE 'INDUSTRIAL' END AS template FROM sel WHERE basis = 'C'),
 st AS (SELECT e.security_code, e.report_date, t.target, e.template,
-  CASE WHEN template <> 'INDUSTRIAL' AND t.target IN ('gross_profit', 'accounts_receivable', 'inventory', 'contract_liabilities', 'capex', 'interest_bearing_debt') THEN 'NOT_APPLICABLE' ELSE coalesce(g.status, 'SOURCE_MISSING') END AS status,
+  CASE WHEN template <> 'INDUSTRIAL' AND t.target IN ('gross_profit', 'accounts_receivable', 'inventory', 'contract_liabilities', 'capex',
+    'interest_bearing_debt') THEN 'NOT_APPLICABLE' ELSE coalesce(g.status, 'SOURCE_MISSING') END AS status,
   CASE WHEN template <> 'INDUSTRIAL' AND t.target IN ('gross_profit', 'inventory') THEN NULL ELSE g.value END AS value,
   CASE WHEN template <> 'INDUSTRIAL' AND t.target IN ('gross_profit', 'inventory') THEN NULL ELSE g.available_at END AS available_at
   FROM every e CROSS JOIN (SELECT unnest([{TARGETS}]) AS target) t LEFT JOIN gp g ON g.security_code = e.security_code AND g.report_date = e.report_date AND g.target = t.target)
@@ -123,7 +134,8 @@ NUMBERS = [t for t, (_, kind, _) in p.FIELDS.items() if kind != "text"]
 TEXTS = [t for t, (_, kind, _) in p.FIELDS.items() if kind == "text"]
 
 
-@query("fin5_annual", src.sql(STATUSES + "SELECT security_code, report_date, " + ", ".join(f"round(max(value) FILTER (target = '{t}'), 4) AS {t}" for t in NUMBERS)
+@query("fin5_annual",
+    src.sql(STATUSES + "SELECT security_code, report_date, " + ", ".join(f"round(max(value) FILTER (target = '{t}'), 4) AS {t}" for t in NUMBERS)
   + ", " + ", ".join(f"CAST(NULL AS VARCHAR) AS {t}" for t in TEXTS) + ", max(available_at) AS available_at FROM st WHERE month(report_date) = 12 GROUP BY 1, 2"))
 def fin5(spark, d):
     return p.annual(statuses(spark, d)).withColumns({c: F.round(c, 4) for c in NUMBERS})
@@ -143,7 +155,8 @@ def fin8(spark, d):
     return p.quarterly(p.selected(rows, cutoff()), p.selected(rows, cutoff(), standalone=True)).withColumn("value", F.round("value", 4))
 
 
-@query("fin11_gaps", src.sql(STATUSES + """SELECT security_code, report_date, CASE field_key WHEN 'revenue' THEN 'OPERATE_INCOME' WHEN 'operating_cost' THEN 'OPERATE_COST' ELSE 'INVENTORY' END AS field, 'FUTURE_EXCLUDED' AS gap
+@query("fin11_gaps", src.sql(STATUSES + """SELECT security_code, report_date, CASE field_key WHEN 'revenue' THEN 'OPERATE_INCOME'
+    WHEN 'operating_cost' THEN 'OPERATE_COST' ELSE 'INVENTORY' END AS field, 'FUTURE_EXCLUDED' AS gap
   FROM fin WHERE available_at > DATE '2000-10-01' UNION ALL SELECT security_code, report_date, target, status FROM st WHERE status IN ('SOURCE_MISSING', 'PARSE_SUSPECT', 'CONFLICTING')"""))
 def fin11(spark, d):
     return p.gaps(finance_facts(spark, d), statuses(spark, d), cutoff())
@@ -164,34 +177,40 @@ def jon5(spark, d):
     return p.with_disclosures(rows, general.unionByName(exact)).select("security_code", "field_key", "report_date", "available_at")
 
 
-@query("fin13_scoped", src.sql("SELECT security_code, field_key, report_date, value_num FROM facts_cum WHERE report_date BETWEEN make_date(1996 + CAST(security_code AS INT) % 3, 1, 1) AND DATE '1999-12-31' AND CAST(security_code AS INT) % 4 <> 0"))
+@query("fin13_scoped",
+    src.sql("SELECT security_code, field_key, report_date, value_num FROM facts_cum WHERE report_date BETWEEN make_date(1996 + CAST(security_code AS INT) % 3, 1, 1) AND DATE '1999-12-31' AND CAST(security_code AS INT) % 4 <> 0"))
 def fin13(spark, d):
     code = F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
     requests = src.table(spark, d, "supplier").filter("s_suppkey % 4 <> 0").select(
-        code.alias("code"), F.make_date(F.lit(1996) + (F.col("s_suppkey") % 3).cast("int"), F.lit(1), F.lit(1)).alias("request_annual_from"), F.lit(datetime.date(1999, 12, 31)).alias("request_through")
+        code.alias("code"), F.make_date(F.lit(1996) + (F.col("s_suppkey") % 3).cast("int"), F.lit(1), F.lit(1)).alias("request_annual_from"),
+            F.lit(datetime.date(1999, 12, 31)).alias("request_through")
     )
     return p.scoped(src.facts_cum(spark, d), requests).select("security_code", "field_key", "report_date", "value_num")
 
 
-@query("fin15_violations", src.sql("""SELECT security_code, field_key, report_date, 'KNOWN_BY_CUTOFF' AS rule FROM facts_cum WHERE available_at > DATE '2000-10-01'
+@query("fin15_violations",
+    src.sql("""SELECT security_code, field_key, report_date, 'KNOWN_BY_CUTOFF' AS rule FROM facts_cum WHERE available_at > DATE '2000-10-01'
 UNION ALL SELECT security_code, field_key, report_date, 'YEAR_END' FROM facts_cum WHERE month(report_date) <> 12"""))
 def fin15(spark, d):
     rules = {"KNOWN_BY_CUTOFF": F.col("available_at") <= cutoff(), "YEAR_END": F.month("report_date") == 12, "HAS_VALUE": F.col("value_num").isNotNull()}
     return p.violations(src.facts_cum(spark, d), ["security_code", "field_key", "report_date"], rules)
 
 
-@query("fin17_duplicates", src.sql("r AS (SELECT * FROM facts_cum UNION ALL SELECT * FROM facts_restated) SELECT security_code, field_key, report_date, count(*) AS n FROM r GROUP BY 1, 2, 3 HAVING count(*) > 1"))
+@query("fin17_duplicates",
+    src.sql("r AS (SELECT * FROM facts_cum UNION ALL SELECT * FROM facts_restated) SELECT security_code, field_key, report_date, count(*) AS n FROM r GROUP BY 1, 2, 3 HAVING count(*) > 1"))
 def fin17(spark, d):
     return p.duplicates(src.facts_cum(spark, d).unionByName(src.facts_restated(spark, d)), ["security_code", "field_key", "report_date"])
 
 
 @query("fin19_pending", "SELECT CAST(s_suppkey AS VARCHAR) AS security_id FROM supplier WHERE s_suppkey % 3 <> 0")
 def fin19(spark, d):
-    s = src.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("security_id"), F.when(F.col("s_suppkey") % 3 == 0, "SUCCESS").when(F.col("s_suppkey") % 3 == 1, "FAILED").otherwise("RUNNING").alias("status"))
+    s = src.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("security_id"),
+        F.when(F.col("s_suppkey") % 3 == 0, "SUCCESS").when(F.col("s_suppkey") % 3 == 1, "FAILED").otherwise("RUNNING").alias("status"))
     return p.pending(s.select("security_id"), s)
 
 
-@query("fin14_templates", "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'BANK' WHEN 1 THEN 'INSURANCE' WHEN 2 THEN 'SECURITIES' WHEN 3 THEN 'OTHER_FINANCIAL' ELSE 'INDUSTRIAL' END AS template FROM supplier")
+@query("fin14_templates",
+    "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'BANK' WHEN 1 THEN 'INSURANCE' WHEN 2 THEN 'SECURITIES' WHEN 3 THEN 'OTHER_FINANCIAL' ELSE 'INDUSTRIAL' END AS template FROM supplier")
 def fin14(spark, d):
     name = F.element_at(F.array(*map(F.lit, ["某银行", "某保险", "某证券", "某信托", "某科技"])), (F.col("s_suppkey") % 5 + 1).cast("int"))
     return src.table(spark, d, "supplier").select("s_suppkey", p.industry_template(name).alias("template"))

@@ -32,14 +32,19 @@ def disturbed(rows):
     k = (F.col("security_code").cast("long") * 31 + F.year("report_date") * 4 + F.quarter("report_date")) % 10
     v = F.when(k == 1, F.col("value_num") + 0.4).when(k == 2, F.col("value_num") / 10000).when(k == 3, F.col("value_num") * 1.05).otherwise(F.col("value_num"))
     return rows.withColumn("k", k).filter("k != 0").select(
-        "security_code", "report_date", "field_key", F.when(F.col("k") == 5, "Q9").otherwise(F.col("period_type")).alias("period_type"), F.lit("income_statement").alias("statement_type"),
-        F.when(F.col("k") == 4, "parent").otherwise("consolidated").alias("scope"), F.concat_ws("-", "security_code", F.col("report_date").cast("string")).alias("document_id"), v.alias("value_num"),
-        F.when(F.col("k") == 2, F.when(F.col("field_key") == "QTY", "股").otherwise("万元")).otherwise(F.col("unit")).alias("unit"), F.lit(0.5).alias("precision_tolerance"),
+        "security_code", "report_date", "field_key", F.when(F.col("k") == 5, "Q9").otherwise(F.col("period_type")).alias("period_type"),
+            F.lit("income_statement").alias("statement_type"),
+        F.when(F.col("k") == 4, "parent").otherwise("consolidated").alias("scope"),
+            F.concat_ws("-", "security_code", F.col("report_date").cast("string")).alias("document_id"), v.alias("value_num"),
+        F.when(F.col("k") == 2, F.when(F.col("field_key") == "QTY", "股").otherwise("万元")).otherwise(F.col("unit")).alias("unit"),
+            F.lit(0.5).alias("precision_tolerance"),
     )
 
 
-OFFICIAL = """offi AS (SELECT * FROM (SELECT security_code, report_date, field_key, value_num AS v0, unit AS u0, period_type AS p0, (CAST(security_code AS BIGINT) * 31 + year(report_date) * 4 + quarter(report_date)) % 10 AS k FROM facts_cum) WHERE k <> 0),
-base AS (SELECT security_code, report_date, field_key, family, period_type, value_num, unit, CASE family WHEN 'RPT_F10_FINANCE_GINCOME' THEN 'OFFICIAL_DIRECT' ELSE 'OFFICIAL_DERIVED' END AS mode
+OFFICIAL = """offi AS (SELECT * FROM (SELECT security_code, report_date, field_key, value_num AS v0, unit AS u0, period_type AS p0,
+    (CAST(security_code AS BIGINT) * 31 + year(report_date) * 4 + quarter(report_date)) % 10 AS k FROM facts_cum) WHERE k <> 0),
+base AS (SELECT security_code, report_date, field_key, family, period_type, value_num, unit, CASE family WHEN 'RPT_F10_FINANCE_GINCOME' THEN 'OFFICIAL_DIRECT'
+    ELSE 'OFFICIAL_DERIVED' END AS mode
   FROM (SELECT * FROM facts_cum UNION ALL SELECT * FROM facts_decoy)),
 cmp AS (SELECT b.*, o.k, CASE WHEN l.report_date IS NULL THEN 'OFFICIAL_PERIOD_NOT_LOADED'
     WHEN o.k = 4 THEN 'SCOPE_CONFLICT' WHEN o.k IS NULL OR o.k = 5 THEN 'MISSING_OFFICIAL'
@@ -57,7 +62,7 @@ def compared(spark, d):
     cumulative = kept(src.facts_cum(spark, d))
     rows = kept(cumulative.unionByName(src.facts_decoy(spark, d)))
     entries = r.registry(rows)
-    facts = r.primary(rows).join(entries.drop("statement_type"), ["theme", "family", "dataset", "field_key"]).withColumn("statement_type", F.lit("income_statement"))
+    facts = r.classified(r.primary(rows), entries).withColumn("statement_type", F.lit("income_statement"))
     offi = disturbed(cumulative)
     return r.compared(r.matched(facts, offi), offi)
 
@@ -67,26 +72,33 @@ def rec11(spark, d):
     return compared(spark, d).select("security_code", "report_date", "field_key", "family", "status")
 
 
-@query("rec10_text_verdicts", """SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS security_code, CASE p_partkey % 9 WHEN 0 THEN 'TEXT_MATCH_NORMALIZED' WHEN 1 THEN 'MISMATCH' WHEN 2 THEN 'MISSING_EASTMONEY' WHEN 3 THEN 'MISSING_OFFICIAL'
+@query("rec10_text_verdicts", """SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS security_code, CASE p_partkey % 9 WHEN 0 THEN 'TEXT_MATCH_NORMALIZED'
+    WHEN 1 THEN 'MISMATCH' WHEN 2 THEN 'MISSING_EASTMONEY' WHEN 3 THEN 'MISSING_OFFICIAL'
   WHEN 4 THEN 'TEXT_MATCH_NORMALIZED' WHEN 5 THEN 'MISMATCH' WHEN 6 THEN 'SET_MATCH' WHEN 7 THEN 'MISMATCH' ELSE 'MISSING_EASTMONEY' END AS status FROM part""")
 def rec10(spark, d):
     k, null = F.col("p_partkey") % 9, F.lit(None).cast("string")
     at = lambda *values: F.element_at(F.array(*values), (k + 1).cast("int"))
     name, date, both = F.col("p_name"), F.lit("2001-03-31"), F.concat("p_name", F.lit("、"), "p_type")
     own = at(F.concat(F.upper("p_name"), F.lit("　（A）")), name, F.lit(" "), name, F.lit("2001/3/31"), date, both, both, null)
-    other = at(F.concat("p_name", F.lit("(a)")), F.concat("p_name", F.lit("x")), name, null, date, F.lit("2001-06-30"), F.concat("p_type", F.lit("; "), F.upper("p_name")), name, null)
+    other = at(F.concat("p_name", F.lit("(a)")), F.concat("p_name", F.lit("x")), name, null, date, F.lit("2001-06-30"),
+        F.concat("p_type", F.lit("; "), F.upper("p_name")), name, null)
     method = F.when(k < 4, "text").when(k < 6, "date").when(k < 8, "set").otherwise("numeric")
-    shared = [F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("security_code"), F.lit("2001-03-31").cast("date").alias("report_date"), F.lit("FIELD").alias("field_key"), F.lit("Q1").alias("period_type"), F.lit("").alias("statement_type"), F.lit("").alias("unit")]
+    shared = [F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("security_code"), F.lit("2001-03-31").cast("date").alias("report_date"),
+        F.lit("FIELD").alias("field_key"), F.lit("Q1").alias("period_type"), F.lit("").alias("statement_type"), F.lit("").alias("unit")]
     part = src.table(spark, d, "part")
-    facts = part.select(*shared, F.lit("BASICINFO").alias("family"), F.lit("OFFICIAL_METADATA").alias("mode"), method.alias("method"), F.lit(0.0).alias("absolute"), F.lit(0.0).alias("relative"), own.alias("value_text"), F.lit(None).cast("double").alias("value_num"))
-    offi = part.select(*shared, F.lit("consolidated").alias("scope"), F.lit("d").alias("document_id"), other.alias("value_text"), F.when(k == 8, 1.5).alias("value_num"), F.lit(0.0).alias("precision_tolerance"))
+    facts = part.select(*shared, F.lit("BASICINFO").alias("family"), F.lit("OFFICIAL_METADATA").alias("mode"), method.alias("method"),
+        F.lit(0.0).alias("absolute"), F.lit(0.0).alias("relative"), own.alias("value_text"), F.lit(None).cast("double").alias("value_num"))
+    offi = part.select(*shared, F.lit("consolidated").alias("scope"), F.lit("d").alias("document_id"), other.alias("value_text"),
+        F.when(k == 8, 1.5).alias("value_num"), F.lit(0.0).alias("precision_tolerance"))
     return r.compared(r.matched(facts, offi), offi).select("security_code", "status")
 
 
 @query("agg7_summary", src.sql(OFFICIAL + """SELECT security_code, count(*) AS compared, count(*) FILTER (status <> 'OFFICIAL_PERIOD_NOT_LOADED') AS comparable,
-  count(*) FILTER (status IN ('EXACT_MATCH', 'WITHIN_ROUNDING', 'DERIVED_MATCH', 'MISMATCH', 'SCOPE_CONFLICT')) AS attempted, count(*) FILTER (status IN ('EXACT_MATCH', 'WITHIN_ROUNDING', 'DERIVED_MATCH')) AS matched,
+  count(*) FILTER (status IN ('EXACT_MATCH', 'WITHIN_ROUNDING', 'DERIVED_MATCH', 'MISMATCH', 'SCOPE_CONFLICT')) AS attempted,
+    count(*) FILTER (status IN ('EXACT_MATCH', 'WITHIN_ROUNDING', 'DERIVED_MATCH')) AS matched,
   count(*) FILTER (status IN ('MISMATCH', 'SCOPE_CONFLICT')) AS conflicts, count(*) FILTER (status = 'MISSING_OFFICIAL') AS unresolved,
-  round(count(*) FILTER (status IN ('EXACT_MATCH', 'WITHIN_ROUNDING', 'DERIVED_MATCH')) / nullif(count(*) FILTER (status IN ('EXACT_MATCH', 'WITHIN_ROUNDING', 'DERIVED_MATCH', 'MISMATCH', 'SCOPE_CONFLICT')), 0), 6) AS accuracy
+  round(count(*) FILTER (status IN ('EXACT_MATCH', 'WITHIN_ROUNDING', 'DERIVED_MATCH')) / nullif(count(*) FILTER (status IN ('EXACT_MATCH', 'WITHIN_ROUNDING',
+    'DERIVED_MATCH', 'MISMATCH', 'SCOPE_CONFLICT')), 0), 6) AS accuracy
 FROM cmp GROUP BY ROLLUP (security_code)"""))
 def agg7(spark, d):
     out = r.summary(compared(spark, d))
@@ -103,8 +115,10 @@ def jon4(spark, d):
     return r.official_only(official(spark, d), src.facts_cum(spark, d)).select("security_code", "report_date", "field_key")
 
 
-@query("rec13_relabelled", src.sql(OFFICIAL + """SELECT security_code, report_date, field_key, family, CASE WHEN year(report_date) = 1995 AND status IN ('MISSING_OFFICIAL', 'OFFICIAL_PERIOD_NOT_LOADED') THEN 'PRE_LISTING_OFFICIAL_SOURCE_NOT_LOADED'
-  WHEN year(report_date) = 1996 AND status IN ('MISSING_OFFICIAL', 'OFFICIAL_PERIOD_NOT_LOADED') THEN 'OFFICIAL_REPORT_SUMMARY_SCOPE_GAP' WHEN year(report_date) = 2001 AND status = 'OFFICIAL_PERIOD_NOT_LOADED' THEN 'OFFICIAL_REPORT_NOT_YET_DISCLOSED' ELSE status END AS status FROM cmp"""))
+@query("rec13_relabelled", src.sql(OFFICIAL + """SELECT security_code, report_date, field_key, family, CASE WHEN year(report_date) = 1995
+    AND status IN ('MISSING_OFFICIAL', 'OFFICIAL_PERIOD_NOT_LOADED') THEN 'PRE_LISTING_OFFICIAL_SOURCE_NOT_LOADED'
+  WHEN year(report_date) = 1996 AND status IN ('MISSING_OFFICIAL', 'OFFICIAL_PERIOD_NOT_LOADED') THEN 'OFFICIAL_REPORT_SUMMARY_SCOPE_GAP'
+    WHEN year(report_date) = 2001 AND status = 'OFFICIAL_PERIOD_NOT_LOADED' THEN 'OFFICIAL_REPORT_NOT_YET_DISCLOSED' ELSE status END AS status FROM cmp"""))
 def rec13(spark, d):
     y = F.year("report_date")
     state = F.when(y == 1995, "PRE_LISTING").when(y == 1996, "SUMMARY_ONLY").when(y == 2001, "PENDING").otherwise("EXPECTED")
@@ -112,27 +126,33 @@ def rec13(spark, d):
     return r.relabelled(compared(spark, d), lifecycle).select("security_code", "report_date", "field_key", "family", "status")
 
 
-@query("rec4_registry", src.sql("""SELECT theme, family, dataset, field_key, CASE WHEN family LIKE '%GBALANCE' OR family LIKE '%GINCOME' THEN 'OFFICIAL_DIRECT' ELSE 'OFFICIAL_DERIVED' END AS mode,
-  CASE WHEN family LIKE '%GBALANCE' THEN 'balance_sheet' WHEN family LIKE '%DUPONT' THEN 'dupont' ELSE 'income_statement' END AS statement_type, CASE field_key WHEN 'QTY' THEN 'integer' ELSE 'numeric' END AS method,
+@query("rec4_registry", src.sql("""SELECT theme, family, dataset, field_key, CASE WHEN family LIKE '%GBALANCE' OR family LIKE '%GINCOME' THEN 'OFFICIAL_DIRECT'
+    ELSE 'OFFICIAL_DERIVED' END AS mode,
+  CASE WHEN family LIKE '%GBALANCE' THEN 'balance_sheet' WHEN family LIKE '%DUPONT' THEN 'dupont' ELSE 'income_statement' END AS statement_type, CASE field_key
+    WHEN 'QTY' THEN 'integer' ELSE 'numeric' END AS method,
   CASE field_key WHEN 'QTY' THEN 0.5 ELSE 1.0 END AS absolute, CASE field_key WHEN 'QTY' THEN 0.0 ELSE 1e-10 END AS relative FROM facts GROUP BY 1, 2, 3, 4"""))
 def rec4(spark, d):
     return r.registry(src.facts(spark, d))
 
 
-@query("agg6_registry_coverage", src.sql("""SELECT CASE WHEN family LIKE '%GBALANCE' OR family LIKE '%GINCOME' THEN 'OFFICIAL_DIRECT' ELSE 'OFFICIAL_DERIVED' END AS mode,
+@query("agg6_registry_coverage",
+    src.sql("""SELECT CASE WHEN family LIKE '%GBALANCE' OR family LIKE '%GINCOME' THEN 'OFFICIAL_DIRECT' ELSE 'OFFICIAL_DERIVED' END AS mode,
   CASE field_key WHEN 'QTY' THEN 'integer' ELSE 'numeric' END AS method, count(DISTINCT (family, field_key)) AS contexts FROM facts GROUP BY 1, 2"""))
 def agg6(spark, d):
     return r.registry_coverage(r.registry(src.facts(spark, d)))
 
 
-@query("rec3_primary", src.sql("x AS (SELECT * FROM facts_cum UNION ALL SELECT * FROM facts_restated) SELECT security_code, report_date, field_key, round(arg_max(value_num, available_at), 4) AS value_num FROM x GROUP BY 1, 2, 3"))
+@query("rec3_primary",
+    src.sql("x AS (SELECT * FROM facts_cum UNION ALL SELECT * FROM facts_restated) SELECT security_code, report_date, field_key, round(arg_max(value_num, available_at), 4) AS value_num FROM x GROUP BY 1, 2, 3"))
 def rec3(spark, d):
     rows = r.primary(src.facts_cum(spark, d).unionByName(src.facts_restated(spark, d)))
     return rows.select("security_code", "report_date", "field_key", F.round("value_num", 4).alias("value_num"))
 
 
-@query("rec21_identities", src.sql("""w AS (SELECT security_code, report_date, max(value_num) FILTER (field_key = 'REVENUE') AS rev, max(value_num) FILTER (field_key = 'COST') AS cost, max(value_num) FILTER (field_key = 'QTY') AS qty FROM facts_cum GROUP BY 1, 2)
-SELECT security_code, report_date, 'REVENUE_IS_COST_AND_QTY' AS check_id, round(rev, 4) AS left_value, round(cost + qty, 4) AS right_value, CASE WHEN rev - (cost + qty) IS NULL THEN 'UNRESOLVED' WHEN abs(rev - (cost + qty)) <= 1 THEN 'PASS' ELSE 'FAIL' END AS status FROM w
+@query("rec21_identities", src.sql("""w AS (SELECT security_code, report_date, max(value_num) FILTER (field_key = 'REVENUE') AS rev,
+    max(value_num) FILTER (field_key = 'COST') AS cost, max(value_num) FILTER (field_key = 'QTY') AS qty FROM facts_cum GROUP BY 1, 2)
+SELECT security_code, report_date, 'REVENUE_IS_COST_AND_QTY' AS check_id, round(rev, 4) AS left_value, round(cost + qty, 4) AS right_value, CASE
+    WHEN rev - (cost + qty) IS NULL THEN 'UNRESOLVED' WHEN abs(rev - (cost + qty)) <= 1 THEN 'PASS' ELSE 'FAIL' END AS status FROM w
 UNION ALL SELECT security_code, report_date, 'COST_IS_COST', round(cost, 4), round(cost, 4), CASE WHEN cost IS NULL THEN 'UNRESOLVED' ELSE 'PASS' END FROM w"""))
 def rec21(spark, d):
     out = r.identities(src.facts_cum(spark, d), {"REVENUE_IS_COST_AND_QTY": ("REVENUE", ["COST", "QTY"]), "COST_IS_COST": ("COST", ["COST"])})
@@ -165,36 +185,45 @@ def lineage(spark, d):
     return m.lineage(m.source_facts(two_sources(spark, d), F.lit(CUT), metrics))
 
 
-OBS = """k AS (SELECT *, CAST(security_code AS INT) % 4 AS c, CASE field_key WHEN 'REVENUE' THEN 'income.revenue' WHEN 'COST' THEN 'income.cost' ELSE 'source.' || family || '.QTY' END AS metric_id FROM facts_cum WHERE available_at <= DATE '2000-10-01')
+OBS = """k AS (SELECT *, CAST(security_code AS INT) % 4 AS c, CASE field_key WHEN 'REVENUE' THEN 'income.revenue' WHEN 'COST' THEN 'income.cost'
+    ELSE 'source.' || family || '.QTY' END AS metric_id FROM facts_cum WHERE available_at <= DATE '2000-10-01')
 """
 
 
-@query("map3_observations", src.sql(OBS + """SELECT security_code, metric_id, report_date, CASE c WHEN 0 THEN 'VERIFIED_MULTI_SOURCE' WHEN 1 THEN 'SOURCE_CONFLICT' ELSE 'SINGLE_SOURCE' END AS status,
-  CASE c WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence, round(CASE WHEN c <> 1 THEN value_num END, 4) AS value_num, CASE WHEN c = 3 THEN 1 ELSE 2 END AS sources FROM k"""))
+@query("map3_observations", src.sql(OBS + """SELECT security_code, metric_id, report_date, CASE c WHEN 0 THEN 'VERIFIED_MULTI_SOURCE'
+    WHEN 1 THEN 'SOURCE_CONFLICT' ELSE 'SINGLE_SOURCE' END AS status,
+  CASE c WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence, round(CASE WHEN c <> 1 THEN value_num END, 4) AS value_num, CASE
+    WHEN c = 3 THEN 1 ELSE 2 END AS sources FROM k"""))
 def map3(spark, d):
-    return m.observations(lineage(spark, d)).select("security_code", "metric_id", "report_date", "status", "confidence", F.round("value_num", 4).alias("value_num"), "sources")
+    return m.observations(lineage(spark, d)).select("security_code", "metric_id", "report_date", "status", "confidence",
+        F.round("value_num", 4).alias("value_num"), "sources")
 
 
-@query("map4_lineage", src.sql(OBS + """SELECT security_code, metric_id, report_date, 'EASTMONEY' AS source, CASE c WHEN 0 THEN 'SUPPORTING' WHEN 1 THEN 'CONFLICTING' ELSE 'SELECTED' END AS role FROM k
+@query("map4_lineage", src.sql(OBS + """SELECT security_code, metric_id, report_date, 'EASTMONEY' AS source, CASE c WHEN 0 THEN 'SUPPORTING'
+    WHEN 1 THEN 'CONFLICTING' ELSE 'SELECTED' END AS role FROM k
 UNION ALL SELECT security_code, metric_id, report_date, 'OFFICIAL_DISCLOSURE', CASE c WHEN 0 THEN 'SELECTED' WHEN 1 THEN 'SUPPORTING' ELSE 'QUARANTINED' END FROM k WHERE c <> 3"""))
 def map4(spark, d):
     return lineage(spark, d).select("security_code", "metric_id", "report_date", "source", "role")
 
 
-@query("agg10_mapping_coverage", src.sql(OBS + """SELECT CASE c WHEN 0 THEN 'VERIFIED_MULTI_SOURCE' WHEN 1 THEN 'SOURCE_CONFLICT' ELSE 'SINGLE_SOURCE' END AS status, CASE c WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence,
+@query("agg10_mapping_coverage", src.sql(OBS + """SELECT CASE c WHEN 0 THEN 'VERIFIED_MULTI_SOURCE' WHEN 1 THEN 'SOURCE_CONFLICT'
+    ELSE 'SINGLE_SOURCE' END AS status, CASE c WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence,
   count(*) AS n, CAST(sum(CASE WHEN c = 3 THEN 1 ELSE 2 END) AS BIGINT) AS sources FROM k GROUP BY 1, 2"""))
 def agg10(spark, d):
     return m.mapping_coverage(m.observations(lineage(spark, d)))
 
 
-@query("map10_topics", """SELECT p_partkey, topic FROM part, (SELECT unnest(['SMALL', 'COLOUR']) AS topic) WHERE (topic = 'SMALL' AND (contains(upper(p_name), 'SMALL') OR contains(upper(p_type), 'SMALL') OR contains(upper(p_brand), 'SMALL')))
+@query("map10_topics", """SELECT p_partkey, topic FROM part, (SELECT unnest(['SMALL', 'COLOUR']) AS topic) WHERE (topic = 'SMALL' AND (contains(upper(p_name),
+    'SMALL') OR contains(upper(p_type), 'SMALL') OR contains(upper(p_brand), 'SMALL')))
   OR (topic = 'COLOUR' AND (contains(upper(p_name), 'RED') OR contains(upper(p_name), 'BLUE') OR contains(upper(p_type), 'RED') OR contains(upper(p_type), 'BLUE')))""")
 def map10(spark, d):
-    rows = src.table(spark, d, "part").select("p_partkey", F.col("p_type").alias("field_key"), F.col("p_name").alias("field_name_cn"), F.col("p_brand").alias("family"))
+    rows = src.table(spark, d, "part").select("p_partkey", F.col("p_type").alias("field_key"), F.col("p_name").alias("field_name_cn"),
+        F.col("p_brand").alias("family"))
     return m.topics(rows, {"SMALL": ["small"], "COLOUR": ["red", "blue"]}).select("p_partkey", "topic")
 
 
-@query("map11_coverage_gaps", "SELECT DISTINCT user_id AS security_code, metric_id FROM events, (SELECT unnest(['click', 'view', 'refund']) AS metric_id) r WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = events.user_id AND e.event_type = r.metric_id)")
+@query("map11_coverage_gaps",
+    "SELECT DISTINCT user_id AS security_code, metric_id FROM events, (SELECT unnest(['click', 'view', 'refund']) AS metric_id) r WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = events.user_id AND e.event_type = r.metric_id)")
 def map11(spark, d):
     rows = src.table(spark, d, "events").select(F.col("user_id").alias("security_code"), F.col("event_type").alias("metric_id"))
     return m.coverage_gaps(rows, spark.createDataFrame([("click",), ("view",), ("refund",)], "metric_id string"))
@@ -213,14 +242,17 @@ EDGES = """e AS (SELECT 'order-' || o_orderkey AS from_id, 'customer-' || o_cust
   UNION ALL SELECT 'nation-' || n_nationkey, 'region-' || n_regionkey FROM nation)"""
 
 
-@query("grf4_traced", f"""WITH RECURSIVE {EDGES}, t AS (SELECT 'order-' || o_orderkey AS start, 'order-' || o_orderkey AS node, 0 AS depth FROM orders WHERE o_totalprice > 400000
+@query("grf4_traced",
+    f"""WITH RECURSIVE {EDGES}, t AS (SELECT 'order-' || o_orderkey AS start, 'order-' || o_orderkey AS node, 0 AS depth FROM orders WHERE o_totalprice > 400000
   UNION ALL SELECT t.start, e.to_id, t.depth + 1 FROM t JOIN e ON t.node = e.from_id WHERE t.depth < 4) SELECT start, node, min(depth) AS depth FROM t GROUP BY 1, 2""")
 def grf4(spark, d):
-    starts = src.table(spark, d, "orders").filter("o_totalprice > 400000").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("node_id"))
+    starts = src.table(spark, d, "orders").filter("o_totalprice > 400000").select(F.concat(F.lit("order-"),
+        F.col("o_orderkey").cast("string")).alias("node_id"))
     return m.traced(edges(spark, d), starts)
 
 
-@query("grf6_graph_quality", f"""WITH {EDGES}, i AS (SELECT DISTINCT from_id FROM e) SELECT DISTINCT 'DANGLING_EDGE' AS problem, from_id || '>' || to_id AS id FROM e WHERE to_id NOT IN (SELECT from_id FROM i)
+@query("grf6_graph_quality", f"""WITH {EDGES}, i AS (SELECT DISTINCT from_id FROM e) SELECT DISTINCT 'DANGLING_EDGE' AS problem, from_id || '>' || to_id AS id
+    FROM e WHERE to_id NOT IN (SELECT from_id FROM i)
 UNION ALL SELECT 'TYPE_COLLISION', 'nation-' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0""")
 def grf6(spark, d):
     e = edges(spark, d).withColumn("edge_id", F.concat_ws(">", "from_id", "to_id"))
@@ -230,7 +262,8 @@ def grf6(spark, d):
     return m.graph_quality(nodes.unionByName(twice), e)
 
 
-@query("grf1_first_definitions", "SELECT 'customer-' || c_custkey AS node_id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'BUYER' ELSE 'CUSTOMER' END AS node_type FROM customer")
+@query("grf1_first_definitions",
+    "SELECT 'customer-' || c_custkey AS node_id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'BUYER' ELSE 'CUSTOMER' END AS node_type FROM customer")
 def grf1(spark, d):
     name = lambda c: F.concat(F.lit("customer-"), F.col(c).cast("string")).alias("node_id")
     a = src.table(spark, d, "orders").select(name("o_custkey"), F.lit("BUYER").alias("node_type"), F.lit("").alias("label"), F.lit(0).alias("precedence"))
@@ -244,7 +277,8 @@ def doc1(spark, d):
     return out.select("page_id", F.size("links").alias("anchors"), "quality")
 
 
-@query("doc3_gates", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'FORBIDDEN' WHEN 1 THEN 'NOT_FOUND' WHEN 2 THEN 'JS_REQUIRED' WHEN 3 THEN 'CAPTCHA' WHEN 4 THEN 'LOGIN' ELSE 'OPEN' END AS gate FROM pages""")
+@query("doc3_gates", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'FORBIDDEN' WHEN 1 THEN 'NOT_FOUND' WHEN 2 THEN 'JS_REQUIRED' WHEN 3 THEN 'CAPTCHA'
+    WHEN 4 THEN 'LOGIN' ELSE 'OPEN' END AS gate FROM pages""")
 def doc3(spark, d):
     k = F.col("page_id") % 6
     status = F.when(k == 0, 403).when(k == 1, 404).otherwise(200)
@@ -263,11 +297,13 @@ def doc10(spark, d):
     return src.table(spark, d, "orders").select("o_orderkey", doc.amounts(line).alias("amounts"))
 
 
-@query("doc9_extracted", """SELECT CAST(o_custkey AS VARCHAR) AS document_id, 'TOTAL' AS field_key, CAST(CAST(arg_min(o_totalprice, o_orderkey) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM orders GROUP BY 1""")
+@query("doc9_extracted", """SELECT CAST(o_custkey AS VARCHAR) AS document_id, 'TOTAL' AS field_key, CAST(CAST(arg_min(o_totalprice,
+    o_orderkey) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM orders GROUP BY 1""")
 def doc9(spark, d):
     rows = src.table(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_totalprice", "o_orderkey").alias("v"))
     k, v = F.col("o_custkey") % 3, F.format_number("v", 2)
     label = F.when(k == 0, "Grand total").when(k == 1, "Grand total (7)\n").otherwise("Grand total\nof all orders（12）\n \n")
     text = F.concat_ws("\n", F.lit("Report 2001"), label, F.concat(v, F.lit("  7")), F.lit("Other 5"))
-    found = doc.extracted(rows.select(F.col("o_custkey").cast("string").alias("document_id"), text.alias("text")), spark.createDataFrame([("grand total", "TOTAL")], "label string, field_key string"))
+    found = doc.extracted(rows.select(F.col("o_custkey").cast("string").alias("document_id"), text.alias("text")),
+        spark.createDataFrame([("grand total", "TOTAL")], "label string, field_key string"))
     return found.select("document_id", "field_key", "value")

@@ -22,21 +22,25 @@ def query(name: str, sql: str):
 
 
 @query("srt4_best_field", src.sql("""b AS (SELECT *, row_number() OVER (PARTITION BY security_code ORDER BY field_key <> 'COST', report_date DESC,
-  CASE family WHEN 'RPT_F10_FINANCE_GBALANCE' THEN 0 WHEN 'RPT_F10_FINANCE_GINCOME' THEN 1 WHEN 'RPT_F10_FINANCE_GINCOMEQC' THEN 7 ELSE 90 END, family, dataset) AS n FROM facts WHERE field_key = 'COST')
+  CASE family WHEN 'RPT_F10_FINANCE_GBALANCE' THEN 0 WHEN 'RPT_F10_FINANCE_GINCOME' THEN 1 WHEN 'RPT_F10_FINANCE_GINCOMEQC' THEN 7 ELSE 90 END, family,
+    dataset) AS n FROM facts WHERE field_key = 'COST')
 SELECT security_code, family, report_date, value_num FROM b WHERE n = 1"""))
 def srt4(spark, d):
     return r.best_field(src.facts(spark, d), "COST").select("security_code", "family", "report_date", "value_num")
 
 
-@query("src9_united", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
+@query("src9_united",
+    "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
 def src9(spark, d):
     a = src.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     return r.united([a, src.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))], "id")
 
 
-@query("map8_profit_quality", src.sql("""w AS (SELECT security_code, report_date, max(value_num) FILTER (field_key = 'REVENUE') AS np, max(value_num) FILTER (field_key = 'COST') AS ap, max(value_num) FILTER (field_key = 'QTY') AS ocf FROM facts_cum GROUP BY 1, 2)
+@query("map8_profit_quality", src.sql("""w AS (SELECT security_code, report_date, max(value_num) FILTER (field_key = 'REVENUE') AS np,
+    max(value_num) FILTER (field_key = 'COST') AS ap, max(value_num) FILTER (field_key = 'QTY') AS ocf FROM facts_cum GROUP BY 1, 2)
 SELECT security_code, report_date, m AS metric_id, round(v, 4) AS value_num, CASE WHEN v IS NULL THEN 'UNRESOLVED' ELSE 'FACT_CALCULATED' END AS status FROM (
-  SELECT security_code, report_date, 'non_recurring_amount' AS m, np - ap AS v FROM w UNION ALL SELECT security_code, report_date, 'non_recurring_share', (np - ap) / nullif(abs(np), 0) * 100 FROM w
+  SELECT security_code, report_date, 'non_recurring_amount' AS m, np - ap AS v FROM w UNION ALL SELECT security_code, report_date, 'non_recurring_share',
+    (np - ap) / nullif(abs(np), 0) * 100 FROM w
   UNION ALL SELECT security_code, report_date, 'cash_to_adjusted_profit', ocf / nullif(ap, 0) FROM w UNION ALL SELECT security_code, report_date, 'simplified_free_cash_flow', NULL FROM w
   UNION ALL SELECT security_code, report_date, 'rd_capitalization_rate', NULL FROM w)"""))
 def map8(spark, d):
@@ -44,40 +48,52 @@ def map8(spark, d):
     return r.profit_quality(src.facts_cum(spark, d).withColumn("metric_id", name)).withColumn("value_num", F.round("value_num", 4))
 
 
-@query("map9_segments", """SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS security_code, l_suppkey || '|' || l_returnflag AS record_key, l_returnflag AS segment, round(sum(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE, 2) AS revenue,
+@query("map9_segments", """SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS security_code, l_suppkey || '|' || l_returnflag AS record_key,
+    l_returnflag AS segment, round(sum(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE, 2) AS revenue,
   count(*)::DOUBLE AS cost, round(sum(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE - count(*), 2) AS profit FROM lineitem GROUP BY l_suppkey, l_returnflag""")
 def map9(spark, d):
-    g = src.table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("q"), F.count(F.lit(1)).cast("double").alias("n"))
+    g = src.table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("q"),
+        F.count(F.lit(1)).cast("double").alias("n"))
     each = F.array(*[F.struct(F.lit(k).alias("field_key"), t.alias("value_text"), v.alias("value_num")) for k, t, v in (
-        ("ITEM_NAME", F.col("l_returnflag"), F.lit(None).cast("double")), ("MAIN_INCOME", F.lit(None).cast("string"), F.col("q")), ("MAIN_COST", F.lit(None).cast("string"), F.col("n")))])
-    rows = g.select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("security_code"), F.concat_ws("|", F.col("l_suppkey").cast("string"), "l_returnflag").alias("record_key"), F.explode(each).alias("f"))
+        ("ITEM_NAME", F.col("l_returnflag"), F.lit(None).cast("double")), ("MAIN_INCOME", F.lit(None).cast("string"), F.col("q")),
+            ("MAIN_COST", F.lit(None).cast("string"), F.col("n")))])
+    rows = g.select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("security_code"),
+        F.concat_ws("|", F.col("l_suppkey").cast("string"), "l_returnflag").alias("record_key"), F.explode(each).alias("f"))
     out = r.segments(rows.select("security_code", "record_key", "f.*"), "NAME$", "INCOME$", "COST$")
     return out.select("security_code", "record_key", "segment", "revenue", "cost", "profit")
 
 
-@query("jon12_entity_matches", """SELECT c_custkey AS id, lpad(CAST(c_custkey % 50 AS VARCHAR), 6, '0') AS security_code, CASE c_custkey % 5 WHEN 0 THEN 'CODE' WHEN 1 THEN 'LEGAL_NAME' WHEN 2 THEN 'FORMER_NAME' WHEN 3 THEN 'DOMAIN' ELSE 'SHORT_NAME' END AS rule
+@query("jon12_entity_matches", """SELECT c_custkey AS id, lpad(CAST(c_custkey % 50 AS VARCHAR), 6, '0') AS security_code, CASE c_custkey % 5 WHEN 0 THEN 'CODE'
+    WHEN 1 THEN 'LEGAL_NAME' WHEN 2 THEN 'FORMER_NAME' WHEN 3 THEN 'DOMAIN' ELSE 'SHORT_NAME' END AS rule
 FROM customer WHERE c_custkey % 50 IN (SELECT s_suppkey FROM supplier)""")
 def jon12(spark, d):
     s = src.table(spark, d, "supplier")
     n = F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
-    profiles = s.select(n.alias("security_code"), F.concat(F.lit("legal"), n).alias("legal_name"), F.array(F.concat(F.lit("former"), n)).alias("former_names"), F.concat(n, F.lit(".example.org")).alias("domain"), F.concat(F.lit("s"), n, F.lit("s")).alias("short_name"))
+    profiles = s.select(n.alias("security_code"), F.concat(F.lit("legal"), n).alias("legal_name"), F.array(F.concat(F.lit("former"), n)).alias("former_names"),
+        F.concat(n, F.lit(".example.org")).alias("domain"), F.concat(F.lit("s"), n, F.lit("s")).alias("short_name"))
     m, k = F.lpad((F.col("c_custkey") % 50).cast("string"), 6, "0"), F.col("c_custkey") % 5
     text = F.when(k == 1, F.concat(F.lit("legal"), m)).when(k == 2, F.concat(F.lit("former"), m)).when(k == 4, F.concat(F.lit("the s"), m, F.lit("s group")))
-    mentions = src.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("text"), F.when(k == 3, F.concat(m, F.lit(".example.org"))).alias("domain"), F.when(k == 0, m).alias("code"))
+    mentions = src.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("text"),
+        F.when(k == 3, F.concat(m, F.lit(".example.org"))).alias("domain"), F.when(k == 0, m).alias("code"))
     return r.entity_matches(mentions, profiles)
 
 
-@query("rec15_lifecycle", src.sql("""p AS (SELECT DISTINCT security_code, report_date, make_date(1996, 1 + CAST(security_code AS INT) % 12, 1) AS listed, year(report_date) < 2001 AND NOT (year(report_date) = 1999 AND quarter(report_date) = 2) AS loaded FROM facts_cum),
-f AS (SELECT *, min(report_date) FILTER (report_date >= listed) OVER (PARTITION BY security_code) AS first, max(report_date) FILTER (loaded) OVER (PARTITION BY security_code) AS latest FROM p)
-SELECT security_code, report_date, CASE WHEN report_date < listed THEN 'PRE_LISTING' WHEN loaded THEN CASE WHEN report_date = first AND year(report_date) = year(listed) THEN 'TRANSITION' ELSE 'EXPECTED' END
+@query("rec15_lifecycle", src.sql("""p AS (SELECT DISTINCT security_code, report_date, make_date(1996, 1 + CAST(security_code AS INT) % 12, 1) AS listed,
+    year(report_date) < 2001 AND NOT (year(report_date) = 1999 AND quarter(report_date) = 2) AS loaded FROM facts_cum),
+f AS (SELECT *, min(report_date) FILTER (report_date >= listed) OVER (PARTITION BY security_code) AS first,
+    max(report_date) FILTER (loaded) OVER (PARTITION BY security_code) AS latest FROM p)
+SELECT security_code, report_date, CASE WHEN report_date < listed THEN 'PRE_LISTING' WHEN loaded THEN CASE WHEN report_date = first
+    AND year(report_date) = year(listed) THEN 'TRANSITION' ELSE 'EXPECTED' END
   WHEN report_date > latest THEN 'PENDING' ELSE 'POST_LISTING_MISSING' END AS state FROM f"""))
 def rec15(spark, d):
     periods = src.facts_cum(spark, d).select("security_code", "report_date").distinct()
-    listed = periods.select("security_code").distinct().select("security_code", F.make_date(F.lit(1996), F.lit(1) + F.col("security_code").cast("int") % 12, F.lit(1)).alias("listed"))
+    listed = periods.select("security_code").distinct().select("security_code", F.make_date(F.lit(1996), F.lit(1) + F.col("security_code").cast("int") % 12,
+        F.lit(1)).alias("listed"))
     return r.lifecycle(periods, listed, periods.filter("year(report_date) < 2001 and not (year(report_date) = 1999 and quarter(report_date) = 2)"))
 
 
-@query("rec22_metadata_facts", """WITH d AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderdate AS DATE) AS t, CASE o_orderkey % 2 WHEN 0 THEN 'annual' ELSE 'q1' END AS kind FROM orders),
+@query("rec22_metadata_facts", """WITH d AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderdate AS DATE) AS t, CASE o_orderkey % 2
+    WHEN 0 THEN 'annual' ELSE 'q1' END AS kind FROM orders),
 v AS (SELECT 'annual' AS kind, 'FY' AS p UNION ALL SELECT 'annual', 'Q4' UNION ALL SELECT 'q1', 'Q1'), j AS (SELECT * FROM d JOIN v USING (kind))
 SELECT c AS security_code, t AS report_date, CAST(o_orderkey AS VARCHAR) AS document_id, p AS period_type, k AS field_key,
   CASE k WHEN 'REPORT_DATE' THEN CAST(t AS VARCHAR) WHEN 'NOTICE_DATE' THEN CAST(CAST(t + 30 AS DATE) AS VARCHAR) WHEN 'SECURITY_CODE' THEN c ELSE p END AS value_text
@@ -88,11 +104,13 @@ def rec22(spark, d):
 
 def metadata(spark, o):
     date = F.col("o_orderdate").cast("date")
-    docs = o.select(F.col("o_custkey").cast("string").alias("security_code"), date.alias("report_date"), F.date_add(date, 30).alias("available_at"), F.col("o_orderkey").cast("string").alias("document_id"), F.when(F.col("o_orderkey") % 2 == 0, "annual").otherwise("q1").alias("kind"))
+    docs = o.select(F.col("o_custkey").cast("string").alias("security_code"), date.alias("report_date"), F.date_add(date, 30).alias("available_at"),
+        F.col("o_orderkey").cast("string").alias("document_id"), F.when(F.col("o_orderkey") % 2 == 0, "annual").otherwise("q1").alias("kind"))
     return r.metadata_facts(docs, spark.createDataFrame([("annual", "FY"), ("annual", "Q4"), ("q1", "Q1")], "kind string, period_type string"))
 
 
-@query("rec22_all_metadata_facts", """WITH d AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderdate AS DATE) AS t, CASE o_orderkey % 2 WHEN 0 THEN 'annual' ELSE 'q1' END AS kind FROM orders),
+@query("rec22_all_metadata_facts", """WITH d AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderdate AS DATE) AS t, CASE o_orderkey % 2
+    WHEN 0 THEN 'annual' ELSE 'q1' END AS kind FROM orders),
 v AS (SELECT 'annual' AS kind, 'FY' AS p UNION ALL SELECT 'annual', 'Q4' UNION ALL SELECT 'q1', 'Q1'), j AS (SELECT * FROM d JOIN v USING (kind))
 SELECT c AS security_code, t AS report_date, CAST(o_orderkey AS VARCHAR) AS document_id, p AS period_type, k AS field_key,
   CASE k WHEN 'REPORT_DATE' THEN CAST(t AS VARCHAR) WHEN 'NOTICE_DATE' THEN CAST(CAST(t + 30 AS DATE) AS VARCHAR) WHEN 'SECURITY_CODE' THEN c ELSE p END AS value_text
@@ -101,15 +119,18 @@ def rec22_all(spark, d):
     return metadata(spark, src.table(spark, d, "orders"))
 
 
-@query("doc4_document_status", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'UNRESOLVED' WHEN 2 THEN 'NO_MATCH' WHEN 3 THEN 'SUCCESS' ELSE 'UNRESOLVED' END AS status,
+@query("doc4_document_status", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'UNRESOLVED' WHEN 2 THEN 'NO_MATCH' WHEN 3 THEN 'SUCCESS'
+    ELSE 'UNRESOLVED' END AS status,
   CASE page_id % 5 WHEN 0 THEN 'MANUAL_CAPTCHA' WHEN 1 THEN 'RETRY' WHEN 4 THEN 'RETRY' END AS action FROM pages""")
 def doc4(spark, d):
     k = F.col("page_id") % 5
-    rows = src.table(spark, d, "pages").select("page_id", F.when(k == 0, "CAPTCHA").when(k == 1, "NOT_FOUND").otherwise("OPEN").alias("gate"), F.when(k == 2, 0).otherwise(1).alias("results"), (k == 3).alias("saved"))
+    rows = src.table(spark, d, "pages").select("page_id", F.when(k == 0, "CAPTCHA").when(k == 1, "NOT_FOUND").otherwise("OPEN").alias("gate"),
+        F.when(k == 2, 0).otherwise(1).alias("results"), (k == 3).alias("saved"))
     return r.document_status(rows).select("page_id", "status", "action")
 
 
-@query("agg13_conservation", """SELECT user_id AS batch, count(*) AS requested, count(*) FILTER (event_type = 'click') AS success, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS deferred,
+@query("agg13_conservation", """SELECT user_id AS batch, count(*) AS requested, count(*) FILTER (event_type = 'click') AS success,
+    count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS deferred,
   count(*) = count(*) FILTER (event_type IN ('click', 'error', 'view')) AS conserved FROM events GROUP BY 1""")
 def agg13(spark, d):
     t = F.col("event_type")
@@ -117,28 +138,34 @@ def agg13(spark, d):
     return r.conservation(src.table(spark, d, "events").select(F.col("user_id").alias("batch"), status.alias("status")))
 
 
-@query("agg14_flag_counts", "SELECT CAST(ts AS DATE) AS report_date, event_type AS flag, count(*) AS n FROM events GROUP BY 1, 2 UNION ALL SELECT CAST(ts AS DATE), 'large', count(*) FROM events WHERE value > 50 GROUP BY 1")
+@query("agg14_flag_counts",
+    "SELECT CAST(ts AS DATE) AS report_date, event_type AS flag, count(*) AS n FROM events GROUP BY 1, 2 UNION ALL SELECT CAST(ts AS DATE), 'large', count(*) FROM events WHERE value > 50 GROUP BY 1")
 def agg14(spark, d):
     flags = F.array_compact(F.array("event_type", F.when(F.col("value") > 50, "large")))
     return r.flag_counts(src.table(spark, d, "events").select(F.col("ts").cast("date").alias("report_date"), flags.alias("flags")))
 
 
-@query("flt13_with_evidence", "SELECT c_custkey AS observation_id FROM customer WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_returnflag = 'R' AND l_quantity > 49)")
+@query("flt13_with_evidence",
+    "SELECT c_custkey AS observation_id FROM customer WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_returnflag = 'R' AND l_quantity > 49)")
 def flt13(spark, d):
     lineage = src.table(spark, d, "orders").select(F.col("o_custkey").alias("observation_id"), F.col("o_orderkey").alias("source_fact_id"))
     sources = src.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "source_fact_id")
-    return r.with_evidence(src.table(spark, d, "customer").select(F.col("c_custkey").alias("observation_id")), lineage, sources, (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49))
+    return r.with_evidence(src.table(spark, d, "customer").select(F.col("c_custkey").alias("observation_id")), lineage, sources,
+        (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49))
 
 
-@query("set3_differences", "SELECT c_custkey AS id, 'WITHOUT_ORDER' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+@query("set3_differences",
+    "SELECT c_custkey AS id, 'WITHOUT_ORDER' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def set3(spark, d):
-    c, o = src.table(spark, d, "customer").select(F.col("c_custkey").alias("id")), src.table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("id")).distinct()
+    c, o = src.table(spark, d, "customer").select(F.col("c_custkey").alias("id")), src.table(spark, d,
+        "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("id")).distinct()
     return c.exceptAll(o).withColumn("kind", F.lit("WITHOUT_ORDER")).unionByName(o.exceptAll(c).withColumn("kind", F.lit("UNKNOWN")))
 
 
 ENDS = [datetime.date(1999, 12, 31), datetime.date(2000, 12, 31)]
 
 
-@query("snk7_period_matrix", src.sql("""SELECT security_code, field_key, max(value_num) FILTER (report_date = DATE '1999-12-31') AS "1999-12-31", max(value_num) FILTER (report_date = DATE '2000-12-31') AS "2000-12-31" FROM facts_cum GROUP BY 1, 2"""))
+@query("snk7_period_matrix", src.sql("""SELECT security_code, field_key, max(value_num) FILTER (report_date = DATE '1999-12-31') AS "1999-12-31",
+    max(value_num) FILTER (report_date = DATE '2000-12-31') AS "2000-12-31" FROM facts_cum GROUP BY 1, 2"""))
 def snk7(spark, d):
     return sinks.period_matrix(src.facts_cum(spark, d), ENDS)

@@ -37,7 +37,8 @@ FUZZY = """CASE WHEN v = q THEN 100.0 WHEN contains(v, q) THEN 96.0 ELSE round(2
 GRAMS = "list_distinct(list_transform(range(1, CAST(greatest(length({0}) - 1, 1) AS BIGINT) + 1), lambda i: substr({0}, i, 2)))"
 
 EVERY = (
-    s.Filter("family", "in", values=("Brand#1", "Brand#2", "Brand#3")), s.Filter("family", "not_in", values=("Brand#3",)), s.Filter("field_name_cn", "not_contains", "ring"),
+    s.Filter("family", "in", values=("Brand#1", "Brand#2", "Brand#3")), s.Filter("family", "not_in", values=("Brand#3",)),
+        s.Filter("field_name_cn", "not_contains", "ring"),
     s.Filter("value_text", "not_equal", "nothing"), s.Filter("security_code", "prefix", "0000"), s.Filter("value_num", "gte", 905.0),
     s.Filter("value_num", "lte", 1900.0), s.Filter("effective_date", "not_empty"), s.Filter("source_url", "is_empty"), s.Filter("unit", "in"),
 )
@@ -50,7 +51,8 @@ def flt1(spark, d):
     return s.results(parts(spark, d), s.Request(EVERY[:-1])).select(ROW)
 
 
-@query("flt2_effective_date", PARTS + "SELECT security_code, field_name_cn, family, value_num FROM parts WHERE report_date BETWEEN DATE '1960-01-01' AND DATE '1970-12-31'")
+@query("flt2_effective_date",
+    PARTS + "SELECT security_code, field_name_cn, family, value_num FROM parts WHERE report_date BETWEEN DATE '1960-01-01' AND DATE '1970-12-31'")
 def flt2(spark, d):
     import datetime
 
@@ -81,7 +83,8 @@ def flt7(spark, d):
 
 CHAIN = s.Request(
     filters=(s.Filter("value_num", "gte", 902.0),), base=s.Step("include", "contains", "r"),
-    steps=(s.Step("include", "contains", "b"), s.Step("exclude", "contains", "ring"), s.Step("or", "exact", "red widget"), s.Step("include", "fuzzy", "blue bolt", threshold=30)),
+    steps=(s.Step("include", "contains", "b"), s.Step("exclude", "contains", "ring"), s.Step("or", "exact", "red widget"),
+        s.Step("include", "fuzzy", "blue bolt", threshold=30)),
     tiebreak=("security_code",), page=2, page_size=20,
 )
 CHAIN_SQL = PARTS + f""", f AS (SELECT *, lower(field_name_cn) AS v, 'blue bolt' AS q FROM parts WHERE value_num >= 902),
@@ -105,7 +108,8 @@ def flt9(spark, d):
 def flt4(spark, d):
     from dataclasses import replace
 
-    return s.results(parts(spark, d), replace(CHAIN, filters=(*CHAIN.filters, s.Filter("score", "between", lower=60.0, upper=95.0)))).select("security_code", "score")
+    return s.results(parts(spark, d), replace(CHAIN, filters=(*CHAIN.filters, s.Filter("score", "between", lower=60.0, upper=95.0)))).select("security_code",
+        "score")
 
 
 @query("flt11_stage_counts", CHAIN_SQL + """SELECT (SELECT count(*) FROM parts) AS raw, count(*) AS filtered, count(*) FILTER (s0) AS base,
@@ -114,7 +118,8 @@ def flt11(spark, d):
     return s.stage_counts(parts(spark, d), CHAIN)
 
 
-@query("srt1_sorted_page", CHAIN_SQL + "SELECT security_code, score FROM z WHERE a4 ORDER BY score DESC NULLS LAST, report_date DESC NULLS LAST, security_code LIMIT 20 OFFSET 20")
+@query("srt1_sorted_page",
+    CHAIN_SQL + "SELECT security_code, score FROM z WHERE a4 ORDER BY score DESC NULLS LAST, report_date DESC NULLS LAST, security_code LIMIT 20 OFFSET 20")
 def srt1(spark, d):
     return s.sorted_page(s.results(parts(spark, d), CHAIN), CHAIN).select("security_code", "score")
 
@@ -131,25 +136,29 @@ def agg4(spark, d):
     return s.facet(parts(spark, d), r, "family", 3)
 
 
-@query("agg5_numeric_facet", PARTS + "SELECT min(value_num) AS minimum, max(value_num) AS maximum, count(*) FILTER (value_num IS NULL) AS null_count, count(*) AS total FROM parts WHERE family = 'Brand#1'")
+@query("agg5_numeric_facet",
+    PARTS + "SELECT min(value_num) AS minimum, max(value_num) AS maximum, count(*) FILTER (value_num IS NULL) AS null_count, count(*) AS total FROM parts WHERE family = 'Brand#1'")
 def agg5(spark, d):
     r = s.Request((s.Filter("value_num", "gte", 905.0), s.Filter("family", "in", values=("Brand#1",))))
     return s.numeric_facet(parts(spark, d), r, "value_num")
 
 
-@query("flt8_shortcut", PARTS + "SELECT security_code, field_name_cn, family, value_num FROM parts WHERE report_date >= DATE '1980-01-01' AND theme = 'Part' AND family = 'Brand#2' AND value_num <= 950")
+@query("flt8_shortcut",
+    PARTS + "SELECT security_code, field_name_cn, family, value_num FROM parts WHERE report_date >= DATE '1980-01-01' AND theme = 'Part' AND family = 'Brand#2' AND value_num <= 950")
 def flt8(spark, d):
     import datetime
 
     return s.results(parts(spark, d), s.Request(s.shortcut(start=datetime.date(1980, 1, 1), theme="Part", family="Brand#2", high=950.0))).select(ROW)
 
 
-@query("flt14_any_column_contains", "SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE contains(lower(s_name), '00009') OR contains(CAST(s_suppkey AS VARCHAR), '00009') OR contains(CAST(s_nationkey AS VARCHAR), '00009')")
+@query("flt14_any_column_contains",
+    "SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE contains(lower(s_name), '00009') OR contains(CAST(s_suppkey AS VARCHAR), '00009') OR contains(CAST(s_nationkey AS VARCHAR), '00009')")
 def flt14(spark, d):
     return s.any_column_contains(src.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "00009")
 
 
-@query("agg1_field_catalogue", src.sql("SELECT field_key, field_name_cn, unit, count(*) AS n, min(report_date) AS first_date, max(report_date) AS last_date FROM facts GROUP BY 1, 2, 3"))
+@query("agg1_field_catalogue",
+    src.sql("SELECT field_key, field_name_cn, unit, count(*) AS n, min(report_date) AS first_date, max(report_date) AS last_date FROM facts GROUP BY 1, 2, 3"))
 def agg1(spark, d):
     return s.field_catalogue(src.facts(spark, d))
 

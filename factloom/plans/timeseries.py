@@ -73,7 +73,8 @@ def win5(spark, d):
     return rounded(ts.ttm(src.facts_quarter(spark, d), flows(spark, d)), ttm=4)
 
 
-@query("win6_value_as_of", src.sql(PICK + """, e AS (SELECT security_code, make_date(y, 8, 15) AS "end" FROM (SELECT DISTINCT security_code FROM p), (SELECT unnest([1996, 1998, 2000]) AS y))
+@query("win6_value_as_of",
+    src.sql(PICK + """, e AS (SELECT security_code, make_date(y, 8, 15) AS "end" FROM (SELECT DISTINCT security_code FROM p), (SELECT unnest([1996, 1998, 2000]) AS y))
 SELECT e.security_code, p.field_key, e."end", max(report_date) AS value_date, round(arg_max(value_num, report_date), 2) AS value
 FROM e JOIN p ON p.security_code = e.security_code AND p.report_date <= e."end" GROUP BY ALL"""))
 def win6(spark, d):
@@ -83,7 +84,8 @@ def win6(spark, d):
 
 
 @query("win7_yoy", src.sql(PICK + """, y AS (SELECT *, year(report_date) * 10000 + month(report_date) * 100 + day(report_date) AS t FROM p)
-SELECT security_code, field_key, report_date, round(value_num / nullif(last_value(value_num) OVER (PARTITION BY security_code, field_key ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 10000 PRECEDING), 0) - 1, 6) AS yoy FROM y"""))
+SELECT security_code, field_key, report_date, round(value_num / nullif(last_value(value_num) OVER (PARTITION BY security_code,
+    field_key ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 10000 PRECEDING), 0) - 1, 6) AS yoy FROM y"""))
 def win7(spark, d):
     return rounded(ts.yoy(flows(spark, d)), yoy=6).select("security_code", "field_key", "report_date", "yoy")
 
@@ -107,8 +109,10 @@ def win10(spark, d):
     return rounded(ts.cagr(flows(spark, d)), cagr=6).select("security_code", "field_key", "intervals", "cagr")
 
 
-@query("win11_formula", src.sql(PICK + """, t AS (SELECT security_code, field_key, report_date, coalesce(q.ttm, c.ttm) AS ttm FROM four q FULL JOIN (SELECT * FROM cum WHERE ttm IS NOT NULL) c USING (security_code, field_key, report_date)),
-v AS (SELECT security_code, report_date, max(CASE WHEN field_key = 'REVENUE' THEN value_num END) AS value_revenue, max(CASE WHEN field_key = 'QTY' THEN value_num END) AS value_qty FROM p GROUP BY 1, 2),
+@query("win11_formula", src.sql(PICK + """, t AS (SELECT security_code, field_key, report_date, coalesce(q.ttm, c.ttm) AS ttm FROM four q FULL JOIN (SELECT *
+    FROM cum WHERE ttm IS NOT NULL) c USING (security_code, field_key, report_date)),
+v AS (SELECT security_code, report_date, max(CASE WHEN field_key = 'REVENUE' THEN value_num END) AS value_revenue, max(CASE
+    WHEN field_key = 'QTY' THEN value_num END) AS value_qty FROM p GROUP BY 1, 2),
 w AS (SELECT security_code, report_date, max(CASE WHEN field_key = 'COST' THEN ttm END) AS ttm_cost FROM t WHERE field_key = 'COST' GROUP BY 1, 2)
 SELECT security_code, report_date, round(CASE WHEN value_qty <> 0 THEN (value_revenue - 2 * ttm_cost) / value_qty END, 6) AS value,
   CASE WHEN value_revenue IS NULL OR ttm_cost IS NULL OR value_qty IS NULL THEN 'MISSING_INPUT' WHEN value_qty = 0 THEN 'DIVISION_BY_ZERO' END AS reason
@@ -119,7 +123,8 @@ def win11(spark, d):
     return rounded(found, value=6).select("security_code", "report_date", "value", "reason")
 
 
-@query("win12_independent_quarters", src.sql(PICK + """SELECT a.security_code, a.field_key, a.report_date, 'Q' || CAST(quarter(a.report_date) AS VARCHAR) AS period_type,
+@query("win12_independent_quarters",
+    src.sql(PICK + """SELECT a.security_code, a.field_key, a.report_date, 'Q' || CAST(quarter(a.report_date) AS VARCHAR) AS period_type,
   round(CASE WHEN quarter(a.report_date) = 1 THEN a.value_num ELSE a.value_num - b.value_num END, 4) AS value_num
 FROM p a LEFT JOIN p b ON a.security_code = b.security_code AND a.field_key = b.field_key AND b.k = a.k - 1
 WHERE quarter(a.report_date) = 1 OR b.value_num IS NOT NULL"""))

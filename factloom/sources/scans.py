@@ -71,7 +71,8 @@ def groups(texts: DataFrame, text: str = "value") -> DataFrame:
     """A row for each record group of run envelopes in JSON: (security_code, group_no, group_id, theme, family, records, payloads)."""
     doc = F.try_parse_json(F.col(text))
     get = lambda v, path, kind: F.try_variant_get(v, f"$.{path}", kind)
-    each = texts.select(get(doc, "metadata.security.code", "string").alias("security_code"), F.posexplode(get(doc, "groups", "array<variant>")).alias("group_no", "g"))
+    each = texts.select(get(doc, "metadata.security.code", "string").alias("security_code"),
+        F.posexplode(get(doc, "groups", "array<variant>")).alias("group_no", "g"))
     return each.select(
         "security_code", "group_no", *[F.coalesce(get(F.col("g"), k, "string"), F.lit("")).alias(k) for k in ("group_id", "theme", "family")],
         get(F.col("g"), "records", "array<variant>").alias("records"), get(F.col("g"), "payloads", "array<variant>").alias("payloads"),
@@ -116,7 +117,8 @@ def record_facts(rows: DataFrame) -> DataFrame:
     event = date_of(first_of(DATE_KEYS, fields))
     explicit = F.coalesce(text("REPORT_TYPE"), text("REPORT_DATE_NAME"), F.lit(""))
     out = rows.withColumns({
-        "report_date": reported, "event_date": event, "available_at": date_of(first_of(AVAILABILITY_KEYS, fields)), "period_type": period_type(explicit, reported),
+        "report_date": reported, "event_date": event, "available_at": date_of(first_of(AVAILABILITY_KEYS, fields)),
+            "period_type": period_type(explicit, reported),
         "data_semantics": semantics(F.col("family")),
         "record_key": record_key(F.col("security_code"), F.col("family"), F.coalesce(reported, event, F.lit("")), *[text(k) for k in DISCRIMINATORS]),
     })

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def write_facts(facts: DataFrame, folder: str) -> None:
     """Facts as Parquet, a folder a report year."""
-    facts.withColumn("report_year", F.year("report_date")).repartition("report_year", F.pmod(F.xxhash64("security_code"), F.lit(8))).write.mode("overwrite").partitionBy("report_year").parquet(folder)
+    facts.withColumn("report_year", F.year("report_date")).repartition("report_year",
+        F.pmod(F.xxhash64("security_code"), F.lit(8))).write.mode("overwrite").partitionBy("report_year").parquet(folder)
 
 
 def write_pack(tables: dict[str, DataFrame], folder: str) -> None:
@@ -56,7 +57,8 @@ def reconciliation_views(rows: DataFrame) -> dict[str, DataFrame]:
     return {
         "coverage_summary": rows.groupBy("mode", "status").agg(F.count(F.lit(1)).alias("fact_count")),
         "true_conflicts": rows.filter(F.col("status").isin("MISMATCH", "VERSION_CONFLICT", "SCOPE_CONFLICT", "PERIOD_CONFLICT", "UNIT_CONFLICT")),
-        "not_in_official_scope": rows.filter(F.col("status").isin("NOT_IN_OFFICIAL_SCOPE", "SOURCE_SPECIFIC", "FUTURE_FREE_SOURCE_REQUIRED", "OFFICIAL_PERIOD_NOT_LOADED")),
+        "not_in_official_scope": rows.filter(F.col("status").isin("NOT_IN_OFFICIAL_SCOPE", "SOURCE_SPECIFIC", "FUTURE_FREE_SOURCE_REQUIRED",
+            "OFFICIAL_PERIOD_NOT_LOADED")),
     }
 
 

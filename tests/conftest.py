@@ -7,7 +7,8 @@ def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"{folder}/shared").config("spark.sql.warehouse.dir", f"{folder}/warehouse").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"{folder}/shared").config("spark.sql.warehouse.dir",
+            f"{folder}/warehouse").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

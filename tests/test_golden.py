@@ -32,7 +32,8 @@ def test_four_quarters_sum_up(spark):
 
 def test_formula_prefers_the_statement(spark):
     d = D(2025, 12, 31)
-    rows = facts(spark, [fact("CIP", d, 25.0, src.POINT_FAMILY), fact("ASSETS", d, 100.0, src.POINT_FAMILY), fact("CIP", d, 999.0, src.DECOY_FAMILY), fact("ASSETS", d, 1000.0, src.DECOY_FAMILY)])
+    rows = facts(spark, [fact("CIP", d, 25.0, src.POINT_FAMILY), fact("ASSETS", d, 100.0, src.POINT_FAMILY), fact("CIP", d, 999.0, src.DECOY_FAMILY),
+        fact("ASSETS", d, 1000.0, src.DECOY_FAMILY)])
     (found,) = timeseries.evaluate(timeseries.VALUE("CIP") / timeseries.VALUE("ASSETS"), rows).collect()
     assert found.value == 0.25
     (none,) = timeseries.evaluate(timeseries.VALUE("CIP") / (timeseries.VALUE("ASSETS") - 100), rows).collect()
@@ -54,7 +55,8 @@ def four(spark):
 
 
 def test_search_chain_counts_each_stage(spark, four):
-    base = search.Request(filters=(search.Filter("field_name_cn", "contains", "购建"),), steps=(search.Step("include", "contains", "现金"), search.Step("exclude", "contains", "同比")))
+    base = search.Request(filters=(search.Filter("field_name_cn", "contains", "购建"),),
+        steps=(search.Step("include", "contains", "现金"), search.Step("exclude", "contains", "同比")))
     r = search.stage_counts(four, base).first()
     assert (r.filtered, r.step_1, r.step_2) == (2, 1, 1)
     either = search.Request(base=search.Step("include", "contains", "购建"), steps=(search.Step("or", "contains", "经营"),))
@@ -81,7 +83,8 @@ def test_availability_never_comes_from_the_report_date(spark):
     record = '{"REPORT_DATE": "2026-03-31 00:00:00", "NOTICE_DATE": "2026-04-25", "UPDATE_DATE": "2026-04-26"}'
     fields = F.from_json(F.lit(record), "map<string,string>")
     row = spark.range(1).select(
-        normalize.date_of(normalize.first_of(normalize.AVAILABILITY_KEYS, fields)).alias("a"), normalize.date_of(normalize.first_of(normalize.DATE_KEYS, fields)).alias("e"),
+        normalize.date_of(normalize.first_of(normalize.AVAILABILITY_KEYS, fields)).alias("a"),
+            normalize.date_of(normalize.first_of(normalize.DATE_KEYS, fields)).alias("e"),
         normalize.first_of(normalize.AVAILABILITY_KEYS, F.create_map(F.lit("REPORT_DATE"), F.lit("2026-03-31"))).alias("none"),
     ).first()
     assert (row.a, row.e, row.none) == ("2026-04-25", "2026-03-31", None)
@@ -93,11 +96,13 @@ def test_codes(spark):
 
 
 def documents_of(spark):
-    rows = [("1", D(2025, 12, 31), "a", "original", D(2026, 3, 20)), ("1", D(2025, 12, 31), "b", "corrected", D(2026, 4, 1)), ("1", D(2025, 12, 31), "c", "withdrawn", D(2026, 1, 1))]
+    rows = [("1", D(2025, 12, 31), "a", "original", D(2026, 3, 20)), ("1", D(2025, 12, 31), "b", "corrected", D(2026, 4, 1)),
+        ("1", D(2025, 12, 31), "c", "withdrawn", D(2026, 1, 1))]
     return spark.createDataFrame(rows, "security_code string, report_date date, document_id string, version_label string, available_at date")
 
 
-@pytest.mark.parametrize(("day", "want"), [(D(2026, 3, 31), {"a": "SELECTED", "b": "BOUNDARY"}), (D(2026, 4, 2), {"a": "ELIGIBLE", "b": "SELECTED"}), (D(2026, 3, 1), {"a": "BOUNDARY", "b": "BOUNDARY"})])
+@pytest.mark.parametrize(("day", "want"), [(D(2026, 3, 31), {"a": "SELECTED", "b": "BOUNDARY"}), (D(2026, 4, 2), {"a": "ELIGIBLE", "b": "SELECTED"}),
+    (D(2026, 3, 1), {"a": "BOUNDARY", "b": "BOUNDARY"})])
 def test_versions_at_a_cutoff(spark, day, want):
     found = point_in_time.versions_as_of(documents_of(spark), F.lit(day)).collect()
     assert {r.document_id: r.decision for r in found} == want
@@ -107,8 +112,10 @@ def test_versions_at_a_cutoff(spark, day, want):
 def finance(spark):
     ends = [D(2025, 3, 31), D(2025, 6, 30), D(2025, 9, 30), D(2025, 12, 31)]
     rows = []
-    for key, values in {"OPERATE_INCOME": (100, 230, 360, 500), "OPERATE_COST": (60, 135, 210, 300), "ACCOUNTS_RECE": (30, 35, 40, 45), "SHORT_LOAN": (10, 20, 25, 30), "LONG_LOAN": (5, 10, 12, 15)}.items():
-        rows += [("1", "F", f"{key}{d}", d, key, float(v), str(v), "元", "FACT_DIRECT", None, d + datetime.timedelta(20), "CUMULATIVE") for d, v in zip(ends, values)]
+    for key, values in {"OPERATE_INCOME": (100, 230, 360, 500), "OPERATE_COST": (60, 135, 210, 300), "ACCOUNTS_RECE": (30, 35, 40, 45),
+        "SHORT_LOAN": (10, 20, 25, 30), "LONG_LOAN": (5, 10, 12, 15)}.items():
+        rows += [("1", "F", f"{key}{d}", d, key, float(v), str(v), "元", "FACT_DIRECT", None, d + datetime.timedelta(20), "CUMULATIVE") for d,
+            v in zip(ends, values)]
     rows.append(("1", "F", "later", ends[3], "OPERATE_INCOME", 999.0, "999", "元", "FACT_DIRECT", None, D(2027, 1, 1), "CUMULATIVE"))
     rows += [("2", "F", f"k{v}", ends[3], "OPERATE_INCOME", v, "", "元", "FACT_DIRECT", None, D(2026, 1, 20), "CUMULATIVE") for v in (1.0, 2.0)]
     schema = "security_code string, family string, record_key string, report_date date, field_key string, value_num double, value_text string, unit string, source_status string, source_priority int, available_at date, period_basis string"
@@ -119,7 +126,8 @@ def test_finance_tables(spark):
     rows, cut = finance(spark), F.lit(D(2026, 6, 30))
     chosen = point_in_time.selected(rows, cut)
     full = point_in_time.with_gross_profit(chosen).unionByName(point_in_time.debt_proxy(rows, cut))
-    quarters = {(r.report_date.month, r.target): (r.value, r.status) for r in point_in_time.quarterly(full, point_in_time.selected(rows, cut, standalone=True)).filter("security_code = '1'").collect()}
+    quarters = {(r.report_date.month, r.target): (r.value, r.status) for r in point_in_time.quarterly(full,
+        point_in_time.selected(rows, cut, standalone=True)).filter("security_code = '1'").collect()}
     assert quarters[6, "revenue"] == (130.0, "DERIVED") and quarters[12, "revenue"] == (140.0, "DERIVED")
     assert quarters[6, "gross_profit"][0] == 55.0 and quarters[6, "accounts_receivable"] == (35.0, "SOURCE_DIRECT")
     assert quarters[6, "interest_bearing_debt"][0] == 30.0
@@ -136,16 +144,20 @@ def test_finance_tables(spark):
 def test_two_sources_make_one_observation(spark):
     columns = "security_code string, source string, family string, dataset string, record_key string, report_date date, period_type string, data_semantics string, scope string, field_key string, value_num double, value_text string, unit string, source_status string, available_at date"
     d = D(2025, 12, 31)
-    rows = [("1", s, "F", "m", "k", d, p, "flow", "consolidated", "R", v, None, u, "FACT_DIRECT", d) for s, p, v, u in (("OFFICIAL_DISCLOSURE", "FY", 1e9, "元"), ("EASTMONEY", "FY", 100000.0, "万元"), ("EASTMONEY", "Q4", 3e8, "元"))]
-    lineage = mapping.lineage(mapping.source_facts(spark.createDataFrame(rows, columns), F.lit(D(2026, 6, 1)), spark.createDataFrame([("R", "income.revenue")], "field_key string, metric_id string")))
+    rows = [("1", s, "F", "m", "k", d, p, "flow", "consolidated", "R", v, None, u, "FACT_DIRECT", d) for s, p, v,
+        u in (("OFFICIAL_DISCLOSURE", "FY", 1e9, "元"), ("EASTMONEY", "FY", 100000.0, "万元"), ("EASTMONEY", "Q4", 3e8, "元"))]
+    lineage = mapping.lineage(mapping.source_facts(spark.createDataFrame(rows, columns), F.lit(D(2026, 6, 1)),
+        spark.createDataFrame([("R", "income.revenue")], "field_key string, metric_id string")))
     found = {r.period_type: r for r in mapping.observations(lineage).collect()}
     assert found["FY"].status == "VERIFIED_MULTI_SOURCE" and found["FY"].value_num == 1e9 and found["Q4"].status == "SINGLE_SOURCE"
     assert sorted(r.role for r in lineage.filter("period_type = 'FY'").collect()) == ["SELECTED", "SUPPORTING"]
 
 
 def test_modes_and_policies(spark):
-    row = spark.createDataFrame([("RPT_F10_FINANCE_GBALANCE", "TOTAL_ASSETS", "", "资产", "元"), ("/api/qt/stock", "PRICE", "", "价", ""), ("X_PREDICT", "EPS", "", "每股收益", "元"), ("Y", "_K", "", "", "")], "f string, k string, c string, n string, u string")
-    found = row.select(reconcile.validation_mode(F.col("f"), F.col("k"), F.col("c")).alias("m"), reconcile.policy(F.col("k"), F.col("n"), F.col("u"), F.lit(""))["method"].alias("p")).collect()
+    row = spark.createDataFrame([("RPT_F10_FINANCE_GBALANCE", "TOTAL_ASSETS", "", "资产", "元"), ("/api/qt/stock", "PRICE", "", "价", ""),
+        ("X_PREDICT", "EPS", "", "每股收益", "元"), ("Y", "_K", "", "", "")], "f string, k string, c string, n string, u string")
+    found = row.select(reconcile.validation_mode(F.col("f"), F.col("k"), F.col("c")).alias("m"),
+        reconcile.policy(F.col("k"), F.col("n"), F.col("u"), F.lit(""))["method"].alias("p")).collect()
     assert [r.m for r in found] == ["OFFICIAL_DIRECT", "NOT_IN_PERIODIC_REPORT_SCOPE", "EASTMONEY_SOURCE_SPECIFIC", "EASTMONEY_SOURCE_SPECIFIC"]
     assert [r.p for r in found] == ["numeric", "text", "per_share", "text"]
 

@@ -28,8 +28,10 @@ def test_groups_and_page_sections_become_records(spark):
     run = {
         "metadata": {"security": {"code": "688521"}},
         "groups": [
-            {"group_id": "a", "theme": "T", "family": "RPT_F10_FINANCE_GBALANCE", "records": [{"REPORT_DATE": "2024-12-31", "X": "1,5", "_P": 1, "RANK": 3}, 7, None]},
-            {"group_id": "b", "theme": "P", "family": "PageAjax", "records": [{"LOST": 1}], "payloads": [{"s1": [{"A": 1}, 2], "s2": {"data": [{"B": True}]}, "s3": {"C": {"d": [1]}}, "s4": 5}, 9]},
+            {"group_id": "a", "theme": "T", "family": "RPT_F10_FINANCE_GBALANCE",
+                "records": [{"REPORT_DATE": "2024-12-31", "X": "1,5", "_P": 1, "RANK": 3}, 7, None]},
+            {"group_id": "b", "theme": "P", "family": "PageAjax", "records": [{"LOST": 1}],
+                "payloads": [{"s1": [{"A": 1}, 2], "s2": {"data": [{"B": True}]}, "s3": {"C": {"d": [1]}}, "s4": 5}, 9]},
             {"group_id": "c", "theme": "P", "family": "PageAjax", "records": [{"KEPT": 1}], "payloads": []},
         ],
     }
@@ -46,10 +48,13 @@ def test_groups_and_page_sections_become_records(spark):
 
 def test_names_come_from_objects_with_the_own_code(spark):
     rows = [
-        ("688521", "PageAjax", {"peer": {"code": "600000", "name": "Peer"}, "own": {"secucode": "688521.SH", "short_name": "Own"}}), ("688521", "RPT_F10_ORG_BASICINFO", {"SECURITY_CODE": "688521", "ORG_NAME_ABBR": "688521", "name": "Better"}),
-        ("000001", "X", {"SECUCODE": "SZ000001", "SECURITY_NAME": "--", "name": "A"}), ("000001", "X", {"code": "0.000001", "name": "B"}), ("000001", "X", {"code": "1", "name": "C"}), ("000001", "X", {"f57": "000001", "f58": "B"}),
+        ("688521", "PageAjax", {"peer": {"code": "600000", "name": "Peer"}, "own": {"secucode": "688521.SH", "short_name": "Own"}}),
+            ("688521", "RPT_F10_ORG_BASICINFO", {"SECURITY_CODE": "688521", "ORG_NAME_ABBR": "688521", "name": "Better"}),
+        ("000001", "X", {"SECUCODE": "SZ000001", "SECURITY_NAME": "--", "name": "A"}), ("000001", "X", {"code": "0.000001", "name": "B"}),
+            ("000001", "X", {"code": "1", "name": "C"}), ("000001", "X", {"f57": "000001", "f58": "B"}),
     ]
-    df = spark.createDataFrame([(c, f, json.dumps(r)) for c, f, r in rows], "security_code string, family string, r string").withColumn("record", F.parse_json("r"))
+    df = spark.createDataFrame([(c, f, json.dumps(r)) for c, f, r in rows], "security_code string, family string, r string").withColumn("record",
+        F.parse_json("r"))
     from factloom.operators.normalize import NAME_KEYS
 
     assert {r.security_code: r.name for r in scans.names(df, NAME_KEYS).collect()} == {"688521": "Better", "000001": "B"}
@@ -57,11 +62,13 @@ def test_names_come_from_objects_with_the_own_code(spark):
 
 def test_requests_that_do_not_fit_are_named(spark):
     good = "B001,SSE.600000,600000,Bank,SSE,2020-01-01,2020-01-01,2024-12-31,true,PENDING"
-    lines = ["batch_id,security_id,code", good, good.replace("600000", "600001").replace("SSE.", "SZSE."), good.replace("600000", "6000"), good.replace("600000", "600003").replace("2024-12-31", "31.12.2024"), ""]
+    lines = ["batch_id,security_id,code", good, good.replace("600000", "600001").replace("SSE.", "SZSE."), good.replace("600000", "6000"),
+        good.replace("600000", "600003").replace("2024-12-31", "31.12.2024"), ""]
     rows = scans.requests(spark.createDataFrame([(x,) for x in lines], "value string"))
     found = {(r.security_id, r.rule) for r in packages.request_violations(rows, F.lit(D(2024, 12, 31)), 3).collect()}
     assert found == {
-        ("SZSE.600001", "EXCHANGE_MISMATCH"), ("SSE.6000", "SECURITY_ID_INVALID"), ("SSE.600003", "CUTOFF_MISMATCH"), ("SSE.600003", "START_AFTER_CUTOFF"), ("B001", "BATCH_TOO_LARGE"),
+        ("SZSE.600001", "EXCHANGE_MISMATCH"), ("SSE.6000", "SECURITY_ID_INVALID"), ("SSE.600003", "CUTOFF_MISMATCH"), ("SSE.600003", "START_AFTER_CUTOFF"),
+            ("B001", "BATCH_TOO_LARGE"),
     }
 
 
@@ -89,16 +96,20 @@ def test_growth_reads_the_year_before_as_of(spark):
 
 def test_finance_expense_takes_the_income_statement(spark):
     d = D(2024, 12, 31)
-    pair = [("FINANCE_EXPENSE", "RPT_F10_FINANCE_DUPONT", "OFFICIAL_DERIVED"), ("RESEARCH_EXPENSE", "RPT_F10_BUSINESS_RDEXPENSE", "OFFICIAL_DOCUMENT_EVENT"), ("OTHER", "RPT_X", "OFFICIAL_DOCUMENT_EVENT")]
-    rows = spark.createDataFrame([("c", d, k, f, m, "FY", "none", 1.0) for k, f, m in pair], "security_code string, report_date date, field_key string, family string, mode string, period_type string, statement_type string, value_num double")
-    official = spark.createDataFrame([("c", d, k, s, "FY", "consolidated", f"{k}-{s}", v, "元", 0.5) for k, _, _ in pair for s, v in (("cash_flow", 7.0), ("income_statement", 9.0))],
+    pair = [("FINANCE_EXPENSE", "RPT_F10_FINANCE_DUPONT", "OFFICIAL_DERIVED"), ("RESEARCH_EXPENSE", "RPT_F10_BUSINESS_RDEXPENSE", "OFFICIAL_DOCUMENT_EVENT"),
+        ("OTHER", "RPT_X", "OFFICIAL_DOCUMENT_EVENT")]
+    rows = spark.createDataFrame([("c", d, k, f, m, "FY", "none", 1.0) for k, f, m in pair],
+        "security_code string, report_date date, field_key string, family string, mode string, period_type string, statement_type string, value_num double")
+    official = spark.createDataFrame([("c", d, k, s, "FY", "consolidated", f"{k}-{s}", v, "元", 0.5) for k, _, _ in pair for s,
+        v in (("cash_flow", 7.0), ("income_statement", 9.0))],
                                      "security_code string, report_date date, field_key string, statement_type string, period_type string, scope string, document_id string, value_num double, unit string, precision_tolerance double")
     found = {r.field_key: (r.o.v if r.o else None, r.diagnosis) for r in reconcile.matched(rows, official).collect()}
     assert found == {"FINANCE_EXPENSE": (9.0, None), "RESEARCH_EXPENSE": (None, None), "OTHER": (7.0, None)}
 
 
 def test_treasury_shares_are_money(spark):
-    rows = spark.createDataFrame([("RPT_F10_FINANCE_GBALANCE", "TREASURY_SHARES", "股", "2024-06-30", "k", None), ("X", "A", None, "2024-06-30", "k", None)], "family string, field_key string, unit string, report_date string, record_key string, period_type string")
+    rows = spark.createDataFrame([("RPT_F10_FINANCE_GBALANCE", "TREASURY_SHARES", "股", "2024-06-30", "k", None), ("X", "A", None, "2024-06-30", "k", None)],
+        "family string, field_key string, unit string, report_date string, record_key string, period_type string")
     found = {r.field_key: (r.unit, r.normalized_unit, r.scope, r.period_type) for r in reconcile.prepared_primary(rows).collect()}
     assert found == {"TREASURY_SHARES": ("元", "元", "consolidated", "H1"), "A": (None, "", "entity", "H1")}
 
@@ -111,7 +122,8 @@ def test_treasury_shares_are_money(spark):
     ],
 )
 def test_amounts_of_summary_rows(spark, line, kind, semantics, value):
-    row = spark.createDataFrame([(line, kind, semantics)], "a string, b string, c string").select(doc.summary_amount(F.col("a"), F.col("b"), F.col("c"))["value"].alias("v")).first()
+    row = spark.createDataFrame([(line, kind, semantics)], "a string, b string, c string").select(doc.summary_amount(F.col("a"), F.col("b"),
+        F.col("c"))["value"].alias("v")).first()
     assert row.v == value
 
 
@@ -122,18 +134,24 @@ def test_headings_hold_for_pages(spark):
     found = [(r.statement, r.scope) for r in doc.in_statements(rows).orderBy("line_no").collect()]
     balance, none = ("balance_sheet", "consolidated"), (None, None)
     assert found == [balance, balance, balance, none, none, ("cash_flow", "parent"), none]
-    assert {r.document_id: r.scope for r in doc.document_scope(rows.unionByName(spark.createDataFrame([("y", 1, 1, "主要 财务数据"), ("z", 1, 1, None)], rows.schema))).collect()} == {"x": "FULL_STATEMENTS", "y": "SUMMARY_ONLY", "z": "UNRESOLVED"}
+    assert {r.document_id: r.scope for r in doc.document_scope(rows.unionByName(spark.createDataFrame([("y", 1, 1, "主要 财务数据"), ("z", 1, 1, None)],
+        rows.schema))).collect()} == {"x": "FULL_STATEMENTS", "y": "SUMMARY_ONLY", "z": "UNRESOLVED"}
 
 
 def test_profiles_take_the_first_key_then_record(spark):
-    rows = [("c", 2, "SECURITY_NAME", "second"), ("c", 1, "SECURITY_NAME", "first"), ("c", 9, "SECURITY_NAME_ABBR", "abbr"), ("c", 1, "SECURITY_NAME_ABBR", ""), ("c", 1, "FORMER_NAME", "a， b;c"), ("c", 1, "ORG_WEB", "x.cn"), ("c", 1, "BOARD_NAME_1LEVEL", "abbr")]
+    rows = [("c", 2, "SECURITY_NAME", "second"), ("c", 1, "SECURITY_NAME", "first"), ("c", 9, "SECURITY_NAME_ABBR", "abbr"), ("c", 1, "SECURITY_NAME_ABBR", ""),
+        ("c", 1, "FORMER_NAME", "a， b;c"), ("c", 1, "ORG_WEB", "x.cn"), ("c", 1, "BOARD_NAME_1LEVEL", "abbr")]
     (r,) = doc.profiles(spark.createDataFrame(rows, "security_code string, ordinal int, field_key string, value_text string")).collect()
-    assert (r.name_abbr, r.company_name, r.former_names, r.website, r.industry_keywords, r.brand_keywords) == ("abbr", "abbr", ["a", "b", "c"], "https://x.cn", ["abbr"], ["abbr"])
+    assert (r.name_abbr, r.company_name, r.former_names, r.website, r.industry_keywords, r.brand_keywords) == ("abbr", "abbr", ["a", "b", "c"], "https://x.cn",
+        ["abbr"], ["abbr"])
 
 
 def test_module_views_and_metrics(spark):
-    rows = spark.createDataFrame([("operate_income", "F", "n", "元", "flow", "x", D(2024, 1, 1), "FY"), ("R&D_EXPENSE", "F", "", "", "", "", None, "FY"), ("other key!", "RPT-A", None, None, None, None, None, "FY")],
+    rows = spark.createDataFrame([("operate_income", "F", "n", "元", "flow", "x", D(2024, 1, 1), "FY"), ("R&D_EXPENSE", "F", "", "", "", "", None, "FY"),
+        ("other key!", "RPT-A", None, None, None, None, None, "FY")],
                                  "field_key string, family string, field_name_cn string, unit string, data_semantics string, scope string, report_date date, period_type string")
     found = mapping.resolved(rows)
-    assert {(r.metric_id, r.research_module, r.known) for r in found.collect()} == {("financial.revenue", "financial_statements", True), ("research.rd_investment", "segments_and_kpis", True), ("source.rpt_a.other_key", "coverage_and_gaps", False)}
-    assert {k: v.count() for k, v in mapping.module_views(found).items() if v.count()} == {"financial_statements": 1, "segments_and_kpis": 1, "coverage_and_gaps": 1}
+    assert {(r.metric_id, r.research_module, r.known) for r in found.collect()} == {("financial.revenue", "financial_statements", True),
+        ("research.rd_investment", "segments_and_kpis", True), ("source.rpt_a.other_key", "coverage_and_gaps", False)}
+    assert {k: v.count() for k, v in mapping.module_views(found).items() if v.count()} == {"financial_statements": 1, "segments_and_kpis": 1,
+        "coverage_and_gaps": 1}
