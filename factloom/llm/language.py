@@ -90,5 +90,6 @@ def accepted(docs: DataFrame, columns: list[str]) -> DataFrame:
     rows = docs.select(*columns)
     # numbered inside, as any column may have any name
     inner = rows.toDF(*[f"c{k}" for k in range(len(columns))]).withColumnRenamed(f"c{columns.index('text')}", "text")
-    marked = inner.mapInArrow(_predicted(dictionaries, inner.columns), ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner.columns, rows.schema.fields)) + f", {RESULT}")
+    marked = inner.mapInArrow(_predicted(dictionaries, inner.columns), ", ".join(f"{n} {f.dataType.simpleString()}" for n,
+        f in zip(inner.columns, rows.schema.fields)) + f", {RESULT}")
     return marked.filter(~F.col("rejected")).select(*inner.columns).toDF(*columns)

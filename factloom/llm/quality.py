@@ -111,7 +111,8 @@ def _fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
     ranked = merged.select(*keys, "ratio", "bucket", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("all"))
     percentile = lambda p: value_of(F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bucket"))))
     q = ranked.groupBy(*keys, "ratio").agg(*[percentile(p).alias(f"p{p}") for p in (10, 50, 90, 99)], F.max("all").alias("seen"))
-    high = F.when(F.col("p90") > F.col("p50"), F.col("p90") + WIDE * (F.col("p90") - F.col("p50"))).when(F.col("ratio") == "symbols", F.col("p90")).otherwise(F.col("p99"))
+    high = F.when(F.col("p90") > F.col("p50"), F.col("p90") + WIDE * (F.col("p90") - F.col("p50"))).when(F.col("ratio") == "symbols",
+        F.col("p90")).otherwise(F.col("p99"))
     wide = q.select(*keys, "ratio", "seen", (F.col("p10") - WIDE * (F.col("p50") - F.col("p10"))).alias("low"), high.alias("high"))
     pick = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{name}_{k}_{c}")
     return wide.groupBy(*keys).agg(F.max("seen").alias(f"{name}_seen"), *[pick(k, c) for k in RATIOS for c in ("low", "high")])
@@ -123,7 +124,8 @@ def fences(rows: DataFrame) -> DataFrame:
     by_source, by_lang, every = _fences(sketch, ["lang", "source"], "s"), _fences(sketch, ["lang"], "l"), _fences(sketch, [], "a")
     langs = by_lang.withColumnRenamed("lang", "lang__l")
     joined = by_source.join(langs, F.col("lang").eqNullSafe(F.col("lang__l"))).crossJoin(F.broadcast(every))  # every is one row
-    pick = lambda k, c: F.when(F.col("s_seen") >= FEW, F.col(f"s_{k}_{c}")).when(F.col("l_seen") >= FEW, F.col(f"l_{k}_{c}")).otherwise(F.col(f"a_{k}_{c}"))
+    pick = lambda k, c: F.when(F.col("s_seen") >= FEW, F.col(f"s_{k}_{c}")).when(F.col("l_seen") >= FEW,
+        F.col(f"l_{k}_{c}")).otherwise(F.col(f"a_{k}_{c}"))
     return joined.select("lang", "source", *[pick(k, c).alias(f"{k}_{c}") for k in RATIOS for c in ("low", "high")])
 
 

@@ -127,13 +127,16 @@ w AS (SELECT rid, doc_id, lang, source, list_filter(regexp_split_to_array(t, '[\
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
 c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY rid),
-b AS (SELECT w.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (rid)),
+b AS (SELECT w.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (rid)),
 e AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 x AS (SELECT rid, lang, source, base_failed, unnest([{{'ratio': 'symbols', 'v': CASE WHEN word_chars > 0 THEN n_symbols * 10000 // word_chars ELSE 0 END}},
-  {{'ratio': 'lines', 'v': CASE WHEN n_lines > 0 THEN n_dup_lines * 10000 // n_lines ELSE 0 END}}, {{'ratio': 'repeats', 'v': CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END}},
+  {{'ratio': 'lines', 'v': CASE WHEN n_lines > 0 THEN n_dup_lines * 10000 // n_lines ELSE 0 END}},
+    {{'ratio': 'repeats', 'v': CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END}},
   {{'ratio': 'length', 'v': CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END}}]) AS z FROM e),
 y AS (SELECT rid, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, base_failed, z.ratio AS ratio, z.v AS v, length(ltrim(bin(z.v), '0')) - 1 AS e FROM x),
-sketch AS (SELECT lang, source, ratio, CASE WHEN v < 64 THEN v ELSE 64 + (e - 6) * 32 + v // CAST(pow(2, e - 5) AS BIGINT) - 32 END AS bucket, count(*) AS n FROM y WHERE NOT base_failed GROUP BY 1, 2, 3, 4),
+sketch AS (SELECT lang, source, ratio, CASE WHEN v < 64 THEN v ELSE 64 + (e - 6) * 32 + v // CAST(pow(2, e - 5) AS BIGINT) - 32 END AS bucket, count(*) AS n
+    FROM y WHERE NOT base_failed GROUP BY 1, 2, 3, 4),
 {_fences_sql("s", "lang, source,")}, {_fences_sql("l", "lang,")}, {_fences_sql("a", "")},
 ok AS (SELECT rid, bool_and(v <= CASE WHEN s.seen >= 200 THEN s.high WHEN l.seen >= 200 THEN l.high ELSE a.high END
     AND (ratio <> 'length' OR v >= CASE WHEN s.seen >= 200 THEN s.low WHEN l.seen >= 200 THEN l.low ELSE a.low END)) AS fine

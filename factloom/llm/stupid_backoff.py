@@ -120,7 +120,8 @@ def totals(docs: DataFrame, frequent: list[str]) -> tuple[dict[str, int], int]:
                 total += len(each)
                 if known:
                     count.update(each)
-            yield pa.record_batch([pa.array([w for w, _ in known] + [None], pa.string()), pa.array([count[b] for _, b in known] + [total], pa.int64())], names=["word", "n"])
+            yield pa.record_batch([pa.array([w for w, _ in known] + [None], pa.string()), pa.array([count[b] for _, b in known] + [total], pa.int64())],
+                names=["word", "n"])
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
     n = {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
@@ -213,7 +214,8 @@ def entries(docs: DataFrame, short: list[str], frequent: set[str], buckets: int)
                 into[rare] = first + np.arange(len(rare))
                 used[:] = False
                 listed = zstandard.compress(b" ".join([names[k] for k in (rare - first).tolist()]), LEVELS[1])
-                yield (b + role * buckets, block, len(part), listed, _packed(into[mac[0]], True), _packed(into[mac[1]]), _packed(into[mac[2]]), _packed(of[part]), _packed(times[part]))
+                yield (b + role * buckets, block, len(part), listed, _packed(into[mac[0]], True), _packed(into[mac[1]]), _packed(into[mac[2]]),
+                    _packed(of[part]), _packed(times[part]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, ENTRIES)
@@ -307,7 +309,8 @@ def _scorer(short: list[str], frequent: dict[str, int], buckets: int, total: int
                 documents.append(_packed(each.astype("<u4"), True))
                 sums.append(_packed(part[each].astype("<i8")))
         empty = pa.nulls(len(blocks), pa.binary())
-        return pa.table({"block": pa.array(blocks, pa.string()), "doc_ids": empty, "n_words": empty, "documents": pa.array(documents, pa.binary()), "sums": pa.array(sums, pa.binary())})
+        return pa.table({"block": pa.array(blocks, pa.string()), "doc_ids": empty, "n_words": empty, "documents": pa.array(documents, pa.binary()),
+            "sums": pa.array(sums, pa.binary())})
 
     return run
 

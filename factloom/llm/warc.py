@@ -183,7 +183,8 @@ class _Reader:
         self.rows.append((
             page(f["warc-record-id"]), "revisit" if kind == "revisit" else "response", self.number, block if self.payload else None,
             hashlib.sha1(block).hexdigest() if self.payload else None, self.sha.hexdigest(), self.total, last,
-            f.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(f["x-payload-length"]) if kind == "revisit" else None, page(f.get("warc-refers-to")),
+            f.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(f["x-payload-length"]) if kind == "revisit" else None,
+                page(f.get("warc-refers-to")),
         ))
         self.number += 1
 

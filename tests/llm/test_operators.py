@@ -29,13 +29,15 @@ def prose(words, n, seed):
 
 def texts():
     out = [prose(EN, 80 + k, k) for k in range(40)] + [prose(DE, 80 + k, k) for k in range(40)]
-    out += [None, "", "   \n\t ", "a", "one two", "12 34", out[0], out[0], out[0] + " tail", "word " * 300, "x" * 5000, "é\n\n'll don't we've 字 　 end ", prose(EN, 6000, 99)]
+    out += [None, "", "   \n\t ", "a", "one two", "12 34", out[0], out[0], out[0] + " tail", "word " * 300, "x" * 5000, "é\n\n'll don't we've 字 　 end ",
+        prose(EN, 6000, 99)]
     return out
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(k, t, None if k % 13 == 5 else ("en" if k < 40 or k >= 80 else "de"), f"src{k % 3}" if k % 7 else None, 0, "x", "y") for k, t in enumerate(texts())]
+    rows = [(k, t, None if k % 13 == 5 else ("en" if k < 40 or k >= 80 else "de"), f"src{k % 3}" if k % 7 else None, 0, "x", "y") for k,
+        t in enumerate(texts())]
     rows += [rows[3], (None, "stray the and of", "en", "src0", 1, "x", "y")]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
@@ -126,7 +128,8 @@ def test_kept_one_tells_rows_of_one_id_apart(spark):
 
 def test_simhash_of_long_texts_and_of_one_id_with_two_texts(spark):
     long = prose(EN, 40_000, 7)
-    rows = [(9, long), (3, long + " x"), (5, "one two three four"), (5, "five six seven eight"), (4, "five six seven eight"), (None, "one two three four"), (None, "nine ten eleven")]
+    rows = [(9, long), (3, long + " x"), (5, "one two three four"), (5, "five six seven eight"), (4, "five six seven eight"), (None, "one two three four"),
+        (None, "nine ten eleven")]
     found = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     by = collections.defaultdict(set)
     for r in found:
@@ -182,7 +185,8 @@ def test_sharding(docs, nothing):
 def test_sharding_keeps_to_its_capacity_and_to_best_fit(spark):
     r = random.Random(11)
     sizes = [r.choice([*range(1, 3000), 1500, 1500, 1500]) for _ in range(1500)]
-    rows = [(k, f"{k:07d}" + "x" * n) for k, n in enumerate(sizes)] + [(9000 + k, "y" * 2000) for k in range(3)] + [(9100, "z" * 40_000), (9101, None), (9102, None)]
+    rows = [(k, f"{k:07d}" + "x" * n) for k, n in enumerate(sizes)] + [(9000 + k, "y" * 2000) for k in range(3)] + [(9100, "z" * 40_000), (9101, None),
+        (9102, None)]
     found = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), capacity=30_000).collect()
     groups = collections.Counter()
     for _, t in rows:
@@ -234,7 +238,8 @@ def plain_counts(text):
 
 
 def test_quality(spark, docs, nothing):
-    extra = spark.createDataFrame([(500, "a b c a b c\na b c\n\na b c | # x\n \n \n" * 3, "en", "src1", 0, "", ""), (501, "# $ % " * 40, "en", "src1", 0, "", "")], SCHEMA)
+    extra = spark.createDataFrame([(500, "a b c a b c\na b c\n\na b c | # x\n \n \n" * 3, "en", "src1", 0, "", ""),
+        (501, "# $ % " * 40, "en", "src1", 0, "", "")], SCHEMA)
     rows = docs.unionByName(extra)
     known = {r.doc_id: r.text for r in rows.collect()}
     found = quality.rules(rows).collect()
@@ -341,14 +346,16 @@ def test_stupid_backoff_knows_every_word(spark, monkeypatch, sample, bucket):
     rare = [f"w{k}" for k in range(200)] + ["l" * 70, "m" * 70, "é" * 40]
     known = {k: [r.choice(["the", "of", "and"]) if r.random() < 0.5 else r.choice(rare) for _ in range(r.randint(1, 60))] for k in range(60)}
     known |= {60: ["the"] * 50, 61: known[0]}
-    found = {x.doc_id: x.log_score for x in stupid_backoff.scored(spark.createDataFrame([(k, " ".join(t)) for k, t in known.items()], "doc_id long, text string").repartition(3)).collect()}
+    found = {x.doc_id: x.log_score for x in stupid_backoff.scored(spark.createDataFrame([(k, " ".join(t)) for k, t in known.items()],
+        "doc_id long, text string").repartition(3)).collect()}
     n = collections.Counter(g for x in known.values() for order in (1, 2, 3) for g in zip(*[x[j:] for j in range(order)]))
     total = sum(map(len, known.values()))
     for k, x in known.items():
         score = 0.0
         for j, w in enumerate(x):
             three, two = tuple(x[j - 2 : j + 1]) if j > 1 else None, tuple(x[j - 1 : j + 1]) if j else None
-            score += math.log(n[three] / n[three[:2]] if three and n[three] > 1 else 0.4 * n[two] / n[two[:1]] if two and n[two] > 1 else 0.16 * n[(w,)] / total)
+            score += math.log(n[three] / n[three[:2]] if three and n[three] > 1 else 0.4 * n[two] / n[two[:1]] if two and n[two] > 1 else 0.16 * n[(w,
+                )] / total)
         assert found[k] == pytest.approx(score, abs=1e-6)
 
 
@@ -367,9 +374,11 @@ def test_warc(spark, tmp_path):
     assert len(chunks) > 2 and b"".join(bytes(c.chunk) for c in chunks) == big.encode() and chunks[-1].last
     assert all(c.sha1_so_far == hashlib.sha1(big.encode()[: c.bytes_so_far]).hexdigest() for c in chunks)
     assert warc.round_trip(pages.limit(0), f"{tmp_path}/b").count() == 0
-    again = spark.createDataFrame([(1, "u", "r" * 1500), (1, "u", "r" * 1500), (1, "v", "q" * 1200), (2, "w", "q" * 1200), (None, None, None), (None, None, None)], "page_id long, url string, html string")
+    again = spark.createDataFrame([(1, "u", "r" * 1500), (1, "u", "r" * 1500), (1, "v", "q" * 1200), (2, "w", "q" * 1200), (None, None, None),
+        (None, None, None)], "page_id long, url string, html string")
     twice = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(again, f"{tmp_path}/c").collect()]
-    assert sorted(twice, key=repr) == sorted([(1, 1500, "response", None)] * 2 + [(1, 1200, "revisit", 2), (2, 1200, "response", None)] + [(None, 0, "response", None)] * 2, key=repr)
+    assert sorted(twice, key=repr) == sorted([(1, 1500, "response", None)] * 2 + [(1, 1200, "revisit", 2),
+        (2, 1200, "response", None)] + [(None, 0, "response", None)] * 2, key=repr)
 
 
 def test_warc_chunk_table(spark, monkeypatch):
@@ -390,7 +399,8 @@ def test_warc_chunk_table(spark, monkeypatch):
 def test_packing(docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    special = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "b  <|endoftext|>", "<|endoftext", "c<|endoftext|>'s |>  ", "<|endof", "text|>", "don't\n\n<|endoftext|>\n x"]
+    special = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "b  <|endoftext|>", "<|endoftext", "c<|endoftext|>'s |>  ",
+        "<|endof", "text|>", "don't\n\n<|endoftext|>\n x"]
     docs = docs.unionByName(docs.sparkSession.createDataFrame([(800 + k, t, None, None, 0, "", "") for k, t in enumerate(special)], SCHEMA)).coalesce(2)
     once = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     found = packing.pack(once, path, 256).collect()
@@ -413,7 +423,8 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
-LONG = ["Слово " * 200_000, "слово" * 1000 + "," + "Долгоеслово" * 60_000 + "1" + "б" * 700_000, "漢字かな。" * 150_000, ("word  \n\n\t " + "don't 12.5% <|endoftext|>") * 60_000]
+LONG = ["Слово " * 200_000, "слово" * 1000 + "," + "Долгоеслово" * 60_000 + "1" + "б" * 700_000, "漢字かな。" * 150_000,
+    ("word  \n\n\t " + "don't 12.5% <|endoftext|>") * 60_000]
 
 
 def test_packing_of_texts_over_a_slice(spark):
@@ -457,7 +468,8 @@ def test_neighbours(spark, monkeypatch, factor):
     x = r.normal(size=(900, 8)).astype(np.float32)
     x[300:600] = x[300]  # one frequent vector
     rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
-    rows += [(1000, None, 1), (1010, [0.0] * 8, 1), (1020, [float("nan")] * 8, 1), (1030, [float("inf")] + [1.0] * 7, 1), (1040, [1.0, None], 1), (1050, [1.0, 2.0], 1), rows[0]]
+    rows += [(1000, None, 1), (1010, [0.0] * 8, 1), (1020, [float("nan")] * 8, 1), (1030, [float("inf")] + [1.0] * 7, 1), (1040, [1.0, None], 1),
+        (1050, [1.0, 2.0], 1), rows[0]]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
     found = neighbours.nearest(vectors, F.col("vec_id") % 10 == 0, 10, factor).collect()
     by = collections.defaultdict(list)

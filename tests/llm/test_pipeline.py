@@ -31,7 +31,8 @@ def test_stages_on_nulls_repeats_and_clashing_columns(spark):
     words = "the and of with thing hand stand other".split()
     prose = lambda k: " ".join(f"{words[(k * j + j * j) % 8]}{words[(k + 3 * j) % 8]}{k % 7}" for j in range(120))
     rows = [(k, prose(k), "en" if k % 5 else None, f"s{k % 2}" if k % 3 else None, 9, "x", "y", "z", "w") for k in range(60)]
-    rows += [(None, None, None, None, None, None, None, None, None), (61, None, "en", "s", 0, "x", "y", "z", "w"), (62, "", "en", "s", 0, "x", "y", "z", "w"), rows[7], (None, prose(7), "en", "s", 0, "", "", "", ""), (7, prose(90), "en", "s", 0, "", "", "", "")]
+    rows += [(None, None, None, None, None, None, None, None, None), (61, None, "en", "s", 0, "x", "y", "z", "w"), (62, "", "en", "s", 0, "x", "y", "z", "w"),
+        rows[7], (None, prose(7), "en", "s", 0, "", "", "", ""), (7, prose(90), "en", "s", 0, "", "", "", "")]
     docs = spark.createDataFrame(rows, ODD).repartition(3)
     kept = language.accepted(docs, COLUMNS)
     assert kept.columns == COLUMNS and {r.doc_id for r in kept.collect() if r.text is None or r.text == ""} == set()
