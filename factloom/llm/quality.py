@@ -4,11 +4,11 @@ Each document gets counts (words, symbols, repeated lines and windows) and four
 The ratios' distribution in each language and source is kept as a mergeable quantile sketch: a histogram whose
 buckets are exact up to 63 and 1/32 wide relative to the value above. Sketches merge by adding counts, in any order
 and with the same result, so a lost task changes nothing, and a source with few documents takes the merged sketch of
-its language, a rare language that of all. Fences replace fixed cutoffs: a ratio may lie above the sketch's 90th
-percentile by WIDE times what lies between that and the median; where these are equal, as with counts that most
-documents have none of, the fence is a percentile itself: the 90th of symbols, the 99th of the others, so at most that
-share of a group's documents is above it.
-Mean word length has such a fence below as well. Documents are filtered by a join with the fences.
+its language, a rare language that of all. Fences replace fixed cutoffs and are as wide as the sketch says. Symbols and
+mean word length may lie above the 90th percentile by WIDE times what lies between that and the median; where these are
+equal, as with symbols that most documents have none of, the fence is that percentile. Repeated lines and windows, which
+sound documents have as well, may lie above the 99th percentile by as much as that is above the 90th. Mean word length
+has a fence below as well. Documents are filtered by a join with the fences.
 
 A null text has no words. Null languages and sources are groups of their own. Texts under three words have no
 window. Ratios without a denominator are 0. Repeated rows are judged each for itself. Extra columns stay unread.
@@ -27,6 +27,8 @@ FEW = 200
 #: How many times the distance from the median to the 90th (10th) percentile a ratio may lie beyond it.
 WIDE = 6
 RATIOS = ["symbols", "lines", "repeats", "length"]
+#: Ratios whose fence comes from their tail.
+TAILED = ["lines", "repeats"]
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -111,8 +113,8 @@ def _fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
     ranked = merged.select(*keys, "ratio", "bucket", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("all"))
     percentile = lambda p: value_of(F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bucket"))))
     q = ranked.groupBy(*keys, "ratio").agg(*[percentile(p).alias(f"p{p}") for p in (10, 50, 90, 99)], F.max("all").alias("seen"))
-    high = F.when(F.col("p90") > F.col("p50"), F.col("p90") + WIDE * (F.col("p90") - F.col("p50"))).when(F.col("ratio") == "symbols",
-        F.col("p90")).otherwise(F.col("p99"))
+    bulk, tail = F.col("p90") + WIDE * (F.col("p90") - F.col("p50")), 2 * F.col("p99") - F.col("p90")
+    high = F.when(F.col("ratio").isin(*TAILED), tail).otherwise(bulk)
     wide = q.select(*keys, "ratio", "seen", (F.col("p10") - WIDE * (F.col("p50") - F.col("p10"))).alias("low"), high.alias("high"))
     pick = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{name}_{k}_{c}")
     return wide.groupBy(*keys).agg(F.max("seen").alias(f"{name}_seen"), *[pick(k, c) for k in RATIOS for c in ("low", "high")])
