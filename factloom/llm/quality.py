@@ -111,9 +111,10 @@ def _fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
     group = Window.partitionBy(*keys, "ratio")
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.select(*keys, "ratio", "bucket", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("all"))
-    percentile = lambda p: value_of(F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bucket"))))
-    q = ranked.groupBy(*keys, "ratio").agg(*[percentile(p).alias(f"p{p}") for p in (10, 50, 90, 99)], F.max("all").alias("seen"))
-    bulk, tail = F.col("p90") + WIDE * (F.col("p90") - F.col("p50")), 2 * F.col("p99") - F.col("p90")
+    in_ = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bucket")))
+    tops = [(value_of(in_(p) + 1) - 1).alias(f"top{p}") for p in (90, 99)]  # values of one bucket are on one side of a fence
+    q = ranked.groupBy(*keys, "ratio").agg(*[value_of(in_(p)).alias(f"p{p}") for p in (10, 50, 90)], *tops, F.max("all").alias("seen"))
+    bulk, tail = F.col("top90") + WIDE * (F.col("p90") - F.col("p50")), 2 * F.col("top99") - F.col("p90")
     high = F.when(F.col("ratio").isin(*TAILED), tail).otherwise(bulk)
     wide = q.select(*keys, "ratio", "seen", (F.col("p10") - WIDE * (F.col("p50") - F.col("p10"))).alias("low"), high.alias("high"))
     pick = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{name}_{k}_{c}")

@@ -116,8 +116,10 @@ m_{name} AS (SELECT {keys} ratio, bucket, sum(n) AS n FROM sketch GROUP BY {keys
 u_{name} AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} ratio) AS seen FROM m_{name}),
 b_{name} AS (SELECT {keys} ratio, min(bucket) FILTER (100 * upto >= 10 * seen) AS b10, min(bucket) FILTER (100 * upto >= 50 * seen) AS b50,
   min(bucket) FILTER (100 * upto >= 90 * seen) AS b90, min(bucket) FILTER (100 * upto >= 99 * seen) AS b99, max(seen) AS seen FROM u_{name} GROUP BY {keys} ratio),
-v_{name} AS (SELECT {keys} ratio, seen, {VALUE.format("b10")} AS p10, {VALUE.format("b50")} AS p50, {VALUE.format("b90")} AS p90, {VALUE.format("b99")} AS p99 FROM b_{name}),
-f_{name} AS (SELECT {keys} ratio, seen, p10 - 6 * (p50 - p10) AS low, CASE WHEN ratio IN ('lines', 'repeats') THEN 2 * p99 - p90 ELSE p90 + 6 * (p90 - p50) END AS high FROM v_{name})"""
+v_{name} AS (SELECT {keys} ratio, seen, {VALUE.format("b10")} AS p10, {VALUE.format("b50")} AS p50, {VALUE.format("b90")} AS p90,
+  {VALUE.format("(b90 + 1)")} - 1 AS top90, {VALUE.format("(b99 + 1)")} - 1 AS top99 FROM b_{name}),
+f_{name} AS (SELECT {keys} ratio, seen, p10 - 6 * (p50 - p10) AS low,
+  CASE WHEN ratio IN ('lines', 'repeats') THEN 2 * top99 - p90 ELSE top90 + 6 * (p90 - p50) END AS high FROM v_{name})"""
 
 
 QUALITY_SQL = rf"""

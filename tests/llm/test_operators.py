@@ -287,10 +287,13 @@ def test_quality_fences_of_sources_and_languages(spark):
         for g in (groups[k], groups[k][0], "all"):
             members[g].append(v)
 
+    def top_end(v):
+        return v if v < 64 else low_end(v) + (1 << max(0, v.bit_length() - 6)) - 1
+
     def fence(g, ratio):
         x = sorted(low_end(v[ratio]) for v in members[g])
         p = {q: x[max(0, -(-q * len(x) // 100) - 1)] for q in (10, 50, 90, 99)}
-        high = 2 * p[99] - p[90] if ratio in ("lines", "repeats") else p[90] + 6 * (p[90] - p[50])
+        high = 2 * top_end(p[99]) - p[90] if ratio in ("lines", "repeats") else top_end(p[90]) + 6 * (p[90] - p[50])
         return p[10] - 6 * (p[50] - p[10]), high
 
     rejected = 0
