@@ -55,8 +55,10 @@ def joined(rows: DataFrame, other: DataFrame, key: str, total: int) -> DataFrame
     """rows, of which there are `total`, joined to other, which has a row for each key and in `n` how many rows have it.
 
     Keys with more than one in HOT of the rows, fewer than HOT of them, are broadcast; so no task of the shuffled rest
-    gets a frequent key. Both are read twice, so keep them first.
+    gets a frequent key. Both are read twice, so keep them first. Up to SMALL rows are joined as they are.
     """
+    if total <= SMALL:
+        return rows.join(other.drop("n"), key)
     frequent = F.col("n") * HOT > F.lit(total)
     hot = other.filter(frequent).drop("n")
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(other.filter(~frequent).drop("n"), key)

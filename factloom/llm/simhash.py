@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, joined, small
+from factloom.llm.common import SMALL, checkpointed, joined, small
 
 SHINGLE = 3
 DISTANCE = 3
@@ -219,7 +219,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if sign == total:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         sign = total
-        large = checkpointed(starred(now, True, 2 * total[0]))
+        large = starred(now, True, 2 * total[0])
+        large = large if total[0] <= SMALL else checkpointed(large)  # read several times, but then not recomputed
         now = checkpointed(starred(large, False, total[0]))
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
