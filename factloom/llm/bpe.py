@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import slices, utf8
 
 #: Bytes of text that are pre-tokenised in one go.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Slices whose ids each worker keeps.
 CACHE = 200_000
 #: Slices over this many bytes are merged with a heap instead of by rounds.

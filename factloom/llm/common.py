@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,12 @@ def fold(column: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(parts))
 
 
+def plainly_named(df: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but the needed ones under plain names, as any column may have any name; and what names them back."""
+    inner = df.toDF(*[n if n in needed else f"c{k}" for k, n in enumerate(df.columns)])
+    return inner, lambda out: out.select(*inner.columns).toDF(*df.columns)
+
+
 def small(df: DataFrame, rows: int, most: int = SMALL) -> DataFrame:
     """df, marked for a broadcast if its known number of rows is at most `most`; else Spark picks the join."""
     return F.broadcast(df) if rows <= most else df

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold
+from factloom.llm.common import fold, plainly_named
 from factloom.llm.compression import compressor, excerpt, sampled
 
 SAMPLE = 400
@@ -47,6 +47,7 @@ def _predicted(dictionaries: dict[str, bytes], keep: list[str]):
         names = list(dictionaries)
         with_ = [compressor(dictionaries[n], LEVEL) for n in names]
         for batch in batches:
+            pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
             lang, score, margin, rejected = [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
@@ -87,9 +88,7 @@ def identified(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The documents that aren't rejected, with the given columns, of which text is one."""
     dictionaries = learn(docs.filter(~held_out()).select("doc_id", "text", "lang"))
-    rows = docs.select(*columns)
-    # numbered inside, as any column may have any name
-    inner = rows.toDF(*[f"c{k}" for k in range(len(columns))]).withColumnRenamed(f"c{columns.index('text')}", "text")
-    marked = inner.mapInArrow(_predicted(dictionaries, inner.columns), ", ".join(f"{n} {f.dataType.simpleString()}" for n,
-        f in zip(inner.columns, rows.schema.fields)) + f", {RESULT}")
-    return marked.filter(~F.col("rejected")).select(*inner.columns).toDF(*columns)
+    inner, back = plainly_named(docs.select(*columns), ["text"])
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields)
+    marked = inner.mapInArrow(_predicted(dictionaries, inner.columns), f"{kept}, {RESULT}")
+    return back(marked.filter(~F.col("rejected")))

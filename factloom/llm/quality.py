@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.common import SPACE, checkpointed, small
+from factloom.llm.common import SPACE, checkpointed, plainly_named, small
 
 #: Documents below which a sketch is merged into the next wider one.
 FEW = 200
@@ -159,6 +159,6 @@ def passed(docs: DataFrame, columns: list[str]) -> DataFrame:
     would otherwise be pushed below the counts and repeat them, stays above. Texts are shuffled only where there are more
     languages and sources than common.SMALL.
     """
-    rows = docs.select(*columns)
+    rows, back = plainly_named(docs.select(*columns), ["text", "lang", "source"])
     marked = checkpointed(counted(rows.withColumn("q__text", F.col("text")), "q__text"))
-    return judged(marked, fences(marked)).filter("kept").select(*columns)
+    return back(judged(marked, fences(marked)).filter("kept"))

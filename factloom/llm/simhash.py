@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SMALL, checkpointed, joined, small
+from factloom.llm.common import SMALL, checkpointed, joined, plainly_named, small
 
 SHINGLE = 3
 DISTANCE = 3
@@ -55,6 +55,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(keep: list[str]):
     def run(batches):
         for batch in batches:
+            pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
             found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(k) for k in keep] + [pa.array(found, pa.int64())], names=keep + ["fingerprint"])
 
@@ -250,13 +251,14 @@ def kept_one(docs: DataFrame) -> DataFrame:
     left before anything is shuffled. Fingerprints, links and components carry keys only; texts move once, to the keys of
     the rows that stay. Null and empty texts are one group. An empty table gives no rows.
     """
-    key = {"kept__id": F.col("doc_id").cast("long"), "kept__text": F.xxhash64(F.col("text").cast("string"))}
-    rows = docs.select(key["kept__id"].alias("kept__id"), key["kept__text"].alias("kept__text"), F.col("text").cast("string").alias("text"))
-    marked = checkpointed(rows.mapInArrow(_fingerprints(["kept__id", "kept__text"]), "kept__id long, kept__text long, fingerprint long"))
+    # no key is null, so one partitioning serves the rows of one key and the join
+    key = {"kept__none": F.col("doc_id").isNull(), "kept__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        "kept__text": F.xxhash64(F.col("text").cast("string"))}
+    rows = docs.select(*[c.alias(k) for k, c in key.items()], F.col("text").cast("string").alias("text"))
+    marked = checkpointed(rows.mapInArrow(_fingerprints(list(key)), "kept__none boolean, kept__id long, kept__text long, fingerprint long"))
     each = grouped(marked.withColumnRenamed("kept__id", "doc_id"))
-    ids = F.struct(F.col("kept__id").isNull().alias("none"), "kept__id", "kept__text")
-    best = marked.groupBy("fingerprint").agg(F.min(ids).alias("k")).join(each.select("fingerprint", "component"), "fingerprint")
-    first = best.groupBy("component").agg(F.min("k").alias("k")).select(F.col("k.kept__id").alias("first__id"), F.col("k.kept__text").alias("first__text"))
-    once = docs.withColumns(key).dropDuplicates(list(key))
-    kept = once.join(first, F.col("kept__id").eqNullSafe(F.col("first__id")) & (F.col("kept__text") == F.col("first__text")), "left_semi")
-    return kept.drop(*key)
+    best = marked.groupBy("fingerprint").agg(F.min(F.struct(*key)).alias("k")).join(each.select("fingerprint", "component"), "fingerprint")
+    first = best.groupBy("component").agg(F.min("k").alias("k")).select("k.*")
+    inner, back = plainly_named(docs, ["doc_id", "text"])
+    once = inner.withColumns(key).dropDuplicates(list(key))
+    return back(once.join(first, list(key), "left_semi"))
