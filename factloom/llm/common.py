@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 SPACE = r"\x20\x09-\x0D"
 #: Rows of a few short columns that are broadcast at most; rows in a bucket of numbered(), about.
 SMALL = 100_000
-BUCKET = 20_000
+BUCKET = 5_000
 #: A key is frequent if more than one in so many rows has it.
 HOT = 1000
 
