@@ -68,11 +68,8 @@ WRITTEN = (
 )
 
 
-def chunks(pages: DataFrame, size: int = CHUNK) -> DataFrame:
-    """The chunk table of pages (page_id, url, html, refers_to), to be written: a row for each chunk of each payload.
-
-    payload_sha1 is the digest of the payload up to the chunk's end. Payloads of revisits have one row without bytes.
-    """
+def _chunked(size: int):
+    """Batches of pages in, batches of chunk rows out, of about BATCH bytes each."""
 
     def run(batches):
         names = [c.split()[0] for c in WRITTEN.split(", ")]
@@ -102,7 +99,15 @@ def chunks(pages: DataFrame, size: int = CHUNK) -> DataFrame:
         if rows:
             yield taken()
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, WRITTEN)
+    return run
+
+
+def chunks(pages: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The chunk table of pages (page_id, url, html, refers_to), to be written: a row for each chunk of each payload.
+
+    payload_sha1 is the digest of the payload up to the chunk's end. Payloads of revisits have one row without bytes.
+    """
+    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(_chunked(size), WRITTEN)
 
 
 def _record(date: str):
@@ -140,7 +145,10 @@ def write(pages: DataFrame, folder: str, chunk: int = CHUNK, date: str = "2024-0
     refers = decided(rows).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
     on = (F.col("page_id") == F.col("p")) & (F.sha1(F.coalesce("html", F.lit(""))) == F.col("d"))
     marked = rows.join(refers, on, "left").drop("p", "d")
-    chunks(marked, chunk).mapInArrow(_record(date), "value string").write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+    table, record = _chunked(chunk), _record(date)
+    # chunk rows become records where they are made: passed on by Spark they would be gathered in batches by number, not size
+    lines = marked.select("page_id", "url", "html", "refers_to").mapInArrow(lambda batches: record(table(batches)), "value string")
+    lines.write.option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
 class _Reader:
