@@ -54,7 +54,7 @@ CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_PREFIX, IN_SPACE, IN_CONTRACTIO
 def _classes() -> np.ndarray:
     """The class of every code point."""
     kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    for c in range(sys.maxunicode + 1):
+    for c in range(4 << 16):  # no plane beyond the first four has letters or numbers
         kind = unicodedata.category(chr(c))[0]
         if kind in "LN":
             kinds[c] = LETTER if kind == "L" else NUMBER
@@ -355,9 +355,13 @@ def encoded(batch: pa.RecordBatch, column: str, vocabulary: Vocabulary) -> Itera
         distinct = slices_.dictionary_encode()
         found = vocabulary.encoded(distinct.dictionary.to_pylist())
         which = distinct.indices.to_numpy()
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join([found[k] for k in which.tolist()]), "<u4")
-        first = np.append(0, np.cumsum(size[which]))[np.searchsorted(begin, edges - low)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # each slice's ids are a run in those of the different slices
+        size = sizes[which]
+        upto = np.append(0, np.cumsum(size))
+        run = np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], size)
+        ids = np.frombuffer(b"".join(found), "<u4")[run + np.arange(len(run))]
+        first = upto[np.searchsorted(begin, edges - low)]
         for k, row in enumerate(rows.tolist()):
             yield row, ids[first[k] : first[k + 1]]
 
