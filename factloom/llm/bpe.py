@@ -270,11 +270,11 @@ def rank_file(path: str) -> Vocabulary:
 
 
 @lru_cache(4)
-def merge_file(path: str) -> Vocabulary:
-    """A JSON file with a vocabulary and a list of merges, bytes written as printable characters."""
+def merge_file(path: str, special: bool = True) -> Vocabulary:
+    """A JSON file with a vocabulary and a list of merges, bytes written as printable characters; special: added tokens are found in texts."""
     with open(path, encoding="utf-8") as f:
         content = json.load(f)
-    model, added = content["model"], content.get("added_tokens") or []
+    model, added = content["model"], (content.get("added_tokens") or []) if special else []
     if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
         raise ValueError(f"added tokens that take in white space or need word ends aren't supported: {path}")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
