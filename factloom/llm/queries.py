@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import alignment, bpe, extraction, language, neighbours, packing, quality, sharding, simhash, stupid_backoff, toxicity, warc
+from factloom.llm import alignment, bpe, extraction, language, neighbours, packing, quality, sharding, simhash, spelling, stupid_backoff, toxicity, warc
 from factloom.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
 def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extracted(table(spark, sf_dir, "pages"))
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # noqa: F401  the pipeline is part of this subpackage
 
-    each = [op1_language, op2_simhash, op3_sharding, op4_quality, op5_stupid_backoff, op6_warc, op7_packing, op8_neighbours, op9_toxicity, op10_bpe, op12_extraction, op13_alignment, pipeline]
+    each = [op1_language, op2_simhash, op3_sharding, op4_quality, op5_stupid_backoff, op6_warc, op7_packing, op8_neighbours, op9_toxicity, op10_bpe, op11_spelling, op12_extraction, op13_alignment, pipeline]
     return {f.__name__: f for f in each}
 
 
