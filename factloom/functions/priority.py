@@ -34,6 +34,9 @@ COMPARE_PRIORITY = {
 }
 # Families of independent quarters, of statements, and units of money.
 INDEPENDENT = ["RPT_F10_FINANCE_GINCOMEQC", "RPT_F10_FINANCE_GCASHFLOWQC", "RPT_F10_QTR_MAINFINADATA", "RPT_F10_FINANCE_QGRATIO"]
+# Families whose quarters add up to twelve months, and those whose totals run through the year.
+SINGLE_QUARTER = ["RPT_F10_FINANCE_GINCOMEQC", "RPT_F10_FINANCE_GCASHFLOWQC"]
+CUMULATIVE = ["RPT_F10_FINANCE_GINCOME", "RPT_F10_FINANCE_GCASHFLOW"]
 STATEMENTS = {
     "RPT_F10_FINANCE_GBALANCE": "balance_sheet",
     "RPT_F10_FINANCE_GINCOME": "income_statement",

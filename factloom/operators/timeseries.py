@@ -6,13 +6,15 @@ partitioned by security and field, so one frequent field isn't one task's work.
 
 from __future__ import annotations
 
+import keyword
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.priority import INDEPENDENT, formula_priority
+from factloom.functions.priority import CUMULATIVE, SINGLE_QUARTER, formula_priority
 
 KEY = ["security_code", "field_key"]
 
@@ -50,69 +52,78 @@ def last_periods(facts: DataFrame, k: int) -> DataFrame:
     return one_per_period(facts).withColumn("period_rank", F.row_number().over(order)).filter(F.col("period_rank") <= k)
 
 
-def _quarter_index(date: str) -> Column:
-    return F.year(date) * 4 + F.quarter(date)
+def _day(date: Column | str) -> Column:
+    """A date as the number yyyymmdd; the same day a year before is 10,000 less."""
+    return F.year(date) * 10_000 + F.month(date) * 100 + F.dayofmonth(date)
 
 
-def ttm_quarters(facts: DataFrame, strict: bool = True) -> DataFrame:
-    """The sum of four independent quarters up to each; strict: only where they follow one another without a gap (four
-    rows with a missing quarter between them aren't twelve months)."""
-    rows = one_per_period(facts.filter(F.col("family").isin(*INDEPENDENT)), [*KEY, "report_date", "value_num"])
-    four = Window.partitionBy(*KEY).orderBy("report_date").rowsBetween(-3, 0)
-    wide = rows.withColumns(
-        {"ttm": F.sum("value_num").over(four), "n": F.count("value_num").over(four), "first": F.min(_quarter_index("report_date")).over(four)}
-    )
-    wide = wide.filter((F.col("n") == 4) & ((_quarter_index("report_date") - F.col("first") == 3) | F.lit(not strict)))
-    return wide.select(*KEY, "report_date", "ttm")
+def _of(facts: DataFrame, families: list[str], order: list[Column]) -> DataFrame:
+    rows = facts.filter(F.col("family").isin(*families) & F.col("value_num").isNotNull() & F.col("report_date").isNotNull())
+    return first_by(rows.select(*KEY, "report_date", "value_num", "family", "dataset"), [*KEY, "report_date"], [*order, F.col("dataset")])
 
 
-def ttm_cumulative(facts: DataFrame) -> DataFrame:
-    """Last year's total less last year's value of the period plus this one's; at a year's end the value itself."""
-    rows = one_per_period(facts.filter(~F.col("family").isin(*INDEPENDENT)), [*KEY, "report_date", "value_num"])
-    # all three lie within five rows of a gapless series: a window over the security's own rows instead of two joins
-    year = Window.partitionBy(*KEY).orderBy(_quarter_index("report_date"))
-    at = lambda back: F.first("value_num").over(year.rangeBetween(-back, -back))
-    q = F.quarter("report_date")
-    total = F.when(q == 1, at(1)).when(q == 2, at(2)).when(q == 3, at(3))
-    wide = rows.withColumns({"prior_year": total, "prior_same": at(4)})
-    ttm = F.when(q == 4, F.col("value_num")).otherwise(F.col("prior_year") - F.col("prior_same") + F.col("value_num"))
-    return wide.withColumn("ttm", ttm).filter(F.col("ttm").isNotNull()).select(*KEY, "report_date", "ttm", "value_num", "prior_year", "prior_same")
-
-
-def ttm(quarter_facts: DataFrame, cumulative_facts: DataFrame, strict: bool = True) -> DataFrame:
-    """Both methods: four independent quarters where there are, else the cumulative one, with method and formula."""
-    four = ttm_quarters(quarter_facts, strict).withColumnRenamed("ttm", "four")
-    cum = ttm_cumulative(cumulative_facts).withColumnRenamed("ttm", "cum")
-    both = four.join(cum, [*KEY, "report_date"], "full_outer")
-    end = F.quarter("report_date") == 4
-    method = F.when(F.col("four").isNotNull(), "FOUR_INDEPENDENT_QUARTERS").when(end, "FULL_YEAR_IDENTITY").otherwise("CUMULATIVE_ROLL_FORWARD")
-    text = (
-        F.when(F.col("four").isNotNull(), "Q(t) + Q(t-1) + Q(t-2) + Q(t-3)").when(end, "FY").otherwise("FY(y-1) - YTD(y-1) + YTD(y)")
-    )
-    return both.select(*KEY, "report_date", F.coalesce("four", "cum").alias("ttm"), method.alias("method"), text.alias("formula"))
+def _component(date: Column, value: Column, family: Column, role: str) -> Column:
+    return F.struct(date.alias("report_date"), value.alias("value"), family.alias("family"), F.lit(role).alias("role"))
 
 
-def ttm_components(quarter_facts: DataFrame, cumulative_facts: DataFrame, strict: bool = True) -> DataFrame:
-    """What ttm() adds up: (key, report_date, ttm, method, formula, components), each component with date, value and role.
+def ttm_quarters(facts: DataFrame, strict: bool = False) -> DataFrame:
+    """The sum of the last four rows of the single-quarter families up to each; strict: only where they are four quarters
+    without a gap. Column `components` has the four."""
+    rows = _of(facts, SINGLE_QUARTER, [F.col("family")])
+    four = Window.partitionBy(*KEY).orderBy("report_date").rowsBetween(-3, 0)
+    quarter = F.year("report_date") * 4 + F.quarter("report_date")
+    part = _component(F.col("report_date"), F.col("value_num"), F.col("family"), "add")
+    wide = rows.withColumn("components", F.collect_list(part).over(four)).filter(F.size("components") == 4)
+    first = F.element_at("components", 1)["report_date"]
+    if strict:
+        wide = wide.filter(quarter - (F.year(first) * 4 + F.quarter(first)) == 3)
+    total = F.aggregate("components", F.lit(0.0), lambda x, y: x + y["value"])
+    return wide.select(*KEY, "report_date", total.alias("ttm"), "components")
+
 
-    The formula's text has the dates and values that were used, values as they print.
+def ttm_cumulative(facts: DataFrame) -> DataFrame:
+    """Last year's total less last year's value of the same day plus this one's, of the cumulative families; in December the value itself."""
+    rows = _of(facts, CUMULATIVE, [formula_priority()])
+    row = F.struct("report_date", "value_num", "family")
+    # a window over the security's own rows instead of two joins
+    days = Window.partitionBy(*KEY).orderBy(_day("report_date"))
+    year_end = (F.month("report_date") == 12) & (F.dayofmonth("report_date") == 31)
+    total = F.last(F.when(year_end, row), ignorenulls=True).over(days.rangeBetween(Window.unboundedPreceding, -1))
+    wide = rows.withColumns({"t__y": total, "t__s": F.first(row).over(days.rangeBetween(-10_000, -10_000))})
+    december = F.month("report_date") == 12
+    whole = F.year("t__y.report_date") == F.year("report_date") - 1
+    wide = wide.filter(december | whole & F.col("t__s").isNotNull())
+    y, s = F.when(~december, F.col("t__y")), F.when(~december, F.col("t__s"))
+    rolled = y["value_num"] - s["value_num"] + F.col("value_num")
+    now = lambda role: _component(F.col("report_date"), F.col("value_num"), F.col("family"), role)
+    parts = [_component(x["report_date"], x["value_num"], x["family"], role) for x, role in ((y, "add_previous_fy"), (s, "subtract_previous_same"))]
+    return wide.select(
+        *KEY, "report_date", F.when(december, F.col("value_num")).otherwise(rolled).alias("ttm"),
+        F.when(december, F.array(now("current_fy"))).otherwise(F.array(*parts, now("add_current_cumulative"))).alias("components"),
+    )
+
+
+def ttm_components(quarter_facts: DataFrame, cumulative_facts: DataFrame, strict: bool = False) -> DataFrame:
+    """Four quarters where there are, else the cumulative method: (key, report_date, ttm, method, formula, components).
+
+    Each component has date, value, family and role; the formula's text has the dates and values that were used.
     """
-    part = lambda date, value, role: F.struct(date.alias("report_date"), value.alias("value"), F.lit(role).alias("role"))
-    quarters = one_per_period(quarter_facts.filter(F.col("family").isin(*INDEPENDENT)), [*KEY, "report_date", "value_num"])
-    four = Window.partitionBy(*KEY).orderBy("report_date").rowsBetween(-3, 0)
-    listed = quarters.select(*KEY, "report_date", F.collect_list(part(F.col("report_date"), F.col("value_num"), "add")).over(four).alias("q"))
-    last_year, same = F.make_date(F.year("report_date") - 1, F.lit(12), F.lit(31)), F.add_months("report_date", -12)
-    rolled = ttm_cumulative(cumulative_facts).select(
-        *KEY, "report_date", F.when(F.quarter("report_date") == 4, F.array(part(F.col("report_date"), F.col("value_num"), "current_fy"))).otherwise(F.array(
-            part(last_year, F.col("prior_year"), "add_previous_fy"), part(F.last_day(same), F.col("prior_same"), "subtract_previous_same"),
-                part(F.col("report_date"), F.col("value_num"), "add_current_cumulative"),
-        )).alias("c"))
-    out = ttm(quarter_facts, cumulative_facts, strict).drop("formula").join(listed, [*KEY, "report_date"], "left").join(rolled, [*KEY, "report_date"], "left")
-    used = F.when(F.col("method") == "FOUR_INDEPENDENT_QUARTERS", F.col("q")).otherwise(F.col("c"))
-    text = F.transform("components", lambda x: F.concat(F.when(x["role"] == "subtract_previous_same", "- ").otherwise("+ "), x["report_date"].cast("string"),
-        F.lit(":"), x["value"].cast("string")))
-    named = out.withColumn("components", used)
-    return named.withColumn("formula", F.substring(F.array_join(text, " "), 3, 1000)).select(*KEY, "report_date", "ttm", "method", "formula", "components")
+    four = ttm_quarters(quarter_facts, strict).withColumn("t__k", F.lit(0))
+    cum = ttm_cumulative(cumulative_facts).withColumn("t__k", F.lit(1))
+    best = first_by(four.unionByName(cum), [*KEY, "report_date"], [F.col("t__k")])
+    december = F.month("report_date") == 12
+    method = F.when(F.col("t__k") == 0, "FOUR_INDEPENDENT_QUARTERS").when(december, "FULL_YEAR_EQUALS_TTM").otherwise("FY_MINUS_PRIOR_SAME_PLUS_CURRENT")
+    term = lambda x: F.concat(F.when(x["role"] == "subtract_previous_same", "- ").otherwise("+ "), x["report_date"].cast("string"), F.lit(":"),
+        F.regexp_replace(x["value"].cast("string"), r"\.0$", ""))
+    text = F.substring(F.array_join(F.transform("components", term), " "), 3, 1000)
+    full = (F.col("t__k") == 1) & december
+    text = F.when(full, F.concat(F.col("report_date").cast("string"), F.lit("年报累计值"))).otherwise(text)
+    return best.select(*KEY, "report_date", "ttm", method.alias("method"), text.alias("formula"), "components")
+
+
+def ttm(quarter_facts: DataFrame, cumulative_facts: DataFrame, strict: bool = False) -> DataFrame:
+    """(key, report_date, ttm, method, formula)."""
+    return ttm_components(quarter_facts, cumulative_facts, strict).drop("components")
 
 
 def value_as_of(facts: DataFrame, ends: DataFrame) -> DataFrame:
@@ -134,8 +145,7 @@ def value_as_of(facts: DataFrame, ends: DataFrame) -> DataFrame:
 def yoy(facts: DataFrame) -> DataFrame:
     """Growth of the latest value at each date against the latest value a year before; null without that or where it is 0."""
     rows = one_per_period(facts, [*KEY, "report_date", "value_num"])
-    day = F.year("report_date") * 10_000 + F.month("report_date") * 100 + F.dayofmonth("report_date")
-    upto = Window.partitionBy(*KEY).orderBy(day).rangeBetween(Window.unboundedPreceding, -10_000)
+    upto = Window.partitionBy(*KEY).orderBy(_day("report_date")).rangeBetween(Window.unboundedPreceding, -10_000)
     return rows.withColumn("prior", F.last("value_num").over(upto)).select(
         *KEY, "report_date", "value_num", "prior", (F.try_divide("value_num", "prior") - 1).alias("yoy")
     )
@@ -171,30 +181,85 @@ def cagr(facts: DataFrame, years: int = 3) -> DataFrame:
     return g.select(*KEY, "intervals", "first_value", "last_value", F.when(fine, rate).alias("cagr"))
 
 
-def independent_quarters(cumulative: DataFrame) -> DataFrame:
-    """Quarters from running totals of one year: Q1 itself, else the difference to the quarter before; no balances."""
-    rows = one_per_period(cumulative.filter(F.col("data_semantics") == "flow"), [*KEY, "report_date", "value_num"])
-    before = Window.partitionBy(*KEY, F.year("report_date")).orderBy(F.quarter("report_date")).rangeBetween(-1, -1)
-    wide = rows.withColumn("prior", F.first("value_num").over(before))
-    q = F.quarter("report_date")
-    value = F.when(q == 1, F.col("value_num")).otherwise(F.col("value_num") - F.col("prior"))
-    return wide.select(*KEY, "report_date", F.concat(F.lit("Q"), q.cast("string")).alias("period_type"),
-        value.alias("value_num")).filter("value_num is not null")
+# Balances among the cash flow's fields, the statements whose values run through a year, and the ratios that
+# are calculated from the fields of one security, date and scope, with their names.
+BALANCES = ["BEGIN_CCE", "END_CCE", "BEGIN_CASH", "END_CASH", "BEGIN_CASH_EQUIVALENTS", "END_CASH_EQUIVALENTS"]
+FLOWS = ["income_statement", "cash_flow"]
+RATIOS = {
+    "ZCFZL": "TOTAL_LIABILITIES / TOTAL_ASSETS * 100",
+    "CURRENT_RATIO": "TOTAL_CURRENT_ASSETS / TOTAL_CURRENT_LIAB",
+    "GUARD_SPEED_RATIO": "(TOTAL_CURRENT_ASSETS - INVENTORY - PREPAYMENT - OTHER_CURRENT_ASSET - CONTRACT_ASSET - FINANCE_RECE"
+    " - CURRENT_ASSET_OTHER - NONCURRENT_ASSET_1YEAR) / TOTAL_CURRENT_LIAB",
+    "XSMLL": "(OPERATE_INCOME - OPERATE_COST) / OPERATE_INCOME * 100",
+    "XSJLL": "NETPROFIT / OPERATE_INCOME * 100",
+}
 
 
-def ratio_facts(facts: DataFrame, formulas: dict[str, tuple[str, str, float]]) -> DataFrame:
-    """Ratios (numerator, denominator, factor) of fields of one security and date; rows only where all are there."""
-    rows = one_per_period(facts, [*KEY, "report_date", "value_num"])
-    fields = sorted({f for a, b, _ in formulas.values() for f in (a, b)})
-    wide = rows.groupBy("security_code", "report_date").pivot("field_key", fields).agg(F.first("value_num"))
-    each = [F.struct(F.lit(k).alias("field_key"), (F.try_divide(a, b) * f).alias("value_num")) for k, (a, b, f) in formulas.items()]
-    return wide.select("security_code", "report_date", F.explode(F.array(*each)).alias("r")).select("security_code", "report_date",
-        "r.*").filter("value_num is not null")
+def independent_quarters(official: DataFrame) -> DataFrame:
+    """Q2, Q3 and Q4 of each security, statement, scope and field as differences of totals that run through the year.
+
+    Needs statement_type and scope; keeps all columns. Balances of cash are left out, a first quarter is its own total and
+    gives no row, and neither does a quarter without the one before it. Of several rows of one date the greatest record counts.
+    """
+    keys = ["security_code", "statement_type", "scope", "field_key"]
+    flow = official.filter(F.col("statement_type").isin(*FLOWS) & ~F.coalesce("field_key", F.lit("")).isin(*BALANCES))
+    ends = flow.filter(F.date_format("report_date", "MM-dd").isin("03-31", "06-30", "09-30", "12-31"))
+    rows = _greatest(ends, [*keys, "report_date"]).filter(F.col("value_num").isNotNull() & ~F.isnan("value_num"))
+    year = Window.partitionBy(*keys, F.year("report_date")).orderBy(F.quarter("report_date")).rangeBetween(-1, -1)
+    wide = rows.withColumn("t__b", F.first(F.struct("report_date", "value_num")).over(year)).filter("t__b is not null")
+    kind = F.concat(F.lit("Q"), F.quarter("report_date").cast("string"))
+    value = F.col("value_num") - F.col("t__b.value_num")
+    date = F.col("report_date").cast("string")
+    made = {
+        "value_num": value, "value_text": value.cast("string"), "period_type": kind, "source_status": F.lit("FACT_CALCULATED"), "confidence": F.lit("high"),
+        "source_row": F.concat(date, F.lit("累计值 - "), F.col("t__b.report_date").cast("string"), F.lit("累计值")),
+        "record_key": F.concat_ws("|", F.coalesce("security_code", F.lit("")), date, "statement_type", F.coalesce("field_key", F.lit("")), kind),
+    }
+    return wide.select(*[made[c].alias(c) if c in made else F.col(c) for c in dict.fromkeys([*official.columns, *made])])
+
+
+def _greatest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: of the greatest record, then value."""
+    rest = [c for c in rows.columns if c not in keys]
+    order = [F.col(c) for c in ("record_key", "value_num") if c in rest]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("t__b"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"t__b.{c}") for c in rows.columns])
+
+
+def ratio_facts(official: DataFrame, formulas: dict[str, str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """Facts calculated from a table of formulas over the fields of one security, date and scope.
+
+    A formula is text of field names, numbers, + - * / ** and brackets. A row needs all of its fields; a zero divisor or a
+    result that isn't finite gives none. Each row has its formula as source_row and a tolerance of its own.
+    """
+    formulas, names = RATIOS if formulas is None else formulas, names or {}
+    asked = {k: sorted(set(NAME.findall(f))) for k, f in formulas.items()}
+    fields = sorted({x for own in asked.values() for x in own})
+    direct = official.filter(F.col("field_key").isin(*fields) & F.col("value_num").isNotNull() & ~F.isnan("value_num"))
+    keys = ["security_code", "report_date", "scope"]
+    one = _greatest(direct.select(*keys, "field_key", "value_num", *[c for c in ("record_key",) if c in official.columns]), [*keys, "field_key"])
+    wide = one.groupBy(*keys).pivot("field_key", fields).agg(F.first("value_num"))
+    each = []
+    for key, text in formulas.items():
+        unit = "%" if "* 100" in text else "倍"
+        value = compiled(text, {x: Formula({}, lambda x=x: F.col(f"`{x}`")) for x in asked[key]}).column()
+        each.append(F.struct(F.lit(key).alias("field_key"), F.lit(names.get(key, key)).alias("field_name_cn"), value.cast("double").alias("value_num"),
+            F.lit(unit).alias("unit"), F.lit(unit).alias("normalized_unit"), F.lit(text).alias("source_row")))
+    found = wide.select(*keys, F.explode(F.array(*each)).alias("r")).select(*keys, "r.*")
+    found = found.filter(F.col("value_num").isNotNull() & ~F.isnan("value_num") & (F.abs("value_num") < math.inf))
+    date = F.col("report_date").cast("string")
+    return found.select(
+        *keys, F.lit("官方披露/派生指标").alias("theme"), F.lit("OFFICIAL_DERIVED").alias("family"), F.lit("官方披露派生指标").alias("dataset"),
+        F.concat_ws("|", "security_code", date, F.lit("derived"), "field_key").alias("record_key"), F.lit("financial_ratio").alias("statement_type"),
+        "field_key", "field_name_cn", "value_num", F.col("value_num").cast("string").alias("value_text"), "unit", "normalized_unit",
+        F.lit("FACT_CALCULATED").alias("source_status"), F.lit("由官方披露基础字段计算").alias("source_document"), "source_row",
+        F.greatest(F.lit(1e-9), F.abs("value_num") * 1e-8).alias("precision_tolerance"), F.lit("high").alias("confidence"),
+    )
 
 
 def ttm_check(quarter_facts: DataFrame, cumulative_facts: DataFrame) -> DataFrame:
     """Whether both methods agree, within 1 or a share of 1e-10."""
-    a = ttm_quarters(quarter_facts).withColumnRenamed("ttm", "independent")
+    a = ttm_quarters(quarter_facts).select(*KEY, "report_date", F.col("ttm").alias("independent"))
     b = ttm_cumulative(cumulative_facts).select(*KEY, "report_date", F.col("ttm").alias("cumulative"))
     both = a.join(b, [*KEY, "report_date"], "full_outer")
     allowed = F.greatest(F.lit(1.0), F.greatest(F.abs("independent"), F.abs("cumulative")) * 1e-10)
@@ -216,7 +281,7 @@ def resolved_fields(facts: DataFrame, asked: DataFrame) -> DataFrame:
 class Formula:
     """An expression of fields: operators build it up, evaluate() turns all its leaves into one frame and one expression."""
 
-    def __init__(self, leaves: dict[str, tuple[str, str]], column):
+    def __init__(self, leaves: dict[str, tuple[str, str, str | int | None]], column):
         self.leaves, self.column = leaves, column
 
     def _with(self, other, f) -> Formula:
@@ -256,51 +321,223 @@ class Formula:
     def __rtruediv__(self, other):
         return self._with(other, lambda a, b: F.try_divide(b, a))
 
+    def __rpow__(self, other):
+        return self._with(other, lambda a, b: F.pow(b, a))
+
 
-def _leaf(kind: str, field: str) -> Formula:
-    name = f"{kind}_{field}".lower()
-    return Formula({name: (kind, field)}, lambda: F.col(name))
+def _leaf(kind: str, field: str, argument: str | int | None = None) -> Formula:
+    name = f"{kind}_{field}".lower() + (f"_{argument}" if argument is not None else "")
+    return Formula({name: (kind, field, argument)}, lambda: F.col(f"`{name}`"))
 
 
-def VALUE(field: str) -> Formula:  # noqa: N802
-    return _leaf("VALUE", field)
+def VALUE(field: str, period: str | None = None) -> Formula:  # noqa: N802
+    """The latest value up to the end, or up to a period (yyyy-mm-dd)."""
+    return _leaf("VALUE", field, period)
 
 
 def TTM(field: str) -> Formula:  # noqa: N802
+    """Twelve months up to exactly the end."""
     return _leaf("TTM", field)
 
 
 def YOY(field: str) -> Formula:  # noqa: N802
+    """The latest value up to the end against the latest one up to a year before."""
     return _leaf("YOY", field)
 
 
-def AVG(field: str) -> Formula:  # noqa: N802
-    return _leaf("AVG", field)
+def QOQ(field: str) -> Formula:  # noqa: N802
+    """The latest value up to the end against the one before of the same family."""
+    return _leaf("QOQ", field)
+
+
+def AVG(field: str, periods: int = 4) -> Formula:  # noqa: N802
+    """The mean of the last periods up to the end, of fewer where there are fewer."""
+    return _leaf("AVG", field, int(periods))
+
 
+def CAGR(field: str, years: int = 3) -> Formula:  # noqa: N802
+    """Compound growth over the year ends up to the end, over so many intervals or fewer."""
+    return _leaf("CAGR", field, int(years))
 
-def evaluate(formula: Formula, facts: DataFrame) -> DataFrame:
-    """(security_code, report_date, leaves, value, reason) of a formula for every security and period.
 
-    The reason tells why a value is missing: MISSING_INPUT, DIVISION_BY_ZERO or NOT_FINITE.
+FUNCTIONS = {"F": VALUE, "VALUE": VALUE, "TTM": TTM, "YOY": YOY, "QOQ": QOQ, "AVG": AVG, "CAGR": CAGR}
+NAME = re.compile(r"[A-Za-z_\u4e00-\u9fff][A-Za-z0-9_\u4e00-\u9fff]*")
+WORD = re.compile(rf"\s+|\d+(?:\.\d+)?|\*\*|[-+*/(),]|\"[^\"\\]*\"|'[^'\\]*'|{NAME.pattern}")
+
+
+def compiled(text: str, fields: dict[str, Formula] | None = None) -> Formula:
+    """A formula written as text, such as `F("INCOME") / TTM("COST") * 100`; a bare name is the value of a field.
+
+    Nothing but numbers, operators, names, quoted names and the functions above is let through; with fields, nothing but
+    those names.
     """
-    fields = sorted({f for _, f in formula.leaves.values()})
-    own = facts.filter(F.col("field_key").isin(*fields))
-    frames = {
-        "VALUE": lambda: one_per_period(own, [*KEY, "report_date", "value_num"]).withColumnRenamed("value_num", "x"),
-        "TTM": lambda: ttm(own, own).select(*KEY, "report_date", F.col("ttm").alias("x")),
-        "YOY": lambda: yoy(own).select(*KEY, "report_date", F.col("yoy").alias("x")),
-        "AVG": lambda: average(own).select(*KEY, "report_date", F.col("average").alias("x")),
-    }
-    long = None
-    for kind in sorted({k for k, _ in formula.leaves.values()}):
-        part = frames[kind]().select("security_code", "report_date", F.lower(F.concat(F.lit(f"{kind}_"), "field_key")).alias("leaf"), "x")
-        long = part if long is None else long.unionByName(part)
-    names = sorted(formula.leaves)
-    wide = long.groupBy("security_code", "report_date").pivot("leaf", names).agg(F.first("x"))
-    value = formula.column()
+    words, at = [], 0
+    while at < len(text):
+        m = WORD.match(text, at)
+        if not m:
+            raise ValueError(f"not allowed in a formula: {text[at:]!r}")
+        words.append(m[0])
+        at = m.end()
+    words = [w for w in words if w.strip()]
+    known: dict[str, object] = {}
+    for k, w in enumerate(words):
+        if not NAME.fullmatch(w):
+            continue
+        if keyword.iskeyword(w):
+            raise ValueError(f"not allowed in a formula: {w}")
+        called = words[k + 1 : k + 2] == ["("]
+        if fields is not None:
+            if called or w not in fields:
+                raise ValueError(f"unknown in a formula: {w}")
+            known[w] = fields[w]
+        elif called:
+            if w.upper() not in FUNCTIONS:
+                raise ValueError(f"no such function: {w}")
+            words[k] = w.upper()
+        elif words[k - 1 : k] == ["("] and words[k - 2 : k - 1] and words[k - 2] in FUNCTIONS:
+            words[k] = repr(w)  # a function's field may go without quotes
+        else:
+            known[w] = VALUE(w)
+    made = eval(" ".join(words), {"__builtins__": {}, **(FUNCTIONS if fields is None else {})}, known)  # noqa: S307  checked above
+    return made if isinstance(made, Formula) else Formula({}, lambda: F.lit(float(made)))
+
+
+ROW = "struct<report_date:date,value:double,family:string,field_key:string,field_name_cn:string,unit:string,prior_date:date,prior:double,used:int>"
+
+
+def _lanes(facts: DataFrame, fields: list[str]) -> DataFrame:
+    """facts under each asked field: `lane` key where the key is the name in any case, name where the localised name is."""
+    hits = F.array(*[
+        F.when(F.lower("field_key") == f.lower(), F.struct(F.lit(f).alias("asked"), F.lit("key").alias("lane")))
+        .when(F.col("field_name_cn") == f, F.struct(F.lit(f).alias("asked"), F.lit("name").alias("lane"))) for f in fields
+    ])
+    rows = facts.filter(F.col("value_num").isNotNull() & F.col("report_date").isNotNull())
+    rows = rows.select("security_code", "field_key", "field_name_cn", "family", "dataset", "report_date", "value_num", F.coalesce("unit", F.lit("")).alias("unit"),
+        F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h"))
+    return rows.select("*", "h.asked", "h.lane").drop("h")
+
+
+def _streams(leaves: dict[str, tuple], facts: DataFrame) -> DataFrame:
+    """(security_code, stream, report_date, row): what each leaf can be as of a date, the latest row up to it."""
+    fields = sorted({f for _, f, _ in leaves.values()})
+    kinds = {k for k, _, _ in leaves.values()}
+    rows = _lanes(facts, fields)
+    own = ["security_code", "asked", "lane"]
+    best = [formula_priority(), F.col("family"), F.col("dataset")]
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def row(value=F.col("value_num"), prior_date=None, prior=None, used=None):  # noqa: B008
+        parts = [F.col("report_date"), value, F.col("family"), F.col("field_key"), F.col("field_name_cn"), F.col("unit"),
+            none("date") if prior_date is None else prior_date, none("double") if prior is None else prior, none("int") if used is None else used]
+        return F.struct(*parts).cast(ROW).alias("row")
+
+    out = []
+    if kinds & {"VALUE", "YOY", "QOQ"}:
+        one = first_by(rows, ["security_code", "asked", "lane", "field_key", "family", "report_date"], [F.col("dataset")])
+        before = Window.partitionBy("security_code", "asked", "lane", "field_key", "family").orderBy("report_date")
+        one = one.withColumns({"pd": F.lag("report_date").over(before), "pv": F.lag("value_num").over(before)})
+        picked = first_by(one, [*own, "report_date"], [*best, F.col("field_key")])
+        out.append(picked.select("security_code", F.concat_ws(":", F.lit("VALUE"), "asked", "lane").alias("stream"), "report_date", row(prior_date=F.col("pd"), prior=F.col("pv"))))
+    if kinds & {"AVG", "CAGR"}:
+        one = first_by(rows.drop("lane"), ["security_code", "asked", "report_date"], [*best, F.col("field_key")])
+        for kind, field, n in {v for v in leaves.values() if v[0] in ("AVG", "CAGR")}:
+            mine = one.filter(F.col("asked") == field)
+            if kind == "CAGR":
+                mine = mine.filter((F.month("report_date") == 12) & (F.dayofmonth("report_date") == 31))
+            last = Window.partitionBy("security_code").orderBy("report_date").rowsBetween(-(n - 1) if kind == "AVG" else -n, 0)
+            first, used = F.first("value_num").over(last), F.count(F.lit(1)).over(last).cast("int")
+            fine = (used > 1) & (first > 0) & (F.col("value_num") > 0)
+            growth = F.when(fine, F.pow(F.col("value_num") / first, 1 / (used - 1)) - 1)
+            value = F.avg("value_num").over(last) if kind == "AVG" else growth
+            out.append(mine.select("security_code", F.lit(f"{kind}:{field}:{n}").alias("stream"), "report_date", row(value, F.first("report_date").over(last), first, used)))
+    if "TTM" in kinds:
+        # the key or else the name decides which field is meant, whatever its family and date
+        meant = rows.groupBy("security_code", "asked").agg(F.min(F.struct("lane", "field_key")).alias("m")).select("security_code", "asked", F.col("m.field_key").alias("field_key"))
+        found = ttm_components(facts, facts).join(meant, ["security_code", "field_key"])
+        names = rows.groupBy("security_code", "field_key").agg(F.min("field_name_cn").alias("field_name_cn"), F.min("unit").alias("unit"))
+        found = found.join(names, ["security_code", "field_key"]).withColumn("family", F.col("method"))
+        out.append(found.select("security_code", F.concat_ws(":", F.lit("TTM"), "asked").alias("stream"), "report_date", row(F.col("ttm"), used=F.size("components"))))
+    long = out[0]
+    for x in out[1:]:
+        long = long.unionByName(x)
+    return long
+
+
+def evaluate(formula: Formula | str, facts: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """(security_code, report_date, leaves, value, reason, trace) of a formula as of every end (security_code, report_date).
+
+    Without ends, every period of a security for which its fields have a fact is one. All leaves at all ends, shifted or
+    not, are found by one union of rows and questions and a running last; no range join. The reason tells why a value is
+    missing: MISSING_INPUT, DIVISION_BY_ZERO or NOT_FINITE. The trace has, for each leaf in order, its function, field, date,
+    value, family (of TTM the method), the earlier date and value that it was set against, and how many periods it took.
+    """
+    formula = compiled(formula) if isinstance(formula, str) else formula
+    fields = [f for _, f, _ in formula.leaves.values()]
+    own = facts.filter(F.lower("field_key").isin(*[f.lower() for f in fields]) | F.col("field_name_cn").isin(*fields))
+    if ends is None:
+        ends = own.filter("value_num is not null and report_date is not null")
+    ends = ends.select("security_code", F.col("report_date").cast("date").alias("report_date")).distinct()
+    asked = []
+
+    def ask(leaf: str, stream: str, part: str, date: Column) -> None:
+        asked.append(F.struct(F.lit(f"{leaf}|{part}").alias("part"), F.lit(stream).alias("stream"), date.alias("date")))
+
+    end = F.col("report_date")
+    for leaf, (kind, field, argument) in formula.leaves.items():
+        if kind in ("AVG", "CAGR"):
+            ask(leaf, f"{kind}:{field}:{argument}", "now", end)
+        elif kind == "TTM":
+            ask(leaf, f"TTM:{field}", "now", end)
+        else:
+            now = F.lit(argument).cast("date") if kind == "VALUE" and argument is not None else end
+            for lane in ("key", "name"):
+                ask(leaf, f"VALUE:{field}:{lane}", lane, now)
+                if kind == "YOY":
+                    ask(leaf, f"VALUE:{field}:{lane}", f"{lane}_before", F.add_months(end, -12))
+    if not asked:
+        return ends.select("*", formula.column().alias("value"), F.lit(None).cast("string").alias("reason"), F.array().cast(TRACE).alias("trace"))
+    marks = ends.select("security_code", end.alias("end"), F.explode(F.array(*asked)).alias("a"))
+    marks = marks.select("security_code", F.col("a.stream").alias("stream"), F.col("a.date").alias("report_date"), F.lit(None).cast(ROW).alias("row"), "end", F.col("a.part").alias("part"))
+    rows = _streams(formula.leaves, own).select("*", F.lit(None).cast("date").alias("end"), F.lit(None).cast("string").alias("part"))
+    upto = Window.partitionBy("security_code", "stream").orderBy("report_date").rangeBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks).withColumn("found", F.last("row", ignorenulls=True).over(upto))
+    found = both.filter(F.col("part").isNotNull() & F.col("found").isNotNull())
+    parts = [f"{leaf}|{p}" for leaf, (kind, *_) in formula.leaves.items() for p in (("now",) if kind in ("AVG", "CAGR", "TTM") else ("key", "name", *(("key_before", "name_before") if kind == "YOY" else ())))]
+    wide = found.groupBy("security_code", "end").pivot("part", parts).agg(F.first("found"))
+    wide = ends.join(wide.withColumnRenamed("end", "report_date"), ["security_code", "report_date"], "left")
+    values, traces = {}, []
+    for leaf, (kind, field, _) in formula.leaves.items():
+        c = lambda p, leaf=leaf: F.col(f"`{leaf}|{p}`")
+        before = (None, None)
+        if kind in ("AVG", "CAGR"):
+            row, value, before = c("now"), c("now")["value"], (c("now")["prior_date"], c("now")["prior"])
+        elif kind == "TTM":
+            row = F.when(c("now")["report_date"] == F.col("report_date"), c("now"))
+            value = row["value"]
+        else:
+            row = F.coalesce(c("key"), c("name"))
+            value = row["value"]
+            if kind == "YOY":
+                past = F.coalesce(c("key_before"), c("name_before"))
+                value, before = F.try_divide(value, past["value"]) - 1, (past["report_date"], past["value"])
+            elif kind == "QOQ":
+                value, before = F.try_divide(value, row["prior"]) - 1, (row["prior_date"], row["prior"])
+        values[leaf] = value
+        traces.append(F.struct(F.lit(kind).alias("function"), F.coalesce(row["field_key"], F.lit(field)).alias("field_key"), row["field_name_cn"].alias("field_name_cn"),
+            row["report_date"].alias("report_date"), value.alias("value"), row["unit"].alias("unit"), row["family"].alias("family"),
+            (F.lit(None).cast("date") if before[0] is None else before[0]).alias("prior_date"),
+            (F.lit(None).cast("double") if before[1] is None else before[1]).alias("prior"), row["used"].alias("periods")))
+    out = wide.select("security_code", "report_date", *[v.alias(k) for k, v in values.items()], F.array(*traces).cast(TRACE).alias("trace"))
     missing = F.lit(False)
-    for n in names:
-        missing = missing | F.col(n).isNull()
+    for n in formula.leaves:
+        missing = missing | F.col(f"`{n}`").isNull()
     finite = ~F.isnan("value") & (F.abs("value") < math.inf)
     reason = F.when(missing, "MISSING_INPUT").when(F.col("value").isNull(), "DIVISION_BY_ZERO").when(~finite, "NOT_FINITE")
-    return wide.withColumn("value", value).withColumn("reason", reason).withColumn("value", F.when(F.col("reason").isNull(), F.col("value")))
+    out = out.withColumn("value", formula.column()).withColumn("reason", reason)
+    return out.withColumn("value", F.when(F.col("reason").isNull(), F.col("value"))).select("security_code", "report_date", *[f"`{n}`" for n in formula.leaves], "value", "reason", "trace")
+
+
+TRACE = (
+    "array<struct<function:string,field_key:string,field_name_cn:string,report_date:date,value:double,unit:string,family:string,"
+    "prior_date:date,prior:double,periods:int>>"
+)

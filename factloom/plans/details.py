@@ -11,6 +11,7 @@ from factloom.operators import point_in_time as pit
 from factloom.operators import reconcile as rec
 from factloom.operators import research, search
 from factloom.operators import timeseries as ts
+from factloom.plans.timeseries import TWELVE
 from factloom.sources import facts as src
 from factloom.sources import sinks
 
@@ -75,19 +76,17 @@ def agg8_gaps(spark, d):
         F.lit(None).cast("string").alias("status")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("win5_components", src.sql("""k AS (SELECT *, year(report_date) * 4 + quarter(report_date) AS k FROM facts_cum), a AS (SELECT security_code, field_key,
-    report_date, value_num, quarter(report_date) AS q, k FROM k)
-SELECT a.security_code, a.field_key, a.report_date, CASE WHEN a.q = 4 THEN 'current_fy' ELSE 'add_previous_fy,subtract_previous_same,add_current_cumulative' END AS roles,
-  round(CASE WHEN a.q = 4 THEN a.value_num ELSE y.value_num - s.value_num + a.value_num END, 4) AS total, CASE WHEN a.q = 4 THEN a.report_date ELSE y.report_date END AS first_date
-FROM a LEFT JOIN a y ON y.security_code = a.security_code AND y.field_key = a.field_key AND a.q < 4 AND y.k = a.k - a.q LEFT
-    JOIN a s ON s.security_code = a.security_code AND s.field_key = a.field_key AND s.k = a.k - 4
-WHERE a.q = 4 OR y.value_num - s.value_num IS NOT NULL"""))
+@query("win5_components", src.sql(TWELVE + """SELECT security_code, field_key, report_date, round(coalesce(q.ttm, c.ttm), 4) AS total,
+  CASE WHEN q.ttm IS NOT NULL THEN 'add,add,add,add' WHEN month(report_date) = 12 THEN 'current_fy' ELSE 'add_previous_fy,subtract_previous_same,add_current_cumulative' END AS roles,
+  CASE WHEN q.ttm IS NULL THEN coalesce(c.prior_year_date, report_date) END AS first_date
+FROM four q FULL JOIN cum c USING (security_code, field_key, report_date)"""))
 def win5_components(spark, d):
-    rows = src.facts_cum(spark, d)
+    rows = src.everything(spark, d)
     found = ts.ttm_components(rows, rows)
     total = F.aggregate("components", F.lit(0.0), lambda a, x: a + F.when(x["role"] == "subtract_previous_same", -x["value"]).otherwise(x["value"]))
+    first = F.when(F.col("method") != "FOUR_INDEPENDENT_QUARTERS", F.get("components", 0)["report_date"])
     return found.select("security_code", "field_key", "report_date", F.array_join(F.transform("components", lambda x: x["role"]), ",").alias("roles"),
-        F.round(total, 4).alias("total"), F.get("components", 0)["report_date"].alias("first_date"))
+        F.round(total, 4).alias("total"), first.alias("first_date"))
 
 
 @query("fin7_debt_proxy",

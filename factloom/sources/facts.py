@@ -15,6 +15,7 @@ QUARTER_FAMILY = "RPT_F10_FINANCE_GINCOMEQC"
 CUMULATIVE_FAMILY = "RPT_F10_FINANCE_GINCOME"
 POINT_FAMILY = "RPT_F10_FINANCE_GBALANCE"
 DECOY_FAMILY = "RPT_F10_FINANCE_DUPONT"
+OTHER_FAMILIES = ["RPT_F10_FINANCE_QGRATIO", "RPT_F10_QTR_MAINFINADATA", "RPT_F10_FINANCE_GRATIO"]
 FIELDS = {"REVENUE": "Operating revenue", "COST": "Operating cost", "QTY": "Quantity sold"}
 
 COLUMNS = [
@@ -105,8 +106,19 @@ def facts_restated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def facts_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threefold quarters in three families that neither add up to a year nor run through one."""
+    rows = facts_quarter(spark, sf_dir).drop("family").withColumn("value_num", F.col("value_num") * 3)
+    return rows.withColumn("family", F.explode(F.array(*map(F.lit, OTHER_FAMILIES)))).select(*COLUMNS)
+
+
+def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """facts and facts_other."""
+    return facts(spark, sf_dir).unionByName(facts_other(spark, sf_dir))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of them but the restatements."""
+    """All of them but the restatements and the other families."""
     each = [f(spark, sf_dir) for f in (facts_quarter, facts_cum, facts_point, facts_decoy)]
     out = each[0]
     for x in each[1:]:
@@ -145,7 +157,8 @@ facts_restated AS (
                     CAST(CAST(CAST(value_text AS DECIMAL(18,4)) * CAST('1.01' AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS DOUBLE) AS value_num,
                     CAST(available_at + 90 AS DATE) AS available_at)
   FROM facts_cum WHERE (CAST(security_code AS BIGINT) * 31 + year(report_date) * 4 + quarter(report_date)) % 7 = 0),
-facts AS (SELECT * FROM facts_quarter UNION ALL SELECT * FROM facts_cum UNION ALL SELECT * FROM facts_point UNION ALL SELECT * FROM facts_decoy)"""
+facts AS (SELECT * FROM facts_quarter UNION ALL SELECT * FROM facts_cum UNION ALL SELECT * FROM facts_point UNION ALL SELECT * FROM facts_decoy),
+everything AS (SELECT * FROM facts UNION ALL SELECT * EXCLUDE (o) REPLACE (o AS family, value_num * 3 AS value_num) FROM facts_quarter, (SELECT unnest({OTHER_FAMILIES}) AS o))"""
 
 
 def sql(body: str) -> str:

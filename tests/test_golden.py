@@ -27,7 +27,7 @@ def test_four_quarters_sum_up(spark):
     (found,) = timeseries.ttm(rows, rows).collect()
     assert (found.ttm, found.method, found.report_date) == (100.0, "FOUR_INDEPENDENT_QUARTERS", D(2026, 3, 31))
     gap = facts(spark, [fact("R", d, 1.0) for d in (D(2024, 12, 31), D(2025, 6, 30), D(2025, 9, 30), D(2025, 12, 31))])
-    assert timeseries.ttm_quarters(gap).count() == 0 and timeseries.ttm_quarters(gap, strict=False).count() == 1
+    assert timeseries.ttm_quarters(gap, strict=True).count() == 0 and timeseries.ttm_quarters(gap).count() == 1
 
 
 def test_formula_prefers_the_statement(spark):
