@@ -158,25 +158,95 @@ def row_unit(row: Column) -> Column:
     return F.when(t.rlike(r"[（(](?:人民币)?元[/／]股[）)]"), "元/股").otherwise(F.coalesce(page_unit(row), own))
 
 
-def _windows(lines: DataFrame, keep: list[str], order: list[str], most: int) -> DataFrame:
-    """A row for each run of 1 to `most` lines that follow one another in a document: keep, size, text."""
-    following = Window.partitionBy("document_id").orderBy(*order)
-    ahead = lines.withColumns({f"d__{k}": F.lead("line", k).over(following) for k in range(1, most)})
-    upto = lambda k: F.concat_ws(" ", "line", *[f"d__{j}" for j in range(1, k + 1)])
-    windows = [F.struct(F.lit(k + 1).alias("size"), upto(k).alias("text")) for k in range(most)]
-    return ahead.select(*keep, F.explode(F.array(*windows)).alias("w")).select(*keep, "w.*")
+# What stands in a row besides its label: numbers, and how notes are referred to.
+ANY_NUMBER = r"(?:[-−]?\(\s*\d+(?:[,，]\d{3})*(?:\.\d+)?\s*\)|[-−]?\d+(?:[,，]\d{3})*(?:\.\d+)?)"
+NOTE_REFERENCE = r"[一二三四五六七八九十百]+(?:[（(]\d+(?:[-—]\d+)?[）)])+(?:[（(][A-Za-z][）)])?"
 
 
-def _labelled(rows: DataFrame, targets: DataFrame, condition: Column) -> DataFrame:
-    """Rows (text) joined to the targets (label) that they begin with, and the amount `a` after the label where there is one.
+def label_context(row: Column) -> Column:
+    """What is left of a row without numbers, references to notes, slashes, dashes and per cent."""
+    t = F.regexp_replace(F.regexp_replace(row, NOTE_REFERENCE, " "), ANY_NUMBER, " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"[（(][A-Za-z][）)]", " "), r"(^|\s)[一二三四五六七八九十百]+(?=\s|$)", " ")
+    t = F.regexp_replace(F.translate(F.regexp_replace(t, r"[/／]+", " "), "—–-%", "    "), r"[一二三四五六七八九十百]+$", " ")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
 
-    An equi-join on the beginnings of a text, of the lengths that labels have: as many as the longest label has characters.
+
+def _label(row: Column) -> Column:
+    return F.lower(plain_label(label_context(row)))
+
+
+def _is_label(label: Column, alias: Column) -> Column:
+    """Whether a row's label is the alias, or the alias and a bracket."""
+    after = F.substr(label, F.length(alias) + 1, F.lit(1))
+    return (label == alias) | F.startswith(label, alias) & after.isin("（", "(")
+
+
+def scored(lines: DataFrame, targets: DataFrame, within: Column, width: int = 3, summary_width: int = 6) -> DataFrame:
+    """The best amount for each target (statement, field_key) on each page: its score, context and where it stood.
+
+    lines: document_id, page, line_no, line, and what `within`, the condition on a line and a target, needs. targets:
+    field_key, label, statement, summary, semantics. Windows of one to `width` lines of a page (summary_width for a summary's
+    own rows) are asked for their label: what is left of them without numbers and references to notes. A target whose label
+    that is, or opens it before a bracket, takes an amount from one of the window's lines, or from what stands between its
+    label and the next label of any target. An amount in the label's line scores highest, then one between the parts of a label,
+    one before it and one after it; exact labels and short windows score more. Ties go to the earlier window and longer label.
+
+    Labels are matched by an equi-join on the window's label and its beginnings before brackets, so a page costs its lines times
+    summary_width, however many targets there are.
     """
-    sizes = sorted(r[0] for r in targets.select(F.length("label")).distinct().collect() if r[0])
-    begins = F.array(*[F.when(F.length("text") >= n, F.lower(F.substring("text", 1, n))) for n in sizes] or [F.lit(None).cast("string")])
-    starts = rows.withColumn("d__s", F.explode(F.array_distinct(F.array_compact(begins))))
-    matched = starts.join(targets, (F.col("d__s") == F.lower("label")) & condition).drop("d__s")
-    return matched.withColumn("a", chosen(F.substr("text", F.length("label") + 1))).filter("a.value is not null")
+    most = max(width, summary_width)
+    carried = [c for c in lines.columns if c not in ("line_no", "line")]
+    following = Window.partitionBy("document_id", "page").orderBy("line_no").rowsBetween(0, most - 1)
+    row = F.struct("line_no", "line", _label(F.col("line")).alias("label"))
+    starts = lines.withColumn("d__r", row).withColumn("d__all", F.collect_list("d__r").over(following)).drop("d__r", "line", "line_no")
+    windows = starts.withColumn("w", F.explode(F.sequence(F.lit(1), F.size("d__all")))).withColumn("d__part", F.slice("d__all", F.lit(1), F.col("w"))).drop("d__all")
+    windows = windows.withColumn("context", F.array_join(F.transform("d__part", lambda x: x["line"]), " "))
+    windows = windows.withColumn("d__l", _label(F.col("context"))).filter("d__l != ''").withColumn("start", F.get("d__part", 0)["line_no"])
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("d__l"), F.lit(1))), lambda i: F.substring(F.col("d__l"), i, F.lit(1)).isin("（", "("))
+    begins = F.when(F.col("d__l").rlike("[（(]"), F.transform(at, lambda i: F.substring(F.col("d__l"), F.lit(1), i - 1))).otherwise(F.array().cast("array<string>"))
+    keyed = windows.withColumn("d__k", F.explode(F.array_distinct(F.concat(F.array("d__l"), begins))))
+    named = targets.select("field_key", "label", F.col("statement").alias("d__of"), "summary", "semantics", F.lower(plain_label(F.col("label"))).alias("d__a")).filter("d__a != ''")
+    fits = F.col("w") <= F.when(F.col("summary"), summary_width).otherwise(width)
+    matched = keyed.join(named, (F.col("d__k") == F.col("d__a")) & fits & within).drop("d__k")
+    # a window's longest label of a target is its label
+    rest = [c for c in matched.columns if c not in ("document_id", "page", "start", "w", "d__of", "field_key")]
+    longest = F.max_by(F.struct(*rest), F.struct(F.length("label"), "label"))
+    one = matched.groupBy("document_id", "page", "start", "w", "d__of", "field_key").agg(longest.alias("d__x")).select(
+        "document_id", "page", "start", "w", "d__of", "field_key", *[F.col(f"d__x.{c}").alias(c) for c in rest])
+    others = targets.filter("statement != 'summary'").agg(F.collect_set(F.lower(compact(F.col("label")))).alias("d__others"))
+    one = one.crossJoin(others)  # one row, of the targets' labels
+    packed, own = F.lower(F.translate(compact(F.col("context")), "，", ",")), F.lower(compact(F.col("label")))
+    one = one.withColumns({"d__c": packed, "d__own": own}).withColumn("d__s", F.call_function("locate", F.col("d__own"), F.col("d__c")))
+    value_at = F.col("d__s") + F.length("d__own")
+    nexts = F.transform(F.array_remove("d__others", F.col("d__own")), lambda x: F.nullif(F.call_function("locate", x, F.col("d__c"), value_at), F.lit(0)))
+    one = one.withColumn("d__n", F.when(F.col("d__s") > 0, F.array_min(nexts)))
+    segment = F.substr(F.translate(compact(F.col("context")), "，", ","), value_at, F.col("d__n") - value_at)
+    one = one.withColumn("d__segment", F.when(F.col("d__n").isNotNull(), segment))
+    index = lambda test: F.filter(F.transform("d__part", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+    one = one.withColumns({
+        "d__in": index(lambda x: _is_label(x["label"], F.col("d__a"))),
+        "d__text": index(lambda x: ~x["line"].rlike(ANY_NUMBER)),
+        "d__base": F.when(F.col("d__l") == F.col("d__a"), 40).otherwise(20) + F.greatest(F.lit(0), 40 - 10 * F.col("w")),
+    })
+    first, last = F.array_min("d__in"), F.array_max("d__in")
+
+    def relation(i: Column) -> Column:
+        labelled = F.when(F.array_contains("d__in", i), 500).when(i < first, 460 - 10 * (first - i)).when((i > first) & (i < last), 450).otherwise(340 - 10 * (i - last))
+        parts = F.when((i > F.array_min("d__text")) & (i < F.array_max("d__text")), 455).otherwise(380)
+        return F.when(F.size("d__in") > 0, labelled).otherwise(parts)
+
+    def candidate(x: Column, i: Column) -> Column:
+        source = F.coalesce(F.col("d__segment"), x["line"])
+        of_summary = summary_amount(source, F.col("report_kind") if "report_kind" in lines.columns else F.lit(""), F.coalesce("semantics", F.lit("flow")))
+        amount = F.when(F.col("summary"), F.coalesce(of_summary, chosen(source))).otherwise(chosen(source))
+        return F.struct((-(relation(i) + F.col("d__base"))).alias("score"), i.alias("i"), amount["value"].alias("value"), amount["raw"].alias("raw"))
+
+    found = one.withColumn("d__best", F.array_min(F.filter(F.transform("d__part", candidate), lambda c: c["value"].isNotNull()))).filter("d__best is not null")
+    keep = [c for c in carried if c not in ("document_id", "page")]
+    best = F.struct(F.col("d__best.score").alias("score"), "start", (-F.length("label")).alias("length"), "w", F.col("d__best.value").alias("value"),
+        F.col("d__best.raw").alias("raw"), "label", "context", *keep)
+    out = found.groupBy("document_id", "page", F.col("d__of").alias("statement_type"), "field_key").agg(F.min(best).alias("b"))
+    return out.select("document_id", "page", "statement_type", "field_key", *[F.col(f"b.{c}") for c in ("start", "w", "value", "raw", "label", "context", *keep)], (-F.col("b.score")).alias("score"))
 
 
 def _scaled(out: DataFrame, keep: list[str]) -> DataFrame:
@@ -187,46 +257,56 @@ def _scaled(out: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, (F.col("value") * scale).alias("value"), "unit", tolerance.alias("tolerance"))
 
 
+def _asked(targets: DataFrame) -> DataFrame:
+    more = {"statement": F.lit(""), "summary": F.lit(False), "semantics": F.lit("flow")}
+    return targets.withColumns({c: v for c, v in more.items() if c not in targets.columns})
+
+
 def extracted(texts: DataFrame, targets: DataFrame, width: int = 3, summary_width: int = 6) -> DataFrame:
-    """Values of labelled lines: (document_id, field_key, value, unit, tolerance), the best line for each.
+    """Values of labelled rows: (document_id, field_key, value, unit, tolerance), the best that scored() finds in each text.
 
-    Windows of one to `width` lines that aren't blank start at each line, of up to `summary_width` for targets that a
-    column `summary` marks; one that begins with a target's label and holds an amount counts. Shorter windows and
-    earlier lines win. The value is scaled by the unit of the row, else of the page; the tolerance is half its last digit.
+    texts: document_id, text, and report_kind (q3 for reports of third quarters) where it is known. The value is scaled by the
+    unit of the row, else of the page; the tolerance is half its last digit. No amounts, no row.
     """
-    if "summary" not in targets.columns:
-        targets = targets.withColumn("summary", F.lit(False))
     split = F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line")
-    lines = texts.select("document_id", page_unit(F.col("text")).alias("page_unit"), split).withColumn("line", _spaced("line")).filter("line != ''")
-    rows = _windows(lines, ["document_id", "page_unit", "line_no"], ["line_no"], max(width, summary_width))
-    found = _labelled(rows, targets, F.col("size") <= F.when(F.col("summary"), summary_width).otherwise(width))
-    unit = F.coalesce(row_unit(F.col("text")), F.col("page_unit"), F.lit("元"))
-    best = F.struct(F.col("size"), F.col("line_no"), F.col("a.value").alias("value"), F.col("a.raw").alias("raw"), unit.alias("unit"))
-    out = found.groupBy("document_id", "field_key").agg(F.min(best).alias("b")).select("document_id", "field_key", "b.*")
-    return _scaled(out, ["document_id", "field_key"])
+    kind = ["report_kind"] if "report_kind" in texts.columns else []
+    lines = texts.select("document_id", *kind, F.lit(1).alias("page"), page_unit(F.col("text")).alias("page_unit"), split).withColumn("line", _spaced("line")).filter("line != ''")
+    found = scored(lines, _asked(targets), F.lit(True), width, summary_width)
+    unit = F.coalesce(row_unit(F.col("context")), F.col("page_unit"), F.lit("元"))
+    return _scaled(found.withColumn("unit", unit), ["document_id", "field_key"])
 
 
 def _spaced(line: str) -> Column:
     return F.trim(F.regexp_replace(F.col(line), r"[\s\u00a0\u3000]+", " "))
 
 
-def statement_values(lines: DataFrame, targets: DataFrame, width: int = 3) -> DataFrame:
-    """Values of labelled lines within the statement that a target belongs to, the best for each document, statement and field.
+def statement_values(lines: DataFrame, targets: DataFrame, width: int = 3, summary_width: int = 6) -> DataFrame:
+    """Values of labelled rows within the consolidated statement that a target belongs to, one for each document, statement and field.
 
-    lines: document_id, page, line_no, line; targets: field_key, label, statement. Consolidated statements score above a
-    parent company's, then shorter windows and earlier lines win. Units are the row's, else the last that was stated.
+    lines: document_id, page, line_no, line, and source and report_kind where they are known; targets: field_key, label,
+    statement, summary, semantics. A target of statement `summary` is looked for on every page, one that a summary states
+    itself also on the first five pages if they hold key figures. A parent company's statements have no values. Pages of
+    consolidated statements score above others, then the earlier page; on a page, scored() decides. Units are the row's, else
+    the last that was stated. Values have the sign that their field is shown with.
     """
-    stated = F.last(page_unit(F.col("line")), ignorenulls=True).over(
-        Window.partitionBy("document_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0))
-    within = in_statements(lines.withColumns({"line": _spaced("line"), "page_unit": stated}).filter("line != ''")).filter("statement is not null")
-    keep = ["document_id", "page", "line_no", "page_unit", "statement", "scope"]
-    rows = _windows(within, keep, ["page", "line_no"], width).withColumnRenamed("statement", "d__in")
-    found = _labelled(rows, targets, F.col("d__in") == F.col("statement"))
-    unit = F.coalesce(row_unit(F.col("text")), F.col("page_unit"), F.lit("元"))
-    score = F.when(F.col("scope") == "consolidated", 75).otherwise(60)
-    best = F.struct((-score).alias("s"), "size", "page", "line_no", F.col("a.value").alias("value"), F.col("a.raw").alias("raw"), unit.alias("unit"), "scope")
-    out = found.groupBy("document_id", "statement", "field_key").agg(F.min(best).alias("b")).select("document_id", "statement", "field_key", "b.*")
-    return _scaled(out, ["document_id", "statement", "field_key", "scope", "page"])
+    order = Window.partitionBy("document_id").orderBy("page", "line_no")
+    page = Window.partitionBy("document_id", "page")
+    stated = F.last(page_unit(F.col("line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    marked = in_statements(lines.withColumns({"line": _spaced("line"), "page_unit": stated}).filter("line != ''"))
+    key_figures = F.max(F.contains(compact(F.col("line")), F.lit("主要财务数据"))).over(page) & (F.col("page") <= 5)
+    rows = marked.withColumn("key_figures", key_figures)
+    summary = F.col("d__of") == "summary"
+    within = summary | (F.col("statement") == F.col("d__of")) & (F.col("scope") != "parent") | F.col("key_figures") & F.col("summary")
+    found = scored(rows, _asked(targets), within, width, summary_width)
+    rank = F.when(F.col("scope") == "consolidated", 75).otherwise(60)
+    columns = [c for c in found.columns if c not in ("document_id", "statement_type", "field_key")]
+    best = F.min_by(F.struct(*columns), F.struct(-rank, "page", -F.col("score")))
+    one = found.groupBy("document_id", "statement_type", "field_key").agg(best.alias("b")).select("document_id", F.col("statement_type"), "field_key", *[F.col(f"b.{c}") for c in columns])
+    unit = F.coalesce(row_unit(F.col("context")), F.col("page_unit"), F.lit("元"))
+    source = F.col("source") if "source" in lines.columns else F.lit("")
+    out = one.withColumns({"unit": unit, "value": signed(F.col("field_key"), F.col("value"), source), "scope": F.coalesce("scope", F.lit("consolidated"))})
+    out = out.drop("statement").withColumnRenamed("statement_type", "statement")
+    return _scaled(out, ["document_id", "statement", "field_key", "scope", "page", "label", "context", "score"])
 
 
 # Headings of statements, and of tables that end one.

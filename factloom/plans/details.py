@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from factloom.functions import targets
 from factloom.operators import documents as doc
 from factloom.operators import point_in_time as pit
 from factloom.operators import reconcile as rec
@@ -139,21 +140,33 @@ def jon2(spark, d):
     return rec.classified(rows, entries).select("security_code", "family", "report_date", "field_key", "mode", "method")
 
 
-@query("doc9_statement_values",
-    """WITH l AS (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN '营业收入' WHEN '2-HIGH' THEN '货币资金' END AS label, o_orderstatus AS s,
-  o_orderkey AS k, o_orderkey + 100 AS v FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
-t AS (SELECT *, CASE label WHEN '营业收入' THEN 'income_statement' ELSE 'balance_sheet' END AS statement, row_number() OVER (PARTITION BY o_custkey, label ORDER BY s = 'F', k) AS n FROM l)
-SELECT o_custkey AS document_id, statement, CASE label WHEN '营业收入' THEN 'OPERATE_INCOME' ELSE 'MONETARYFUNDS' END AS field_key, CASE WHEN s = 'F' THEN 'parent'
-    ELSE 'consolidated' END AS scope,
-  v * 10000.0::DOUBLE AS value, '万元' AS unit, 5000.0::DOUBLE AS tolerance FROM t WHERE n = 1""")
+# Every order is a page of its customer's report. Labels stand before, after and around their amounts, with references to notes.
+LABELS = [("1-URGENT", "营业收入", "OPERATE_INCOME", "income_statement"), ("2-HIGH", "货币资金", "MONETARYFUNDS", "balance_sheet"),
+    ("3-MEDIUM", "商誉", "GOODWILL", "balance_sheet"), ("4-NOT SPECIFIED", "营业成本", "OPERATE_COST", "income_statement"),
+    ("5-LOW", "经营活动产生的现金流量净额", "NETCASH_OPERATE", "cash_flow")]
+
+
+@query("doc9_statement_values", f"""WITH l AS (SELECT *, o_orderkey + 100 AS v FROM orders JOIN (VALUES {", ".join(map(str, LABELS))}) k(p, label, field_key, statement) ON o_orderpriority = p),
+t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, field_key ORDER BY o_orderkey) AS n FROM l WHERE o_orderstatus <> 'F')
+SELECT o_custkey AS document_id, statement, field_key, 'consolidated' AS scope,
+  CASE WHEN p = '4-NOT SPECIFIED' OR o_orderkey % 2 = 0 THEN v ELSE -v END * 10000.0::DOUBLE AS value, '万元' AS unit, 5000.0::DOUBLE AS tolerance FROM t WHERE n = 1""")
 def doc9_statement_values(spark, d):
-    """Orders of two priorities as four lines each: a heading, the unit, a label, and its amount on the next line."""
-    o = src.table(spark, d, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-    income = F.col("o_orderpriority") == "1-URGENT"
-    head = F.concat(F.when(F.col("o_orderstatus") == "F", "母公司").otherwise("合并"), F.when(income, "利润表").otherwise("资产负债表"))
-    each = F.array(head, F.lit("单位：人民币万元"), F.when(income, "营业收入").otherwise("货币资金"), F.concat_ws(" ", F.col("o_orderkey") + 100, F.lit("7")))
-    key = F.col("o_orderkey").cast("int")
-    lines = o.select(F.col("o_custkey").alias("document_id"), key.alias("page"), F.posexplode(each).alias("line_no", "line"))
-    targets = spark.createDataFrame([("OPERATE_INCOME", "营业收入", "income_statement"), ("MONETARYFUNDS", "货币资金", "balance_sheet")],
-        "field_key string, label string, statement string")
-    return doc.statement_values(lines, targets).select("document_id", "statement", "field_key", "scope", "value", "unit", "tolerance")
+    """Orders as pages of five lines: a heading, the unit, and the label before, after or around its amount."""
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for row in LABELS for x in (row[0], row[k])]), F.col("o_orderpriority"))
+    statement = F.element_at(F.create_map(*[F.lit(x) for kv in (("income_statement", "利润表"), ("balance_sheet", "资产负债表"), ("cash_flow", "现金流量表")) for x in kv]), of(3))
+    o = src.table(spark, d, "orders")
+    head = F.concat(F.when(F.col("o_orderstatus") == "F", "母公司").otherwise("合并"), statement)
+    v = (F.col("o_orderkey") + 100).cast("string")
+    amount = F.concat_ws(" ", F.when(F.col("o_orderkey") % 2 == 0, v).otherwise(F.concat(F.lit("("), v, F.lit(")"))), F.lit("999"))
+    label, note = of(1), F.lit("四(42)")
+    k = F.col("o_orderkey") % 4
+    rows = (
+        F.when(k == 0, F.array(F.concat_ws(" ", note, amount), F.concat(F.lit("一、"), label), F.lit("其他")))
+        .when(k == 1, F.array(F.concat_ws(" ", label, note, amount), F.lit("其他"), F.lit("")))
+        .when(k == 2, F.array(F.concat(F.lit("加："), label, F.lit(" 四")), amount, F.lit("其他")))
+        .otherwise(F.array(F.substr(label, F.lit(1), F.lit(2)), amount, F.substr(label, F.lit(3))))
+    )
+    each = F.concat(F.array(head, F.lit("单位：人民币万元")), rows)
+    lines = o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").cast("int").alias("page"), F.posexplode(each).alias("line_no", "line"))
+    found = doc.statement_values(lines, targets.labels(spark))
+    return found.select("document_id", "statement", "field_key", "scope", "value", "unit", "tolerance")

@@ -302,8 +302,9 @@ def doc10(spark, d):
 def doc9(spark, d):
     rows = src.table(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_totalprice", "o_orderkey").alias("v"))
     k, v = F.col("o_custkey") % 3, F.format_number("v", 2)
-    label = F.when(k == 0, "Grand total").when(k == 1, "Grand total (7)\n").otherwise("Grand total\nof all orders（12）\n \n")
-    text = F.concat_ws("\n", F.lit("Report 2001"), label, F.concat(v, F.lit("  7")), F.lit("Other 5"))
+    label = F.when(k == 0, "Grand total").when(k == 1, "Grand total (7)\n").otherwise(F.lit(None))
+    after = F.when(k == 2, "Grand total（12）\n \n")  # a label after its amount
+    text = F.concat_ws("\n", F.lit("Report 2001"), label, F.concat(v, F.lit("  7")), after, F.lit("Other 5"))
     found = doc.extracted(rows.select(F.col("o_custkey").cast("string").alias("document_id"), text.alias("text")),
         spark.createDataFrame([("grand total", "TOTAL")], "label string, field_key string"))
     return found.select("document_id", "field_key", "value")

