@@ -11,8 +11,8 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 # Phrases of pages that hide their content.
 GATES = {
     "JS_REQUIRED": ["doesn't work properly without javascript", "enable javascript", "javascript is required", "请开启javascript", "请启用javascript"],
-    "CAPTCHA": ["captcha", "验证码", "滑块验证", "人机验证"],
-    "LOGIN": ["login required", "请登录", "登录后", "统一身份认证"],
+    "CAPTCHA_REQUIRED": ["captcha", "验证码", "滑块验证", "人机验证"],
+    "LOGIN_REQUIRED": ["login required", "请登录", "登录后", "统一身份认证"],
 }
 BLOCK = r"(?i)</?(?:p|div|br|li|tr|h[1-4]|section|article)(?:\s[^>]*)?/?>"
 
@@ -61,15 +61,15 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def gate(status: Column, html: Column) -> Column:
-    """Why a stored page has no content: 403, 404, then scripts, captcha and login."""
+    """The access status of a stored page: 403, 404, then gates by scripts, captcha and login, else DOWNLOAD_OK."""
     text = F.lower(F.coalesce(html, F.lit("")))
-    out = F.when(status == 403, "FORBIDDEN").when(status == 404, "NOT_FOUND")
+    out = F.when(status == 403, "HTTP_403").when(status == 404, "HTTP_404")
     for name, words in GATES.items():
         hit = F.lit(False)
         for w in words:
             hit = hit | F.contains(text, F.lit(w))
         out = out.when(hit, name)
-    return out.otherwise("OPEN")
+    return out.otherwise("DOWNLOAD_OK")
 
 
 def domain(url: Column) -> Column:

@@ -11,7 +11,7 @@ from factloom.functions.ontology import MODULES, metric_of
 from factloom.functions.priority import canonical_unit, scaled, source_priority
 from factloom.operators.normalize import plain_text, stable_id
 
-KEY = ["security_code", "metric_id", "report_date", "period_type", "data_semantics", "scope"]
+KEY = ["security_code", "metric_id", "report_date", "event_date", "period_type", "data_semantics", "scope"]
 
 
 def resolved(facts: DataFrame) -> DataFrame:
@@ -63,17 +63,23 @@ def lineage_view(lineage_rows: DataFrame, source_rows: DataFrame, observation_ro
     return both.withColumn("lineage_rank", F.row_number().over(order))
 
 
-def source_facts(facts: DataFrame, cutoff: Column, metrics: DataFrame) -> DataFrame:
-    """Facts known at the cutoff (those of unknown availability pass) with metric, 元 values, priority and id."""
+def source_facts(facts: DataFrame, cutoff: Column, metrics: DataFrame | None = None) -> DataFrame:
+    """Facts known at the cutoff (those of unknown availability pass) with metric, 元 values, priority and id.
+
+    Metrics are the ontology's; with metrics (field_key, metric_id) those, else source.<family>.<key>.
+    """
     known = facts.filter(F.col("available_at").isNull() | (F.col("available_at") <= cutoff))
-    named = known.join(metrics, "field_key", "left")
+    if metrics is None:
+        named = resolved(known)
+    else:
+        own = F.coalesce("metric_id", F.concat_ws(".", F.lit("source"), "family", "field_key"))
+        named = known.drop("metric_id").join(metrics, "field_key", "left").withColumn("metric_id", own)
     out = named.select(
-        "security_code", F.coalesce("metric_id", F.concat_ws(".", F.lit("source"), "family", "field_key")).alias("metric_id"), "report_date", "period_type",
-            "data_semantics", "scope",
-        "source", "source_status", "available_at", "value_text", scaled("value_num", "unit").alias("value_num"), canonical_unit("unit").alias("unit"),
+        "security_code", "metric_id", "report_date", "event_date", "period_type", "data_semantics", "scope", "source", "source_status", "available_at",
+        "value_text", scaled("value_num", "unit").alias("value_num"), canonical_unit("unit").alias("unit"),
         source_priority(F.col("source"), F.col("source_status")).alias("priority"),
-            F.col("source_status").isin("PARSE_SUSPECT", "UNRESOLVED").alias("quarantined"),
-        stable_id("src", *[F.col(c) for c in ("security_code", "source", "family", "dataset", "record_key", "field_key", "period_type", "value_text",
+        F.col("source_status").isin("PARSE_SUSPECT", "UNRESOLVED").alias("quarantined"),
+        stable_id("src", *[F.col(c) for c in ("security_code", "source", "family", "dataset", "record_key", "field_key", "event_date", "period_type", "value_text",
             "unit")]).alias("source_fact_id"),
     )
     return out.dropDuplicates(["source_fact_id"])

@@ -232,8 +232,8 @@ def set_of(text: Column) -> Column:
 
 
 def stable_id(prefix: str, *parts: Column, length: int = 24) -> Column:
-    """prefix and a digest of the parts; a null is told apart from an empty text."""
-    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts])
+    """prefix and a digest of the parts, joined by |; a null part is empty."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(text, 256), 1, length))
 
 

@@ -326,7 +326,7 @@ def matched(facts: DataFrame, official: DataFrame) -> DataFrame:
     exists on the date for another period only: PERIOD_CONFLICT, but not for derived values and metadata.
     """
     best = F.struct((F.col("scope") == "parent").alias("parent"), F.col("statement_type").alias("st"), F.col("document_id").alias("doc"),
-        F.col("value_num").alias("v"), F.col("unit").alias("u"), F.col("precision_tolerance").alias("tol"), _text_of(official).alias("t"))
+        F.col("value_num").alias("v"), F.col("unit").alias("u"), F.col("precision_tolerance").alias("tol"), _text_of(official).alias("t"), F.col("scope").alias("scope"))
     candidate = F.struct(F.col("period_type").alias("p"), F.col("statement_type").alias("s"), "b")
     # one official row a period and statement, the few of a field and date together, so that all three grains are one join
     one = official.groupBy(*GRAIN, "period_type", "statement_type").agg(F.min(best).alias("b"))
@@ -394,25 +394,23 @@ def compared(pairs: DataFrame, official: DataFrame) -> DataFrame:
     return out.withColumns({"status": status, "official_value": b, "difference": a - b}).drop("l__c", "l__d")
 
 
-def official_only(official: DataFrame, rows: DataFrame) -> DataFrame:
-    """Official rows whose field no compared fact has."""
-    return official.join(rows.select(*GRAIN, "period_type"), [*GRAIN, "period_type"], "left_anti")
+IDENTITY = ["security_code", "report_date", "period_type", "statement_type", "scope", "field_key"]
 
 
-def relabelled(rows: DataFrame, lifecycle: DataFrame) -> DataFrame:
-    """Statuses explained by what a period is for its security: (security_code, report_date, state)."""
-    states = lifecycle.select(F.col("security_code").alias("y__c"), F.col("report_date").alias("y__d"), "state")
-    out = rows.join(states, (F.col("security_code") == F.col("y__c")) & (F.col("report_date") == F.col("y__d")), "left")
-    s, gap = F.col("state"), F.col("status").isin("MISSING_OFFICIAL", "OFFICIAL_PERIOD_NOT_LOADED")
-    new = (
-        F.when((s == "PRE_LISTING") & (gap | (F.col("status") == "PERIOD_CONFLICT")), "PRE_LISTING_OFFICIAL_SOURCE_NOT_LOADED")
-        .when((s == "SUMMARY_ONLY") & gap, "OFFICIAL_REPORT_SUMMARY_SCOPE_GAP")
-        .when((s == "PENDING") & (F.col("status") == "OFFICIAL_PERIOD_NOT_LOADED"), "OFFICIAL_REPORT_NOT_YET_DISCLOSED")
-        .when((s == "ZERO_EXTRACTION") & gap, "OFFICIAL_DOCUMENT_EXTRACTION_FAILED")
-        .when((s == "POST_LISTING_MISSING") & gap, "POST_LISTING_OFFICIAL_REPORT_NOT_FOUND")
-        .otherwise(F.col("status"))
-    )
-    return out.withColumn("status", new).drop("y__c", "y__d", "state")
+def official_only(official: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Official rows that no row of matched() is compared with, as MISSING_EASTMONEY.
+
+    A row is known by security, date, period, statement, scope and field; so a parent company's value, or one behind a
+    conflict of scopes, stays where only the consolidated one is compared.
+    """
+    used = pairs.filter(F.col("o").isNotNull()).select("security_code", "report_date", "period_type", F.col("o.st").alias("statement_type"), F.col("o.scope").alias("scope"), "field_key").distinct()
+    names = {c: f"o__{c}" for c in IDENTITY}
+    used = used.withColumnsRenamed(names)
+    on = [F.coalesce(official[c].cast("string"), F.lit("")) == F.coalesce(F.col(n).cast("string"), F.lit("")) for c, n in names.items()]
+    rest = official.join(used, on, "left_anti")
+    identity = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in IDENTITY], F.lit("OFFICIAL_ONLY"))
+    return rest.withColumns({"comparison_key": identity, "status": F.lit("MISSING_EASTMONEY"), "verification_grade": F.lit("E"),
+        "root_cause": F.lit("EASTMONEY_VALUE_MISSING")})
 
 
 def summary(rows: DataFrame) -> DataFrame:

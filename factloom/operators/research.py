@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.priority import formula_priority
+from factloom.functions.priority import formula_priority, looked_up
 from factloom.operators.documents import company_name
+from factloom.operators.normalize import stable_id
 
 # Key order of the sections of a cash-flow statement.
 CASH_FLOW_ENDS = ("NETPROFIT", "CCE_ADDNOTE")
@@ -30,26 +31,40 @@ def united(frames: list[DataFrame], key: str) -> DataFrame:
     return out.withColumn("r__n", F.row_number().over(order)).filter("r__n = 1").drop("r__k", "r__n")
 
 
+# Metrics that profit quality is derived from.
+PARENT, ADJUSTED, OPERATING, CAPEX, RESEARCH, CAPITALIZED = (
+    "financial.parent_net_profit", "profit_quality.adjusted_parent_net_profit", "cashflow.operating_cash_flow", "cashflow.capital_expenditure",
+    "research.rd_investment", "research.capitalized_rd",
+)
+PERIOD_KEY = ["security_code", "report_date", "event_date", "period_type", "scope"]
+
+
 def profit_quality(observations: DataFrame) -> DataFrame:
-    """Derived rows of (security_code, report_date, metric_id, value_num), for each scope too if there is such a column.
+    """Five derived rows for each security, date, event, period and scope that has one of their metrics.
 
     Non-recurring amount and share, cash flow over adjusted profit, simplified free cash flow and the capitalised part of
-    research. What lacks an input or divides by 0 is UNRESOLVED, never 0.
+    research, each with its formula, unit and the ids of its inputs (of observations that have observation_id). What lacks an
+    input or divides by 0 is UNRESOLVED, never 0. Of several observations of one metric the greatest id counts.
     """
-    metrics = ["net_profit", "adjusted_profit", "operating_cash_flow", "capex", "revenue", "rd_investment", "capitalized_rd"]
-    key = ["security_code", "report_date", *(["scope"] if "scope" in observations.columns else [])]
-    wide = observations.groupBy(*key).pivot("metric_id", metrics).agg(F.max("value_num"))
-    c = F.col
-    formulas = {
-        "non_recurring_amount": c("net_profit") - c("adjusted_profit"),
-        "non_recurring_share": F.try_divide(c("net_profit") - c("adjusted_profit"), F.abs("net_profit")) * 100,
-        "cash_to_adjusted_profit": F.try_divide("operating_cash_flow", "adjusted_profit"),
-        "simplified_free_cash_flow": c("operating_cash_flow") - c("capex"),
-        "rd_capitalization_rate": F.try_divide("capitalized_rd", "rd_investment") * 100,
-    }
-    each = [F.struct(F.lit(k).alias("metric_id"), v.alias("value_num")) for k, v in formulas.items()]
-    rows = wide.select(*key, F.explode(F.array(*each)).alias("m")).select(*key, "m.*")
-    return rows.withColumn("status", F.when(F.col("value_num").isNull(), "UNRESOLVED").otherwise("FACT_CALCULATED"))
+    metrics = [PARENT, ADJUSTED, OPERATING, CAPEX, RESEARCH, CAPITALIZED]
+    key = [c for c in PERIOD_KEY if c in observations.columns]
+    has = "observation_id" in observations.columns
+    rows = observations.filter(F.col("metric_id").isin(*metrics)).withColumn("id", F.col("observation_id") if has else F.lit(None).cast("string"))
+    wide = rows.groupBy(*key).pivot("metric_id", metrics).agg(F.max_by(F.struct("value_num", "id"), F.struct("id", "value_num")))
+    v, i = (lambda m: F.col(f"`{m}`.value_num")), (lambda m: F.col(f"`{m}`.id"))
+    gap = v(PARENT) - v(ADJUSTED)
+    formulas = [
+        ("profit_quality.non_recurring_amount_calculated", gap, "元", "parent_net_profit - adjusted_parent_net_profit", (PARENT, ADJUSTED)),
+        ("profit_quality.non_recurring_share", F.try_divide(gap, F.abs(v(PARENT))) * 100, "%",
+            "(parent_net_profit - adjusted_parent_net_profit) / abs(parent_net_profit)", (PARENT, ADJUSTED)),
+        ("profit_quality.cfo_to_adjusted_profit", F.try_divide(v(OPERATING), v(ADJUSTED)), "x", "operating_cash_flow / adjusted_parent_net_profit", (OPERATING, ADJUSTED)),
+        ("profit_quality.simplified_free_cash_flow", v(OPERATING) - v(CAPEX), "元", "operating_cash_flow - capital_expenditure", (OPERATING, CAPEX)),
+        ("profit_quality.rd_capitalization_rate", F.try_divide(v(CAPITALIZED), v(RESEARCH)) * 100, "%", "capitalized_rd / rd_investment", (CAPITALIZED, RESEARCH)),
+    ]
+    each = [F.struct(F.lit(k).alias("metric_id"), x.alias("value_num"), F.lit(u).alias("unit"), F.lit(f).alias("formula"),
+        F.array_compact(F.array(*map(i, of))).alias("input_ids")) for k, x, u, f, of in formulas]
+    out = wide.select(*key, F.explode(F.array(*each)).alias("m")).select(*key, "m.*")
+    return out.withColumn("status", F.when(F.col("value_num").isNull(), "UNRESOLVED").otherwise("FACT_CALCULATED"))
 
 
 def segments(facts: DataFrame, name: str, revenue: str, cost: str) -> DataFrame:
@@ -93,52 +108,86 @@ def entity_matches(mentions: DataFrame, profiles: DataFrame) -> DataFrame:
     return every.groupBy("id").agg(F.min(F.struct("rank", "found", "rule")).alias("b")).select("id", F.col("b.found").alias("security_code"), "b.rule")
 
 
-def listing_dates(facts: DataFrame, keys: list[str], date: Column) -> DataFrame:
-    """The earliest explicit listing date of each security, by the order of families."""
-    rows = facts.filter(F.col("field_key").isin(*keys)).withColumn("listed", date).filter("listed is not null")
-    return rows.groupBy("security_code").agg(F.min_by("listed", F.struct(formula_priority(), "listed")).alias("listed"))
-
-
-def lifecycle(periods: DataFrame, listed: DataFrame, loaded: DataFrame) -> DataFrame:
-    """What each requested period is for its security: before listing, the first after it, expected, missing or still to come."""
-    out = periods.join(listed, "security_code", "left").join(loaded.withColumn("loaded", F.lit(True)), ["security_code", "report_date"], "left")
-    group = Window.partitionBy("security_code")
-    latest = F.max(F.when(F.col("loaded"), F.col("report_date"))).over(group)
-    after = F.col("listed").isNull() | (F.col("report_date") >= F.col("listed"))
-    first = F.min(F.when(after, F.col("report_date"))).over(group)
-    transition = (F.col("report_date") == first) & (F.year("report_date") == F.year("listed"))
-    state = (
-        F.when(~after, "PRE_LISTING").when(F.col("loaded"), F.when(transition, "TRANSITION").otherwise("EXPECTED")).when(F.col("report_date") > latest,
-            "PENDING").otherwise("POST_LISTING_MISSING")
-    )
-    return out.select("security_code", "report_date", state.alias("state"))
+# Metadata of a report with its labels; markets of sources; and for each kind of report its periods, with what
+# the report is called, how its name ends, and whether the period is derived.
+METADATA = {"SECUCODE": "证券代码（含市场）", "SECURITY_CODE": "证券代码", "REPORT_DATE": "报告期", "REPORT_TYPE": "报告类型", "REPORT_DATE_NAME": "报告期名称",
+    "NOTICE_DATE": "公告日期", "PUBLISH_DATE": "发布日期"}
+MARKETS = {"SSE": ".SH", "SZSE": ".SZ", "CNINFO": ".SZ", "BSE": ".BJ"}
+PERIODS = {
+    "annual": [("FY", "年报", "年报", False), ("Q4", "四季度", "四季度", True)],
+    "q1": [("Q1", "一季报", "一季报", False)],
+    "half": [("H1", "中报", "中报", False), ("Q2", "二季度", "二季度", True)],
+    "q3": [("Q3C", "三季报", "三季报", False), ("Q3", "三季度", "三季度", True)],
+}
 
 
-def metadata_facts(documents: DataFrame, variants: DataFrame) -> DataFrame:
-    """A fact for each document, period variant of its kind and metadata key."""
-    rows = documents.join(F.broadcast(variants), "kind")  # a fixed list of variants
-    keys = {"REPORT_DATE": F.col("report_date").cast("string"), "NOTICE_DATE": F.col("available_at").cast("string"), "SECURITY_CODE": F.col("security_code"),
-        "REPORT_TYPE": F.col("period_type")}
-    each = [F.struct(F.lit(k).alias("field_key"), v.alias("value_text")) for k, v in keys.items()]
-    return rows.select("security_code", "report_date", "document_id", "period_type", F.explode(F.array(*each)).alias("m")).select("security_code",
-        "report_date", "document_id", "period_type", "m.*")
+def metadata_facts(documents: DataFrame) -> DataFrame:
+    """A fact for each document, period of its kind and metadata key that has a value.
 
-
-def acceptance(summary: DataFrame, least_coverage: float = 0.5) -> DataFrame:
-    verdict = (
-        F.when(F.col("attempted") == 0, "NO_COMPARISON").when(F.col("conflicts") > 0, "REVIEW").when(F.col("coverage") < least_coverage,
-            "LOW_COVERAGE").otherwise("ACCEPTED")
-    )
-    return summary.withColumn("verdict", verdict)
+    documents: security_code, report_date, publish_date, report_kind, source, title, url. A report of another kind has one
+    period, by its month, and is called by its kind.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    kind, date, published = text("report_kind"), F.substring(text("report_date"), 1, 10), F.substring(text("publish_date"), 1, 10)
+    period = lambda a, b, c, d: F.struct(a.alias("period_type"), b.alias("report_type"), c.alias("suffix"), d.alias("calculated"))
+    known = F.lit(None)
+    for k, own in PERIODS.items():
+        known = F.when(kind == k, F.array(*[period(*map(F.lit, x)) for x in own])).otherwise(known)
+    by_month = looked_up(F.substring(date, 6, 2), {"03": "Q1", "06": "H1", "09": "Q3C", "12": "FY"}, "OTHER")
+    market = looked_up(F.upper(F.coalesce(F.nullif(text("source"), F.lit("")), F.lit("OFFICIAL"))), MARKETS, "")
+    periods = F.coalesce(known, F.array(period(by_month, kind, kind, F.lit(False))))
+    plain = documents.select("report_date", text("security_code").alias("code"), date.alias("date"), published.alias("published"), market.alias("market"), text("title").alias("title"),
+        text("url").alias("url"), periods.alias("periods"))
+    rows = plain.select("*", F.inline("periods")).drop("periods")
+    c = F.col
+    values = {
+        "SECUCODE": F.when(c("code") != "", F.concat("code", "market")), "SECURITY_CODE": c("code"), "REPORT_DATE": c("date"), "REPORT_TYPE": c("report_type"),
+        "REPORT_DATE_NAME": F.concat(F.substring("date", 1, 4), "suffix"), "NOTICE_DATE": c("published"), "PUBLISH_DATE": c("published"),
+    }
+    each = [F.struct(F.lit(k).alias("field_key"), F.lit(METADATA[k]).alias("field_name_cn"), v.alias("value_text")) for k, v in values.items()]
+    out = rows.select("*", F.inline(F.array(*each))).filter("value_text != ''")
+    title, empty = c("title"), F.lit("")
+    return out.select(
+        c("code").alias("security_code"), F.lit("官方披露/报告元数据").alias("theme"), F.lit("OFFICIAL_DISCLOSURE").alias("family"),
+        F.when(title == "", "官方报告").otherwise(title).alias("dataset"),
+        F.concat_ws("|", "code", "date", F.lit("metadata"), "period_type", "field_key").alias("record_key"), "report_date",
+        F.nullif(c("published"), empty).alias("event_date"), "period_type", F.lit("metadata").alias("statement_type"),
+        F.lit("entity").alias("scope"), F.lit("metadata").alias("data_semantics"), "field_key", "field_name_cn",
+        F.lit("PAGE_DISPLAY_FIELD").alias("field_category"), "value_text", F.lit(None).cast("double").alias("value_num"),
+        empty.alias("unit"), empty.alias("normalized_unit"), c("url").alias("source_url"), title.alias("source_document"), F.lit(1).alias("source_page"),
+        F.concat(F.lit("报告元数据："), "field_name_cn", F.lit("="), "value_text").alias("source_row"), F.lit(None).cast("double").alias("precision_tolerance"),
+        F.lit("high").alias("confidence"), F.when(c("calculated"), "FACT_CALCULATED").otherwise("FACT_DIRECT").alias("source_status"),
+    )
+
+
+# Gates that only a person opens, what that person does, and what is at stake.
+PERMISSION = ["HTTP_403", "JS_REQUIRED", "LOGIN_REQUIRED", "CAPTCHA_REQUIRED"]
+ACTION = "Use a compliant browser session or provide an official export once; resume this source only."
+IMPACT = "Official evidence from this source remains unavailable, but the overall task continues."
+NO_MATCH_NOTE = "No exact entity match under the recorded search conditions; no negative fact inferred."
 
 
 def document_status(attempts: DataFrame) -> DataFrame:
-    """Status and next action of a crawl attempt (gate, results, saved)."""
-    blocked = F.col("gate").isin("JS_REQUIRED", "CAPTCHA", "LOGIN", "FORBIDDEN")
-    status = F.when(blocked, "BLOCKED").when(F.col("gate") == "NOT_FOUND", "UNRESOLVED").when(F.col("results") == 0, "NO_MATCH").when(F.col("saved"),
-        "SUCCESS").otherwise("UNRESOLVED")
-    action = F.when(blocked, F.concat(F.lit("MANUAL_"), "gate")).when(status == "UNRESOLVED", "RETRY")
-    return attempts.withColumns({"status": status, "action": action})
+    """Status of a document for each attempt (security_code, source_id, access_status, matched, url, sha256, status_on_success, query, error).
+
+    Without a match of the entity NO_MATCH; behind a gate PERMISSION_BLOCKED with the least that a person must do; not
+    downloaded UNRESOLVED; else the status that a success has. The document's id depends on what was found.
+    """
+    access, matched = F.col("access_status"), F.coalesce("matched", F.lit(True))
+    blocked, fine = access.isin(*PERMISSION), F.coalesce(access == "DOWNLOAD_OK", F.lit(False))
+    status = F.when(~matched, "NO_MATCH").when(blocked, "PERMISSION_BLOCKED").when(~fine, "UNRESOLVED").otherwise(F.col("status_on_success"))
+    found = F.when(~matched, "NO_MATCH").when(fine, F.col("sha256")).otherwise(access)
+    about = F.when(~matched | blocked, F.col("query")).otherwise(F.col("url"))
+    error = F.nullif("error", F.lit(""))
+    notes = (
+        F.when(~matched, NO_MATCH_NOTE).when(blocked, F.coalesce(error, F.lit("Permission or dynamic access gate detected; no automatic retry in this run.")))
+        .when(~fine, F.coalesce(error, F.lit("Download did not complete."))).otherwise("")
+    )
+    return attempts.withColumns({
+        "document_id": stable_id("doc", F.col("security_code"), F.col("source_id"), about, found, length=32), "status": status,
+        "access_status": F.when(~matched, "NO_EXACT_HIT").otherwise(access), "minimum_human_action": F.when(matched & blocked, ACTION).otherwise(""),
+        "impact_if_not_resolved": F.when(matched & blocked, IMPACT).otherwise(""), "raw_original_binary_saved": matched & fine, "notes": notes,
+    })
 
 
 def cash_flow_sections(records: DataFrame, of: str = "family") -> DataFrame:

@@ -229,14 +229,14 @@ def _greatest(rows: DataFrame, keys: list[str]) -> DataFrame:
 def ratio_facts(official: DataFrame, formulas: dict[str, str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """Facts calculated from a table of formulas over the fields of one security, date and scope.
 
-    A formula is text of field names, numbers, + - * / ** and brackets. A row needs all of its fields; a zero divisor or a
-    result that isn't finite gives none. Each row has its formula as source_row and a tolerance of its own.
+    A formula is text of field names, numbers, + - * / ** and brackets. Values of one period type go together where there is such a column. A row needs all of its
+    fields; a zero divisor or a result that isn't finite gives none. Each row has its formula as source_row and a tolerance of its own.
     """
     formulas, names = RATIOS if formulas is None else formulas, names or {}
     asked = {k: sorted(set(NAME.findall(f))) for k, f in formulas.items()}
     fields = sorted({x for own in asked.values() for x in own})
     direct = official.filter(F.col("field_key").isin(*fields) & F.col("value_num").isNotNull() & ~F.isnan("value_num"))
-    keys = ["security_code", "report_date", "scope"]
+    keys = ["security_code", "report_date", "scope", *(["period_type"] if "period_type" in official.columns else [])]
     one = _greatest(direct.select(*keys, "field_key", "value_num", *[c for c in ("record_key",) if c in official.columns]), [*keys, "field_key"])
     wide = one.groupBy(*keys).pivot("field_key", fields).agg(F.first("value_num"))
     each = []

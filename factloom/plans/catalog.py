@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import details, documents, graph, normalize, packages, point_in_time, reconcile, research, search, sources, timeseries
+from factloom.plans import details, documents, graph, lifecycle, normalize, packages, point_in_time, reconcile, research, search, sources, timeseries
 
-PARTS = [timeseries, search, normalize, point_in_time, reconcile, research, sources, packages, graph, documents, details]
+PARTS = [timeseries, search, normalize, point_in_time, reconcile, research, sources, packages, graph, documents, details, lifecycle]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

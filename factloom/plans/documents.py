@@ -224,15 +224,6 @@ def rec20(spark, d):
     return rec.dynamic_targets(src.facts(spark, d), defaults).withColumn("aliases", F.array_join("aliases", ","))
 
 
-@query("rec14_listing_dates", src.sql("SELECT security_code, min(report_date) AS listed FROM facts_point GROUP BY 1"))
-def rec14(spark, d):
-    text = F.date_format("report_date", "yyyy年M月d日")
-    rows = src.facts(spark, d).withColumns({"field_key": F.when(F.col("field_key") == "QTY", "LISTING_DATE").otherwise(F.col("field_key")), "value_text": text})
-    from factloom.operators.normalize import listing_date
-
-    return research.listing_dates(rows, ["LISTING_DATE"], listing_date(F.col("value_text")))
-
-
 @query("flt12_reconciliation_search",
     src.sql("SELECT security_code, family, report_date, field_key FROM facts WHERE (contains(lower(field_name_cn), 'sold') OR contains(lower(family), 'sold')) AND report_date BETWEEN DATE '1995-01-01' AND DATE '1997-12-31' AND period_type = 'FY'"))
 def flt12(spark, d):

@@ -191,7 +191,7 @@ def nrm21(spark, d):
         F.translate("p_type", " ", "|"))).alias("s"))
 
 
-@query("nrm22_stable_ids", "SELECT c_custkey, 'cus_' || left(sha256(CAST(c_custkey AS VARCHAR) || '|' || c_mktsegment || '|\\N'), 24) AS id FROM customer")
+@query("nrm22_stable_ids", "SELECT c_custkey, 'cus_' || left(sha256(CAST(c_custkey AS VARCHAR) || '|' || c_mktsegment || '|'), 24) AS id FROM customer")
 def nrm22(spark, d):
     return src.table(spark, d, "customer").select("c_custkey", n.stable_id("cus", F.col("c_custkey"), F.col("c_mktsegment"), F.lit(None)).alias("id"))
 

@@ -110,20 +110,19 @@ def agg8(spark, d):
     return r.status_groups(compared(spark, d))
 
 
-@query("jon4_official_only", src.sql(OFFICIAL + "SELECT security_code, report_date, field_key FROM offi WHERE k = 5"))
+@query("jon4_official_only", src.sql(OFFICIAL + """, more AS (SELECT security_code, report_date, field_key, p0, unnest(CASE WHEN k = 4 THEN ['parent'] WHEN k = 5 THEN ['consolidated']
+    WHEN k = 6 THEN ['parent', 'other'] ELSE [] END) AS x, k FROM offi)
+SELECT security_code, report_date, CASE WHEN k = 5 THEN 'Q9' ELSE p0 END AS period_type, CASE x WHEN 'other' THEN 'cash_flow' ELSE 'income_statement' END AS statement_type,
+  CASE x WHEN 'parent' THEN 'parent' ELSE 'consolidated' END AS scope, field_key, 'MISSING_EASTMONEY' AS status FROM more"""))
 def jon4(spark, d):
-    return r.official_only(official(spark, d), src.facts_cum(spark, d)).select("security_code", "report_date", "field_key")
-
-
-@query("rec13_relabelled", src.sql(OFFICIAL + """SELECT security_code, report_date, field_key, family, CASE WHEN year(report_date) = 1995
-    AND status IN ('MISSING_OFFICIAL', 'OFFICIAL_PERIOD_NOT_LOADED') THEN 'PRE_LISTING_OFFICIAL_SOURCE_NOT_LOADED'
-  WHEN year(report_date) = 1996 AND status IN ('MISSING_OFFICIAL', 'OFFICIAL_PERIOD_NOT_LOADED') THEN 'OFFICIAL_REPORT_SUMMARY_SCOPE_GAP'
-    WHEN year(report_date) = 2001 AND status = 'OFFICIAL_PERIOD_NOT_LOADED' THEN 'OFFICIAL_REPORT_NOT_YET_DISCLOSED' ELSE status END AS status FROM cmp"""))
-def rec13(spark, d):
-    y = F.year("report_date")
-    state = F.when(y == 1995, "PRE_LISTING").when(y == 1996, "SUMMARY_ONLY").when(y == 2001, "PENDING").otherwise("EXPECTED")
-    lifecycle = src.facts_cum(spark, d).select("security_code", "report_date").distinct().withColumn("state", state)
-    return r.relabelled(compared(spark, d), lifecycle).select("security_code", "report_date", "field_key", "family", "status")
+    """Official rows of another period, of parent companies and of another statement beside the one that is compared."""
+    cumulative = kept(src.facts_cum(spark, d))
+    key = (F.col("security_code").cast("long") * 31 + F.year("report_date") * 4 + F.quarter("report_date")) % 10
+    offi = disturbed(cumulative)
+    sixth = offi.filter(key == 6)
+    offi = offi.unionByName(sixth.withColumn("scope", F.lit("parent"))).unionByName(sixth.withColumn("statement_type", F.lit("cash_flow")))
+    facts = r.classified(r.primary(cumulative), r.registry(cumulative)).withColumn("statement_type", F.lit("income_statement"))
+    return r.official_only(offi, r.matched(facts, offi)).select(*r.IDENTITY, "status")
 
 
 @query("rec4_registry", src.sql("""SELECT theme, family, dataset, field_key, CASE WHEN family LIKE '%GBALANCE' OR family LIKE '%GINCOME' THEN 'OFFICIAL_DIRECT'
@@ -177,7 +176,9 @@ def two_sources(spark, d):
         "source": F.lit("OFFICIAL_DISCLOSURE"), "value_num": F.when(k == 1, F.col("value_num") * 1.01).otherwise(F.col("value_num") / 10000),
         "unit": F.when(k == 1, F.col("unit")).otherwise("万元"), "source_status": F.when(k == 2, "PARSE_SUSPECT").otherwise("FACT_DIRECT"),
     })
-    return a.unionByName(b)
+    # the same fact of another event is another observation
+    again = a.withColumns({"event_date": F.date_add("event_date", 7), "value_num": F.col("value_num") * 2})
+    return a.unionByName(b).unionByName(again)
 
 
 def lineage(spark, d):
@@ -185,25 +186,26 @@ def lineage(spark, d):
     return m.lineage(m.source_facts(two_sources(spark, d), F.lit(CUT), metrics))
 
 
-OBS = """k AS (SELECT *, CAST(security_code AS INT) % 4 AS c, CASE field_key WHEN 'REVENUE' THEN 'income.revenue' WHEN 'COST' THEN 'income.cost'
-    ELSE 'source.' || family || '.QTY' END AS metric_id FROM facts_cum WHERE available_at <= DATE '2000-10-01')
+OBS = """k AS (SELECT * REPLACE (CASE WHEN later THEN CAST(event_date + 7 AS DATE) ELSE event_date END AS event_date, value_num * CASE WHEN later THEN 2 ELSE 1 END AS value_num),
+  CASE WHEN later THEN 3 ELSE CAST(security_code AS INT) % 4 END AS c, CASE field_key WHEN 'REVENUE' THEN 'income.revenue' WHEN 'COST' THEN 'income.cost'
+    ELSE 'source.' || family || '.QTY' END AS metric_id FROM facts_cum, (SELECT unnest([false, true]) AS later) WHERE available_at <= DATE '2000-10-01')
 """
 
 
-@query("map3_observations", src.sql(OBS + """SELECT security_code, metric_id, report_date, CASE c WHEN 0 THEN 'VERIFIED_MULTI_SOURCE'
+@query("map3_observations", src.sql(OBS + """SELECT security_code, metric_id, report_date, event_date, CASE c WHEN 0 THEN 'VERIFIED_MULTI_SOURCE'
     WHEN 1 THEN 'SOURCE_CONFLICT' ELSE 'SINGLE_SOURCE' END AS status,
   CASE c WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence, round(CASE WHEN c <> 1 THEN value_num END, 4) AS value_num, CASE
     WHEN c = 3 THEN 1 ELSE 2 END AS sources FROM k"""))
 def map3(spark, d):
-    return m.observations(lineage(spark, d)).select("security_code", "metric_id", "report_date", "status", "confidence",
+    return m.observations(lineage(spark, d)).select("security_code", "metric_id", "report_date", "event_date", "status", "confidence",
         F.round("value_num", 4).alias("value_num"), "sources")
 
 
-@query("map4_lineage", src.sql(OBS + """SELECT security_code, metric_id, report_date, 'EASTMONEY' AS source, CASE c WHEN 0 THEN 'SUPPORTING'
+@query("map4_lineage", src.sql(OBS + """SELECT security_code, metric_id, report_date, event_date, 'EASTMONEY' AS source, CASE c WHEN 0 THEN 'SUPPORTING'
     WHEN 1 THEN 'CONFLICTING' ELSE 'SELECTED' END AS role FROM k
-UNION ALL SELECT security_code, metric_id, report_date, 'OFFICIAL_DISCLOSURE', CASE c WHEN 0 THEN 'SELECTED' WHEN 1 THEN 'SUPPORTING' ELSE 'QUARANTINED' END FROM k WHERE c <> 3"""))
+UNION ALL SELECT security_code, metric_id, report_date, event_date, 'OFFICIAL_DISCLOSURE', CASE c WHEN 0 THEN 'SELECTED' WHEN 1 THEN 'SUPPORTING' ELSE 'QUARANTINED' END FROM k WHERE c <> 3"""))
 def map4(spark, d):
-    return lineage(spark, d).select("security_code", "metric_id", "report_date", "source", "role")
+    return lineage(spark, d).select("security_code", "metric_id", "report_date", "event_date", "source", "role")
 
 
 @query("agg10_mapping_coverage", src.sql(OBS + """SELECT CASE c WHEN 0 THEN 'VERIFIED_MULTI_SOURCE' WHEN 1 THEN 'SOURCE_CONFLICT'
@@ -277,8 +279,8 @@ def doc1(spark, d):
     return out.select("page_id", F.size("links").alias("anchors"), "quality")
 
 
-@query("doc3_gates", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'FORBIDDEN' WHEN 1 THEN 'NOT_FOUND' WHEN 2 THEN 'JS_REQUIRED' WHEN 3 THEN 'CAPTCHA'
-    WHEN 4 THEN 'LOGIN' ELSE 'OPEN' END AS gate FROM pages""")
+@query("doc3_gates", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'HTTP_403' WHEN 1 THEN 'HTTP_404' WHEN 2 THEN 'JS_REQUIRED' WHEN 3 THEN 'CAPTCHA_REQUIRED'
+    WHEN 4 THEN 'LOGIN_REQUIRED' ELSE 'DOWNLOAD_OK' END AS gate FROM pages""")
 def doc3(spark, d):
     k = F.col("page_id") % 6
     status = F.when(k == 0, 403).when(k == 1, 404).otherwise(200)

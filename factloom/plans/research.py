@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from factloom.operators import documents as doc
 from factloom.operators import research as r
 from factloom.sources import facts as src
 from factloom.sources import sinks
@@ -36,16 +37,20 @@ def src9(spark, d):
     return r.united([a, src.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))], "id")
 
 
-@query("map8_profit_quality", src.sql("""w AS (SELECT security_code, report_date, max(value_num) FILTER (field_key = 'REVENUE') AS np,
-    max(value_num) FILTER (field_key = 'COST') AS ap, max(value_num) FILTER (field_key = 'QTY') AS ocf FROM facts_cum GROUP BY 1, 2)
-SELECT security_code, report_date, m AS metric_id, round(v, 4) AS value_num, CASE WHEN v IS NULL THEN 'UNRESOLVED' ELSE 'FACT_CALCULATED' END AS status FROM (
-  SELECT security_code, report_date, 'non_recurring_amount' AS m, np - ap AS v FROM w UNION ALL SELECT security_code, report_date, 'non_recurring_share',
-    (np - ap) / nullif(abs(np), 0) * 100 FROM w
-  UNION ALL SELECT security_code, report_date, 'cash_to_adjusted_profit', ocf / nullif(ap, 0) FROM w UNION ALL SELECT security_code, report_date, 'simplified_free_cash_flow', NULL FROM w
-  UNION ALL SELECT security_code, report_date, 'rd_capitalization_rate', NULL FROM w)"""))
+@query("map8_profit_quality", src.sql("""o AS (SELECT security_code, report_date, event_date, period_type, field_key, value_num FROM facts_cum UNION ALL
+  SELECT security_code, report_date, event_date, period_type, field_key, value_num FROM facts_quarter WHERE quarter(report_date) > 1),
+w AS (SELECT security_code, report_date, event_date, period_type, max(value_num) FILTER (field_key = 'REVENUE') AS np, max(value_num) FILTER (field_key = 'COST') AS ap,
+  max(value_num) FILTER (field_key = 'QTY') AS ocf FROM o GROUP BY 1, 2, 3, 4)
+SELECT security_code, report_date, event_date, period_type, m AS metric_id, round(v, 4) AS value_num, CASE WHEN v IS NULL THEN 'UNRESOLVED' ELSE 'FACT_CALCULATED' END AS status FROM (
+  SELECT *, 'profit_quality.non_recurring_amount_calculated' AS m, np - ap AS v FROM w UNION ALL SELECT *, 'profit_quality.non_recurring_share', (np - ap) / nullif(abs(np), 0) * 100 FROM w
+  UNION ALL SELECT *, 'profit_quality.cfo_to_adjusted_profit', ocf / nullif(ap, 0) FROM w UNION ALL SELECT *, 'profit_quality.simplified_free_cash_flow', NULL FROM w
+  UNION ALL SELECT *, 'profit_quality.rd_capitalization_rate', NULL FROM w)"""))
 def map8(spark, d):
-    name = F.when(F.col("field_key") == "REVENUE", "net_profit").when(F.col("field_key") == "COST", "adjusted_profit").otherwise("operating_cash_flow")
-    return r.profit_quality(src.facts_cum(spark, d).withColumn("metric_id", name)).withColumn("value_num", F.round("value_num", 4))
+    """Totals of the year and quarters of one date are periods of their own."""
+    name = F.when(F.col("field_key") == "REVENUE", r.PARENT).when(F.col("field_key") == "COST", r.ADJUSTED).otherwise(r.OPERATING)
+    rows = src.facts_cum(spark, d).unionByName(src.facts_quarter(spark, d).filter(F.quarter("report_date") > 1)).withColumn("metric_id", name)
+    out = r.profit_quality(rows).withColumn("value_num", F.round("value_num", 4))
+    return out.select("security_code", "report_date", "event_date", "period_type", "metric_id", "value_num", "status")
 
 
 @query("map9_segments", """SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS security_code, l_suppkey || '|' || l_returnflag AS record_key,
@@ -78,55 +83,54 @@ def jon12(spark, d):
     return r.entity_matches(mentions, profiles)
 
 
-@query("rec15_lifecycle", src.sql("""p AS (SELECT DISTINCT security_code, report_date, make_date(1996, 1 + CAST(security_code AS INT) % 12, 1) AS listed,
-    year(report_date) < 2001 AND NOT (year(report_date) = 1999 AND quarter(report_date) = 2) AS loaded FROM facts_cum),
-f AS (SELECT *, min(report_date) FILTER (report_date >= listed) OVER (PARTITION BY security_code) AS first,
-    max(report_date) FILTER (loaded) OVER (PARTITION BY security_code) AS latest FROM p)
-SELECT security_code, report_date, CASE WHEN report_date < listed THEN 'PRE_LISTING' WHEN loaded THEN CASE WHEN report_date = first
-    AND year(report_date) = year(listed) THEN 'TRANSITION' ELSE 'EXPECTED' END
-  WHEN report_date > latest THEN 'PENDING' ELSE 'POST_LISTING_MISSING' END AS state FROM f"""))
-def rec15(spark, d):
-    periods = src.facts_cum(spark, d).select("security_code", "report_date").distinct()
-    listed = periods.select("security_code").distinct().select("security_code", F.make_date(F.lit(1996), F.lit(1) + F.col("security_code").cast("int") % 12,
-        F.lit(1)).alias("listed"))
-    return r.lifecycle(periods, listed, periods.filter("year(report_date) < 2001 and not (year(report_date) = 1999 and quarter(report_date) = 2)"))
-
-
-@query("rec22_metadata_facts", """WITH d AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderdate AS DATE) AS t, CASE o_orderkey % 2
-    WHEN 0 THEN 'annual' ELSE 'q1' END AS kind FROM orders),
-v AS (SELECT 'annual' AS kind, 'FY' AS p UNION ALL SELECT 'annual', 'Q4' UNION ALL SELECT 'q1', 'Q1'), j AS (SELECT * FROM d JOIN v USING (kind))
-SELECT c AS security_code, t AS report_date, CAST(o_orderkey AS VARCHAR) AS document_id, p AS period_type, k AS field_key,
-  CASE k WHEN 'REPORT_DATE' THEN CAST(t AS VARCHAR) WHEN 'NOTICE_DATE' THEN CAST(CAST(t + 30 AS DATE) AS VARCHAR) WHEN 'SECURITY_CODE' THEN c ELSE p END AS value_text
-FROM j, (SELECT unnest(['REPORT_DATE', 'NOTICE_DATE', 'SECURITY_CODE', 'REPORT_TYPE']) AS k)""")
-def rec22(spark, d):
-    return metadata(spark, src.table(spark, d, "orders"))
+# Reports of all orders: of four kinds and one that has none, of three sources, some without a date of publishing.
+METADATA = """d AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS code, CAST(o_orderdate AS DATE) AS t, ['annual', 'q1', 'half', 'q3', 'prospectus'][o_orderkey % 5 + 1] AS kind,
+  ['SSE', 'szse', 'OTHER'][o_orderkey % 3 + 1] AS source, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) + 30 END AS p FROM orders),
+v(kind, period, name, calculated) AS (VALUES ('annual', 'FY', '年报', false), ('annual', 'Q4', '四季度', true), ('q1', 'Q1', '一季报', false), ('half', 'H1', '中报', false), ('half', 'Q2', '二季度', true),
+  ('q3', 'Q3C', '三季报', false), ('q3', 'Q3', '三季度', true)),
+j AS (SELECT d.*, coalesce(period, CASE month(t) WHEN 3 THEN 'Q1' WHEN 6 THEN 'H1' WHEN 9 THEN 'Q3C' WHEN 12 THEN 'FY' ELSE 'OTHER' END) AS period, coalesce(name, d.kind) AS name,
+  coalesce(calculated, false) AS calculated FROM d LEFT JOIN v USING (kind)),
+f AS (SELECT *, CASE field_key WHEN 'SECUCODE' THEN code || CASE source WHEN 'SSE' THEN '.SH' WHEN 'szse' THEN '.SZ' ELSE '' END WHEN 'SECURITY_CODE' THEN code WHEN 'REPORT_DATE' THEN CAST(t AS VARCHAR)
+  WHEN 'REPORT_TYPE' THEN name WHEN 'REPORT_DATE_NAME' THEN year(t) || name ELSE CAST(CAST(p AS DATE) AS VARCHAR) END AS value_text
+  FROM j, (SELECT unnest(['SECUCODE', 'SECURITY_CODE', 'REPORT_DATE', 'REPORT_TYPE', 'REPORT_DATE_NAME', 'NOTICE_DATE', 'PUBLISH_DATE']) AS field_key))
+"""
 
 
-def metadata(spark, o):
+def metadata(spark, d):
+    at = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("o_orderkey") % n + 1).cast("int"))
     date = F.col("o_orderdate").cast("date")
-    docs = o.select(F.col("o_custkey").cast("string").alias("security_code"), date.alias("report_date"), F.date_add(date, 30).alias("available_at"),
-        F.col("o_orderkey").cast("string").alias("document_id"), F.when(F.col("o_orderkey") % 2 == 0, "annual").otherwise("q1").alias("kind"))
-    return r.metadata_facts(docs, spark.createDataFrame([("annual", "FY"), ("annual", "Q4"), ("q1", "Q1")], "kind string, period_type string"))
+    docs = src.table(spark, d, "orders").select(
+        F.col("o_custkey").cast("string").alias("security_code"), date.alias("report_date"), F.when(F.col("o_orderkey") % 7 > 0, F.date_add(date, 30)).alias("publish_date"),
+        at(5, "annual", "q1", "half", "q3", "prospectus").alias("report_kind"), at(3, "SSE", "szse", "OTHER").alias("source"),
+        F.col("o_orderkey").cast("string").alias("title"), F.lit("").alias("url"))
+    return r.metadata_facts(docs)
+
+
+@query("rec22_metadata_facts", "WITH " + METADATA + "SELECT code AS security_code, t AS report_date, CAST(k AS VARCHAR) AS dataset, period AS period_type, field_key, value_text FROM f WHERE value_text IS NOT NULL")
+def rec22(spark, d):
+    return metadata(spark, d).select("security_code", "report_date", "dataset", "period_type", "field_key", "value_text")
 
 
-@query("rec22_all_metadata_facts", """WITH d AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderdate AS DATE) AS t, CASE o_orderkey % 2
-    WHEN 0 THEN 'annual' ELSE 'q1' END AS kind FROM orders),
-v AS (SELECT 'annual' AS kind, 'FY' AS p UNION ALL SELECT 'annual', 'Q4' UNION ALL SELECT 'q1', 'Q1'), j AS (SELECT * FROM d JOIN v USING (kind))
-SELECT c AS security_code, t AS report_date, CAST(o_orderkey AS VARCHAR) AS document_id, p AS period_type, k AS field_key,
-  CASE k WHEN 'REPORT_DATE' THEN CAST(t AS VARCHAR) WHEN 'NOTICE_DATE' THEN CAST(CAST(t + 30 AS DATE) AS VARCHAR) WHEN 'SECURITY_CODE' THEN c ELSE p END AS value_text
-FROM j, (SELECT unnest(['REPORT_DATE', 'NOTICE_DATE', 'SECURITY_CODE', 'REPORT_TYPE']) AS k)""")
+@query("rec22_all_metadata_facts", "WITH " + METADATA + """SELECT code || '|' || t || '|metadata|' || period || '|' || field_key AS record_key, k::VARCHAR AS source_document,
+  CASE WHEN calculated THEN 'FACT_CALCULATED' ELSE 'FACT_DIRECT' END AS source_status, CAST(CAST(p AS DATE) AS VARCHAR) AS event_date FROM f WHERE value_text IS NOT NULL""")
 def rec22_all(spark, d):
-    return metadata(spark, src.table(spark, d, "orders"))
+    return metadata(spark, d).select("record_key", "source_document", "source_status", "event_date")
 
 
-@query("doc4_document_status", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'UNRESOLVED' WHEN 2 THEN 'NO_MATCH' WHEN 3 THEN 'SUCCESS'
-    ELSE 'UNRESOLVED' END AS status,
-  CASE page_id % 5 WHEN 0 THEN 'MANUAL_CAPTCHA' WHEN 1 THEN 'RETRY' WHEN 4 THEN 'RETRY' END AS action FROM pages""")
+@query("doc4_document_status", """SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'NO_MATCH' WHEN 6 THEN 'FACT_DIRECT' WHEN 2 THEN 'UNRESOLVED' ELSE 'PERMISSION_BLOCKED' END AS status,
+  CASE page_id % 7 WHEN 0 THEN 'NO_EXACT_HIT' WHEN 1 THEN 'HTTP_403' WHEN 2 THEN 'HTTP_404' WHEN 3 THEN 'JS_REQUIRED' WHEN 4 THEN 'CAPTCHA_REQUIRED' WHEN 5 THEN 'LOGIN_REQUIRED'
+    ELSE 'DOWNLOAD_OK' END AS access_status, page_id % 7 IN (1, 3, 4, 5) AS acts,
+  'doc_' || left(sha256('600000|web|' || CASE page_id % 7 WHEN 0 THEN 'q' || page_id || '|NO_MATCH' WHEN 1 THEN 'q' || page_id || '|HTTP_403' WHEN 2 THEN url || '|HTTP_404' WHEN 3 THEN 'q' || page_id || '|JS_REQUIRED'
+    WHEN 4 THEN 'q' || page_id || '|CAPTCHA_REQUIRED' WHEN 5 THEN 'q' || page_id || '|LOGIN_REQUIRED' ELSE url || '|' || sha256(html) END), 32) AS document_id FROM pages""")
 def doc4(spark, d):
-    k = F.col("page_id") % 5
-    rows = src.table(spark, d, "pages").select("page_id", F.when(k == 0, "CAPTCHA").when(k == 1, "NOT_FOUND").otherwise("OPEN").alias("gate"),
-        F.when(k == 2, 0).otherwise(1).alias("results"), (k == 3).alias("saved"))
-    return r.document_status(rows).select("page_id", "status", "action")
+    """Stored pages through their gates to a status."""
+    k = F.col("page_id") % 7
+    code = F.when(k == 1, 403).when(k == 2, 404).otherwise(200)
+    html = F.when(k == 3, "<p>Please Enable JavaScript</p>").when(k == 4, "请输入验证码").when(k == 5, "Login required").otherwise(F.col("html"))
+    rows = src.table(spark, d, "pages").select("page_id", F.lit("600000").alias("security_code"), F.lit("web").alias("source_id"), doc.gate(code, html).alias("access_status"),
+        (k != 0).alias("matched"), "url", F.sha2("html", 256).alias("sha256"), F.lit("FACT_DIRECT").alias("status_on_success"),
+        F.concat(F.lit("q"), F.col("page_id").cast("string")).alias("query"), F.lit("").alias("error"))
+    return r.document_status(rows).select("page_id", "status", "access_status", (F.col("minimum_human_action") != "").alias("acts"), "document_id")
 
 
 @query("agg13_conservation", """SELECT user_id AS batch, count(*) AS requested, count(*) FILTER (event_type = 'click') AS success,

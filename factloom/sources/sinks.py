@@ -21,8 +21,8 @@ def write_pack(tables: dict[str, DataFrame], folder: str) -> None:
 
 # Columns of an exported search.
 EXPORTED = [
-    "security_code", "theme", "family", "dataset", "report_date", "event_date", "period_type", "field_key", "field_name_cn", "field_category", "value_text",
-    "value_num", "unit", "source_url", "source_status", "base_score", "secondary_score", "score",
+    "security_code", "theme", "family", "dataset", "report_date", "event_date", "field_key", "field_name_cn", "value_text", "value_num", "unit", "source_url",
+    "base_score", "secondary_score", "score",
 ]
 
 
