@@ -5,10 +5,13 @@ The ratios' distribution in each language and source is kept as a mergeable quan
 buckets are exact up to 63 and 1/32 wide relative to the value above. Sketches merge by adding counts, in any order
 and with the same result, so a lost task changes nothing, and a source with few documents takes the merged sketch of
 its language, a rare language that of all. Fences replace fixed cutoffs and are as wide as the sketch says. Symbols and
-mean word length may lie above the 90th percentile by WIDE times what lies between that and the median; where these are
-equal, as with symbols that most documents have none of, the fence is that percentile. Repeated lines and windows, which
-sound documents have as well, may lie above the 99th percentile by as much as that is above the 90th. Mean word length
-has a fence below as well. Documents are filtered by a join with the fences.
+mean word length may lie above the 90th percentile by WIDE times what lies between that and the median. Repeated lines and
+windows, which sound documents have as well, may lie above the 99th percentile by as much as that is above the 90th. Mean
+word length has a fence below as well. Documents are filtered by a join with the fences.
+
+Where nearly all documents have none of something, percentiles say nothing about how much is much. So the sketches also hold
+units, what one symbol or one repeated line changes in the ratios of a document: symbols have at least WIDE times the unit that
+nine of ten documents don't exceed, and where the 99th percentile of repeats is 0, one unit of the median document is allowed.
 
 A null text has no words. Null languages and sources are groups of their own. Texts under three words have no
 window. Ratios without a denominator are 0. Repeated rows are judged each for itself. Extra columns stay unread.
@@ -86,6 +89,12 @@ def ratios() -> dict[str, Column]:
     }
 
 
+def units() -> dict[str, Column]:
+    """What the least change of a count changes in the ratio."""
+    return {f"unit_{k}": F.greatest(F.lit(1).cast("long"), F.coalesce(F.floor(F.try_divide(F.lit(scale), F.col(below))), F.lit(0)).cast("long"))
+        for k, below, scale in (("symbols", "word_chars", 10_000), ("lines", "n_lines", 10_000), ("repeats", "n_lines", 20_000))}
+
+
 def bucket(value: Column) -> Column:
     """Number of the sketch's bucket for a whole number from 0."""
     e = F.length(F.bin(value)) - 1
@@ -101,7 +110,7 @@ def value_of(b: Column) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): counts in the buckets, over the rows that pass the base rules."""
-    each = F.array(*[F.struct(F.lit(k).alias("ratio"), bucket(v).alias("bucket")) for k, v in ratios().items()])
+    each = F.array(*[F.struct(F.lit(k).alias("ratio"), bucket(v).alias("bucket")) for k, v in (ratios() | units()).items()])
     long = rows.filter(~F.col("base_failed")).select("lang", "source", F.explode(each).alias("r"))
     return long.groupBy("lang", "source", F.col("r.ratio").alias("ratio"), F.col("r.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -114,11 +123,18 @@ def _fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
     in_ = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bucket")))
     tops = [(value_of(in_(p) + 1) - 1).alias(f"top{p}") for p in (90, 99)]  # values of one bucket are on one side of a fence
     q = ranked.groupBy(*keys, "ratio").agg(*[value_of(in_(p)).alias(f"p{p}") for p in (10, 50, 90)], *tops, F.max("all").alias("seen"))
-    bulk, tail = F.col("top90") + WIDE * (F.col("p90") - F.col("p50")), 2 * F.col("top99") - F.col("p90")
-    high = F.when(F.col("ratio").isin(*TAILED), tail).otherwise(bulk)
-    wide = q.select(*keys, "ratio", "seen", (F.col("p10") - WIDE * (F.col("p50") - F.col("p10"))).alias("low"), high.alias("high"))
-    pick = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{name}_{k}_{c}")
-    return wide.groupBy(*keys).agg(F.max("seen").alias(f"{name}_seen"), *[pick(k, c) for k in RATIOS for c in ("low", "high")])
+    at = [(k, c) for k in [*RATIOS, *units()] for c in ("p10", "p50", "p90", "top90", "top99")]
+    wide = q.groupBy(*keys).agg(F.max("seen").alias(f"{name}_seen"), *[F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{k}.{c}") for k, c in at])
+    of = lambda k, c: F.col(f"`{k}.{c}`")
+
+    def high(k: str) -> Column:
+        if k in TAILED:
+            return F.when(of(k, "top99") > 0, 2 * of(k, "top99") - of(k, "p90")).otherwise(of(f"unit_{k}", "p50"))
+        spread = of(k, "p90") - of(k, "p50")
+        return of(k, "top90") + WIDE * (F.greatest(spread, of(f"unit_{k}", "p90")) if f"unit_{k}" in units() else spread)
+
+    low = lambda k: of(k, "p10") - WIDE * (of(k, "p50") - of(k, "p10"))
+    return wide.select(*keys, f"{name}_seen", *[low(k).alias(f"{name}_{k}_low") for k in RATIOS], *[high(k).alias(f"{name}_{k}_high") for k in RATIOS])
 
 
 def fences(rows: DataFrame) -> DataFrame:

@@ -130,8 +130,11 @@ b_{name} AS (SELECT {keys} ratio, min(bucket) FILTER (100 * upto >= 10 * seen) A
   min(bucket) FILTER (100 * upto >= 90 * seen) AS b90, min(bucket) FILTER (100 * upto >= 99 * seen) AS b99, max(seen) AS seen FROM u_{name} GROUP BY {keys} ratio),
 v_{name} AS (SELECT {keys} ratio, seen, {VALUE.format("b10")} AS p10, {VALUE.format("b50")} AS p50, {VALUE.format("b90")} AS p90,
   {VALUE.format("(b90 + 1)")} - 1 AS top90, {VALUE.format("(b99 + 1)")} - 1 AS top99 FROM b_{name}),
+n_{name} AS (SELECT *, {", ".join(f"max({p}) FILTER (ratio = 'unit_{r}') OVER ({'PARTITION BY ' + keys.rstrip(', ') if keys else ''}) AS u_{r}"
+    for r, p in (("symbols", "p90"), ("lines", "p50"), ("repeats", "p50")))} FROM v_{name}),
 f_{name} AS (SELECT {keys} ratio, seen, p10 - 6 * (p50 - p10) AS low,
-  CASE WHEN ratio IN ('lines', 'repeats') THEN 2 * top99 - p90 ELSE top90 + 6 * (p90 - p50) END AS high FROM v_{name})"""
+  CASE WHEN ratio = 'lines' AND top99 = 0 THEN u_lines WHEN ratio = 'repeats' AND top99 = 0 THEN u_repeats WHEN ratio IN ('lines', 'repeats') THEN 2 * top99 - p90
+    WHEN ratio = 'symbols' THEN top90 + 6 * greatest(p90 - p50, u_symbols) ELSE top90 + 6 * (p90 - p50) END AS high FROM n_{name} WHERE NOT starts_with(ratio, 'unit_'))"""
 
 
 QUALITY_SQL = rf"""
@@ -147,7 +150,9 @@ e AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 x AS (SELECT rid, lang, source, base_failed, unnest([{{'ratio': 'symbols', 'v': CASE WHEN word_chars > 0 THEN n_symbols * 10000 // word_chars ELSE 0 END}},
   {{'ratio': 'lines', 'v': CASE WHEN n_lines > 0 THEN n_dup_lines * 10000 // n_lines ELSE 0 END}},
     {{'ratio': 'repeats', 'v': CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END}},
-  {{'ratio': 'length', 'v': CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END}}]) AS z FROM e),
+  {{'ratio': 'length', 'v': CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END}},
+  {{'ratio': 'unit_symbols', 'v': greatest(1, coalesce(10000 // nullif(word_chars, 0), 0))}}, {{'ratio': 'unit_lines', 'v': greatest(1, coalesce(10000 // nullif(n_lines, 0), 0))}},
+  {{'ratio': 'unit_repeats', 'v': greatest(1, coalesce(20000 // nullif(n_lines, 0), 0))}}]) AS z FROM e),
 y AS (SELECT rid, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, base_failed, z.ratio AS ratio, z.v AS v, length(ltrim(bin(z.v), '0')) - 1 AS e FROM x),
 sketch AS (SELECT lang, source, ratio, CASE WHEN v < 64 THEN v ELSE 64 + (e - 6) * 32 + v // CAST(pow(2, e - 5) AS BIGINT) - 32 END AS bucket, count(*) AS n
     FROM y WHERE NOT base_failed GROUP BY 1, 2, 3, 4),

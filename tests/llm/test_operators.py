@@ -275,6 +275,7 @@ def test_quality_fences_of_sources_and_languages(spark):
         return {
             "symbols": x.n_symbols * 10000 // x.word_chars, "lines": x.n_dup_lines * 10000 // n_lines,
             "repeats": x.n_repeat_words * 10000 // x.n_words, "length": x.word_chars * 100 // x.n_words,
+            "unit_symbols": 10000 // x.word_chars, "unit_lines": 10000 // n_lines, "unit_repeats": 20000 // n_lines,
         }
 
     def low_end(v):  # the least value in the sketch's bucket of v
@@ -292,20 +293,41 @@ def test_quality_fences_of_sources_and_languages(spark):
 
     def fence(g, ratio):
         x = sorted(low_end(v[ratio]) for v in members[g])
-        p = {q: x[max(0, -(-q * len(x) // 100) - 1)] for q in (10, 50, 90, 99)}
-        high = 2 * top_end(p[99]) - p[90] if ratio in ("lines", "repeats") else top_end(p[90]) + 6 * (p[90] - p[50])
-        return p[10] - 6 * (p[50] - p[10]), high
+        at = lambda x, q: x[max(0, -(-q * len(x) // 100) - 1)]
+        p = {q: at(x, q) for q in (10, 50, 90, 99)}
+        unit = sorted(low_end(max(1, v[f"unit_{ratio}"])) for v in members[g]) if ratio != "length" else None
+        if ratio in ("lines", "repeats"):
+            return None, 2 * top_end(p[99]) - p[90] if p[99] else at(unit, 50)
+        spread = p[90] - p[50]
+        return p[10] - 6 * (p[50] - p[10]), top_end(p[90]) + 6 * (max(spread, at(unit, 90)) if unit else spread)
 
     rejected = 0
     for k, x in found.items():
         lang, source = groups[k]
         g = next(g for g in ((lang, source), lang, "all") if len(members[g]) >= quality.FEW or g == "all")
-        fine = not x.base_failed and all(v <= fence(g, n)[1] for n, v in value[k].items()) and value[k]["length"] >= fence(g, "length")[0]
+        fine = not x.base_failed and all(v <= fence(g, n)[1] for n, v in value[k].items() if "unit" not in n) and value[k]["length"] >= fence(g, "length")[0]
         assert x.kept == fine, (k, value.get(k))
         rejected += not x.kept and not x.base_failed
     assert not found[1000].kept and not found[1001].kept and 0 < rejected < 90
 
 
+def test_quality_keeps_rare_symbols_lines_and_windows(spark):
+    r = random.Random(4)
+    words = lambda n: [r.choice(EN) + str(r.randint(0, 9999)) for _ in range(n)]
+    rows = []
+    for k in range(400):
+        own = words(r.randint(100, 300))
+        if k % 20 == 3:
+            own[50] = "5%"  # a twentieth of the texts hold one symbol
+        lines = [" ".join(own[j : j + 10]) for j in range(0, len(own), 10)]
+        if k == 200:
+            lines += lines[:1]  # less than a hundredth repeat a line
+        rows.append((k, "\n".join(lines), "en", "a", 0, "", ""))
+    rows += [(1000, " ".join(f"{w}#$" for w in words(150)), "en", "a", 0, "", ""), (1001, "\n".join([" ".join(words(12))] * 3 + [" ".join(words(30))]), "en", "a", 0, "", "")]
+    found = {x.doc_id: x.kept for x in quality.rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(found[k] for k in range(400)) and not found[1000] and not found[1001]
+
+
 def test_quality_sketch_buckets_are_ordered_and_tight(spark):
     rows = spark.range(0, 5000).select(F.col("id").alias("v"), quality.bucket(F.col("id")).alias("b"))
     for r in rows.withColumn("low", quality.value_of(F.col("b"))).collect():
