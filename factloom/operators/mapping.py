@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from factloom.functions.lineage import kept
 from factloom.functions.ontology import MODULES, metric_of
 from factloom.functions.priority import canonical_unit, scaled, source_priority
+from factloom.functions.rules import REQUIRED, TOPICS
 from factloom.operators.normalize import plain_text, stable_id
 
 KEY = ["security_code", "metric_id", "report_date", "event_date", "period_type", "data_semantics", "scope"]
@@ -68,6 +71,7 @@ def source_facts(facts: DataFrame, cutoff: Column, metrics: DataFrame | None = N
 
     Metrics are the ontology's; with metrics (field_key, metric_id) those, else source.<family>.<key>.
     """
+    facts = facts if "event_date" in facts.columns else facts.withColumn("event_date", F.lit(None).cast("date"))
     known = facts.filter(F.col("available_at").isNull() | (F.col("available_at") <= cutoff))
     if metrics is None:
         named = resolved(known)
@@ -128,35 +132,65 @@ def mapping_coverage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status", "confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("sources").alias("sources"))
 
 
-def topics(facts: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
-    """A row for each topic that a fact's key, label or family names."""
+def topics(facts: DataFrame, patterns: dict[str, list[str]] | None = None) -> DataFrame:
+    """A row for each topic that a fact's key, label or family names, with an id where the facts have source_fact_id.
+
+    One pass over each row: a topic's patterns are one expression of alternatives, taken literally and in any case.
+    """
     text = F.upper(F.concat_ws(" ", "field_key", "field_name_cn", "family"))
     hits = []
-    for name, words in patterns.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(text, F.lit(w.upper()))
-        hits.append(F.when(hit, F.lit(name)))
-    return facts.withColumn("topic", F.explode(F.array_compact(F.array(*hits))))
+    for name, words in (TOPICS if patterns is None else patterns).items():
+        any_of = "|".join(re.escape(w.upper()) for w in words)
+        hits.append(F.when(text.rlike(any_of), F.lit(name)))
+    out = facts.withColumn("topic", F.explode(F.array_compact(F.array(*hits))))
+    if "source_fact_id" in facts.columns:
+        out = out.withColumn("research_fact_id", stable_id("rf", F.col("topic"), F.col("source_fact_id")))
+    return out
+
+
+def coverage_gaps(rows: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """(security_code, topic, required_metric_id, status, gap_id): PRESENT or MISSING for each required metric of each security.
+
+    required: topic, metric_id, by default that of functions.rules; its size is checked before it is sent to all tasks.
+    """
+    spark = rows.sparkSession
+    if required is None:
+        required = spark.createDataFrame([(t, m) for t, own in REQUIRED.items() for m in own], "topic string, metric_id string")
+    required = required.select("topic", F.col("metric_id").alias("required_metric_id"))
+    if required.count() > 10_000:
+        raise ValueError("a list of required metrics is a list of rules, not of data")
+    has = rows.join(F.broadcast(required.select("required_metric_id").distinct()), F.col("metric_id") == F.col("required_metric_id"), "left")
+    own = has.groupBy("security_code").agg(F.collect_set("required_metric_id").alias("m__has"))  # at most as many as are required
+    every = F.broadcast(required.agg(F.array_sort(F.collect_set(F.struct("topic", "required_metric_id"))).alias("m__need")))
+    out = own.crossJoin(every).select("security_code", "m__has", F.inline("m__need"))  # the one row of rules
+    status = F.when(F.array_contains("m__has", F.col("required_metric_id")), "PRESENT").otherwise("MISSING")
+    return out.select("security_code", "topic", "required_metric_id", status.alias("status"), stable_id("gap", *map(F.col, ("security_code", "topic", "required_metric_id"))).alias("gap_id"))
 
 
-def coverage_gaps(rows: DataFrame, required: DataFrame) -> DataFrame:
-    """Required metrics that a security has no observation of."""
-    every = rows.select("security_code").distinct().crossJoin(F.broadcast(required))  # a fixed list of metrics
-    return every.join(rows.select("security_code", "metric_id").distinct(), ["security_code", "metric_id"], "left_anti")
+#: A node is a hub if more than one in so many edges leave it; fewer than HUB nodes are.
+HUB = 1000
 
 
 def traced(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
     """(start, node, depth): what each start reaches over directed edges (from_id, to_id) in at most `depth` steps.
 
-    A round is one join of the frontier with the edges; nodes that were reached before aren't walked again. Where the session
-    has a folder for checkpoints, each round is kept there, so the plan doesn't grow with the depth.
+    A round is one join of the frontier with the edges; nodes that were reached before aren't walked again. Hubs' edges are
+    dealt over parts, and a start that stands at a hub goes to each of them (far fewer than the edges that it finds there), so no
+    task gets all edges of a node. Where the session has a folder for checkpoints, edges and rounds are kept there, so the
+    plan doesn't grow with the depth.
     """
+    step = kept(edges.select(F.col("from_id").alias("node"), "to_id").distinct())
+    degrees = step.groupBy("node").agg(F.count(F.lit(1)).alias("m__n"))
+    total = step.count()
+    hubs = kept(degrees.filter(F.col("m__n") * HUB > F.lit(total)).select("node", F.ceil(F.col("m__n") * HUB / F.lit(max(total, 1))).cast("int").alias("m__parts")))
+    hubs = F.broadcast(hubs)  # fewer than HUB, as together they have all edges at most
     seen = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("node"), F.lit(0).alias("depth"))
     front = seen
-    step = edges.select(F.col("from_id").alias("node"), "to_id").distinct()
+    one = F.coalesce("m__parts", F.lit(1))
+    dealt = step.join(hubs, "node", "left").select("node", "to_id", F.pmod(F.xxhash64("to_id"), one.cast("long")).cast("int").alias("m__part"))
     for k in range(1, depth + 1):
-        new = front.join(step, "node").select("start", F.col("to_id").alias("node")).distinct()
+        parts = front.join(hubs, "node", "left").select("start", "node", F.explode(F.sequence(F.lit(0), one - 1)).alias("m__part"))
+        new = parts.join(dealt, ["node", "m__part"]).select("start", F.col("to_id").alias("node")).distinct()
         front = kept(new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(front)
     return seen

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.priority import COMPARE_PRIORITY, INDEPENDENT, STATEMENTS, canonical_unit, looked_up, scaled
+from factloom.functions.rules import IDENTITIES, TOLERANCE_GROUPS
+from factloom.functions.targets import default_targets
 from factloom.operators.normalize import canonical_period, date_of, plain_text, report_label
 
 # Classes of statuses.
@@ -216,12 +218,13 @@ NOT_TARGETS = [
 ]
 
 
-def dynamic_targets(facts: DataFrame, defaults: DataFrame) -> DataFrame:
+def dynamic_targets(facts: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
     """(family, field_key, label, aliases, statement_type, semantics): what to look for in reports.
 
     Every numeric field of a primary statement with a label of its own is one, known by all its labels, but for metadata
-    and growth. defaults, of the same columns, come first in labels and aliases.
+    and growth. defaults, of the same columns, come first in labels and aliases; without them those of functions.targets.
     """
+    defaults = default_targets(facts.sparkSession) if defaults is None else defaults
     label = F.trim(F.coalesce(F.nullif("field_name_cn", F.lit("")), F.col("field_key")))
     key = F.col("field_key")
     rows = facts.filter(F.col("family").isin(*DIRECT) & F.col("value_num").isNotNull() & ~F.startswith(key,
@@ -455,19 +458,37 @@ def status_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status", "mode", "family").agg(F.count(F.lit(1)).alias("n"))
 
 
-def identities(facts: DataFrame, rules: dict[str, tuple[str, list[str]]], tolerance: float = 1.0) -> DataFrame:
-    """Accounting identities (left field, fields that add up to it) for each security and date: PASS, FAIL or UNRESOLVED."""
-    fields = sorted({f for left, right in rules.values() for f in [left, *right]})
-    wide = facts.groupBy("security_code", "report_date").pivot("field_key", fields).agg(F.max("value_num"))
+def identities(facts: DataFrame, rules: list[tuple] | None = None, groups: list[list[str]] | None = None) -> DataFrame:
+    """(security_code, report_date, check_id, description, left, right, difference, tolerance, status) of accounting identities.
+
+    rules as in functions.rules: PASS within the tolerance, else FAIL, UNRESOLVED where a needed side is missing. The tolerance
+    is the widest of the fields that the identity's group has on that date (1 if they have none) times the rule's factor.
+    Only reported values count, no calculated, suspect or unresolved ones; of several values of a field the greatest record's.
+    """
+    rules, groups = IDENTITIES if rules is None else rules, TOLERANCE_GROUPS if groups is None else groups
+    fields = sorted({f for _, _, left, parts, _ in rules for f in [left, *[p[1] for p in parts]]})
+    rows = facts.filter(F.col("field_key").isin(*fields) & F.col("value_num").isNotNull())
+    if "source_status" in facts.columns:
+        rows = rows.filter(~F.coalesce("source_status", F.lit("")).isin("FACT_CALCULATED", "PARSE_SUSPECT", "UNRESOLVED"))
+    tolerance = F.coalesce(F.nullif("precision_tolerance", F.lit(0.0)), F.lit(1.0)) if "precision_tolerance" in facts.columns else F.lit(1.0)
+    order = F.struct(*[F.col(c) for c in ("record_key", "value_num") if c in facts.columns])
+    one = rows.withColumn("tol", tolerance.cast("double"))
+    wide = one.groupBy("security_code", "report_date").pivot("field_key", fields).agg(F.max_by(F.struct("value_num", "tol"), order))
+    v, tol = (lambda f: F.col(f"`{f}`.value_num")), (lambda f: F.col(f"`{f}`.tol"))
     each = []
-    for name, (left, right) in rules.items():
-        total = F.col(right[0])
-        for r in right[1:]:
-            total = total + F.col(r)
-        gap = F.col(left) - total
-        status = F.when(gap.isNull(), "UNRESOLVED").when(F.abs(gap) <= tolerance, "PASS").otherwise("FAIL")
-        each.append(F.struct(F.lit(name).alias("check_id"), F.col(left).alias("left_value"), total.alias("right_value"), status.alias("status")))
-    return wide.select("security_code", "report_date", F.explode(F.array(*each)).alias("c")).select("security_code", "report_date", "c.*")
+    for name, text, left, parts, times in rules:
+        own = {left, *[p[1] for p in parts]}
+        group = next((g for g in groups if own <= set(g)), sorted(own))
+        known = [f for f in group if f in fields]
+        total = F.lit(0.0)
+        for sign, f, needed in parts:
+            total = total + sign * (v(f) if needed else F.coalesce(v(f), F.lit(0.0)))
+        widest = F.coalesce(F.array_max(F.array(*map(tol, known))), F.lit(1.0)) * times
+        gap = v(left) - total
+        status = F.when(gap.isNull(), "UNRESOLVED").when(F.abs(gap) <= widest, "PASS").otherwise("FAIL")
+        each.append(F.struct(F.lit(name).alias("check_id"), F.lit(text).alias("description"), v(left).alias("left_value"), total.alias("right_value"),
+            gap.alias("difference"), widest.alias("tolerance"), status.alias("status")))
+    return wide.select("security_code", "report_date", F.inline(F.array(*each)))
 
 
 def note_as_amount(row: Column, value: Column, statement: Column) -> Column:

@@ -77,12 +77,31 @@ def segments(facts: DataFrame, name: str, revenue: str, cost: str) -> DataFrame:
     return g.filter("segment is not null").withColumns({"profit": profit, "margin": F.try_divide(profit, F.col("revenue")) * 100})
 
 
+def names_within(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, name, ...) of names, of at least two characters, that stand in texts (id, text).
+
+    A text is cut into its different pairs of neighbouring characters, once; a name is known by that of its pairs which the
+    fewest texts have, and is looked for only in texts with this pair. So a text costs its length, whatever the lengths of
+    the names, and a pair that every text has is no name's key unless the name has no other.
+    """
+    pairs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(..))"), F.lit(1)))
+    own = texts.filter("text is not null").withColumn("t__pair", F.explode(pairs(F.col("text"))))
+    asked = names.filter(F.length("name") >= 2).distinct()
+    of_names = asked.select("name").distinct().withColumn("t__pair", F.explode(pairs(F.col("name"))))
+    wanted = of_names.select("t__pair").distinct()
+    frequent = own.join(wanted, "t__pair", "left_semi").groupBy("t__pair").agg(F.count(F.lit(1)).alias("t__n"))
+    rarest = of_names.join(frequent, "t__pair", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("t__n", F.lit(0)).alias("n"), "t__pair")).alias("b"))
+    keys = rarest.filter("b.n > 0").select("name", F.col("b.t__pair").alias("t__pair"))  # a pair that no text has: neither has the name
+    hits = own.join(keys, "t__pair").filter(F.contains("text", F.col("name"))).select("id", "name")
+    return hits.join(asked, "name")
+
+
 def entity_matches(mentions: DataFrame, profiles: DataFrame) -> DataFrame:
     """Which profile (security_code, legal_name, former_names, domain, short_name) a mention (id, text, domain, code) means.
 
     Rules in order: code, credit code (where both have a column credit_code), legal name, former name, domain, short name
-    within the text. Names are compared without company suffixes and marks. Each rule is an equi-join but the last, which joins whole short names with the substrings, of the lengths that short names have, of those texts that no
-    other rule decided.
+    within the text. Names are compared without company suffixes and marks. Each rule is an equi-join; the last looks, by names_within, for whole
+    short names in those texts that no other rule decided.
     """
     p = profiles
     keyed = lambda col, rank, rule: p.select(F.col(col).alias("k"), F.col("security_code").alias("found"), F.lit(rank).alias("rank"),
@@ -100,10 +119,8 @@ def entity_matches(mentions: DataFrame, profiles: DataFrame) -> DataFrame:
         hits = hits.unionByName(mentions.join(credit, F.col("credit_code") == F.col("r__k")).select("id", "found", "rank", "rule"))
     rest = mentions.join(hits.select("id").distinct(), "id", "left_anti")
     short = keyed("short_name", 4, "SHORT_NAME").filter(F.length("k") >= 2)
-    lengths = short.select(F.length("k").alias("size")).distinct()  # few, whatever the number of names
-    texts = rest.filter("text is not null").select("id", "text").join(F.broadcast(lengths), F.length("text") >= F.col("size"))
-    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1), lambda i: F.substring("text", i, F.col("size"))))
-    within = texts.select("id", F.explode(parts).alias("k")).join(short, "k")
+    within = names_within(rest.select("id", "text"), short.select(F.col("k").alias("name"), "found"))
+    within = within.select("id", "found", F.lit(4).alias("rank"), F.lit("SHORT_NAME").alias("rule"))
     every = hits.unionByName(within.select("id", "found", "rank", "rule"))
     return every.groupBy("id").agg(F.min(F.struct("rank", "found", "rule")).alias("b")).select("id", F.col("b.found").alias("security_code"), "b.rule")
 

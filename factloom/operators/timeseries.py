@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.priority import CUMULATIVE, SINGLE_QUARTER, formula_priority
+from factloom.functions.priority import CUMULATIVE, SINGLE_QUARTER, STATEMENTS, formula_priority, looked_up
 
 KEY = ["security_code", "field_key"]
 
@@ -198,10 +198,12 @@ RATIOS = {
 def independent_quarters(official: DataFrame) -> DataFrame:
     """Q2, Q3 and Q4 of each security, statement, scope and field as differences of totals that run through the year.
 
-    Needs statement_type and scope; keeps all columns. Balances of cash are left out, a first quarter is its own total and
+    Keeps all columns; facts without a statement have that of their family, facts without a scope an empty one. Balances of cash are left out, a first quarter is its own total and
     gives no row, and neither does a quarter without the one before it. Of several rows of one date the greatest record counts.
     """
     keys = ["security_code", "statement_type", "scope", "field_key"]
+    own = {"statement_type": lambda: looked_up("family", STATEMENTS, F.lit("")), "scope": lambda: F.lit("")}
+    official = official.withColumns({c: make() for c, make in own.items() if c not in official.columns})
     flow = official.filter(F.col("statement_type").isin(*FLOWS) & ~F.coalesce("field_key", F.lit("")).isin(*BALANCES))
     ends = flow.filter(F.date_format("report_date", "MM-dd").isin("03-31", "06-30", "09-30", "12-31"))
     rows = _greatest(ends, [*keys, "report_date"]).filter(F.col("value_num").isNotNull() & ~F.isnan("value_num"))

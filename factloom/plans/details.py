@@ -126,9 +126,14 @@ def jon11(spark, d):
     return doc.label_matches(src.table(spark, d, "orders").select("o_orderkey", label.alias("label")), targets).select("o_orderkey", "target")
 
 
-@query("snk9_manifest", "SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+PACK = {"orders": ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"], "lineitem": ["l_linenumber", "l_orderkey", "l_partkey", "l_returnflag"],
+    "customer": ["c_custkey", "c_mktsegment", "c_name"]}
+
+
+@query("snk9_manifest", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, CAST(sum(CAST('0x' || left(md5(concat_ws(chr(31), {', '.join(c)})), 15) AS BIGINT)::HUGEINT) AS VARCHAR) AS digest FROM {t}"
+    for t, c in PACK.items()))
 def snk9(spark, d):
-    return sinks.manifest({n: src.table(spark, d, n) for n in ("orders", "lineitem")}).select("name", "rows")
+    return sinks.manifest({t: src.table(spark, d, t).select(*c) for t, c in PACK.items()})
 
 
 @query("jon2_classified", src.sql("""SELECT security_code, family, report_date, field_key, CASE family WHEN 'RPT_F10_FINANCE_GINCOME' THEN 'OFFICIAL_DIRECT'

@@ -28,7 +28,7 @@ def test_entities_take_all_suppliers(spark, monkeypatch):
 
 def test_metadata_and_tags_take_whole_tables(spark):
     found = catalog.queries()["rec22_all_metadata_facts"](spark, SMALL)
-    assert found.select("document_id").distinct().count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert found.select("source_document").distinct().count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
     texts = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert catalog.queries()["nrm23_all_language_tags"](spark, SMALL).count() == texts.count()
 
