@@ -80,20 +80,26 @@ def segments(facts: DataFrame, name: str, revenue: str, cost: str) -> DataFrame:
 def names_within(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(id, name, ...) of names, of at least two characters, that stand in texts (id, text).
 
-    A text is cut into its different pairs of neighbouring characters, once; a name is known by that of its pairs which the
-    fewest texts have, and is looked for only in texts with this pair. So a text costs its length, whatever the lengths of
-    the names, and a pair that every text has is no name's key unless the name has no other.
+    A text is cut into its different runs of three neighbouring characters, once; a name is known by that of its runs which
+    the fewest texts have, and is looked for only in texts with this run (names of two characters by pairs in the same way).
+    So a text costs its length, whatever the lengths of the names, and a run that every text has is no name's key unless
+    the name has no other.
     """
-    pairs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(..))"), F.lit(1)))
-    own = texts.filter("text is not null").withColumn("t__pair", F.explode(pairs(F.col("text"))))
     asked = names.filter(F.length("name") >= 2).distinct()
-    of_names = asked.select("name").distinct().withColumn("t__pair", F.explode(pairs(F.col("name"))))
-    wanted = of_names.select("t__pair").distinct()
-    frequent = own.join(wanted, "t__pair", "left_semi").groupBy("t__pair").agg(F.count(F.lit(1)).alias("t__n"))
-    rarest = of_names.join(frequent, "t__pair", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("t__n", F.lit(0)).alias("n"), "t__pair")).alias("b"))
-    keys = rarest.filter("b.n > 0").select("name", F.col("b.t__pair").alias("t__pair"))  # a pair that no text has: neither has the name
-    hits = own.join(keys, "t__pair").filter(F.contains("text", F.col("name"))).select("id", "name")
-    return hits.join(asked, "name")
+    long = F.length("name") > 2
+    return _with_runs(texts, asked.filter(long), 3).unionByName(_with_runs(texts, asked.filter(~long), 2))
+
+
+def _with_runs(texts: DataFrame, names: DataFrame, size: int) -> DataFrame:
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    own = texts.filter("text is not null").withColumn("t__run", F.explode(runs(F.col("text"))))
+    of_names = names.select("name").distinct().withColumn("t__run", F.explode(runs(F.col("name"))))
+    wanted = of_names.select("t__run").distinct()
+    frequent = own.join(wanted, "t__run", "left_semi").groupBy("t__run").agg(F.count(F.lit(1)).alias("t__n"))
+    rarest = of_names.join(frequent, "t__run", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("t__n", F.lit(0)).alias("n"), "t__run")).alias("b"))
+    keys = rarest.filter("b.n > 0").select("name", F.col("b.t__run").alias("t__run"))  # a run that no text has: neither has the name
+    hits = own.join(keys, "t__run").filter(F.contains("text", F.col("name"))).select("id", "name")
+    return hits.join(names, "name")
 
 
 def entity_matches(mentions: DataFrame, profiles: DataFrame) -> DataFrame:
