@@ -257,5 +257,13 @@ def forbidden_characters(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(found.alias("c")).groupBy(F.ascii("c").alias("code_point")).agg(F.count(F.lit(1)).alias("removed"))
 
 
+def affected_strings(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """(key, column, removed, code_points, cleaned) of every text that holds forbidden characters, to be reported beside what is written."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("t")) for c in columns])
+    hit = rows.select(*key, F.inline(each)).withColumn("found", F.regexp_extract_all(F.col("t"), F.lit(r"([\x00-\x08\x0B\x0C\x0E-\x1F])"), F.lit(1))).filter(F.size("found") > 0)
+    points = F.array_sort(F.array_distinct(F.transform("found", lambda c: F.ascii(c))))
+    return hit.select(*key, "column", F.size("found").alias("removed"), points.alias("code_points"), clean(F.col("t")).alias("cleaned"))
+
+
 def clean(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")

@@ -170,6 +170,14 @@ def debt_proxy(facts: DataFrame, cutoff: Column) -> DataFrame:
     )
 
 
+def with_debt_proxy(chosen: DataFrame, proxies: DataFrame) -> DataFrame:
+    """Rows of selected() with debt_proxy() where no source gives the debt itself; what came out unusable makes room for it."""
+    key = ["security_code", "report_date", "target"]
+    direct = chosen.filter((F.col("target") == "interest_bearing_debt") & F.col("value").isNotNull()).select(*key)
+    used = proxies.join(direct, key, "left_anti")
+    return chosen.join(used.select(*key), key, "left_anti").select(*chosen.columns).unionByName(used)
+
+
 def field_statuses(chosen: DataFrame, periods: DataFrame, template: Column) -> DataFrame:
     """A row for each period and target: SOURCE_MISSING where nothing was found, NOT_APPLICABLE by industry template."""
     targets = F.explode(F.array(*[F.lit(t) for t in FIELDS])).alias("target")
@@ -245,6 +253,35 @@ def violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> Dat
     return rows.select(*key, F.explode(broken).alias("rule"))
 
 
+def formal_violations(rows: DataFrame, cutoff: Column, requests: DataFrame | None = None, start: str = "request_annual_from") -> DataFrame:
+    """(security_id, report_period, rule) of a table that is to be handed on: one row a security and period, known by the cutoff.
+
+    DUPLICATE_KEY, AVAILABLE_AT_MISSING and FUTURE_ROW; with requests (security_id, start, request_through, status) also
+    UNKNOWN_SECURITY, of which no request succeeded, and PERIOD_OUT_OF_RANGE. A table that lacks a column is an error.
+    """
+    needed = ["security_id", "report_period", "available_at"]
+    if absent := sorted(set(needed) - set(rows.columns)):
+        raise ValueError(f"SCHEMA_INVALID: {absent}")
+    key = ["security_id", "report_period"]
+    out = rows.select(*needed).withColumn("p__n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    known = F.col("available_at").isNotNull() & (F.trim(F.col("available_at").cast("string")) != "")
+    rules = {"DUPLICATE_KEY": F.col("p__n") == 1, "AVAILABLE_AT_MISSING": known, "FUTURE_ROW": ~known | (F.col("available_at") <= cutoff)}
+    if requests is not None:
+        own = requests.filter("status = 'SUCCESS'").groupBy(F.col("security_id").alias("r__id")).agg(F.min(start).alias("r__a"), F.max("request_through").alias("r__z"))
+        out = out.join(own, F.col("security_id").cast("string") == F.col("r__id").cast("string"), "left")
+        unknown = F.col("r__id").isNull()
+        rules |= {"UNKNOWN_SECURITY": ~unknown, "PERIOD_OUT_OF_RANGE": unknown | F.col("report_period").between(F.col("r__a"), F.col("r__z"))}
+    return violations(out, key, rules).distinct()
+
+
+def formal(rows: DataFrame, cutoff: Column, requests: DataFrame | None = None, start: str = "request_annual_from") -> DataFrame:
+    """rows, if they break no formal rule; an error that says how often each is broken if they do."""
+    broken = formal_violations(rows, cutoff, requests, start).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).collect()
+    if broken:  # as many rows as there are rules at most
+        raise ValueError(", ".join(sorted(f"{r.rule}: {r.n}" for r in broken)))
+    return rows
+
+
 def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

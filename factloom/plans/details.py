@@ -175,3 +175,14 @@ def doc9_statement_values(spark, d):
     lines = o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").cast("int").alias("page"), F.posexplode(each).alias("line_no", "line"))
     found = doc.statement_values(lines, targets.labels(spark))
     return found.select("document_id", "statement", "field_key", "scope", "value", "unit", "tolerance")
+
+
+@query("snk10_affected_strings", """SELECT p_partkey, 'p_name' AS "column", 2 AS removed, 7 AS first_point, p_name AS cleaned FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'p_type', 1, 31, p_type FROM part WHERE p_partkey % 2 = 0""")
+def snk10_affected(spark, d):
+    from factloom.operators.normalize import affected_strings
+
+    bad = {"p_name": F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("\x07"), "p_name", F.lit("\x0b"))).otherwise(F.col("p_name")),
+        "p_type": F.when(F.col("p_partkey") % 2 == 0, F.concat("p_type", F.lit("\x1f"))).otherwise(F.concat("p_type", F.lit("\t\n")))}
+    found = affected_strings(src.table(spark, d, "part").withColumns(bad), ["p_partkey"], ["p_name", "p_type"])
+    return found.select("p_partkey", "column", "removed", F.get("code_points", 0).alias("first_point"), "cleaned")

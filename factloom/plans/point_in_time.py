@@ -196,6 +196,40 @@ def fin15(spark, d):
     return p.violations(src.facts_cum(spark, d), ["security_code", "field_key", "report_date"], rules)
 
 
+@query("fin15_formal_violations", src.sql("""f AS (SELECT security_code, field_key, report_date, CASE WHEN quarter(report_date) < 4 OR CAST(security_code AS INT) % 7 > 0 THEN available_at END AS a
+    FROM (SELECT * FROM facts_cum UNION ALL SELECT * FROM facts_restated) WHERE field_key = 'REVENUE'),
+g AS (SELECT *, count(*) OVER (PARTITION BY security_code, report_date) AS n, CAST(security_code AS INT) % 4 AS k, make_date(1996 + CAST(security_code AS INT) % 3, 1, 1) AS low FROM f)
+SELECT DISTINCT security_code AS security_id, report_date AS report_period, unnest(list_filter([CASE WHEN n > 1 THEN 'DUPLICATE_KEY' END, CASE WHEN a IS NULL THEN 'AVAILABLE_AT_MISSING' END,
+  CASE WHEN a > DATE '2000-10-01' THEN 'FUTURE_ROW' END, CASE WHEN k = 0 THEN 'UNKNOWN_SECURITY' END,
+  CASE WHEN k > 0 AND report_date NOT BETWEEN low AND DATE '1999-12-31' THEN 'PERIOD_OUT_OF_RANGE' END], lambda x: x IS NOT NULL)) AS rule FROM g"""))
+def fin15_formal(spark, d):
+    """Revenues with their restatements as if they were one table to hand on, some without a date of availability."""
+    rows = src.facts_cum(spark, d).unionByName(src.facts_restated(spark, d)).filter("field_key = 'REVENUE'")
+    known = F.when((F.quarter("report_date") < 4) | (F.col("security_code").cast("int") % 7 > 0), F.col("available_at"))
+    table = rows.select(F.col("security_code").alias("security_id"), F.col("report_date").alias("report_period"), known.alias("available_at"))
+    s = F.col("s_suppkey")
+    requests = src.table(spark, d, "supplier").select(F.lpad(s.cast("string"), 6, "0").alias("security_id"), F.make_date(F.lit(1996) + (s % 3).cast("int"), F.lit(1), F.lit(1)).alias("request_annual_from"),
+        F.lit(datetime.date(1999, 12, 31)).alias("request_through"), F.when(s % 4 == 0, "FAILED").otherwise("SUCCESS").alias("status"))
+    return p.formal_violations(table, cutoff(), requests)
+
+
+@query("fin7_annual_debt", src.sql(STATUSES + """, db AS (SELECT security_code, report_date, sum(value_num) AS debt, max(available_at) AS known FROM facts_point WHERE field_key <> 'QTY'
+    AND available_at <= DATE '2000-10-01' GROUP BY 1, 2),
+pe AS (SELECT security_code, report_date FROM every UNION SELECT security_code, report_date FROM db)
+SELECT pe.security_code, pe.report_date, round(max(st.value) FILTER (st.target = 'revenue'), 4) AS revenue, round(max(CASE WHEN CAST(pe.security_code AS INT) % 10 > 0 THEN debt END), 4) AS interest_bearing_debt,
+  greatest(max(st.available_at), max(CASE WHEN CAST(pe.security_code AS INT) % 10 > 0 THEN known END)) AS available_at
+FROM pe LEFT JOIN st USING (security_code, report_date) LEFT JOIN db USING (security_code, report_date) WHERE month(pe.report_date) = 12 GROUP BY 1, 2"""))
+def fin7_annual(spark, d):
+    """The annual table with debt from its parts; banks have none."""
+    key = F.when(F.col("field_key") == "REVENUE", "SHORT_LOAN").when(F.col("field_key") == "COST", "BOND_PAYABLE").otherwise("OTHER")
+    parts = src.facts_point(spark, d).withColumns({"field_key": key, "period_basis": F.lit("CUMULATIVE"), "source_priority": F.lit(None).cast("int")})
+    chosen = p.with_gross_profit(p.selected(finance_facts(spark, d), cutoff()))
+    chosen = kept(p.with_debt_proxy(chosen, p.debt_proxy(parts, cutoff())))
+    rows = p.field_statuses(chosen, chosen.select("security_code", "report_date").distinct(), template())
+    out = p.annual(rows).select("security_code", "report_date", "revenue", "interest_bearing_debt", "available_at")
+    return out.withColumns({c: F.round(c, 4) for c in ("revenue", "interest_bearing_debt")})
+
+
 @query("fin17_duplicates",
     src.sql("r AS (SELECT * FROM facts_cum UNION ALL SELECT * FROM facts_restated) SELECT security_code, field_key, report_date, count(*) AS n FROM r GROUP BY 1, 2, 3 HAVING count(*) > 1"))
 def fin17(spark, d):

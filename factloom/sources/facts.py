@@ -108,8 +108,9 @@ def facts_restated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threefold quarters in three families that neither add up to a year nor run through one."""
-    rows = facts_quarter(spark, sf_dir).drop("family").withColumn("value_num", F.col("value_num") * 3)
-    return rows.withColumn("family", F.explode(F.array(*map(F.lit, OTHER_FAMILIES)))).select(*COLUMNS)
+    rows = facts_quarter(spark, sf_dir).withColumn("value_num", F.col("value_num") * 3)
+    each = [rows.withColumn("family", F.lit(f)) for f in OTHER_FAMILIES]  # a filter on the family leaves the others out of the plan
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
