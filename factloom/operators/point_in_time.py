@@ -123,23 +123,24 @@ def selected(facts: DataFrame, cutoff: Column, standalone: bool = False, fields:
     named = usable.withColumn("s", F.explode(F.filter(specs(fields), lambda x: x["key"] == F.col("field_key")))).select("*", "s.*")
     single = F.coalesce(F.col("period_basis"), F.lit("CUMULATIVE")).isin("STANDALONE", "SINGLE_QUARTER")
     named = named.filter((F.col("kind") != "flow") | (single if standalone else ~single))
-    group = Window.partitionBy("security_code", "report_date", "target")
-    tier = [F.desc("p__usable"), F.desc("available_at"), F.desc("source_priority"), F.asc("rank")]
-    ordered = named.withColumn("p__usable", F.col("source_priority") > 0).withColumns(
-        {
-            "p__n": F.row_number().over(group.orderBy(*tier, F.asc_nulls_last("record_key"), F.asc_nulls_last("value_num"))),
-            "p__t": F.rank().over(group.orderBy(*tier)),
-        }
-    )
-    top = ordered.filter("p__t = 1").withColumns(
-        {k: f("value_num").over(group) for k, f in (("p__low", F.min), ("p__high",
-            F.max))} | {"p__texts": F.size(F.collect_set(F.trim("value_text")).over(group)), "p__some": F.count("value_num").over(group),
-            "p__all": F.count(F.lit(1)).over(group)}
-    )
+    group = ["security_code", "report_date", "target"]
+    named = named.withColumns({"p__usable": F.col("source_priority") > 0, "p__rank": -F.col("rank")})
+    tier = ["p__usable", "available_at", "source_priority", "p__rank"]
+    nulls_last = lambda c: [F.col(c).isNull(), F.col(c)]
+    first = F.min_by(F.struct("kind", "value_num", "value_text"), F.struct(*nulls_last("record_key"), *nulls_last("value_num")))
+    text = F.trim("value_text")
+    # one shuffle by the group, two aggregations on it: of each tier, then the best tier
+    tiers = named.repartition(*group).groupBy(*group, *tier).agg(
+        first.alias("p__one"), F.min("value_num").alias("p__low"), F.max("value_num").alias("p__high"), F.min(text).alias("p__text"), F.max(text).alias("p__text_"),
+        F.count("value_num").alias("p__some"), F.count(F.lit(1)).alias("p__all"),
+    )
+    rest = [c for c in tiers.columns if c not in group]
+    top = tiers.groupBy(*group).agg(F.max_by(F.struct(*rest), F.struct(*tier)).alias("p__b")).select(*group, *[F.col(f"p__b.{c}") for c in rest])
+    top = top.select("*", "p__one.*")
     allowed = F.greatest(F.lit(1e-8), F.greatest(F.abs("p__low"), F.abs("p__high"), F.lit(1.0)) * 1e-10)
-    same = F.when(F.col("p__some") == F.col("p__all"), F.col("p__high") - F.col("p__low") <= allowed).otherwise(F.col("p__texts") <= 1)
+    same = F.when(F.col("p__some") == F.col("p__all"), F.col("p__high") - F.col("p__low") <= allowed).otherwise(F.coalesce(F.col("p__text") == F.col("p__text_"), F.lit(True)))
     status = F.when(~F.col("p__usable"), "PARSE_SUSPECT").when(~same, "CONFLICTING").otherwise("SOURCE_DIRECT")
-    one = top.filter("p__n = 1").withColumn("status", status)
+    one = top.withColumn("status", status)
     direct = F.col("status") == "SOURCE_DIRECT"
     return one.select(
         "security_code", "report_date", "target", "kind", "status", F.when(direct, F.col("value_num")).alias("value"),

@@ -14,6 +14,7 @@ from factloom.functions.priority import COMPARE_PRIORITY, INDEPENDENT, STATEMENT
 from factloom.functions.rules import IDENTITIES, TOLERANCE_GROUPS
 from factloom.functions.targets import default_targets
 from factloom.operators.normalize import canonical_period, date_of, plain_text, report_label
+from factloom.operators.timeseries import first_by
 
 # Classes of statuses.
 CONFLICTS = ["MISMATCH", "VERSION_CONFLICT", "SCOPE_CONFLICT", "PERIOD_CONFLICT", "UNIT_CONFLICT"]
@@ -288,11 +289,9 @@ def searched(rows: DataFrame, word: str = "", status: str | None = None, mode: s
 
 
 def primary(facts: DataFrame) -> DataFrame:
-    """One row for each security, record and field: family of the highest priority, then those with a number."""
-    order = Window.partitionBy("security_code", "family", "dataset", "record_key", "field_key").orderBy(
-        looked_up("family", COMPARE_PRIORITY, 99), F.col("value_num").isNull(), F.desc_nulls_last("available_at")
-    )
-    return facts.withColumn("r__n", F.row_number().over(order)).filter("r__n = 1").drop("r__n")
+    """One row for each security, record and field: family of the highest priority, then those with a number, then the latest known."""
+    order = [looked_up("family", COMPARE_PRIORITY, 99), F.col("value_num").isNull(), F.coalesce(-F.unix_date("available_at"), F.lit(1 << 30)), F.col("value_num")]
+    return first_by(facts, ["security_code", "family", "dataset", "record_key", "field_key"], order)
 
 
 GRAIN = ["security_code", "report_date", "field_key"]

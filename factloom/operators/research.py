@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from factloom.functions.priority import formula_priority, looked_up
 from factloom.operators.documents import company_name
 from factloom.operators.normalize import stable_id
+from factloom.operators.timeseries import first_by
 
 # Key order of the sections of a cash-flow statement.
 CASH_FLOW_ENDS = ("NETPROFIT", "CCE_ADDNOTE")
@@ -27,8 +28,7 @@ def united(frames: list[DataFrame], key: str) -> DataFrame:
     for k, df in enumerate(frames):
         df = df.withColumn("r__k", F.lit(k))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("r__k", *[c for c in out.columns if c not in (key, "r__k")])
-    return out.withColumn("r__n", F.row_number().over(order)).filter("r__n = 1").drop("r__k", "r__n")
+    return first_by(out, [key], [F.col("r__k"), *[F.col(c) for c in out.columns if c not in (key, "r__k")]]).drop("r__k")
 
 
 # Metrics that profit quality is derived from.
