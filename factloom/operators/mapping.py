@@ -74,7 +74,9 @@ def source_facts(facts: DataFrame, cutoff: Column, metrics: DataFrame | None = N
     facts = facts if "event_date" in facts.columns else facts.withColumn("event_date", F.lit(None).cast("date"))
     known = facts.filter(F.col("available_at").isNull() | (F.col("available_at") <= cutoff))
     if metrics is None:
-        named = resolved(known)
+        # the fact's own unit says what its number means, the ontology's what one without a unit is in
+        named = resolved(known.withColumn("m__unit", F.col("unit")))
+        named = named.withColumn("unit", F.coalesce(F.nullif(F.trim("m__unit"), F.lit("")), F.col("unit")))
     else:
         own = F.coalesce("metric_id", F.concat_ws(".", F.lit("source"), "family", "field_key"))
         named = known.drop("metric_id").join(metrics, "field_key", "left").withColumn("metric_id", own)

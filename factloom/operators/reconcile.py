@@ -288,6 +288,14 @@ def searched(rows: DataFrame, word: str = "", status: str | None = None, mode: s
     return out.filter(date <= F.lit(end)) if end else out
 
 
+def search_page(found: DataFrame, order: list[str], page: int = 1, size: int = 100) -> DataFrame:
+    """A page of what searched() found, in an order that the given columns and then all others decide, with the total of all pages."""
+    every = found.agg(F.count(F.lit(1)).alias("total"))  # one row
+    last = [c for c, kind in found.dtypes if c not in order and not kind.startswith(("map", "variant"))]
+    rows = found.orderBy(*[F.asc_nulls_last(c) for c in [*order, *last]]).offset((max(page, 1) - 1) * size).limit(size)
+    return rows.crossJoin(F.broadcast(every))
+
+
 def primary(facts: DataFrame) -> DataFrame:
     """One row for each security, record and field: family of the highest priority, then those with a number, then the latest known."""
     order = [looked_up("family", COMPARE_PRIORITY, 99), F.col("value_num").isNull(), F.coalesce(-F.unix_date("available_at"), F.lit(1 << 30)), F.col("value_num")]

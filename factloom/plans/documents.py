@@ -232,6 +232,15 @@ def flt12(spark, d):
         "report_date", "field_key")
 
 
+@query("flt12_search_page", src.sql("""f AS (SELECT security_code, family, report_date, field_key, count(*) OVER () AS total FROM facts WHERE contains(lower(field_name_cn), 'sold') AND period_type = 'FY')
+SELECT * FROM f ORDER BY report_date, security_code, family, field_key LIMIT 25 OFFSET 50"""))
+def flt12_page(spark, d):
+    """The third page of a search, and how much there is in all."""
+    rows = src.facts(spark, d).withColumn("status", F.col("period_type"))
+    found = rec.searched(rows, " Sold", status="FY").select("security_code", "family", "report_date", "field_key")
+    return rec.search_page(found, ["report_date"], 3, 25)
+
+
 @query("snk5_views", """WITH r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'MISMATCH' WHEN 'O' THEN 'SOURCE_SPECIFIC'
     ELSE 'EXACT_MATCH' END AS status, o_orderpriority AS mode FROM orders)
 SELECT 'coverage_summary' AS view, mode AS kind, status, count(*) AS n FROM r GROUP BY 2, 3 UNION ALL SELECT 'true_conflicts', mode, status, count(*) FROM r

@@ -139,3 +139,12 @@ def test_only_changed_securities_are_written_again(spark, tmp_path):
     after = {(r.security_code, r.f) for r in read().select("security_code", F.input_file_name().alias("f")).distinct().collect()}
     assert {s for s, _ in before ^ after} == {"b"} and read().count() == 24
     assert read().filter("kind = 'quarters' and security_code = 'b'").select("value_num").distinct().first()[0] == 60.0
+
+
+def test_source_facts_take_the_ontology(spark):
+    d = day("2025-12-31")
+    rows = [("1", "EASTMONEY", "RPT_F10_FINANCE_GINCOME", "m", "k", d, d, "FY", "flow", "consolidated", key, key, 1.0, None, "万元", "FACT_DIRECT", None) for key in ("OPERATE_INCOME", "UNKNOWN_KEY")]
+    facts = spark.createDataFrame(rows, "security_code string, source string, family string, dataset string, record_key string, report_date date, event_date date, period_type string, "
+        "data_semantics string, scope string, field_key string, field_name_cn string, value_num double, value_text string, unit string, source_status string, available_at date")
+    got = {r.metric_id: (r.value_num, r.unit, r.priority) for r in mapping.source_facts(facts, F.lit(day("2026-01-01"))).collect()}
+    assert got["financial.revenue"] == (10_000.0, "元", 60) and len(got) == 2
