@@ -185,14 +185,20 @@ def traced(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
     degrees = step.groupBy("node").agg(F.count(F.lit(1)).alias("m__n"))
     total = step.count()
     hubs = kept(degrees.filter(F.col("m__n") * HUB > F.lit(total)).select("node", F.ceil(F.col("m__n") * HUB / F.lit(max(total, 1))).cast("int").alias("m__parts")))
-    hubs = F.broadcast(hubs)  # fewer than HUB, as together they have all edges at most
+    split = hubs.count() > 0  # fewer than HUB, as together they have all edges at most
+    hubs = F.broadcast(hubs)
     seen = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("node"), F.lit(0).alias("depth"))
     front = seen
     one = F.coalesce("m__parts", F.lit(1))
-    dealt = step.join(hubs, "node", "left").select("node", "to_id", F.pmod(F.xxhash64("to_id"), one.cast("long")).cast("int").alias("m__part"))
+    part_of = F.pmod(F.xxhash64("to_id"), one.cast("long")).cast("int").alias("m__part")
+    dealt = step.join(hubs, "node", "left").select("node", "to_id", part_of) if split else step
     for k in range(1, depth + 1):
-        parts = front.join(hubs, "node", "left").select("start", "node", F.explode(F.sequence(F.lit(0), one - 1)).alias("m__part"))
-        new = parts.join(dealt, ["node", "m__part"]).select("start", F.col("to_id").alias("node")).distinct()
+        if split:
+            parts = front.join(hubs, "node", "left").select("start", "node", F.explode(F.sequence(F.lit(0), one - 1)).alias("m__part"))
+            new = parts.join(dealt, ["node", "m__part"])
+        else:
+            new = front.join(dealt, "node")
+        new = new.select("start", F.col("to_id").alias("node")).distinct()
         front = kept(new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(front)
     return seen
