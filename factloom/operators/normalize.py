@@ -157,6 +157,11 @@ def record_sets(records: DataFrame, expected: list[str], share: float = 0.7) ->
     return g.select("group_id", (F.size("seen") / len(expected)).alias("coverage"), ((F.size("seen") >= share * len(expected)) & F.col("ok")).alias("accepted"))
 
 
+def count_violations(groups: DataFrame) -> DataFrame:
+    """(group_id, record_count, n_records) of groups that say they have another number of records than they have."""
+    return groups.filter(F.col("record_count").isNotNull() & (F.col("record_count") != F.col("n_records"))).select("group_id", "record_count", "n_records")
+
+
 def best_copies(groups: DataFrame) -> DataFrame:
     """One copy of each group_id: count right, success, most records, most payloads, first on ties."""
     rank = F.struct(F.col("record_count") == F.col("n_records"), F.col("success"), F.col("n_records"), F.col("n_payloads"), -F.col("ordinal"))

@@ -13,6 +13,15 @@ from factloom.operators.timeseries import first_by
 
 # Key order of the sections of a cash-flow statement.
 CASH_FLOW_ENDS = ("NETPROFIT", "CCE_ADDNOTE")
+# Keys of the supplement where a statement lacks one of its ends or has them the wrong way round.
+SUPPLEMENT = [
+    "NETPROFIT", "MINORITY_INTEREST", "ASSET_IMPAIRMENT", "FA_IR_DEPR", "OILGAS_BIOLOGY_DEPR", "IR_DEPR", "IA_AMORTIZE", "LPE_AMORTIZE",
+    "DEFER_INCOME_AMORTIZE", "PREPAID_EXPENSE_REDUCE", "ACCRUED_EXPENSE_ADD", "DISPOSAL_LONGASSET_LOSS", "FA_SCRAP_LOSS", "FAIRVALUE_CHANGE_LOSS",
+    "FINANCE_EXPENSE", "INVEST_LOSS", "DEFER_TAX", "DT_ASSET_REDUCE", "DT_LIAB_ADD", "PREDICT_LIAB_ADD", "INVENTORY_REDUCE", "OPERATE_RECE_REDUCE",
+    "OPERATE_PAYABLE_ADD", "OTHER", "OPERATE_NETCASH_OTHERNOTE", "OPERATE_NETCASH_BALANCENOTE", "NETCASH_OPERATENOTE", "DEBT_TRANSFER_CAPITAL",
+    "CONVERT_BOND_1YEAR", "FINLEASE_OBTAIN_FA", "UNINVOLVE_INVESTFIN_OTHER", "END_CASH", "BEGIN_CASH", "END_CASH_EQUIVALENTS", "BEGIN_CASH_EQUIVALENTS",
+    "CCE_ADD_OTHERNOTE", "CCE_ADD_BALANCENOTE", "CCE_ADDNOTE", "USERIGHT_ASSET_AMORTIZE",
+]
 
 
 def best_field(facts: DataFrame, name: str) -> DataFrame:
@@ -217,12 +226,15 @@ def cash_flow_sections(records: DataFrame, of: str = "family") -> DataFrame:
     """Sections of the keys (record, position, key) of each statement by their order: from NETPROFIT to CCE_ADDNOTE
     supplement, the rest primary; YOY and QOQ by name.
 
-    A key's position is its first one in any record; the two ends are those of the statement's own keys.
+    A key's position is its first one in any record; the two ends are those of the statement's own keys. A statement without
+    both ends in this order has as supplement the keys that are known as such and those with NOTE.
     """
     first = records.groupBy(of, "key").agg(F.min("position").alias("position"))
     edge = lambda k: F.min(F.when(F.col("key") == k, F.col("position")))
     ends = first.groupBy(of).agg(edge(CASH_FLOW_ENDS[0]).alias("low"), edge(CASH_FLOW_ENDS[1]).alias("high"))
-    within = F.coalesce((F.col("position") >= F.col("low")) & (F.col("position") <= F.col("high")), F.lit(False))
+    by_order = F.coalesce(F.col("low") <= F.col("high"), F.lit(False))
+    by_name = F.col("key").isin(*SUPPLEMENT) | F.contains("key", F.lit("NOTE"))
+    within = F.when(by_order, F.col("position").between(F.col("low"), F.col("high"))).otherwise(by_name)
     section = F.when(F.endswith("key", F.lit("_YOY")), "yoy").when(F.endswith("key", F.lit("_QOQ")), "qoq").when(within, "supplement").otherwise("primary")
     return first.join(ends, of).select(of, "key", section.alias("section"))
 

@@ -268,6 +268,23 @@ def snk6(spark, d):
         "id").unionByName(views["canonical_conflicts"].select(F.lit("canonical_conflicts").alias("view"), "id"))
 
 
+@query("snk8_sections_by_name", """WITH k AS (SELECT l_suppkey AS family, l_linenumber AS p, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'CCE_ADDNOTE' ELSE 'K1' END
+    WHEN l_linenumber = 2 THEN 'NETPROFIT' WHEN l_linenumber = 3 THEN 'MY_NOTES' WHEN l_linenumber = 4 THEN CASE WHEN l_suppkey % 3 = 1 THEN 'CCE_ADDNOTE' ELSE 'DEFER_TAX' END ELSE 'A_QOQ' END AS key
+    FROM lineitem GROUP BY 1, 2, 3),
+e AS (SELECT family, key, min(p) AS p FROM k GROUP BY 1, 2),
+o AS (SELECT *, min(p) FILTER (key = 'NETPROFIT') OVER (PARTITION BY family) AS a, min(p) FILTER (key = 'CCE_ADDNOTE') OVER (PARTITION BY family) AS z FROM e)
+SELECT family, key, CASE WHEN key = 'A_QOQ' THEN 'qoq' WHEN a <= z THEN CASE WHEN p BETWEEN a AND z THEN 'supplement' ELSE 'primary' END
+  WHEN key IN ('NETPROFIT', 'DEFER_TAX', 'CCE_ADDNOTE', 'MY_NOTES') THEN 'supplement' ELSE 'primary' END AS section FROM o""")
+def snk8_by_name(spark, d):
+    """Statements with both ends in order, in the wrong order, and with one of them."""
+    k, s = F.col("l_linenumber"), F.col("l_suppkey") % 3
+    key = (
+        F.when(k == 1, F.when(s == 0, "CCE_ADDNOTE").otherwise("K1")).when(k == 2, "NETPROFIT").when(k == 3, "MY_NOTES")
+        .when(k == 4, F.when(s == 1, "CCE_ADDNOTE").otherwise("DEFER_TAX")).otherwise("A_QOQ")
+    )
+    return research.cash_flow_sections(src.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("family"), key.alias("key"), k.alias("position")))
+
+
 @query("snk8_cash_flow_sections", """WITH k AS (SELECT l_suppkey AS family, CASE l_linenumber WHEN 2 THEN 'NETPROFIT' WHEN 4 THEN 'CCE_ADDNOTE'
     WHEN 6 THEN 'A_YOY' WHEN 7 THEN 'A_QOQ' ELSE 'K' || l_linenumber END AS key, min(l_linenumber) AS p FROM lineitem GROUP BY 1, 2),
 e AS (SELECT *, min(p) FILTER (key = 'NETPROFIT') OVER (PARTITION BY family) AS a, min(p) FILTER (key = 'CCE_ADDNOTE') OVER (PARTITION BY family) AS z FROM k)

@@ -128,6 +128,15 @@ def nrm12(spark, d):
     return n.record_sets(rows, ["click", "view", "error", "purchase"])
 
 
+@query("nrm13_count_violations", """SELECT o_orderkey AS group_id, n + CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS record_count, n AS n_records
+FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1) WHERE o_orderkey % 9 = 0 AND o_orderkey % 5 > 0""")
+def nrm13(spark, d):
+    """Orders that say they have a line more than they have; some don't say how many."""
+    g = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("group_id")).agg(F.count(F.lit(1)).alias("n_records"))
+    said = F.when(F.col("group_id") % 5 > 0, F.col("n_records") + F.when(F.col("group_id") % 9 == 0, 1).otherwise(0))
+    return n.count_violations(g.withColumn("record_count", said))
+
+
 @query("nrm14_best_copies",
     """SELECT g AS group_id, (b).success AS success, (b).n_records AS n_records, (b).n_payloads AS n_payloads, (b).ordinal AS ordinal FROM (
   SELECT event_id % 50 AS g, arg_max({'success': event_type <> 'error', 'n_records': user_id % 7, 'n_payloads': user_id % 3, 'ordinal': event_id},
