@@ -67,7 +67,7 @@ def rec14(spark, d):
     ELSE 'POST_LISTING_PERIODIC_EXPECTED' END AS period_class,
   CASE WHEN before THEN 'PRE_LISTING_OFFICIAL_SOURCE_NOT_LOADED' WHEN summary THEN 'OFFICIAL_REPORT_SUMMARY_SCOPE_GAP' WHEN zero THEN 'OFFICIAL_DOCUMENT_EXTRACTION_FAILED'
     WHEN there THEN 'AVAILABLE' WHEN NOT transition AND report_date > latest THEN 'OFFICIAL_REPORT_NOT_YET_DISCLOSED' ELSE 'POST_LISTING_OFFICIAL_REPORT_NOT_FOUND' END AS coverage_status,
-  there AS official_document_found, CASE WHEN there AND NOT (k = 1 AND q = 1) THEN 9 ELSE 0 END AS extracted_fact_count FROM st"""))
+  there AS official_document_found, CAST(CASE WHEN there AND NOT (k = 1 AND q = 1) THEN 9 ELSE 0 END AS BIGINT) AS extracted_fact_count FROM st"""))
 def rec15(spark, d):
     return lifecycle.period_table(states(spark, d))
 

@@ -154,10 +154,10 @@ def rec3(spark, d):
     max(value_num) FILTER (field_key = 'COST') AS cost, max(value_num) FILTER (field_key = 'QTY') AS qty FROM facts_cum GROUP BY 1, 2),
 v AS (SELECT *, rev + cost AS assets, CASE WHEN q = 4 THEN NULL ELSE rev END AS liab, cost AS equity, rev + cost + CASE WHEN q = 1 THEN 9 ELSE 0 END AS total,
   rev + cost - qty + CASE WHEN year(report_date) % 2 = 1 THEN 5 ELSE 0 END + CASE WHEN q = 3 THEN 7 ELSE 0 END AS change FROM w)
-SELECT security_code, report_date, 'BALANCE_ASSETS_EQ_LIAB_PLUS_EQUITY' AS check_id, round(assets, 4) AS left_value, round(liab + equity, 4) AS right_value, 4.0 AS tolerance,
+SELECT security_code, report_date, 'BALANCE_ASSETS_EQ_LIAB_PLUS_EQUITY' AS check_id, round(assets, 4) AS left_value, round(liab + equity, 4) AS right_value, 4.0::DOUBLE AS tolerance,
   CASE WHEN liab IS NULL THEN 'UNRESOLVED' ELSE 'PASS' END AS status FROM v
-UNION ALL SELECT security_code, report_date, 'BALANCE_ASSETS_EQ_TOTAL_LIAB_EQUITY', round(assets, 4), round(total, 4), 2.0, CASE WHEN q = 1 THEN 'FAIL' ELSE 'PASS' END FROM v
-UNION ALL SELECT security_code, report_date, 'CASHFLOW_NET_CHANGE', round(change, 4), round(rev + cost - qty + CASE WHEN year(report_date) % 2 = 1 THEN 5 ELSE 0 END, 4), 6.0,
+UNION ALL SELECT security_code, report_date, 'BALANCE_ASSETS_EQ_TOTAL_LIAB_EQUITY', round(assets, 4), round(total, 4), 2.0::DOUBLE, CASE WHEN q = 1 THEN 'FAIL' ELSE 'PASS' END FROM v
+UNION ALL SELECT security_code, report_date, 'CASHFLOW_NET_CHANGE', round(change, 4), round(rev + cost - qty + CASE WHEN year(report_date) % 2 = 1 THEN 5 ELSE 0 END, 4), 6.0::DOUBLE,
   CASE WHEN q = 3 THEN 'FAIL' ELSE 'PASS' END FROM v"""))
 def rec21(spark, d):
     wide = src.facts_cum(spark, d).groupBy("security_code", "report_date").pivot("field_key", ["REVENUE", "COST", "QTY"]).agg(F.first("value_num"))
