@@ -378,7 +378,7 @@ def summary_amount(line: Column, kind: Column, semantics: Column) -> Column:
     raw = lambda k: F.regexp_replace(F.get(tokens, k)["raw"], r"\s+", "")
     first_at = F.call_function("locate", raw(0), packed)
     between = F.call_function("locate", F.lit("不适用"), packed, first_at + 1)
-    second_at = F.call_function("locate", raw(1), packed, first_at + 1)
+    second_at = F.call_function("locate", raw(1), packed, first_at + F.length(raw(0)))  # its digits may also end the first
     plain = (kind != "q3") | (semantics == "point_in_time")
     missing = (F.size(tokens) == 3) & (first_at > 0) & (between > first_at) & (second_at > between)
     return F.when(plain, F.get(tokens, 0)).when(F.size(tokens) >= 4, F.get(tokens, 2)).when(missing, F.get(tokens, 1)).otherwise(F.get(tokens, 0))
