@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import documents
+from factloom.plans import catalog
 
 
 def test_a_second_amount_may_repeat_the_end_of_the_first(spark):
@@ -10,3 +11,11 @@ def test_a_second_amount_may_repeat_the_end_of_the_first(spark):
     rows = spark.createDataFrame(list(lines.items()), "line string, want double")
     value = documents.summary_amount(F.col("line"), F.lit("q3"), F.lit("flow"))["value"]
     assert all(r.value == r.want for r in rows.withColumn("value", value).collect())
+
+
+def test_parts_from_a_million_on_have_verdicts_of_their_own(spark, tmp_path):
+    keys = [120_000, 120_001, *range(1_200_000, 1_200_018)]
+    spark.createDataFrame([(k, f"name {k}", f"type {k}") for k in keys], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    of = ["TEXT_MATCH_NORMALIZED", "MISMATCH", "MISSING_EASTMONEY", "MISSING_OFFICIAL", "TEXT_MATCH_NORMALIZED", "MISMATCH", "SET_MATCH", "MISMATCH", "MISSING_EASTMONEY"]
+    found = catalog.queries()["rec10_text_verdicts"](spark, str(tmp_path)).collect()
+    assert sorted((r.security_code, r.status) for r in found) == sorted((str(k)[:6], of[k % 9]) for k in keys)
