@@ -79,9 +79,11 @@ def nrm2(spark, d):
 g AS (SELECT c, rank, name, count(*) AS k FROM r GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY rank, k DESC, name) AS n FROM g)
 SELECT c AS security_code, name FROM w WHERE n = 1""")
 def nrm17(spark, d):
-    own = F.when(F.col("o_totalprice") > 50000, F.concat(code("o_custkey"), F.lit(".SZ"))).otherwise("SH999999")
+    # peers have the codes after the customer's own, so that they are others whatever customers there are
+    after = lambda n: F.lpad(((code("o_custkey").cast("int") + n) % 1_000_000).cast("string"), 6, "0")
+    own = F.when(F.col("o_totalprice") > 50000, F.concat(code("o_custkey"), F.lit(".SZ"))).otherwise(F.concat(F.lit("SH"), after(1)))
     body = F.struct(own.alias("SECUCODE"), F.col("o_orderpriority").alias("SECURITY_NAME"))
-    peer = F.struct(F.lit("1.888888").alias("f57"), F.lit("a peer").alias("f58"))
+    peer = F.struct(F.concat(F.lit("1."), after(2)).alias("f57"), F.lit("a peer").alias("f58"))
     text = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(F.struct(body.alias("own"), peer.alias("peer")))).otherwise(F.to_json(F.struct("o_orderkey",
         own.alias("SECUCODE"), F.col("o_orderpriority").alias("SECURITY_NAME"), peer.alias("peer"))))
     family = F.when(F.col("o_orderstatus") == "F", "RPT_F10_ORG_BASICINFO").when(F.col("o_orderstatus") == "O", "PageAjax").otherwise("RPT_X")

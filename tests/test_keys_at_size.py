@@ -1,5 +1,7 @@
 """Results that only keys and amounts of larger tables bring out."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from factloom.operators import documents
@@ -19,3 +21,11 @@ def test_parts_from_a_million_on_have_verdicts_of_their_own(spark, tmp_path):
     of = ["TEXT_MATCH_NORMALIZED", "MISMATCH", "MISSING_EASTMONEY", "MISSING_OFFICIAL", "TEXT_MATCH_NORMALIZED", "MISMATCH", "SET_MATCH", "MISMATCH", "MISSING_EASTMONEY"]
     found = catalog.queries()["rec10_text_verdicts"](spark, str(tmp_path)).collect()
     assert sorted((r.security_code, r.status) for r in found) == sorted((str(k)[:6], of[k % 9]) for k in keys)
+
+
+def test_no_customer_has_the_name_of_a_peer(spark, tmp_path):
+    keys = [7, 8, 888_888, 999_999]
+    rows = [(10 * k + n, k, s, price, f"{n}-OWN", datetime.datetime(2001, 3, 1)) for k in keys for n, (s, price) in enumerate([("F", 40_000.0), ("O", 60_000.0), ("P", 70_000.0)])]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    found = catalog.queries()["nrm17_names"](spark, str(tmp_path)).collect()
+    assert sorted((r.security_code, r.name) for r in found) == [(f"{k:06d}", "1-OWN") for k in keys]
