@@ -133,6 +133,11 @@ def _tokens(line: Column) -> Column:
     return F.transform(amount, lambda x: F.struct(x.alias("raw"), value(x).alias("value")))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value calculated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def amounts(line: Column) -> Column:
     """Amounts of a line as numbers: full-width marks read as half-width, brackets make them negative, notes are left out."""
     return F.transform(_tokens(line), lambda x: x["value"])
@@ -140,7 +145,10 @@ def amounts(line: Column) -> Column:
 
 def chosen(line: Column) -> Column:
     """(raw, value) of the first amount of a line that looks like one (100 or more, a mark or a bracket), else of its first."""
-    tokens = _tokens(line)
+    return _once(_tokens(line), _chosen)
+
+
+def _chosen(tokens: Column) -> Column:
     likely = F.filter(tokens, lambda x: (F.abs(x["value"]) >= 100) | x["raw"].rlike("[,.(]"))
     return F.coalesce(F.get(likely, 0), F.get(tokens, 0))
 
@@ -175,6 +183,34 @@ def _label(row: Column) -> Column:
     return F.lower(plain_label(label_context(row)))
 
 
+# What label_context() and plain_label() may take away or replace, but for letters in brackets.
+REMOVABLE = " \t\n\x0b\f\r\u00a0\u30000123456789一二三四五六七八九十百()（）-−—–%/／,，.、:：其中加减"
+
+
+def _bare(text: Column) -> Column:
+    """A text without all that its label may lack; that of joined rows is theirs joined."""
+    return F.translate(text, REMOVABLE, "")
+
+
+def _folded(bare: Column) -> Column:
+    return F.translate(F.lower(bare), "ς", "σ")  # in lower case the letter's form depends on what follows
+
+
+def _could_match(windows: DataFrame, named: DataFrame) -> DataFrame:
+    """The windows (d__bare, d__open, w) whose label can be that of a target (d__a, d__reach), or open with it before a bracket.
+
+    All that labels keep of a text is there in its order, so a label's bare text begins the bare text of its window, and is
+    the whole of it where there is no bracket. This spares most windows the making of their label.
+    """
+    bare = named.select(_folded(_bare(F.col("d__a"))).alias("d__t"), "d__reach")
+    some = bare.agg(F.coalesce(F.max(F.col("d__t") == ""), F.lit(False)).alias("d__some"))  # one row
+    keys = bare.withColumn("d__first", F.explode(F.array(F.substring("d__t", 1, 1), F.lit(""))))
+    first = F.when(F.col("d__some"), "").otherwise(F.nullif(F.substring("d__bare", 1, 1), F.lit("")))
+    asked = windows.crossJoin(F.broadcast(some)).withColumn("d__key", first)
+    hit = F.startswith("d__bare", "d__t") & (F.col("d__open") | (F.col("d__bare") == F.col("d__t"))) & (F.col("w") <= F.col("d__reach"))
+    return asked.join(F.broadcast(keys), (F.col("d__key") == F.col("d__first")) & hit, "left_semi").drop("d__bare", "d__open", "d__some", "d__key")
+
+
 def _is_label(label: Column, alias: Column) -> Column:
     """Whether a row's label is the alias, or the alias and a bracket."""
     after = F.substr(label, F.length(alias) + 1, F.lit(1))
@@ -197,17 +233,22 @@ def scored(lines: DataFrame, targets: DataFrame, within: Column, width: int = 3,
     most = max(width, summary_width)
     carried = [c for c in lines.columns if c not in ("line_no", "line")]
     following = Window.partitionBy("document_id", "page").orderBy("line_no").rowsBetween(0, most - 1)
-    row = F.struct("line_no", "line", _label(F.col("line")).alias("label"))
+    # letters in brackets go from a label as from its rows
+    row = F.struct("line_no", "line", _label(F.col("line")).alias("label"), _bare(F.regexp_replace("line", r"[（(][A-Za-z][）)]", "")).alias("bare"))
     starts = lines.withColumn("d__r", row).withColumn("d__all", F.collect_list("d__r").over(following)).drop("d__r", "line", "line_no")
     windows = starts.withColumn("w", F.explode(F.sequence(F.lit(1), F.size("d__all")))).withColumn("d__part", F.slice("d__all", F.lit(1), F.col("w"))).drop("d__all")
-    windows = windows.withColumn("context", F.array_join(F.transform("d__part", lambda x: x["line"]), " "))
-    windows = windows.withColumn("d__l", _label(F.col("context"))).filter("d__l != ''").withColumn("start", F.get("d__part", 0)["line_no"])
+    named = targets.select("field_key", "label", F.col("statement").alias("d__of"), "summary", "semantics", F.lower(plain_label(F.col("label"))).alias("d__a"),
+        F.when(F.col("summary"), summary_width).otherwise(width).alias("d__reach")).filter("d__a != ''")
+    windows = windows.withColumn("context", F.array_join("d__part.line", " "))
+    windows = windows.withColumns({"d__bare": _folded(F.array_join("d__part.bare", "")), "d__open": F.col("context").rlike("[（(]")})
+    own = F.when(F.col("w") == 1, F.get("d__part", 0)["label"]).otherwise(_label(F.col("context")))
+    # exploded, so that no filter makes it a second time
+    windows = _could_match(windows, named).withColumn("d__l", F.explode_outer(F.array(own))).filter("d__l != ''").withColumn("start", F.get("d__part", 0)["line_no"])
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("d__l"), F.lit(1))), lambda i: F.substring(F.col("d__l"), i, F.lit(1)).isin("（", "("))
     begins = F.when(F.col("d__l").rlike("[（(]"), F.transform(at, lambda i: F.substring(F.col("d__l"), F.lit(1), i - 1))).otherwise(F.array().cast("array<string>"))
-    keyed = windows.withColumn("d__k", F.explode(F.array_distinct(F.concat(F.array("d__l"), begins))))
-    named = targets.select("field_key", "label", F.col("statement").alias("d__of"), "summary", "semantics", F.lower(plain_label(F.col("label"))).alias("d__a")).filter("d__a != ''")
-    fits = F.col("w") <= F.when(F.col("summary"), summary_width).otherwise(width)
-    matched = keyed.join(named, (F.col("d__k") == F.col("d__a")) & fits & within).drop("d__k")
+    keyed = windows.withColumn("d__k", F.explode_outer(F.array_distinct(F.concat(F.array("d__l"), begins))))
+    # labels of targets are few, and most rows have one of a handful: not dealt by label
+    matched = keyed.join(F.broadcast(named), (F.col("d__k") == F.col("d__a")) & (F.col("w") <= F.col("d__reach")) & within).drop("d__k", "d__reach")
     # a window's longest label of a target is its label
     rest = [c for c in matched.columns if c not in ("document_id", "page", "start", "w", "d__of", "field_key")]
     longest = F.max_by(F.struct(*rest), F.struct(F.length("label"), "label"))
@@ -237,11 +278,14 @@ def scored(lines: DataFrame, targets: DataFrame, within: Column, width: int = 3,
 
     def candidate(x: Column, i: Column) -> Column:
         source = F.coalesce(F.col("d__segment"), x["line"])
-        of_summary = summary_amount(source, F.col("report_kind") if "report_kind" in lines.columns else F.lit(""), F.coalesce("semantics", F.lit("flow")))
-        amount = F.when(F.col("summary"), F.coalesce(of_summary, chosen(source))).otherwise(chosen(source))
-        return F.struct((-(relation(i) + F.col("d__base"))).alias("score"), i.alias("i"), amount["value"].alias("value"), amount["raw"].alias("raw"))
-
-    found = one.withColumn("d__best", F.array_min(F.filter(F.transform("d__part", candidate), lambda c: c["value"].isNotNull()))).filter("d__best is not null")
+        kind = F.col("report_kind") if "report_kind" in lines.columns else F.lit("")
+        of_summary = lambda tokens: _summary_amount(tokens, source, kind, F.coalesce("semantics", F.lit("flow")))
+        amount = _once(_tokens(source), lambda t: F.when(F.col("summary"), F.coalesce(of_summary(t), _chosen(t))).otherwise(_chosen(t)))
+        score = (-(relation(i) + F.col("d__base"))).alias("score")
+        return _once(amount, lambda a: F.struct(score, i.alias("i"), a["value"].alias("value"), a["raw"].alias("raw")))
+
+    best = F.array_min(F.filter(F.transform("d__part", candidate), lambda c: c["value"].isNotNull()))
+    found = one.withColumn("d__best", F.explode_outer(F.array(best))).filter("d__best is not null")
     keep = [c for c in carried if c not in ("document_id", "page")]
     best = F.struct(F.col("d__best.score").alias("score"), "start", (-F.length("label")).alias("length"), "w", F.col("d__best.value").alias("value"),
         F.col("d__best.raw").alias("raw"), "label", "context", *keep)
@@ -291,9 +335,10 @@ def statement_values(lines: DataFrame, targets: DataFrame, width: int = 3, summa
     """
     order = Window.partitionBy("document_id").orderBy("page", "line_no")
     page = Window.partitionBy("document_id", "page")
-    stated = F.last(page_unit(F.col("line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    unit = F.when(F.contains("line", F.lit("单")), page_unit(F.col("line")))  # few rows are asked in full
+    stated = F.last(unit, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     marked = in_statements(lines.withColumns({"line": _spaced("line"), "page_unit": stated}).filter("line != ''"))
-    key_figures = F.max(F.contains(compact(F.col("line")), F.lit("主要财务数据"))).over(page) & (F.col("page") <= 5)
+    key_figures = F.max(F.contains("line", F.lit("据")) & F.contains(compact(F.col("line")), F.lit("主要财务数据"))).over(page) & (F.col("page") <= 5)
     rows = marked.withColumn("key_figures", key_figures)
     summary = F.col("d__of") == "summary"
     within = summary | (F.col("statement") == F.col("d__of")) & (F.col("scope") != "parent") | F.col("key_figures") & F.col("summary")
@@ -347,6 +392,7 @@ def in_statements(lines: DataFrame) -> DataFrame:
         ends = ends | F.contains(compact(F.col("line")), F.lit(name))
     mark = F.when(heading(F.col("line")).isNotNull(), F.struct(F.col("page").alias("page"), heading(F.col("line")).alias("h"))).when(ends,
         F.struct(F.col("page").alias("page"), F.lit(None).cast("struct<statement:string,scope:string>").alias("h")))
+    mark = F.when(F.contains("line", F.lit("表")), mark)  # as all of them do; few rows are asked in full
     last = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     out = lines.withColumn("d__m", last)
     holds = F.col("page") <= F.col("d__m.page") + HOLDS
@@ -373,7 +419,10 @@ def summary_amount(line: Column, kind: Column, semantics: Column) -> Column:
     The first one, but in reports of third quarters, of flows: of four amounts (quarter, change, year to date, change) the
     third, and of three with a `不适用` between the first two the second.
     """
-    tokens = _tokens(line)
+    return _once(_tokens(line), lambda tokens: _summary_amount(tokens, line, kind, semantics))
+
+
+def _summary_amount(tokens: Column, line: Column, kind: Column, semantics: Column) -> Column:
     packed = F.translate(compact(line), "，（）−", ",()-")
     raw = lambda k: F.regexp_replace(F.get(tokens, k)["raw"], r"\s+", "")
     first_at = F.call_function("locate", raw(0), packed)

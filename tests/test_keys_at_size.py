@@ -29,3 +29,16 @@ def test_no_customer_has_the_name_of_a_peer(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
     found = catalog.queries()["nrm17_names"](spark, str(tmp_path)).collect()
     assert sorted((r.security_code, r.name) for r in found) == [(f"{k:06d}", "1-OWN") for k in keys]
+
+
+def test_rows_of_reports_are_not_dealt_by_their_label(spark):
+    rows = [("d", 1, 0, "合并利润表"), ("d", 1, 1, "一、营业（A）收入 四(42)"), ("d", 1, 2, "（120）"), ("d", 1, 3, "营业"), ("d", 1, 4, "成本（元）( B) 7,000"), ("d", 1, 5, "其他 5")]
+    lines = spark.createDataFrame(rows, "document_id string, page int, line_no int, line string")
+    targets = spark.createDataFrame([("R", "营业收入", "income_statement"), ("C", "营业成本", "income_statement"), ("N", "（一）", "income_statement")], "field_key string, label string, statement string")
+    found = documents.statement_values(lines, targets)
+    assert {r.field_key: r.value for r in found.collect()} == {"R": -120.0, "C": 7000.0}
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()  # a handful of labels would be as many tasks
+    # only windows whose text can have a label get as far as having one made
+    windows = spark.createDataFrame([("营业收入", False, 1), ("营业收入其他", False, 1), ("营业收入其他", True, 1), ("营业收入", False, 4), ("其他", True, 1), ("", False, 1)], "d__bare string, d__open boolean, w int")
+    named = spark.createDataFrame([("营业收入", 3)], "d__a string, d__reach int")
+    assert documents._could_match(windows.withColumn("id", F.monotonically_increasing_id()), named).count() == 2
