@@ -265,10 +265,10 @@ HEADLINES = ["TOTAL_OPERATE_INCOME", "PARENT_NETPROFIT", "TOTAL_ASSETS", "TOTAL_
     "ROEJQ", "ZCFZL"]
 
 
-def headlines(facts: DataFrame) -> DataFrame:
-    """The latest value of each headline field of a security and family."""
-    rows = latest_numeric(facts.filter(F.col("field_key").isin(*HEADLINES)))
-    return rows.select("security_code", "field_key", "field_name_cn", "value_num", "value_text", "unit", "report_date", "family")
+def headlines(facts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The latest value of each headline field of a security and family; keep: the columns that are wanted."""
+    shown = ["security_code", "field_key", "field_name_cn", "value_num", "value_text", "unit", "report_date", "family"]
+    return latest_numeric(facts.filter(F.col("field_key").isin(*HEADLINES)), keep or shown)
 
 
 def overview(facts: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def flt13(spark, d):
 SELECT security_code, family, k AS field_key, report_date, value_num FROM l WHERE n = 1"""))
 def agg3_headlines(spark, d):
     key = F.when(F.col("field_key") == "REVENUE", "TOTAL_OPERATE_INCOME").when(F.col("field_key") == "QTY", "TOTAL_ASSETS").otherwise("OTHER")
-    return search.headlines(src.facts(spark, d).withColumn("field_key", key)).select("security_code", "family", "field_key", "report_date", "value_num")
+    return search.headlines(src.facts(spark, d).withColumn("field_key", key), ["security_code", "family", "field_key", "report_date", "value_num"])
 
 
 @query("agg8_gap_groups", src.sql("""r AS (SELECT *, CASE WHEN quarter(report_date) = 1 THEN 'MISSING_OFFICIAL'

@@ -42,3 +42,10 @@ def test_rows_of_reports_are_not_dealt_by_their_label(spark):
     windows = spark.createDataFrame([("营业收入", False, 1), ("营业收入其他", False, 1), ("营业收入其他", True, 1), ("营业收入", False, 4), ("其他", True, 1), ("", False, 1)], "d__bare string, d__open boolean, w int")
     named = spark.createDataFrame([("营业收入", 3)], "d__a string, d__reach int")
     assert documents._could_match(windows.withColumn("id", F.monotonically_increasing_id()), named).count() == 2
+
+
+def test_the_latest_facts_are_sorted_without_columns_that_nobody_wants(spark):
+    for name in ("win1_latest_numeric", "agg3_headlines"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        sorts = [line for line in plan.splitlines() if "SortAggregate" in line]
+        assert sorts and not any(c in line for line in sorts for c in ("field_name_cn", "value_text", "source_url", "theme"))
