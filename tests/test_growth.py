@@ -27,3 +27,13 @@ def test_facts_are_made_in_one_pass_and_dealt_by_security_once(spark):
 def test_copies_of_facts_are_dropped_within_few_tables_scans(spark):
     found = catalog.queries()["fin1_canonical_sources"](spark, SMALL)
     assert plan(found).count("FileScan") == 2  # the facts and their copies
+
+
+def test_a_formula_reads_its_facts_a_few_times_only(spark):
+    rows = [("A", "COST", "Cost", "RPT_F10_FINANCE_GINCOME", "d", f"200{y}-12-31", float(y), "元") for y in range(5)]
+    facts = spark.createDataFrame(rows, "security_code string, field_key string, field_name_cn string, family string, dataset string, report_date string, value_num double, unit string")
+    facts = facts.withColumn("report_date", F.col("report_date").cast("date"))
+    found = timeseries.evaluate('COST + YOY(COST) + AVG("Cost", 2) + CAGR(COST, 2) + VALUE(COST, "2001-12-31")', facts)
+    assert plan(found).count("Scan ExistingRDD") == 1
+    last = max(found.collect(), key=lambda r: r.report_date)
+    assert abs(last.value - (4 + 1 / 3 + 3.5 + (2**0.5 - 1) + 1)) < 1e-9
