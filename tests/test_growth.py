@@ -37,3 +37,15 @@ def test_a_formula_reads_its_facts_a_few_times_only(spark):
     assert plan(found).count("Scan ExistingRDD") == 1
     last = max(found.collect(), key=lambda r: r.report_date)
     assert abs(last.value - (4 + 1 / 3 + 3.5 + (2**0.5 - 1) + 1)) < 1e-9
+
+
+def test_quality_reads_a_graph_once_for_each_measure(spark):
+    nodes = spark.createDataFrame([("o1", "CANONICAL_OBSERVATION"), ("o2", "CANONICAL_OBSERVATION"), ("s", "SOURCE_FACT"), ("s", "DOCUMENT")], "node_id string, node_type string")
+    edges = spark.createDataFrame([("e1", "o1", "s", "SUPPORTS"), ("e1", "o1", "s", "SUPPORTS"), ("e2", "s", "x", "LOCATED_AT")], "edge_id string, from_id string, to_id string, edge_type string")
+    found = graph.quality(nodes, edges)
+    assert plan(found).count("Scan ExistingRDD") <= 7
+    assert {(r.measure, r.kind): (r.n, r.share) for r in found.collect()} == {
+        ("nodes", "CANONICAL_OBSERVATION"): (2, None), ("nodes", "SOURCE_FACT"): (1, None), ("nodes", "DOCUMENT"): (1, None), ("edges", "SUPPORTS"): (2, None),
+        ("edges", "LOCATED_AT"): (1, None), ("dangling_edges", None): (1, None), ("duplicate_nodes", None): (1, None), ("duplicate_edges", None): (1, None),
+        ("observations_with_lineage", None): (1, 0.5), ("observations_with_evidence", None): (1, 0.5), ("status", "FAIL"): (None, None),
+    }
