@@ -17,7 +17,6 @@ from factloom.operators.normalize import (
     NAME_FAMILIES,
     date_of,
     facts_of,
-    first_of,
     period_type,
     record_key,
     security_digits,
@@ -69,10 +68,11 @@ def typed(rows: DataFrame) -> DataFrame:
 
 def groups(texts: DataFrame, text: str = "value") -> DataFrame:
     """A row for each record group of run envelopes in JSON: (security_code, group_no, group_id, theme, family, records, payloads)."""
-    doc = F.try_parse_json(F.col(text))
     get = lambda v, path, kind: F.try_variant_get(v, f"$.{path}", kind)
-    each = texts.select(get(doc, "metadata.security.code", "string").alias("security_code"),
-        F.posexplode(get(doc, "groups", "array<variant>")).alias("group_no", "g"))
+    # a column of its own, so that a text is parsed once
+    doc = texts.select(F.try_parse_json(F.col(text)).alias("s__doc"))
+    parts = doc.select(get("s__doc", "metadata.security.code", "string").alias("security_code"), get("s__doc", "groups", "array<variant>").alias("s__groups"))
+    each = parts.select("security_code", F.posexplode("s__groups").alias("group_no", "g"))
     return each.select(
         "security_code", "group_no", *[F.coalesce(get(F.col("g"), k, "string"), F.lit("")).alias(k) for k in ("group_id", "theme", "family")],
         get(F.col("g"), "records", "array<variant>").alias("records"), get(F.col("g"), "payloads", "array<variant>").alias("payloads"),
@@ -83,47 +83,64 @@ def is_object(v: Column) -> Column:
     return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
 
 
+def _listed(value: str) -> Column:
+    """The records of a section: a list, an object with a list `data`, or an object."""
+    kind = F.schema_of_variant(value)
+    data = F.try_variant_get(value, "$.data", "variant")
+    has_list = F.startswith(F.schema_of_variant(data), F.lit("ARRAY"))
+    return (
+        F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(value, "$", "array<variant>"))
+        .when(F.startswith(kind, F.lit("OBJECT")), F.when(has_list, F.try_variant_get(value, "$.data", "array<variant>")).otherwise(F.array(value)))
+    )
+
+
 def sections(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """A row for each record of each named section of page payloads: a list, an object with a list `data`, or an object."""
     spark = payloads.sparkSession
     both = payloads.filter(is_object(F.col(payload))).lateralJoin(spark.tvf.variant_explode(F.col(payload).outer()))
-    kind = F.schema_of_variant("value")
-    data = F.try_variant_get("value", "$.data", "variant")
-    has_list = F.startswith(F.schema_of_variant(data), F.lit("ARRAY"))
-    listed = (
-        F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get("value", "$", "array<variant>"))
-        .when(F.startswith(kind, F.lit("OBJECT")), F.when(has_list, F.try_variant_get("value", "$.data", "array<variant>")).otherwise(F.array("value")))
-    )
     kept = [c for c in payloads.columns if c != payload]
-    out = both.select(*kept, F.col("key").alias("section"), F.posexplode(F.filter(listed, is_object)).alias("ordinal", "record"))
-    return out
+    return both.select(*kept, F.col("key").alias("section"), F.posexplode(F.filter(_listed("value"), is_object)).alias("ordinal", "record"))
 
 
 def records(found: DataFrame) -> DataFrame:
-    """A row for each record of groups(): the groups' own, and the sections of page payloads as datasets of their own."""
+    """A row for each record of groups(): the groups' own, and the sections of page payloads as datasets of their own.
+
+    Both in one pass, so that texts are read once: a unit is a record or a payload, and only payloads are taken apart.
+    """
     paged = (F.col("family") == "PageAjax") & (F.coalesce(F.size("payloads"), F.lit(0)) > 0)
-    plain = found.filter(~paged).select("security_code", "group_no", "theme", "family", F.posexplode(F.filter("records", is_object)).alias("ordinal", "record"))
-    plain = plain.withColumn("dataset", F.concat_ws(" / ", "theme", "family"))
-    pages = sections(found.filter(paged).select("security_code", "group_no", "family", F.posexplode("payloads").alias("page", "payload"))).drop("page")
-    pages = pages.withColumns({"theme": F.concat(F.lit("页面汇总/"), "section"), "dataset": F.concat(F.lit("PageAjax/"), "section")}).drop("section")
-    return plain.unionByName(pages)
+    each = F.when(paged, F.col("payloads")).otherwise(F.filter("records", is_object))
+    marked = found.select("security_code", "group_no", "theme", "family", F.coalesce(paged, F.lit(False)).alias("s__paged"), each.alias("s__each"))
+    units = marked.select("security_code", "group_no", "theme", "family", "s__paged", F.posexplode("s__each").alias("s__at", "s__unit"))
+    units = units.withColumn("s__payload", F.when(F.col("s__paged") & is_object(F.col("s__unit")), F.col("s__unit")))
+    both = units.lateralJoin(found.sparkSession.tvf.variant_explode_outer(F.col("s__payload").outer()))
+    page = F.col("s__paged")
+    listed = F.when(~page, F.array("s__unit")).otherwise(F.filter(_listed("value"), is_object))
+    out = both.select("security_code", "group_no", "theme", "family", "s__paged", "s__at", "key", F.posexplode(listed).alias("s__n", "record"))
+    return out.select(
+        "security_code", "group_no", F.when(page, F.concat(F.lit("页面汇总/"), "key")).otherwise(F.col("theme")).alias("theme"), "family",
+        F.when(page, F.col("s__n")).otherwise(F.col("s__at")).alias("ordinal"), "record",
+        F.when(page, F.concat(F.lit("PageAjax/"), "key")).otherwise(F.concat_ws(" / ", "theme", "family")).alias("dataset"),
+    )
 
 
 def record_facts(rows: DataFrame) -> DataFrame:
     """Facts of records(): dates, period and record key are the record's, a row for each key."""
     text = lambda k: F.try_variant_get("record", f"$.{k}", "string")
-    fields = F.create_map(*[x for k in dict.fromkeys([*DATE_KEYS, *AVAILABILITY_KEYS]) for x in (F.lit(k), text(k))])
-    reported = date_of(text("REPORT_DATE"))
-    event = date_of(first_of(DATE_KEYS, fields))
-    explicit = F.coalesce(text("REPORT_TYPE"), text("REPORT_DATE_NAME"), F.lit(""))
-    out = rows.withColumns({
-        "report_date": reported, "event_date": event, "available_at": date_of(first_of(AVAILABILITY_KEYS, fields)),
-            "period_type": period_type(explicit, reported),
-        "data_semantics": semantics(F.col("family")),
-        "record_key": record_key(F.col("security_code"), F.col("family"), F.coalesce(reported, event, F.lit("")), *[text(k) for k in DISCRIMINATORS]),
+    first = lambda keys: F.coalesce(*[F.nullif(text(k), F.lit("")) for k in keys])
+    # texts before dates before what is made of dates: a step's columns are used several times in the next, so each is made once
+    own = ["security_code", "theme", "family", "dataset", "record"]
+    texts = rows.select(*own, text("REPORT_DATE").alias("s__r"), first(DATE_KEYS).alias("s__e"), first(AVAILABILITY_KEYS).alias("s__a"),
+        F.coalesce(text("REPORT_TYPE"), text("REPORT_DATE_NAME"), F.lit("")).alias("s__x"),
+        F.concat_ws("|", *[F.nullif(text(k), F.lit("")) for k in DISCRIMINATORS]).alias("s__k"))
+    # a date of an event is most often the report date itself
+    dates = texts.select(*own, "s__x", "s__k", "s__r", "s__e", date_of(F.col("s__r")).alias("report_date"), date_of(F.col("s__a")).alias("available_at"))
+    dates = dates.withColumn("event_date", F.when(F.col("s__e") == F.col("s__r"), F.col("report_date")).otherwise(date_of(F.col("s__e"))))
+    out = dates.withColumns({
+        "period_type": period_type(F.col("s__x"), F.col("report_date")), "data_semantics": semantics(F.col("family")),
+        "record_key": record_key(F.col("security_code"), F.col("family"), F.coalesce("report_date", "event_date", F.lit("")), F.col("s__k")),
     })
     keep = ["security_code", "theme", "family", "dataset", "record_key", "report_date", "event_date", "available_at", "period_type", "data_semantics"]
-    return facts_of(out, keep)
+    return facts_of(out.select(*keep, "record"), keep)
 
 
 def names(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -39,6 +39,14 @@ def test_a_formula_reads_its_facts_a_few_times_only(spark):
     assert abs(last.value - (4 + 1 / 3 + 3.5 + (2**0.5 - 1) + 1)) < 1e-9
 
 
+def test_texts_of_records_are_read_once(spark):
+    run = {"metadata": {"security": {"code": "1"}}, "groups": [{"theme": "T", "family": "F", "records": [{"A": True, "END_DATE": "2024-06-30"}]}]}
+    texts = spark.createDataFrame([(json.dumps(run),)], "value string")
+    found = scans.record_facts(scans.records(scans.groups(texts)))
+    assert plan(found).count("Scan ExistingRDD") == 1
+    assert sorted((r.field_key, r.value_num, r.event_date, r.record_key) for r in found.collect()) == [("A", 1.0, "2024-06-30", "1|F|2024-06-30"), ("END_DATE", None, "2024-06-30", "1|F|2024-06-30")]
+
+
 def test_quality_reads_a_graph_once_for_each_measure(spark):
     nodes = spark.createDataFrame([("o1", "CANONICAL_OBSERVATION"), ("o2", "CANONICAL_OBSERVATION"), ("s", "SOURCE_FACT"), ("s", "DOCUMENT")], "node_id string, node_type string")
     edges = spark.createDataFrame([("e1", "o1", "s", "SUPPORTS"), ("e1", "o1", "s", "SUPPORTS"), ("e2", "s", "x", "LOCATED_AT")], "edge_id string, from_id string, to_id string, edge_type string")
