@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, timeseries
+from factloom.operators import graph, point_in_time, timeseries
 from factloom.plans import catalog
 from factloom.sources import facts as src
 from factloom.sources import scans
@@ -57,3 +57,20 @@ def test_quality_reads_a_graph_once_for_each_measure(spark):
         ("edges", "LOCATED_AT"): (1, None), ("dangling_edges", None): (1, None), ("duplicate_nodes", None): (1, None), ("duplicate_edges", None): (1, None),
         ("observations_with_lineage", None): (1, 0.5), ("observations_with_evidence", None): (1, 0.5), ("status", "FAIL"): (None, None),
     }
+
+
+def test_finance_facts_are_made_and_chosen_in_one_pass_without_joins(spark):
+    for name, scans, deals in (("agg9_coverage", 1, 3), ("fin8_quarterly", 1, 2), ("fin7_annual_debt", 2, 4)):  # the two of fin7 are the same, so one is reused
+        found = plan(catalog.queries()[name](spark, SMALL))
+        assert found.count("FileScan") == scans and found.count("Exchange") == deals and "Join" not in found, name
+
+
+def test_quarters_stand_beside_totals_of_their_date_alone(spark):
+    rows = [("1", "2000-03-31", 10.0, False, "SOURCE_DIRECT"), ("1", "2000-06-30", 30.0, False, "SOURCE_DIRECT"), ("1", "2000-06-30", 21.0, True, "SOURCE_DIRECT"),
+        ("1", "2000-09-30", 60.0, False, "SOURCE_DIRECT"), ("1", "2000-09-29", 7.0, True, "SOURCE_DIRECT"), ("1", "2000-12-31", 5.0, True, "CONFLICTING"),
+        (None, "2000-03-31", 1.0, False, "SOURCE_DIRECT"), (None, "2000-03-31", 2.0, True, "SOURCE_DIRECT")]
+    chosen = spark.createDataFrame(rows, "security_code string, report_date string, value double, single boolean, status string").selectExpr(
+        "security_code", "date(report_date) as report_date", "'revenue' as target", "'flow' as kind", "status", "value", "string(null) as text", "date(report_date) as available_at", "single")
+    found = sorted((r.security_code or "", str(r.report_date), r.value, r.status) for r in point_in_time.quarters_of(chosen).collect())
+    assert found == [("", "2000-03-31", 1.0, "SOURCE_DIRECT"), ("", "2000-03-31", 2.0, "SOURCE_DIRECT"), ("1", "2000-03-31", 10.0, "SOURCE_DIRECT"),
+        ("1", "2000-06-30", 21.0, "SOURCE_DIRECT"), ("1", "2000-09-29", 7.0, "SOURCE_DIRECT"), ("1", "2000-09-30", 30.0, "DERIVED")]
