@@ -51,7 +51,10 @@ def period_states(requested: DataFrame, listed: DataFrame, documents: DataFrame)
     """
     key = ["security_code", "report_date"]
     reports = documents.groupBy(*key).agg(F.max(F.col("scope") == "SUMMARY_ONLY").alias("summary"), F.sum("extracted").alias("extracted"))
-    both = requested.select(*key).distinct().withColumn("requested", F.lit(True)).join(reports.withColumn("available", F.lit(True)), key, "full_outer")
+    # both by one aggregation on their key; a null in it matches nothing
+    one = requested.select(*key).distinct().withColumn("requested", F.lit(True)).unionByName(reports.withColumn("available", F.lit(True)), allowMissingColumns=True)
+    apart = F.when(F.col("security_code").isNull() | F.col("report_date").isNull(), F.col("requested").isNull())
+    both = one.groupBy(*key, apart.alias("y__apart")).agg(*[F.max(c).alias(c) for c in ("requested", "summary", "extracted", "available")]).drop("y__apart")
     both = both.join(listed.select("security_code", "listed", "listing_date_source"), "security_code", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     asked, there = yes(F.col("requested")), yes(F.col("available"))
@@ -98,10 +101,13 @@ def relabelled(rows: DataFrame, states: DataFrame) -> DataFrame:
     be later than the latest report as well.
     """
     flags = ["pre_listing", "summary_only", "zero_extraction", "post_listing_missing"]
-    of_date = states.select(F.col("security_code").alias("y__c"), F.col("report_date").alias("y__d"), *[F.col(x).alias(f"y__{x}") for x in flags])
-    latest = states.groupBy(F.col("security_code").alias("z__c")).agg(F.max("latest_available").alias("z__latest"))
-    out = rows.join(of_date, (F.col("security_code") == F.col("y__c")) & (F.col("report_date") == F.col("y__d")), "left")
-    out = out.join(latest, F.col("security_code") == F.col("z__c"), "left")
+    # windows over both tables instead of joins, first of the security and then of its dates, so tables dealt by it stay where they are
+    of_date = states.select("security_code", F.col("report_date").cast(rows.schema["report_date"].dataType).alias("report_date"), F.col("latest_available").alias("z__latest"), F.struct(*[F.col(x).alias(f"y__{x}") for x in flags]).alias("y__x"))
+    both = rows.withColumn("y__own", F.lit(True)).unionByName(of_date.withColumn("y__own", F.lit(False)), allowMissingColumns=True)
+    known, dated = F.col("security_code").isNotNull(), F.col("report_date").isNotNull()
+    both = both.withColumn("z__latest", F.when(known, F.max("z__latest").over(Window.partitionBy("security_code"))))
+    both = both.withColumn("y__x", F.when(known & dated, F.first("y__x", ignorenulls=True).over(Window.partitionBy("security_code", "report_date"))))
+    out = both.filter("y__own").select(*rows.columns, "z__latest", "y__x.*")
     is_ = lambda x: F.coalesce(F.col(f"y__{x}"), F.lit(False))
     status = F.col("status")
     not_loaded = status == "OFFICIAL_PERIOD_NOT_LOADED"
@@ -120,4 +126,4 @@ def relabelled(rows: DataFrame, states: DataFrame) -> DataFrame:
 
     old = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     new = {"status": by_rule(0, status), "verification_grade": by_rule(1, old("verification_grade")), "notes": by_rule(2, old("notes"))}
-    return out.withColumns(new).drop("y__c", "y__d", "z__c", "z__latest", *[f"y__{x}" for x in flags])
+    return out.withColumns(new).drop("z__latest", *[f"y__{x}" for x in flags])

@@ -305,6 +305,24 @@ def primary(facts: DataFrame) -> DataFrame:
 GRAIN = ["security_code", "report_date", "field_key"]
 
 
+def beside(rows: DataFrame, other: DataFrame, keys: list[str], cells: list[str], wider: list[str] | None = None, any_of: str | None = None) -> DataFrame:
+    """rows with the cells of the row of `other`, which has one a key, that has their keys; null where none has.
+
+    As a left join, but by windows over both, so tables that are dealt by the first key already aren't shuffled. any_of: a
+    boolean column of rows that comes true where `other` has a row of the same `wider` keys, the first few of keys. Null keys
+    match nothing.
+    """
+    own = rows.withColumn("b__own", F.lit(True))
+    theirs = other.select(*[F.col(k).cast(rows.schema[k].dataType).alias(k) for k in keys], F.struct(*cells).alias("b__x")).withColumn("b__own", F.lit(False))
+    both = own.unionByName(theirs, allowMissingColumns=True)
+    known = lambda own: F.array_size(F.array_compact(F.array(*[F.col(k).cast("string") for k in own]))) == len(own)
+    if any_of:
+        both = both.withColumn(any_of, known(wider) & F.max(~F.col("b__own")).over(Window.partitionBy(*wider)))
+    found = F.when(known(keys), F.first("b__x", ignorenulls=True).over(Window.partitionBy(*keys)))
+    out = both.withColumn("b__x", found).filter("b__own")
+    return out.select(*rows.columns, *[F.col(f"b__x.{c}").alias(c) for c in cells])
+
+
 def _text_of(rows: DataFrame) -> Column:
     return F.col("value_text") if "value_text" in rows.columns else F.lit(None).cast("string")
 
@@ -333,15 +351,16 @@ def matched(facts: DataFrame, official: DataFrame) -> DataFrame:
     By security, date, period, statement and field; else, but for direct values of primary statements, by the same
     without the statement, but not for research expenses of the research family; derived finance expenses take the
     income statement's first. A consolidated value isn't compared with a parent company's: SCOPE_CONFLICT. If the field
-    exists on the date for another period only: PERIOD_CONFLICT, but not for derived values and metadata.
+    exists on the date for another period only: PERIOD_CONFLICT, but not for derived values and metadata. `loaded` tells whether
+    there are official rows of the security and date at all.
     """
     best = F.struct((F.col("scope") == "parent").alias("parent"), F.col("statement_type").alias("st"), F.col("document_id").alias("doc"),
         F.col("value_num").alias("v"), F.col("unit").alias("u"), F.col("precision_tolerance").alias("tol"), _text_of(official).alias("t"), F.col("scope").alias("scope"))
     candidate = F.struct(F.col("period_type").alias("p"), F.col("statement_type").alias("s"), "b")
-    # one official row a period and statement, the few of a field and date together, so that all three grains are one join
+    # one official row a period and statement, the few of a field and date together, so that all three grains are one match
     one = official.groupBy(*GRAIN, "period_type", "statement_type").agg(F.min(best).alias("b"))
     of_each = one.groupBy(*GRAIN).agg(F.collect_list(candidate).alias("r__c"))
-    out = facts.join(of_each, GRAIN, "left")
+    out = beside(facts.withColumn("loaded", F.lit(False)), of_each, GRAIN, ["r__c"], ["security_code", "report_date"], "loaded")
     least = lambda hit: F.array_min(F.transform(F.filter("r__c", hit), lambda x: x["b"]))
     of_period = lambda x: x["p"] == F.col("period_type")
     out = out.withColumns({
@@ -366,8 +385,10 @@ def compared(pairs: DataFrame, official: DataFrame) -> DataFrame:
     By the method of the field's policy: numbers within their tolerance, dates, sets or texts. Numbers of which one is
     null are compared as texts. A text that only one side has is MISSING_EASTMONEY or MISSING_OFFICIAL, not a mismatch.
     """
-    loaded = official.select(F.col("security_code").alias("l__c"), F.col("report_date").alias("l__d")).distinct()
-    out = pairs.join(loaded, (F.col("security_code") == F.col("l__c")) & (F.col("report_date") == F.col("l__d")), "left")
+    if "loaded" not in pairs.columns:
+        there = official.select(F.col("security_code").alias("l__c"), F.col("report_date").alias("l__d"), F.lit(True).alias("loaded")).distinct()
+        pairs = pairs.join(there, (F.col("security_code") == F.col("l__c")) & (F.col("report_date") == F.col("l__d")), "left").drop("l__c", "l__d")
+    out = pairs
     a, b = scaled("value_num", "unit"), scaled(F.col("o.v"), F.col("o.u"))
     unit_a, unit_b = canonical_unit(F.coalesce("unit", F.lit(""))), canonical_unit(F.coalesce(F.col("o.u"), F.lit("")))
     blank = lambda u: F.lower(u).isin("", "文本", "text", "none")
@@ -397,11 +418,11 @@ def compared(pairs: DataFrame, official: DataFrame) -> DataFrame:
         F.when(F.col("mode") == "NOT_IN_PERIODIC_REPORT_SCOPE", "NOT_IN_OFFICIAL_SCOPE")
         .when(F.col("mode") == "EASTMONEY_SOURCE_SPECIFIC", "SOURCE_SPECIFIC")
         .when(F.col("mode") == "FUTURE_FREE_SOURCE_REQUIRED", "FUTURE_FREE_SOURCE_REQUIRED")
-        .when(F.col("l__d").isNull(), "OFFICIAL_PERIOD_NOT_LOADED")
+        .when(~F.coalesce("loaded", F.lit(False)), "OFFICIAL_PERIOD_NOT_LOADED")
         .when(F.col("o").isNull(), F.coalesce("diagnosis", F.lit("MISSING_OFFICIAL")))
         .otherwise(verdict)
     )
-    return out.withColumns({"status": status, "official_value": b, "difference": a - b}).drop("l__c", "l__d")
+    return out.withColumns({"status": status, "official_value": b, "difference": a - b}).drop("loaded")
 
 
 IDENTITY = ["security_code", "report_date", "period_type", "statement_type", "scope", "field_key"]

@@ -48,8 +48,8 @@ st AS (SELECT *, there AND k = 0 AND q = 3 AS summary, there AND k = 1 AND q = 1
 """
 
 
-def states(spark, d):
-    asked = src.facts_cum(spark, d).select("security_code", "report_date").distinct()
+def states(spark, d, sold=None):
+    asked = src.facts_cum(spark, d, sold).select("security_code", "report_date").distinct()
     k, q = F.col("security_code").cast("int") % 3, F.quarter("report_date")
     there = asked.filter("year(report_date) < 2001 and not (year(report_date) = 1999 and quarter(report_date) = 2)")
     documents = there.select("security_code", "report_date", F.when((k == 0) & (q == 3), "SUMMARY_ONLY").otherwise("FULL_STATEMENTS").alias("scope"),
@@ -78,7 +78,8 @@ SELECT security_code, report_date, field_key, family, CASE WHEN before AND gap T
   WHEN report_date > latest AND status = 'OFFICIAL_PERIOD_NOT_LOADED' THEN 'OFFICIAL_REPORT_NOT_YET_DISCLOSED' WHEN zero AND gap THEN 'OFFICIAL_DOCUMENT_EXTRACTION_FAILED'
   WHEN NOT before AND NOT there AND coalesce(report_date <= latest, true) AND gap THEN 'POST_LISTING_OFFICIAL_REPORT_NOT_FOUND' ELSE status END AS status FROM r"""))
 def rec13(spark, d):
-    return lifecycle.relabelled(compared(spark, d), states(spark, d)).select("security_code", "report_date", "field_key", "family", "status")
+    sold = src.quarters_once(spark, d)
+    return lifecycle.relabelled(compared(spark, d, sold), states(spark, d, sold)).select("security_code", "report_date", "field_key", "family", "status")
 
 
 NAMES = {"REVENUE": "OPERATE_INCOME", "COST": "OPERATE_COST"}
@@ -102,7 +103,8 @@ def set2(spark, d):
     """Facts of four kinds against official ones of which only the first is reported; the others are calculated."""
     key = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), F.col("field_key")), F.col("field_key"))
     number, code = F.lit("numeric"), F.col("security_code").cast("int")
-    cum = src.facts_cum(spark, d).withColumns({"field_key": key, "statement_type": F.lit("income_statement"), "mode": F.lit("OFFICIAL_DIRECT"), "method": number,
+    sold = src.quarters_once(spark, d)
+    cum = src.facts_cum(spark, d, sold).withColumns({"field_key": key, "statement_type": F.lit("income_statement"), "mode": F.lit("OFFICIAL_DIRECT"), "method": number,
         "absolute": F.lit(1.0), "relative": F.lit(1e-10), "kind": F.lit("direct")})
     off = F.when((F.quarter("report_date") == 3) & (code % 5 == 0), 1.05).otherwise(1.0)
     official = cum.select("security_code", "report_date", "field_key", "period_type", "statement_type", F.lit("consolidated").alias("scope"), (F.col("value_num") * off).alias("value_num"),
@@ -110,9 +112,9 @@ def set2(spark, d):
     year_ends = cum.filter(F.quarter("report_date") == 4).dropDuplicates(["security_code", "report_date"])
     documents = year_ends.filter("year(report_date) < 2001").select("security_code", "report_date", F.date_add("report_date", 90).alias("publish_date"), F.lit("annual").alias("report_kind"),
         F.lit("SSE").alias("source"), F.lit("title").alias("title"), F.lit("").alias("url"))
-    every = derived.appended(official, documents)
+    every = derived.appended(official, documents).repartition(sold.rdd.getNumPartitions(), "security_code")  # dealt as the facts are
     as_derived = {"mode": F.lit("OFFICIAL_DERIVED")}
-    quarters = src.facts_quarter(spark, d).filter(F.quarter("report_date") > 1).withColumns({"field_key": key, "statement_type": F.lit("income_statement"), "method": number,
+    quarters = src.facts_quarter(spark, d, sold).filter(F.quarter("report_date") > 1).withColumns({"field_key": key, "statement_type": F.lit("income_statement"), "method": number,
         "absolute": F.lit(1.0), "relative": F.lit(1e-10), "kind": F.lit("quarters"), **as_derived})
     wide = cum.groupBy("security_code", "report_date", "period_type").pivot("field_key", list(NAMES.values())).agg(F.first("value_num"))
     ratio = wide.withColumn("value_num", (F.col("OPERATE_INCOME") - F.col("OPERATE_COST")) / F.col("OPERATE_INCOME") * 100).drop(*NAMES.values()).withColumns({

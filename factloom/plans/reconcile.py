@@ -58,12 +58,13 @@ cmp AS (SELECT b.*, o.k, CASE WHEN l.report_date IS NULL THEN 'OFFICIAL_PERIOD_N
 """
 
 
-def compared(spark, d):
-    cumulative = kept(src.facts_cum(spark, d))
-    rows = kept(cumulative.unionByName(src.facts_decoy(spark, d)))
-    entries = r.registry(rows)
+def compared(spark, d, sold=None):
+    sold = src.quarters_once(spark, d) if sold is None else sold
+    rows = src.facts_cum_and_decoy(spark, d, sold)
+    entries = kept(r.registry(rows))
+    entries = F.broadcast(entries) if entries.count() <= 100_000 else entries  # a row a context of a field, so rows stay where they are
     facts = r.classified(r.primary(rows), entries).withColumn("statement_type", F.lit("income_statement"))
-    offi = disturbed(cumulative)
+    offi = disturbed(src.facts_cum(spark, d, sold))
     return r.compared(r.matched(facts, offi), offi)
 
 

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, point_in_time, timeseries
+from factloom.operators import graph, point_in_time, reconcile, timeseries
 from factloom.plans import catalog
 from factloom.sources import facts as src
 from factloom.sources import scans
@@ -74,3 +74,16 @@ def test_quarters_stand_beside_totals_of_their_date_alone(spark):
     found = sorted((r.security_code or "", str(r.report_date), r.value, r.status) for r in point_in_time.quarters_of(chosen).collect())
     assert found == [("", "2000-03-31", 1.0, "SOURCE_DIRECT"), ("", "2000-03-31", 2.0, "SOURCE_DIRECT"), ("1", "2000-03-31", 10.0, "SOURCE_DIRECT"),
         ("1", "2000-06-30", 21.0, "SOURCE_DIRECT"), ("1", "2000-09-29", 7.0, "SOURCE_DIRECT"), ("1", "2000-09-30", 30.0, "DERIVED")]
+
+
+def test_comparisons_of_facts_go_by_the_security_that_they_are_dealt_by(spark):
+    for name in ("set2_derived_compared", "rec13_relabelled"):
+        found = plan(catalog.queries()[name](spark, SMALL))
+        assert "SortMergeJoin" not in found and "lineitem" not in found, name  # the items are read once, before
+
+
+def test_what_stands_beside_a_row_has_its_keys(spark):
+    rows = spark.createDataFrame([("1", "a", 1), ("1", "a", 2), ("1", "b", 3), ("2", "a", 4), (None, "a", 5)], "security_code string, field_key string, n int").withColumn("there", F.lit(False))
+    other = spark.createDataFrame([("1", "a", "x"), (None, "a", "y")], "security_code string, field_key string, v string")
+    found = reconcile.beside(rows, other, ["security_code", "field_key"], ["v"], ["security_code"], "there")
+    assert sorted((r.n, r.v, r.there) for r in found.collect()) == [(1, "x", True), (2, "x", True), (3, None, True), (4, None, False), (5, None, False)]
