@@ -1,6 +1,8 @@
 """Work that is done once, however many results need it, and shares of tasks that stay as they are on larger tables."""
 
 import json
+import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -24,6 +26,22 @@ def test_facts_are_made_in_one_pass_and_dealt_by_security_once(spark):
     assert plan(by_security).count("Exchange") == 2  # the sums of quarters, and the deal
 
 
+def test_parts_of_facts_grow_with_bytes_and_not_with_splits_alone(spark):
+    folder, whole = "/root/testdata/sf0.1", "spark.sql.files.minPartitionNum"
+    spark.conf.set(whole, "1")
+    try:
+        assert src.table(spark, folder, "lineitem").rdd.getNumPartitions() == 1
+        dealt = re.search(r"hashpartitioning\(security_code#\d+, (\d+)\), REPARTITION_BY_NUM", plan(src.everything(spark, folder)))
+    finally:
+        spark.conf.unset(whole)
+    assert os.path.getsize(f"{folder}/lineitem.parquet") / int(dealt[1]) <= 1 << 20
+
+
+def test_ends_between_periods_need_no_running_sums(spark):
+    found = plan(catalog.queries()["win11_formula_between_periods"](spark, SMALL))
+    assert found.count("- Window") == 4  # two running sums of the facts, their means, and the last before each end
+
+
 def test_copies_of_facts_are_dropped_within_few_tables_scans(spark):
     found = catalog.queries()["fin1_canonical_sources"](spark, SMALL)
     assert plan(found).count("FileScan") == 2  # the facts and their copies
